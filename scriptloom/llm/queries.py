@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm import sentencepiece_codec
+from scriptloom.llm import sentencepiece_codec, simhash
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,11 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     coded = sentencepiece_codec.encode_decode(F.col("text"), model_path or tokenizer_path("piece_bpe_32k.model"))
     return (
@@ -39,5 +44,6 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
 
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op4_sentencepiece": op4_sentencepiece,
 }
