@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm import sentencepiece_codec, simhash
+from scriptloom.llm.common import fold
+from scriptloom.llm import sentencepiece_codec, simhash, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,7 +44,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id")) != 0))
+    scored = docs.select("doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(-1)) == 0).alias("held_out"), toxicity.score_column(F.col("text"), model).alias("score"))
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op8_toxicity": op8_toxicity,
 }
