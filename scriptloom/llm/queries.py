@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import fold
-from scriptloom.llm import sentencepiece_codec, simhash, toxicity
+from scriptloom.llm import decontamination, secret_scan, sentencepiece_codec, simhash, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,6 +44,26 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "item_shingles")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, ["doc_id"], F.col("text"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, ("assign", "access", "hex")),
+        _sha256(secret_scan.joined(F.col("base"))).alias("base_sha256"),
+        secret_scan.joined(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -55,5 +75,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_decontamination": op5_decontamination,
+    "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
 }

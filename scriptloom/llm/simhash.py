@@ -170,16 +170,18 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     return emitted.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_meet, "a long, b long")
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp, component_id) for every row of ``docs``; other columns are ignored."""
-    prints = store(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``, and the columns ``also``;
+    other columns are ignored."""
+    more = [c.alias(name) for name, c in (also or {}).items()]
+    prints = store(docs.select(F.col(id_col).alias("doc_id"), *more, fingerprint_column(F.col(text_col), shingle).alias("fp")))
     firsts = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
     roots = components(fingerprint_links(firsts.select("fp"))).withColumnRenamed("node", "fp")
     linked = store(firsts.join(roots, "fp"))
     smallest = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     joined = linked.join(smallest, "root").select("fp", "component_id")
     classes = store(firsts.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", *(also or {}))
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -2,4 +2,24 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
+
+#: Five-word shingles of a table's texts, each once: (id, s).
+_SHINGLES = """select distinct {id} as id, unnest(case when len(w) >= 5
+    then list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+  from (select {id}, {words} as w from {table})"""
+
+OP5 = f"""
+with d as ({_SHINGLES.format(id="doc_id", table="documents", words=_WORDS)}),
+b as ({_SHINGLES.format(id="item_id", table="benchmark", words=_WORDS)}),
+n as (select id, count(*) as q from b group by id)
+select d.id as doc_id, b.id as item_id, count(*)::bigint as shared, any_value(q)::bigint as item_shingles
+from d join b using (s) join n on n.id = b.id
+group by d.id, b.id having count(*) >= ceil(0.8 * any_value(q) - 1e-9)
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_decontamination": OP5,
+}
