@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import fold
-from scriptloom.llm import decontamination, secret_scan, sentencepiece_codec, simhash, toxicity
+from scriptloom.llm.common import fold, shared_dir
+from scriptloom.llm import decontamination, kd_shards, secret_scan, sentencepiece_codec, simhash, toxicity, training_order, wordpiece_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +25,24 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    size = F.octet_length(text) + 8
+    placed = kd_shards.shard(
+        _table(spark, sf_dir, "documents"),
+        {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(text.cast("binary"))},
+        size,
+        {
+            "source": kd_shards.text_code(F.col("source")),
+            "lang": kd_shards.text_code(F.col("lang")),
+            "size": kd_shards.number_code(size),
+            "n_chars": kd_shards.number_code(F.col("n_chars")),
+        },
+        shards=24,
+    )
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -49,6 +67,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "shared", "item_shingles")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    counts = wordpiece_counts.count_column(F.col("text"), model_path or tokenizer_path("piece_bpe_32k.model"))
+    return _table(spark, sf_dir, "documents").select("doc_id", counts.alias("c")).select("doc_id", "c.*")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = secret_scan.scan(docs, ["doc_id"], F.col("text"), F.col("source"), F.concat_ws("/", "source", "lang"))
@@ -72,10 +95,27 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """A row for each sequence, read back from the shards it writes."""
+    path, folder = model_path or tokenizer_path("piece_bpe_32k.model"), shared_dir(spark)
+    training_order.write(
+        _table(spark, sf_dir, "documents"),
+        lambda: sentencepiece_codec.codec(path).encode,
+        lambda: sentencepiece_codec.codec(path).count,
+        folder,
+        key="epoch-0",
+    )
+    read = training_order.read(spark, folder)
+    return read.select("slot", "shard", "position", F.octet_length("ids").alias("n_bytes"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
+    "op2_kd_shards": op2_kd_shards,
     "op3_simhash": op3_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontamination": op5_decontamination,
+    "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
+    "op9_training_order": op9_training_order,
 }

@@ -225,6 +225,16 @@ class PieceCodec:
             body = b"".join(map(self.seen.__getitem__, self.segments.findall(" " + text if self.dummy_prefix else text)))
         return np.frombuffer(body + tail, dtype="<i4")
 
+    def count(self, text: str | None, end: bool = True) -> int:
+        """Number of the ids that ``encode`` gives, without joining them."""
+        if not text:
+            return int(end)
+        if self.segments is None:
+            return len(self.encode(text, end))
+        text = text.replace(MARK, " ")
+        found = self.segments.findall(" " + text if self.dummy_prefix else text)
+        return sum(map(len, map(self.seen.__getitem__, found))) // 4 + end
+
     def decode(self, ids) -> str:
         """Text of ids, as the library decodes them; control ids vanish, each byte
         that is not UTF-8 becomes U+FFFD."""
