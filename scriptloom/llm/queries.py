@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import fold, shared_dir
-from scriptloom.llm import decontamination, kd_shards, secret_scan, sentencepiece_codec, simhash, toxicity, training_order, wordpiece_counts
+from scriptloom.llm import decontamination, kd_shards, secret_scan, sentencepiece_codec, simhash, topk_search, toxicity, training_order, wordpiece_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +25,10 @@ def _sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text) + 8
@@ -110,6 +114,7 @@ def op9_training_order(spark: SparkSession, sf_dir: str, model_path: str | None
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op2_kd_shards": op2_kd_shards,
     "op3_simhash": op3_simhash,
     "op4_sentencepiece": op4_sentencepiece,

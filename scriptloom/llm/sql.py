@@ -20,6 +20,17 @@ from d join b using (s) join n on n.id = b.id
 group by d.id, b.id having count(*) >= ceil(0.8 * any_value(q) - 1e-9)
 """
 
+OP1 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id as query_id, b.vec_id,
+    list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from p qualify rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_top_k": OP1,
     "op5_decontamination": OP5,
 }
