@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import fold, shared_dir
-from scriptloom.llm import decontamination, kd_shards, secret_scan, sentencepiece_codec, simhash, topk_search, toxicity, training_order, wordpiece_counts
+from scriptloom.llm import decontamination, kd_shards, ngram_lm, secret_scan, sentencepiece_codec, simhash, topk_search, toxicity, training_order, wordpiece_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -113,6 +113,14 @@ def op9_training_order(spark: SparkSession, sf_dir: str, model_path: str | None
     return read.select("slot", "shard", "position", F.octet_length("ids").alias("n_bytes"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(F.col("doc_id")), F.lit(-1)) == 1
+    trie = ngram_lm.fit(docs.where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), ngram_lm.score_column(F.col("text"), trie).alias("s"))
+    return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "s.base_score", "s.score")
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_kd_shards": op2_kd_shards,
@@ -123,4 +131,5 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_training_order": op9_training_order,
+    "op10_lm_scores": op10_lm_scores,
 }
