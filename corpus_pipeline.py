@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm import decontamination, secret_scan, sentencepiece_codec, simhash, stages, toxicity
-from scriptloom.llm.common import store
+from scriptloom.llm.common import small_batches, store
 from scriptloom.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of a half or more go. The model learns from the
     labels of the documents."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
     scored = docs.withColumn("_toxicity", toxicity.score_column(F.col("text"), model))
@@ -27,6 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id stays."""
+    small_batches(spark)
     classes = simhash.near_duplicate_classes(docs, also={"text_hash": stages.text_hash()})
     return stages.keep_firsts(docs, classes)
 
@@ -41,6 +43,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked in the texts; copied examples stay."""
+    small_batches(spark)
     found = secret_scan.scan(
         docs.withColumn("_hash", stages.text_hash()), ["doc_id", "_hash"], F.col("text"), F.col("source"), F.concat_ws("/", "source", "lang")
     )
@@ -55,6 +58,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as token ids, with their number."""
+    small_batches(spark)
     coded = docs.select("doc_id", "lang", "source", sentencepiece_codec.encode(F.col("text"), tokenizer_path("piece_bpe_32k.model")).alias("ids"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -94,6 +94,14 @@ def pieces(batches: Iterable[pa.RecordBatch], text_at: int, max_bytes: int = 8 <
             yield b.slice(start)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many texts to a Python worker at once, to bound its memory; the
+    session's own setting stays if it is smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def parts(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_part))
 

@@ -69,7 +69,7 @@ class PieceCodec:
     """
 
     #: Cached segments and pairs per worker, each at most SEGMENT characters.
-    CACHE, SEGMENT = 200_000, 48
+    CACHE, SEGMENT = 100_000, 48
 
     def __init__(self, model_path: str):
         import struct
@@ -167,7 +167,7 @@ class PieceCodec:
         key = a << 32 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 4 * self.CACHE:
+            if len(self.pairs) >= 3 * self.CACHE:
                 self.pairs.clear()
             found = self.pairs[key] = self.merge(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
         return found
