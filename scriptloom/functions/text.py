@@ -14,7 +14,7 @@ ABBREVIATIONS = {"mrs": "missus", "mr": "mister", "dr": "doctor", "st": "saint"}
 CHARS_PER_TOKEN, JSON_CHARS_PER_ENTRY, OUTPUT_MULTIPLIER, MARGIN = 4, 10, 2.5, 512
 TOKEN_FLOOR, TOKEN_CEILING, RETRY_GROWTH = 1024, 16384, 2
 
-_OPEN, _CLOSE = "", ""
+_OPEN, _CLOSE = "\ue000", "\ue001"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

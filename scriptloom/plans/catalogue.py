@@ -1,10 +1,758 @@
-"""Registered queries over the fixture tables, with their DuckDB counterparts."""
+"""Registered queries over the fixture tables, with their DuckDB counterparts.
+
+Stand-ins: documents are utterances (key doc_id, speaker source, split lang), labels give
+their validation, conversations are chapters with turns, lineitem is a manifest with
+durations, events are a metric log.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptloom.functions import alignment, responses, tensors, text
+from scriptloom.operators import corpus, labels, metrics, sampling, sequences
+from scriptloom.session import table
+from scriptloom.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# Words of a column in DuckDB: whole tokens are mapped after the clean-up, which agrees
+# with the single pass wherever no period glues an abbreviation to the next word.
+def _words(column: str) -> str:
+    cleaned = rf"trim(regexp_replace(replace(lower({column}), '''', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    spoken = "case t when 'mrs' then 'missus' when 'mr' then 'mister' when 'dr' then 'doctor' when 'st' then 'saint' else t end"
+    return f"list_transform(list_filter(string_split({cleaned}, ' '), lambda t: t <> ''), lambda t: {spoken})"
+
+
+_DOCS = f"select doc_id as key, {_words('text')} as w from documents"
+_TOK = f"select key, unnest(w) as token, generate_subscripts(w, 1) as pos from ({_DOCS})"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.words_of(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@query(
+    f"""
+with t as ({_TOK}), u as (select token, count(*) n from t group by token), s as (select sum(n) total, count(*) types from u),
+b as (select prev, cur, count(*) n from (select key, lag(token) over (partition by key order by pos) prev, token cur from t) where prev is not null group by 1, 2),
+p as (select prev, sum(n) n from b group by prev), f as (select token, count(*) n from t where pos = 1 group by token), fs as (select sum(n) total from f)
+select (select total from s)::bigint as unigram_tokens, (select types from s)::bigint as unigram_types,
+  round((select -sum(n / total * ln(n / total)) from u, s), 6) as unigram_loss,
+  (select sum(n) from b)::bigint as bigram_tokens, (select count(*) from b)::bigint as bigram_types,
+  round((select -sum(b.n * ln(b.n / u.n)) / sum(b.n) from b join u on b.prev = u.token), 6) as bigram_loss,
+  round((select -sum(b.n * ln(b.n / p.n)) / sum(b.n) from b join p using (prev)), 6) as bigram_cond_entropy,
+  (select total from fs)::bigint as n_utterances, round((select -sum(n / total * ln(n / total)) from f, fs), 6) as first_token_loss,
+  round(ln(40148), 6) as uniform_loss, round((select types from s) / 40148, 6) as vocab_coverage
+"""
+)
+def corpus_baselines(spark, sf_dir):
+    row = corpus.baselines(_doc_words(spark, sf_dir), vocabulary=40148)
+    exact = ["unigram_tokens", "unigram_types", "bigram_tokens", "bigram_types", "n_utterances"]
+    rounded = ["unigram_loss", "bigram_loss", "bigram_cond_entropy", "first_token_loss", "uniform_loss", "vocab_coverage"]
+    return row.select(*[F.col(c).cast("long") for c in exact], *[_r6(c).alias(c) for c in rounded])
+
+
+@query(f"select key as doc_id, array_to_string(w, ' ') as normalized from ({_DOCS})")
+def normalize_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+
+
+@query(f"select token, count(distinct key)::bigint as df from ({_TOK}) group by token")
+def doc_frequency(spark, sf_dir):
+    return corpus.document_frequency(_doc_words(spark, sf_dir))
+
+
+@query(f"select token, row_number() over (order by encode(token)) - 1 as id from (select distinct token from ({_TOK}))")
+def vocab_reindex(spark, sf_dir):
+    return corpus.dense_ids(corpus.token_union(_doc_words(spark, sf_dir)))
+
+
+@query(
+    """
+with used as (select distinct l_partkey % 50 as id from lineitem where l_partkey % 50 not in (7, 41)), special as (select unnest([0, 3, 41, 45]) as id),
+every as (select unnest(range(0, 60)) as id)
+select coalesce((select min(id) from special where id not in (select id from used)),
+  (select max(id) from every where id not in (select id from used) and id not in (select id from special)))::bigint as id
+"""
+)
+def first_free_id(spark, sf_dir):
+    used = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("id")).where(~F.col("id").isin(7, 41)).distinct()
+    special = spark.createDataFrame([(0,), (3,), (41,), (45,)], "id long")
+    return corpus.first_free_id(used, special, spark.range(60))
+
+
+@query(
+    f"""
+with v as (select token, row_number() over (order by encode(token)) - 1 as id from (select distinct token from ({_TOK}) t join documents d on d.doc_id = t.key where lang = 'en')),
+e as (select key, string_agg(id::varchar, ' ' order by pos) as ids from ({_TOK}) join v using (token) group by key)
+select doc_id, coalesce(ids, '') as ids from documents left join e on key = doc_id
+"""
+)
+def encode_drop_unknown(spark, sf_dir):
+    english = corpus.words_of(_docs(spark, sf_dir).where("lang = 'en'"), "doc_id", "text")
+    vocabulary = corpus.dense_ids(corpus.token_union(english))
+    coded = corpus.encode(_doc_words(spark, sf_dir), vocabulary)
+    return coded.select(F.col("key").alias("doc_id"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query(
+    f"""
+with v as (select token from (select distinct token from ({_TOK}) t join documents d on d.doc_id = t.key where lang = 'en')),
+e as (select key, string_agg(token, ' ' order by pos) as s from ({_TOK}) join v using (token) group by key)
+select doc_id, coalesce(s, '') as text from documents left join e on key = doc_id
+"""
+)
+def decode_round_trip(spark, sf_dir):
+    english = corpus.words_of(_docs(spark, sf_dir).where("lang = 'en'"), "doc_id", "text")
+    vocabulary = written(corpus.dense_ids(corpus.token_union(english)))
+    return corpus.decode(corpus.encode(_doc_words(spark, sf_dir), vocabulary), vocabulary).withColumnRenamed("key", "doc_id")
+
+
+def _label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "labels")
+    return found.select(
+        F.col("doc_id").alias("key"), F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("validation"), F.lit("u").alias("unformatted"), F.concat(F.lit("f"), "doc_id").alias("formatted")
+    )
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("key"), "lang", "source", F.col("n_chars").alias("size"))
+
+
+_CLASS = "case when quality is null then 'unlabelled' when quality = 0 then 'failed' else 'kept' end"
+
+
+@query(f"select doc_id as key, {_CLASS} as class from documents left join labels using (doc_id)")
+def label_join_classify(spark, sf_dir):
+    return labels.classified(_samples(spark, sf_dir), _label_rows(spark, sf_dir)).select("key", "class")
+
+
+@query(
+    f"""
+select lang, count(*) as sample_total, count(*) filter (c = 'kept') as sample_kept, count(*) filter (c = 'failed') as sample_failed,
+  count(*) filter (c = 'unlabelled') as sample_unlabelled, 2 * count(*) filter (c = 'kept') as member_relabelled
+from (select lang, {_CLASS} as c from documents left join labels using (doc_id)) group by lang
+"""
+)
+def relabel_counts(spark, sf_dir):
+    return labels.relabel_counts(_samples(spark, sf_dir), _label_rows(spark, sf_dir), "lang")
+
+
+@query("select doc_id as key, lang, 'f' || doc_id as formatted from documents join labels using (doc_id) where quality = 1")
+def relabel_manifest(spark, sf_dir):
+    manifest = _samples(spark, sf_dir).select("key", "lang", F.lit("old").alias("formatted"))
+    return labels.relabelled(manifest, _label_rows(spark, sf_dir), drop_unlabelled=True)
+
+
+@query("select doc_id as key, lang, 'f' || doc_id as formatted from documents join labels using (doc_id) where quality = 1")
+def labelled_utterances(spark, sf_dir):
+    return labels.labelled(_samples(spark, sf_dir), _label_rows(spark, sf_dir)).select("key", "lang", "formatted")
+
+
+@query("select doc_id as key, lang from documents where doc_id in (select doc_id from labels where quality = 0)")
+def semi_failed(spark, sf_dir):
+    failed = _label_rows(spark, sf_dir).where(labels.validation_of() != "ok")
+    return _samples(spark, sf_dir).join(failed, "key", "left_semi").select("key", "lang")
+
+
+@query("select doc_id as key, lang from documents where doc_id not in (select doc_id from labels)")
+def anti_unlabelled(spark, sf_dir):
+    return _samples(spark, sf_dir).join(_label_rows(spark, sf_dir), "key", "left_anti").select("key", "lang")
+
+
+@query("select l_orderkey, l_partkey, l_quantity from lineitem where l_quantity <= 30")
+def duration_filter(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").where("l_quantity <= 30").select("l_orderkey", "l_partkey", "l_quantity")
+
+
+_SPEAKERS = "select l_partkey as speaker, count(distinct l_orderkey) as parts, sum(l_quantity) as seconds from lineitem group by l_partkey"
+
+
+def _speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return corpus.duration_summary(rows.select(F.col("l_partkey").alias("speaker"), "l_orderkey", "l_quantity"), "speaker", "l_orderkey", "l_quantity")
+
+
+@query(_SPEAKERS)
+def speaker_durations(spark, sf_dir):
+    return _speakers(spark, sf_dir)
+
+
+@query(f"select * from ({_SPEAKERS}) where seconds <= 700 order by parts desc, speaker::varchar limit 1")
+def speaker_budget_argmax(spark, sf_dir):
+    return corpus.best_within_budget(_speakers(spark, sf_dir), "speaker", 700)
+
+
+@query(
+    """
+with c as (select source as part, sum(n_chars)::bigint as seconds from documents group by source)
+select part, seconds, row_number() over (order by seconds, part) <= least(7, (select count(*) - 1 from c)) as held_out from c
+"""
+)
+def holdout_split(spark, sf_dir):
+    parts = _docs(spark, sf_dir).groupBy(F.col("source").alias("part")).agg(F.sum("n_chars").alias("seconds"))
+    return corpus.holdout(parts, "part", "seconds", 7)
+
+
+def _fold_sql(rows: str, opens: str) -> str:
+    """A recursive fold by lang over ``rows`` (lang, key, size, i); ``opens``: whether a new one opens."""
+    return f"""
+with recursive d as ({rows}), r as (
+  select lang, key, size, i, 0 as k, 1 as n, size as held from d where i = 1
+  union all
+  select d.lang, d.key, d.size, d.i, case when {opens} then k + 1 else k end, case when {opens} then 1 else n + 1 end, case when {opens} then d.size else held + d.size end
+  from r join d on d.lang = r.lang and d.i = r.i + 1)
+"""
+
+
+_BY_LANG = "select lang, doc_id as key, n_chars as size, row_number() over (partition by lang order by doc_id) as i from documents"
+
+
+@query(_fold_sql(_BY_LANG, "held >= 50000") + "select lang, key, k::int as shard_index from r")
+def shard_pack(spark, sf_dir):
+    packed = sequences.shard_pack(_samples(spark, sf_dir).select("lang", "key", "size"), "size", 50_000, ["lang"], ["key"])
+    return packed.select("lang", "key", "shard_index")
+
+
+@query(_fold_sql(_BY_LANG, "n >= 20 or held + d.size > 60000") + "select lang, key, k::int as batch_index from r")
+def submit_pack(spark, sf_dir):
+    packed = sequences.submit_pack(_samples(spark, sf_dir).select("lang", "key", "size"), "size", 60_000, 20, ["lang"], ["key"])
+    return packed.select("lang", "key", "batch_index")
+
+
+_TURNS = "select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as place, count(*) over (partition by conv_id) as n from conversations"
+
+
+@query(f"select conv_id, turn, (place // 4)::int as chunk from ({_TURNS})")
+def chunk_targets(spark, sf_dir):
+    return sequences.chunk_targets(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 4).select("conv_id", "turn", "chunk")
+
+
+@query(
+    f"""
+with t as ({_TURNS}), c as (select conv_id, place // 2 as chunk, min(place) as a, max(place) as b from t where n > 2 group by 1, 2)
+select t.conv_id, c.chunk::int as chunk, t.turn, t.place from t join c on t.conv_id = c.conv_id
+  and (t.place between a - 3 and a - 1 or t.place between b + 1 and b + 3)
+"""
+)
+def chunk_context(spark, sf_dir):
+    rows = sequences.chunk_context(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 2, 3)
+    return rows.select("conv_id", "chunk", "turn", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    """
+with d as (select doc_id, row_number() over (order by doc_id) - 1 as p, count(*) over () as n from documents)
+select doc_id, p as position from d where p in (select floor(i * (n - 1) / 36.0 + 0.5) from (select distinct n from d), range(37) t(i))
+"""
+)
+def even_spaced(spark, sf_dir):
+    return sequences.even_spaced(_docs(spark, sf_dir).select("doc_id"), "doc_id", 37)
+
+
+@query(
+    """
+with d as (select source, doc_id, coalesce(quality = 1, false) as ok from documents left join labels using (doc_id)),
+p as (select a.source, a.doc_id, b.doc_id as other, b.doc_id > a.doc_id as after,
+    row_number() over (partition by a.doc_id, b.doc_id > a.doc_id order by abs(a.doc_id - b.doc_id)) as r
+  from d a join d b on a.source = b.source and a.doc_id <> b.doc_id and b.ok)
+select d.doc_id, coalesce(string_agg(other::varchar, ',' order by other), '') as neighbours from d left join p on p.doc_id = d.doc_id and r <= 2 group by d.doc_id
+"""
+)
+def valid_neighbours(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("source", "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    near = sequences.valid_neighbours(rows, "source", "doc_id", "doc_id", F.col("quality") == 1)
+    return near.select("doc_id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+
+
+@query("select conv_id, turn, lag(role) over (partition by conv_id order by turn) as prev from conversations")
+def previous_role(spark, sf_dir):
+    return sequences.previous(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role").select("conv_id", "turn", "prev")
+
+
+@query(
+    """
+with a as (select doc_id, n_chars from documents order by md5('42:' || doc_id), doc_id limit 200)
+select doc_id from (select doc_id from a where n_chars <= 2000) order by md5('42/2:' || doc_id), doc_id limit 100
+"""
+)
+def sample_two_stage(spark, sf_dir):
+    return sampling.sample_two_stage(_docs(spark, sf_dir).select("doc_id", "n_chars"), "doc_id", 100, 42, F.col("n_chars") <= 2000).select("doc_id")
+
+
+@query("select lang, doc_id from documents qualify row_number() over (partition by lang order by md5('7:' || doc_id), doc_id) <= 5")
+def sample_per_split(spark, sf_dir):
+    return sampling.sample_per_group(_docs(spark, sf_dir).select("lang", "doc_id"), ["lang"], "doc_id", 5, 7)
+
+
+@query("select doc_id, row_number() over (order by md5('10003:' || doc_id), doc_id) - 1 as position, ((row_number() over (order by md5('10003:' || doc_id), doc_id) - 1) % 4)::int as rank from documents")
+def rank_interleave(spark, sf_dir):
+    return sampling.interleaved(_docs(spark, sf_dir).select("doc_id"), "doc_id", sampling.epoch_seed(0, 1, 3), 4)
+
+
+_BATCHES = "select doc_id, n_chars, (row_number() over (order by n_chars, doc_id) - 1) // 16 as batch from documents"
+
+
+@query(f"select doc_id, batch, floor((floor(n_chars / 2.0) + 3) / 4)::bigint as frames, (ceil(max(n_chars) over (partition by batch) / 8.0) * 8)::bigint as padded from ({_BATCHES})")
+def length_sorted_batches(spark, sf_dir):
+    rows = sampling.batches_by_length(_docs(spark, sf_dir).select("doc_id", "n_chars"), "n_chars", 16, "doc_id")
+    longest = rows.groupBy("batch").agg(text.padded_length(F.max("n_chars")).alias("padded"))
+    return rows.join(longest, "batch").select("doc_id", "batch", text.encoder_frames(F.col("n_chars")).alias("frames"), "padded")
+
+
+@query(f"select doc_id, batch from ({_BATCHES}) qualify count(*) over (partition by batch) = 16")
+def drop_last_batches(spark, sf_dir):
+    return sampling.batches_by_length(_docs(spark, sf_dir).select("doc_id", "n_chars"), "n_chars", 16, "doc_id", drop_last=True).select("doc_id", "batch")
+
+
+# The hypothesis: the reference without words whose hash falls into one of eight classes.
+_DROP = "substr(md5(key || ':' || pos), 1, 1) in ('0', '1')"
+_CONV = f"select conv_id || '-' || turn as key, role, {_words('text')} as w from conversations"
+_CONV_TOK = f"select key, role, unnest(w) as token, generate_subscripts(w, 1) as pos from ({_CONV})"
+
+
+def _with_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "role", text.tokens(text.normalize(F.col("text"))).alias("ref")
+    )
+    drop = lambda w, i: F.substring(F.md5(F.concat(F.col("key"), F.lit(":"), (i + 1).cast("string")).cast("binary")), 1, 1).isin("0", "1")
+    return rows.withColumn("hyp", F.filter("ref", lambda w, i: ~drop(w, i)))
+
+
+@query(f"select role, sum(d)::bigint as edits, count(*) as ref_words, count(distinct key) as n_scored, round(sum(d) / count(*), 6) as wer from (select *, ({_DROP})::int as d from ({_CONV_TOK})) group by role")
+def wer_by_split(spark, sf_dir):
+    scored = metrics.word_error_rate(_with_dropped(spark, sf_dir).where("size(ref) > 0"), ["role"], F.col("ref"), F.col("hyp"))
+    return scored.withColumn("wer", _r6("wer"))
+
+
+@query(
+    f"""
+with t as (select key, list(token order by pos) as r, coalesce(list(token order by pos) filter (not ({_DROP})), []) as h from ({_CONV_TOK}) group by key),
+a as (select *, coalesce(list_min(list_filter(range(1, least(len(r), len(h)) + 1), lambda i: r[i] <> h[i])) - 1, least(len(r), len(h))) as p from t),
+b as (select *, coalesce(list_min(list_filter(range(1, least(len(r), len(h)) - p + 1), lambda i: r[len(r) + 1 - i] <> h[len(h) + 1 - i])) - 1, least(len(r), len(h)) - p) as s from a)
+select key, array_to_string(r[p + 1 : len(r) - s], ' ') as ref, array_to_string(h[p + 1 : len(h) - s], ' ') as hyp from b
+"""
+)
+def minimal_divergence(spark, sf_dir):
+    rows = _with_dropped(spark, sf_dir).where("size(ref) > 0").select("key", text.minimal_divergence(F.col("ref"), F.col("hyp")).alias("d"))
+    return rows.select("key", F.array_join("d.ref", " ").alias("ref"), F.array_join("d.hyp", " ").alias("hyp"))
+
+
+# Some words are replaced by a digit token, every 50th text loses its last word.
+_DIGITS = f"select key, w, list_transform(w[: len(w) - (case when key % 50 = 0 then 1 else 0 end)], lambda t: case when ascii(t) % 16 = 5 then '7' else t end) as h from ({_DOCS})"
+
+
+@query(
+    f"""
+select key, regexp_full_match(array_to_string(list_transform(w, lambda t: t || ' '), ''),
+  array_to_string(list_transform(h, lambda t: case when regexp_matches(t, '\\p{{Nd}}') then '([^ ]+ ){{1,5}}' else t || ' ' end), '')) as ok
+from ({_DIGITS}) where len(w) between 1 and 60
+"""
+)
+def align_validate(spark, sf_dir):
+    rows = _doc_words(spark, sf_dir).where(F.size("words").between(1, 60))
+    cut = F.slice("words", F.lit(1), F.size("words") - F.when(F.col("key") % 50 == 0, 1).otherwise(0))
+    hyp = F.transform(cut, lambda t: F.when(F.ascii(t) % 16 == 5, "7").otherwise(t))
+    return rows.select("key", alignment.aligns(hyp, F.col("words")).alias("ok"))
+
+
+_STATE = "select doc_id, source, text, case when quality = 1 then 'ok' when quality = 0 then 'failed' end as validation, case when quality = 0 then case when toxic = 1 then 'alignment' else 'missing' end end as failure, (doc_id % 4)::int as attempts from documents left join labels using (doc_id)"
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    failed = F.col("quality") == 0
+    return rows.select(
+        F.col("doc_id").alias("key"),
+        F.col("source").alias("chapter"),
+        F.col("text").alias("unformatted"),
+        F.when(F.col("quality") == 1, "ok").when(failed, "failed").alias("validation"),
+        F.when(failed, F.when(F.col("toxic") == 1, "alignment").otherwise("missing")).alias("failure"),
+        (F.col("doc_id") % 4).cast("int").alias("attempts"),
+        F.when(F.col("quality") == 1, F.col("text")).when(F.col("doc_id") % 3 == 0, "").alias("formatted"),
+    )
+
+
+@query(
+    f"""
+with s as (select case when validation = 'failed' then 'failed:' || failure else coalesce(validation, 'pending') end as status from ({_STATE}))
+select status, count(*) as n, round(count(*) / (select count(*) from s), 6) as share from s group by status
+"""
+)
+def status_histogram(spark, sf_dir):
+    return labels.status_histogram(_states(spark, sf_dir)).withColumn("share", _r6("share"))
+
+
+@query(
+    f"""
+with c as (select source as chapter, count(*) as n from ({_STATE}) where validation = 'failed' group by source)
+select chapter, n, greatest((select count(*) from c) - 5, 0)::bigint as more from c order by n desc, chapter limit 5
+"""
+)
+def worst_chapters(spark, sf_dir):
+    return labels.worst(_states(spark, sf_dir), "chapter", 5).select("chapter", "n", F.col("more").cast("long"))
+
+
+@query(
+    f"""
+select doc_id as key, case when doc_id % 7 = 0 then 'unsubmitted' when doc_id % 7 = 1 then 'in_flight' when attempts >= 3 then 'capped' else 'queued' end as plan
+from ({_STATE}) where validation = 'failed'
+"""
+)
+def retry_plan(spark, sf_dir):
+    return labels.retry_plan(_states(spark, sf_dir), _requests(spark, sf_dir), 3).select("key", "plan")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-flight requests: ids 0 mod 7 wait, ids 1 mod 7 are submitted and queued again."""
+    ids = _docs(spark, sf_dir).select("doc_id")
+    return (
+        ids.where("doc_id % 7 in (0, 1)").select(F.array("doc_id").alias("target_ids"), F.lit("pending").alias("state"))
+        .unionAll(ids.where("doc_id % 7 = 1").select(F.array("doc_id"), F.lit("submitted")))
+    )
+
+
+@query(
+    f"""
+with d as ({_STATE}), q as (select * from d where validation = 'failed' and doc_id % 7 not in (0, 1) and attempts < 3),
+n as (select a.doc_id, b.doc_id as other, row_number() over (partition by a.doc_id, b.doc_id > a.doc_id order by abs(a.doc_id - b.doc_id)) as r
+  from q a join d b on a.source = b.source and a.doc_id <> b.doc_id and b.validation = 'ok')
+select 'retry_' || q.doc_id || '_a' || (attempts + 1) as custom_id,
+  least(16384, greatest(floor(1024 * power(2, attempts)), floor((floor(ceil((length(q.doc_id::varchar) + length(text) + 10) / 4.0) * 2.5) + 512) * power(2, attempts))))::int as max_tokens,
+  (select coalesce(string_agg(other::varchar, ',' order by other), '') from n where n.doc_id = q.doc_id and r <= 2) as context
+from q
+"""
+)
+def retry_requests(spark, sf_dir):
+    made = labels.retry_requests(_states(spark, sf_dir), _requests(spark, sf_dir), 3)
+    return made.select("custom_id", "max_tokens", F.array_join(F.col("context_ids").cast("array<string>"), ",").alias("context"))
+
+
+@query(f"select doc_id as key, text as formatted, case when validation = 'ok' then 'ok' else 'failed' end as validation, attempts from ({_STATE})")
+def finalize_labels(spark, sf_dir):
+    return labels.finalized(_states(spark, sf_dir)).select("key", "formatted", "validation", "attempts")
+
+
+# Requests of one target each: by id they succeed, stop early, answer in prose, answer
+# for another id, change a word, or are still waiting.
+@query(
+    """
+with d as (select doc_id, doc_id % 6 as k from documents where n_chars < 4000)
+select doc_id as key, case when k in (0, 1, 2, 3) then 'failed' when k = 4 then 'ok' end as validation,
+  case k when 0 then 'no_response' when 1 then 'truncated' when 2 then 'unparseable' when 3 then 'missing' end as failure from d
+"""
+)
+def validate_states(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where("n_chars < 4000")
+    k = F.col("doc_id") % 6
+    key = F.col("doc_id").cast("string")
+    utterances = docs.select(
+        key.alias("key"), F.col("text").alias("unformatted"), *[F.lit(None).cast("string").alias(c) for c in ("formatted", "validation", "failure")]
+    )
+    requests = docs.select(
+        F.concat(F.lit("r"), key).alias("custom_id"),
+        F.array(key).alias("target_ids"),
+        F.when(k == 0, "errored").when(k == 5, "pending").otherwise("succeeded").alias("state"),
+        F.when(k == 1, "max_tokens").otherwise("end_turn").alias("stop_reason"),
+    )
+    good = F.to_json(F.create_map(key, F.col("text")))
+    body = F.when(k == 1, F.substring(good, 1, 5)).when(k == 2, "no object here").when(k == 3, F.to_json(F.create_map(F.lit("other"), F.lit("x")))).otherwise(F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+    answers = docs.where(k != 0).select(F.concat(F.lit("r"), key).alias("custom_id"), body.alias("text"))
+    return labels.validated(utterances, requests, answers).select(F.col("key").cast("long").alias("key"), "validation", "failure")
+
+
+@query(
+    f"""
+with t as ({_CONV_TOK}), df as (select token, count(distinct key) as n from t group by token), dict as (select distinct token from t where pos = 1),
+r as (select key, list(token order by pos) as r, coalesce(list(token order by pos) filter (not ({_DROP})), []) as h from t group by key),
+a as (select *, coalesce(list_min(list_filter(range(1, least(len(r), len(h)) + 1), lambda i: r[i] <> h[i])) - 1, least(len(r), len(h))) as p from r),
+b as (select *, coalesce(list_min(list_filter(range(1, least(len(r), len(h)) - p + 1), lambda i: r[len(r) + 1 - i] <> h[len(h) + 1 - i])) - 1, least(len(r), len(h)) - p) as s from a),
+e as (select distinct key, unnest(r[p + 1 : len(r) - s]) as token from b),
+x as (select key, string_agg(token, ',' order by encode(token)) as suspects from e join df using (token)
+  where not regexp_matches(token, '\\p{{Nd}}') and token not in (select token from dict) and n < 2
+  and not (ends_with(token, 's') and left(token, length(token) - 1) in (select token from dict)) group by key)
+select b.key, case when suspects is null then 'model-edit' else 'probable-reference-defect' end as tag, coalesce(suspects, '') as suspects from b left join x using (key)
+"""
+)
+def failure_triage(spark, sf_dir):
+    rows = _with_dropped(spark, sf_dir).where("size(ref) > 0")
+    words = rows.select("key", F.col("ref").alias("words"))
+    dictionary = words.select(F.element_at("words", 1).alias("word"))
+    failed = rows.select("key", F.array_join("ref", " ").alias("unformatted"), F.array_join("hyp", " ").alias("formatted"))
+    return labels.triaged(failed, dictionary, corpus.document_frequency(words)).select("key", "tag", "suspects")
+
+
+@query(
+    """
+with e as (select case when event_type = 'view' then null else event_type end as model, event_id % 1000 as i, event_id % 77 as o, event_id % 5 as cw, event_id % 3 as cr from events),
+s as (select coalesce(model, 'unknown') as model, count(*)::bigint as requests, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens, sum(cw)::bigint as cache_write, sum(cr)::bigint as cache_read from e group by 1),
+p as (select *, case when model <> 'unknown' then ((input_tokens + 1.25 * cache_write + 0.1 * cache_read) * 3.0 + output_tokens * 15.0) * 0.5 / 1e6 end as cost from s)
+select model, requests, input_tokens, output_tokens, cache_write, cache_read, round(cost, 6) as cost from p
+union all select null, sum(requests)::bigint, sum(input_tokens)::bigint, sum(output_tokens)::bigint, sum(cache_write)::bigint, sum(cache_read)::bigint,
+  round(case when count(cost) = count(*) then sum(cost) end, 6) from p
+"""
+)
+def cost_rollup(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    n = lambda m: (F.col("event_id") % m).cast("long")
+    requests = events.select(
+        F.when(F.col("event_type") != "view", F.col("event_type")).alias("model"), n(1000).alias("input_tokens"), n(77).alias("output_tokens"), n(5).alias("cache_write"), n(3).alias("cache_read")
+    )
+    prices = requests.select("model").where("model is not null").distinct().select("model", F.lit(3.0).alias("input_price"), F.lit(15.0).alias("output_price"))
+    return labels.costs(requests, prices).withColumn("cost", _r6("cost"))
+
+
+# Predictions: the most frequent successor of the word before; loss from its share.
+@query(
+    f"""
+with t as ({_TOK}), pairs as (select key, pos, lag(token) over (partition by key order by pos) as prev, token from t),
+b as (select prev, token, count(*) as n from pairs where prev is not null group by 1, 2), u as (select prev, sum(n) as s from b group by prev),
+best as (select prev, token as pred from b qualify row_number() over (partition by prev order by n desc, encode(token)) = 1),
+r as (select p.key, pos, p.token = pred as hit, -ln(n / s) as loss from pairs p join b on b.prev = p.prev and b.token = p.token join u on u.prev = p.prev join best on best.prev = p.prev),
+o as (select *, row_number() over (partition by key order by pos) = 1 as is_first from r), k as (select key, avg(loss) filter (not is_first) as rest from o group by key)
+select round(avg(loss) filter (is_first), 6) as first_loss, round((select avg(rest) from k), 6) as rest_loss, round(avg(loss) filter (hit), 6) as hit_loss,
+  round(avg(loss) filter (not hit), 6) as miss_loss, count(*)::bigint as n_positions, (count(*) filter (hit))::bigint as n_hits, count(distinct key)::bigint as n_samples from o
+"""
+)
+def loss_decomposition(spark, sf_dir):
+    words = written(_doc_words(spark, sf_dir))
+    two = written(corpus.bigrams(words))
+    by_prev = two.groupBy("prev").agg(F.sum("n").alias("s"), F.max("n").alias("top"))
+    best = two.join(by_prev.select("prev", "s", "top"), "prev").where("n = top").groupBy("prev", "s").agg(F.min("cur").alias("pred"))
+    at = F.transform(F.sequence(F.lit(2), F.size("words")), lambda i: F.struct(i.alias("pos"), F.element_at("words", i - 1).alias("prev"), F.element_at("words", i).alias("cur")))
+    rows = words.where(F.size("words") > 1).select("key", F.explode(at).alias("p")).select("key", "p.*")
+    scored = rows.join(two, ["prev", "cur"]).join(best, "prev").select("key", "pos", F.col("cur").alias("label"), "pred", (-F.log(F.col("n") / F.col("s"))).alias("loss"))
+    found = metrics.loss_decomposition(scored, [], "key", "pos", "label", "pred", "loss")
+    return found.select(*[_r6(c).alias(c) for c in ("first_loss", "rest_loss", "hit_loss", "miss_loss")], *[F.col(c).cast("long") for c in ("n_positions", "n_hits", "n_samples")])
+
+
+
+
+_LOG = "select event_id as step, event_type as phase, value from events"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("phase"), "value", "user_id", "ts")
+
+
+@query(f"select phase, step, count(*) as n, round(avg(value), 6) as mean from ({_LOG}) where step % 50 = 0 or phase = 'purchase' group by 1, 2")
+def metric_flush(spark, sf_dir):
+    return metrics.flushed(_log(spark, sf_dir), "step", "phase", "value", 50, "purchase").withColumn("mean", _r6("mean"))
+
+
+@query(
+    f"""
+with recursive d as (select *, row_number() over (partition by phase order by step) as i from ({_LOG})),
+r as (select phase, step, i, value as ema from d where i = 1 union all
+  select d.phase, d.step, d.i, case when d.value is null then r.ema else coalesce(0.98 * r.ema + 0.02 * d.value, d.value) end from r join d on d.phase = r.phase and d.i = r.i + 1)
+select phase, step, round(ema, 6) as ema from r
+"""
+)
+def metric_ema(spark, sf_dir):
+    rows = _log(spark, sf_dir).select("phase", "step", "value")
+    return sequences.moving_average(rows, "value", 0.98, ["phase"], ["step"]).select("phase", "step", _r6("ema").alias("ema"))
+
+
+_GAP = "(select step % 200 as step, avg(value) as v from ({log}) where {where} group by 1)"
+
+
+@query(
+    f"""
+select step, round(a.v, 6) as train, round(b.v, 6) as eval, round(b.v - a.v, 6) as gap
+from {_GAP.format(log=_LOG, where="phase = 'click' and step % 200 < 150")} a full join {_GAP.format(log=_LOG, where="phase = 'view' and step % 200 > 50")} b using (step)
+"""
+)
+def metric_gap(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumn("step", F.col("step") % 200)
+
+    def mean(phase: str, keep: Column) -> DataFrame:
+        return log.where((F.col("phase") == phase) & keep).groupBy("step").agg(F.avg("value").alias("v"))
+
+    found = metrics.gaps(mean("click", F.col("step") < 150), mean("view", F.col("step") > 50), "step", "v")
+    return found.select("step", *[_r6(c).alias(c) for c in ("train", "eval", "gap")])
+
+
+@query(f"select phase, step, round(sum(value) over (partition by phase order by step rows unbounded preceding), 4) as seconds from ({_LOG})")
+def cumulative_audio(spark, sf_dir):
+    return metrics.cumulative(_log(spark, sf_dir), ["phase"], "step", "value", "seconds").select("phase", "step", F.round("seconds", 4).alias("seconds"))
+
+
+@query(
+    f"""
+select 'first_token_below' as rule, min(step) as step from ({_LOG}) where value < 0.5 and step >= 100
+union all select 'eval_loss_below', min(step) from ({_LOG}) where phase = 'purchase' and value < 1.0 and step >= 50
+union all select 'max_steps', min(step) from ({_LOG}) where step >= 700
+union all select 'epochs', min(step) from ({_LOG}) where step // 300 >= 2 and step >= 650
+union all select 'never', null
+"""
+)
+def stage_exit_first_step(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumn("epoch", F.floor(F.col("step") / 300))
+    value, eval_value = F.col("value"), F.when(F.col("phase") == "purchase", F.col("value"))
+    rules = {"first_token_below": (0.5, 100), "eval_loss_below": (1.0, 50), "max_steps": (700, 0), "epochs": (2, 650), "never": (0, 0)}
+    # all rules in one pass
+    ends = [F.min(F.when(metrics.stage_exit(r, F.col("step"), F.col("epoch"), value, eval_value, t, m), F.col("step"))).alias(r) for r, (t, m) in rules.items()]
+    row = log.agg(*ends)
+    return row.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in rules])).alias("x")).select("x.*")
+
+
+@query(
+    f"""
+with c as (select token, count(*) as votes, min(key * 100000 + pos) as first_seen from ({_TOK}) where pos <= 5 group by token)
+select token, votes, round(votes / 100.0, 6) as per_micro, round((select votes from c where token = 'the') / (select sum(votes) from c), 6) as sep_share
+from c order by votes desc, first_seen limit 5
+"""
+)
+def topk_votes(spark, sf_dir):
+    votes = corpus.token_rows(_doc_words(spark, sf_dir)).where("pos < 5").select("token", (F.col("key") * 100_000 + F.col("pos") + 1).alias("at"))
+    found = metrics.top_votes(votes, "token", "at", 5, 100, "the")
+    return found.select("token", "votes", _r6("per_micro").alias("per_micro"), _r6("sep_share").alias("sep_share"))
+
+
+@query(
+    f"""
+with m as (select phase, step % 10 as micro, count(*) as n, avg(value) as v, sum(value) as s from ({_LOG}) group by 1, 2)
+select phase, round(sum(n) / count(*), 6) as mean_tokens, sum(n)::bigint as total_tokens, round(avg(v), 6) as mean_of_means, round(sum(s) / sum(n) / ln(40034), 9) as entropy from m group by phase
+"""
+)
+def window_means(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumn("micro", F.col("step") % 10)
+    budget = metrics.token_budget(log.groupBy("phase", "micro").agg(F.count("*").alias("n")), ["phase"], "n")
+    means = metrics.mean_of_batch_means(log, ["phase"], "micro", "value")
+    entropy = metrics.normalized_entropy(log, ["phase"], "value", 40034)
+    joined = budget.join(means, "phase").join(entropy, "phase")
+    return joined.select("phase", _r6("mean_tokens").alias("mean_tokens"), "total_tokens", _r6("mean").alias("mean_of_means"), F.round("entropy", 9).alias("entropy"))
+
+
+@query(
+    """
+select vec_id, unnest(range(16)) as i, round(unnest(list_transform(range(16), lambda i: list_sum(embedding[4 * i + 1 : 4 * i + 4]::double[]) / 4)), 6) as pooled from embeddings
+"""
+)
+def mean_pool4(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(tensors.mean_pool(F.col("embedding").cast("array<double>"))).alias("i", "v"))
+    return rows.select("vec_id", F.col("i").cast("long").alias("i"), _r6("v").alias("pooled"))
+
+
+@query("select label, round(sqrt(sum(list_sum(list_transform(embedding::double[], lambda x: x * x)))), 6) as norm from embeddings group by label")
+def l2_norms(spark, sf_dir):
+    flat = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
+    return metrics.norms(flat, "label", F.col("x")).withColumn("norm", _r6("norm"))
+
+
+@query()
+def pca_variance(spark, sf_dir):
+    _, shares = corpus.principal_components(table(spark, sf_dir, "embeddings"), "embedding", 8)
+    return spark.createDataFrame([(i, float(round(v, 9))) for i, v in enumerate(shares)], "component int, share double")
+
+
+@query(
+    """
+select event_id, case when event_id % 3 = 0 then null when event_id % 3 = 1 then 'a=' || event_type else 'b=later,c=2' end as parsed from events
+"""
+)
+def parse_json_response(spark, sf_dir):
+    k = F.col("event_id") % 3
+    prose = F.concat(F.lit("Sure. "), F.to_json(F.create_map(F.lit("a"), F.col("event_type"))), F.lit(" done {"))
+    twice = F.lit('```json\n{"a": "1", "b": "x"} wait {"b": "later", "c": "2"} {"d": "}"}\n```')
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(k == 0, F.col("props")).when(k == 1, prose).otherwise(twice).alias("text"))
+    parsed = rows.select("event_id", responses.parse_response(F.col("text")).alias("m"))
+    pairs = F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return parsed.select("event_id", F.array_join(pairs, ",").alias("parsed"))
+
+
+_IDS = "list_transform(string_split(role, ''), lambda c: ascii(c))"
+
+
+@query(
+    f"""
+with t as (select conv_id, turn, list_transform(range(turn % 3 + 1), lambda i: 0::int) as a, {_IDS} as b, list_transform(({_words('text')})[1:3], lambda w: ascii(w)) as c from conversations),
+s as (select *, list_concat(a, [-1], b, [-1], c, [-1]) as inputs, list_concat(list_transform(range(len(a) + len(b) + 2), lambda i: null::int), c, [-1]) as labels from t)
+select conv_id, turn, array_to_string(list_transform(range(1, 25), lambda i: coalesce(inputs[i], 9)), ' ') as inputs,
+  array_to_string(list_transform(labels, lambda x: coalesce(x::varchar, '_')), ' ') as labels from s
+"""
+)
+def sequence_assemble(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    audio = F.array_repeat(F.lit(0), (F.col("turn") % 3 + 1).cast("int"))
+    chars = F.transform(F.split("role", ""), lambda c: F.ascii(c))
+    words = F.transform(F.slice(text.tokens(text.normalize(F.col("text"))), 1, 3), lambda w: F.ascii(w))
+    made = rows.select("conv_id", "turn", tensors.assemble(audio, chars, words, -1).alias("s"))
+    return made.select(
+        "conv_id",
+        "turn",
+        F.array_join(tensors.pad(F.col("s.inputs"), F.lit(24), F.lit(9)).cast("array<string>"), " ").alias("inputs"),
+        F.array_join(F.col("s.labels").cast("array<string>"), " ", "_").alias("labels"),
+    )
+
+
+@query("select doc_id, regexp_extract(source, '(\\d+)', 1)::bigint as step from documents")
+def checkpoint_step(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.step_of(F.concat(F.lit("Step_"), F.regexp_extract("source", r"(\d+)", 1), F.lit(".pt")), F.lit(-1)).alias("step"))
+
+
+@query("select doc_id, case ((doc_id * 7919) % 3)::int when 0 then 'a' when 1 then 'b' else 'c' end is not null as chosen from documents")
+def instruction_variant(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", sampling.variant(F.col("doc_id"), ["a", "b", "c"], 1).isin("a", "b", "c").alias("chosen"))
+
+
+@query("select event_id, (event_id + 5) % 7 as batch from events")
+def cyclic_cursor(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", sampling.cyclic(F.col("event_id") + 5, 7).alias("batch"))
+
+
+@query("select event_id, row_number() over (order by event_id) as step from events")
+def step_counter(spark, sf_dir):
+    return sequences.counters(table(spark, sf_dir, "events").select("event_id"), "event_id")
+
+
+@query("select lang, doc_id from documents where lang in ('en', 'de') union all select 'bench', item_id from benchmark")
+def union_splits(spark, sf_dir):
+    bench = table(spark, sf_dir, "benchmark").select(F.lit("bench").alias("lang"), F.col("item_id").alias("doc_id"))
+    return _docs(spark, sf_dir).select("lang", "doc_id").where(F.col("lang").isin("en", "de")).unionByName(bench)
+
+
+@query()
+def tar_round_trip(spark, sf_dir):
+    """Members written as archives in the shared folder and read back."""
+    from scriptloom.sources import tar
+    from scriptloom.storage import shared_folder
+
+    docs = _docs(spark, sf_dir)
+    shard, key = F.concat(F.lit("s"), F.format_string("%03d", (F.col("doc_id") % 8).cast("int"))), F.concat(F.lit("d"), "doc_id")
+    pieces = F.array(
+        F.struct(F.lit("mel.npy").alias("ext"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("payload")),
+        F.struct(F.lit("unformatted.txt").alias("ext"), F.lower("text").cast("binary").alias("payload")),
+        F.struct(F.lit("formatted.txt").alias("ext"), F.col("text").cast("binary").alias("payload")),
+    )
+    members = docs.select(shard.alias("shard"), key.alias("key"), F.explode(pieces).alias("p")).select("shard", "key", "p.*")
+    folder = shared_folder(spark)
+    names = [r.shard for r in tar.write(members, folder).collect()]
+    back = tar.samples(tar.read_members(spark, [f"{folder}/{n}.tar" for n in sorted(names)]))
+    return back.select("shard", "key", F.length("formatted_txt").alias("n_bytes"), F.md5("formatted_txt").alias("md5"))
+
+
