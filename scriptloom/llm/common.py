@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +86,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text_at: int, max_bytes: int = 8 <
     """Batches cut into slices of about max_bytes of text, to bound a worker's memory."""
     for b in batches:
         start, size = 0, 0
-        for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(b.column(text_at)), 0).to_pylist()):
+        for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_pylist()):
             size += n
             if size >= max_bytes:
                 yield b.slice(start, i + 1 - start)
