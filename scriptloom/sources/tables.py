@@ -11,14 +11,14 @@ from scriptloom.storage import with_position
 LABELS = "key string, unformatted string, formatted string, validation string, attempts int"
 MANIFEST = "key string, split string, shard string, duration_s double, n_mel_frames int, unformatted string, formatted string"
 RESPONSES = "custom_id string, stop_reason string, text string, usage struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
-_FILE = F.col("_metadata.file_path")
+_FILE = "_metadata.file_path"
 
 
 def transcripts(spark: SparkSession, root: str, keep_empty: bool = False) -> DataFrame:
     """(key, chapter, utt, path, text) of all *.trans.txt below a folder: a line is a key,
     a space and the text; blank lines do not count, empty texts only if kept."""
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.trans.txt").text(root)
-    rows = read.select(F.trim("value").alias("line"), _FILE.alias("file")).where(F.col("line") != "")
+    rows = read.select(F.trim("value").alias("line"), F.col(_FILE).alias("file")).where(F.col("line") != "")
     parts = rows.select(key_parts(F.col("line")).alias("p"), "file").select("p.key", "p.text", "file")
     rows = parts.select(
         "key",
@@ -45,7 +45,7 @@ def chapters(rows: DataFrame) -> DataFrame:
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """Labels in file order (``line``); a missing validation stays null, which means ok."""
-    rows = spark.read.schema(LABELS).json(path).withColumn("_f", _FILE).withColumn("_n", F.monotonically_increasing_id())
+    rows = spark.read.schema(LABELS).json(path).withColumn("_f", F.col(_FILE)).withColumn("_n", F.monotonically_increasing_id())
     return with_position(rows, "_f", "_n", name="line").drop("_f", "_n")
 
 
