@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    scored = docs.withColumn("_toxicity", toxicity.score_column(F.col("text"), model))
-    return scored.where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    scored = stages.packed(docs, score=toxicity.score_column(F.col("text"), model))
+    return scored.where(F.col("score") < 0.5).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +44,15 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked in the texts; copied examples stay."""
     small_batches(spark)
-    found = secret_scan.scan(
-        docs.withColumn("_hash", stages.text_hash()), ["doc_id", "_hash"], F.col("text"), F.col("source"), F.concat_ws("/", "source", "lang")
-    )
+    read = docs.select("doc_id", "text", "source", "lang", stages.text_hash().alias("_hash"))
+    found = secret_scan.scan(read, ["doc_id", "_hash"], F.col("text"), F.col("source"), F.concat_ws("/", "source", "lang"))
     live = F.filter("added", lambda s: s["kind"] == "live")
     marked = store(found.select(F.col("doc_id").alias("_doc"), "_hash", live.alias("_live")).where("size(_live) > 0").dropDuplicates(["_doc", "_hash"]))
-    match = F.col("doc_id").eqNullSafe(F.col("_doc")) & (stages.text_hash() == F.col("_hash"))
-    joined = docs.join(decontamination.sized(marked), match, "left")
-    masked = joined.withColumn("_clean", secret_scan.redact_column(F.col("text"), F.col("_live")))
-    columns = {"text": F.col("_clean"), "n_chars": F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast("long"))}
-    return masked.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    rows = stages.packed(docs, id=F.col("doc_id"), hash=stages.text_hash())
+    match = F.col("id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash"))
+    masked = rows.join(decontamination.sized(marked), match, "left").select("row", "_live", secret_scan.redact_column(F.col("row.text"), F.col("_live")).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("_live").isNull(), F.col("row.n_chars")).otherwise(F.length("clean").cast("long"))}
+    return masked.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,19 +17,26 @@ def text_hash(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """(row, ...): each row as one struct beside new columns, so that no name of an input
+    column can clash with one used here. ``select("row.*")`` unpacks."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
 def without(docs: DataFrame, listed: DataFrame, how: str = "left_anti", hashed: Column | None = None) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, hash) is not (left_anti) or is (left_semi) in
     ``listed`` (a stored table with columns _doc, _hash)."""
-    match = F.col("doc_id").eqNullSafe(F.col("_doc")) & ((text_hash() if hashed is None else hashed) == F.col("_hash"))
-    return docs.join(sized(listed), match, how)
+    rows = packed(docs, id=F.col("doc_id"), hash=text_hash() if hashed is None else hashed)
+    match = F.col("id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash"))
+    return rows.join(sized(listed), match, how).select("row.*")
 
 
 def one_of_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """Of rows with equal (doc_id, text), listed in ``repeated``, one stays."""
     if repeated.isEmpty():
         return docs
-    again = without(docs, repeated, "left_semi").withColumn("_hash", text_hash()).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    return without(docs, repeated).unionByName(again)
+    again = packed(without(docs, repeated, "left_semi"), id=F.col("doc_id"), hash=text_hash())
+    return without(docs, repeated).unionByName(again.dropDuplicates(["id", "hash"]).select("row.*"))
 
 
 def keep_firsts(docs: DataFrame, classes: DataFrame) -> DataFrame:
