@@ -24,6 +24,7 @@ million corpora collides.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import file_system, parts, pieces, shared_dir, store, word_array, words_of
+from scriptloom.llm.common import file_system, parts, pieces, shared_dir, store, words_of
 from scriptloom.llm.elias_fano import EliasFano, U, pack, unpack
 
 ORDER, LEAST, LEAST_WORD, DISCOUNT = 3, 2, 3, 0.75
@@ -119,15 +120,21 @@ class GramChunk:
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the n-gram or -1, place of its context or -1)."""
-        owner = self.contexts(context)
+        # each context once: what is asked comes sorted
+        new = np.concatenate(([True], context[1:] != context[:-1]))
+        group = np.cumsum(new) - 1
+        owner = self.contexts(context[new])
         o = np.maximum(owner, 0)
         begin, end = self.begins.access(o).astype(np.int64), self.begins.access(o + 1).astype(np.int64)
         base = np.where(begin > 0, self.values.access(np.maximum(begin - 1, 0)).astype(np.int64) + 1, 0)
+        owner, begin, end, base = owner[group], begin[group], end[group], base[group]
         wanted = (base + word).astype(U)
         at = self.values.successor(wanted)
-        ok = (owner >= 0) & (at >= begin) & (at < end)
-        ok &= self.values.access(np.where(ok, at, 0)) == wanted
-        return np.where(ok, at, -1), owner
+        likely = np.flatnonzero((owner >= 0) & (at >= begin) & (at < end))
+        hit = likely[self.values.access(at[likely]) == wanted[likely]]
+        found = np.full(len(at), -1, np.int64)
+        found[hit] = at[hit]
+        return found, owner
 
     def logp(self, at: np.ndarray) -> np.ndarray:
         return self.p_low + self.p_step * self.p[at]
@@ -157,8 +164,9 @@ class Trie:
         if self.levels is None:
             self.levels = []
             for k, names in enumerate(self.names):
-                maps = [np.memmap(SparkFiles.get(n), np.uint8, "r") for n in names]
+                maps = [np.memmap(SparkFiles.get(n), np.uint8, "r").view(np.ndarray) for n in names]
                 self.levels.append([(WordChunk if k == 0 else GramChunk)(m[:-1].view(U)) for m in maps])
+            self.levels = self.levels or [[]]
             self.starts = [np.concatenate(([0], np.cumsum([c.n for c in level]))).astype(np.int64) for level in self.levels]
         return self
 
@@ -210,19 +218,47 @@ class Trie:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
-def _text_words(texts: list[str | None], trie: Trie) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts, the end token after each, and every text's length."""
-    every: list[bytes] = []
-    lengths = []
-    for t in texts:
-        words = words_of(t)
-        every += words
-        every.append(END.encode())
-        lengths.append(len(words) + 1)
-    distinct = list(dict.fromkeys(every))
-    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in distinct], U)
-    place = dict(zip(distinct, trie.words(hashes).tolist(), strict=True))
-    return np.fromiter(map(place.__getitem__, every), np.int64, len(every)), np.array(lengths, np.int64)
+class Words:
+    """Numbers and counts of words for a worker; what was looked up is kept, up to KEEP
+    words, then all is looked up anew."""
+
+    KEEP = 300_000
+
+    def __init__(self, trie: Trie):
+        self.trie = trie.open()
+        self.place: dict[bytes, int] = {}
+        self.number, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word numbers, -1 for unknown ones, with the end token after each text; counts
+        in training; tokens of each text)."""
+        every: list[bytes] = []
+        lengths = []
+        end = END.encode()
+        for t in texts:
+            words = words_of(t)
+            every += words
+            every.append(end)
+            lengths.append(len(words) + 1)
+        if len(self.place) > self.KEEP:
+            self.place = {}
+        at = list(map(self.place.get, every))
+        if None in at:
+            new = list(dict.fromkeys(w for w, i in zip(every, at, strict=True) if i is None))
+            number = self.trie.words(np.array([xxhash.xxh64_intdigest(w, 42) for w in new], U))
+            count = np.zeros(len(new), np.int64)
+            known = np.flatnonzero(number >= 0)
+            count[known] = self.trie.counts(0, number[known])
+            first = len(self.place)
+            self.number = np.concatenate([self.number[:first], number])
+            self.count = np.concatenate([self.count[:first], count])
+            self.place.update(zip(new, range(first, first + len(new)), strict=True))
+            at = map(self.place.__getitem__, every)
+        at = np.fromiter(at, np.int64, len(every))
+        return self.number[at], self.count[at], np.array(lengths, np.int64)
+
+    def start(self) -> int:
+        return int(self.trie.words(np.array([xxhash.xxh64_intdigest(END.encode(), 42)], U))[0])
 
 
 def _before(numbers: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -234,7 +270,11 @@ def _before(numbers: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
+    wide = int(b.max(initial=0)) + 2
+    if (int(a.max(initial=0)) + 2) * wide < 2**62:
+        order = np.argsort((a + 1) * wide + b + 1)
+    else:
+        order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -243,21 +283,11 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return a[new], b[new], group
 
 
-def _chain(trie: Trie, numbers: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For level 1, 2, ... up to ``order`` - 1: (level, places of tokens whose context
-    of that many words is in the trie, the contexts' numbers, the words' numbers)."""
-    start = trie.words(np.array([xxhash.xxh64_intdigest(END.encode(), 42)], U))[0]
-    context = _before(numbers, lengths, start)
-    for level in range(1, order):
-        at = np.flatnonzero(context >= 0)
-        yield level, at, context[at], numbers[at]
-        if level + 1 < order:
-            # the context one word longer: the n-gram that ended at the word before
-            known = np.full(len(numbers), -1, np.int64)
-            ok = at[numbers[at] >= 0]
-            c, w, group = _distinct(context[ok], numbers[ok])
-            known[ok] = trie.grams(level, c, w)[0][group]
-            context = _before(known, lengths, -1)
+def _grams(trie: Trie, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``Trie.grams``, each distinct n-gram looked up once; a word -1 is in none."""
+    c, w, group = _distinct(context, word)
+    number, logp, back = trie.grams(level, c, np.maximum(w, 0))
+    return np.where(w < 0, -1, number)[group], logp[group], back[group]
 
 
 def _write_chunks(made: DataFrame) -> list[str]:
@@ -278,11 +308,20 @@ def _all(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
     return [np.concatenate(c) for c in zip(*held, strict=True)] if held else None
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, 0, 32 << 20):
+        counts: Counter = Counter()
+        for t in batch.column(0):
+            counts.update(words_of(t.as_py()))
+        counts[END.encode()] += batch.num_rows
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in counts], U)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.values(), pa.int64())], names=["h", "n"])
+
+
 def fit(texts: DataFrame, order: int = ORDER) -> Trie:
     """The trie of the texts (column text)."""
     texts = texts.select("text")
-    words = texts.select(F.explode(F.array_append(word_array(F.col("text")), F.lit(END))).alias("w")).select(F.xxhash64("w").alias("h"))
-    unigrams = store(words.groupBy("h").agg(F.count("*").alias("n")))
+    unigrams = store(texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     sums = unigrams.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     trie = Trie([], sums.n, sums.v)
     if not sums.v:
@@ -306,19 +345,22 @@ def fit(texts: DataFrame, order: int = ORDER) -> Trie:
 
 def _add_level(texts: DataFrame, trie: Trie, level: int) -> bool:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = trie.open()
+        words = Words(trie)
+        start = words.start()
         for batch in pieces(batches, 0, 32 << 20):
-            numbers, lengths = _text_words(batch.column(0).to_pylist(), t)
-            kept = numbers.copy()
-            known = np.flatnonzero(numbers >= 0)
-            kept[known[t.counts(0, numbers[known]) < LEAST_WORD]] = -1
-            for k, at, context, word in _chain(t, kept, lengths, level + 1):
-                if k == level:
-                    ok = word >= 0
-                    c, w, group = _distinct(context[ok], word[ok])
-                    n = np.bincount(group, minlength=len(c))
-                    for a in range(0, len(c), 1 << 18):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)].astype(np.int64)) for x in (c, w, n)], names=["context", "word", "n"])
+            numbers, counts, lengths = words.read(batch.column(0).to_pylist())
+            kept = np.where(counts < LEAST_WORD, -1, numbers)
+            context = _before(kept, lengths, start)
+            for below in range(1, level):
+                known = np.full(len(kept), -1, np.int64)
+                ok = np.flatnonzero((context >= 0) & (kept >= 0))
+                known[ok] = _grams(words.trie, below, context[ok], kept[ok])[0]
+                context = _before(known, lengths, -1)
+            ok = np.flatnonzero((context >= 0) & (kept >= 0))
+            c, w, group = _distinct(context[ok], kept[ok])
+            n = np.bincount(group, minlength=len(c))
+            for a in range(0, len(c), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)].astype(np.int64)) for x in (c, w, n)], names=["context", "word", "n"])
 
     counted = texts.mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
     grams = store(counted.where(F.col("n") >= LEAST))
@@ -371,39 +413,39 @@ def _last_word(trie: Trie, level: int, number: np.ndarray) -> np.ndarray:
 SCORED = "struct<n_tokens:long,n_known:long,base_score:double,score:double>"
 
 
-def score_texts(trie: Trie, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+def score_texts(words: Words, texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """(tokens, known tokens, base score, score) of each text."""
-    trie.open()
-    if not trie.levels:
-        trie.levels, trie.starts = [[]], [np.zeros(1, np.int64)]
-    numbers, lengths = _text_words(texts, trie)
-    counts = np.zeros(len(numbers), np.int64)
-    known = np.flatnonzero(numbers >= 0)
-    if len(known):
-        distinct, group = np.unique(numbers[known], return_inverse=True)
-        counts[known] = trie.counts(0, distinct)[group]
+    trie = words.trie
+    numbers, counts, lengths = words.read(texts)
     base = trie.unigram(counts)
     score = base.copy()
-    rare = np.where(counts < LEAST_WORD, -1, numbers)
-    for level, at, context, word in _chain(trie, rare, lengths, len(trie.levels)):
-        # unknown and rare words back off from their contexts as well
-        c, w, group = _distinct(context, np.maximum(word, -1))
-        number, logp, back = trie.grams(level, c, np.maximum(w, 0))
-        number = np.where(w < 0, -1, number)
-        score[at] = np.where(number[group] >= 0, logp[group], score[at] + back[group])
-    ends = np.cumsum(lengths)
-    first = ends - lengths
+    # rare and unknown words are in no n-gram, but back off from their contexts as well
+    kept = np.where(counts < LEAST_WORD, -1, numbers)
+    context = _before(kept, lengths, words.start())
+    for level in range(1, len(trie.levels)):
+        at = np.flatnonzero(context >= 0)
+        number, logp, back = _grams(trie, level, context[at], kept[at])
+        score[at] = np.where(number >= 0, logp, score[at] + back)
+        known = np.full(len(kept), -1, np.int64)
+        known[at] = number
+        context = _before(known, lengths, -1)
+    first = np.cumsum(lengths) - lengths
     return lengths, np.add.reduceat((counts > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(score, first)
 
 
 def score_column(text: Column, trie: Trie) -> Column:
     """Column of struct<n_tokens, n_known, base_score, score>."""
 
+    state: dict[str, Words] = {}
+
     @F.arrow_udf(SCORED)
     def score(texts: pa.Array) -> pa.Array:
+        if "words" not in state:
+            state["words"] = Words(trie)
+        words = state["words"]
         made = []
         for batch in pieces([pa.RecordBatch.from_arrays([texts], names=["t"])], 0):
-            made.append(score_texts(trie, batch.column(0).to_pylist()))
+            made.append(score_texts(words, batch.column(0).to_pylist()))
         columns = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [np.zeros(0)] * 4
         kinds = (np.int64, np.int64, np.float64, np.float64)
         return pa.StructArray.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["n_tokens", "n_known", "base_score", "score"])
