@@ -20,6 +20,7 @@ end that is in no piece), so memory grows with the text, time linearly.
 from __future__ import annotations
 
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -61,6 +62,26 @@ def _fields(data: bytes):
             at += n
 
 
+class Segments(dict):
+    """Ids (as bytes) of segments after a prefix. Two generations: when one is full it
+    becomes the older, and what is used again moves back, so frequent segments stay."""
+
+    def __init__(self, codec: PieceCodec, prefix: str):
+        super().__init__()
+        self.codec, self.prefix, self.older = codec, prefix, {}
+
+    def __missing__(self, segment: str) -> bytes:
+        ids = self.older.get(segment)
+        if ids is None:
+            ids = array("i", self.codec.encode_segment(self.prefix + segment.replace(" ", MARK))).tobytes()
+        if len(segment) <= self.codec.SEGMENT:
+            if len(self) >= self.codec.CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[segment] = ids
+        return ids
+
+
 class PieceCodec:
     """Encoder and decoder of one model file.
 
@@ -69,7 +90,7 @@ class PieceCodec:
     """
 
     #: Cached segments and pairs per worker, each at most SEGMENT characters.
-    CACHE, SEGMENT = 100_000, 48
+    CACHE, SEGMENT = 300_000, 48
 
     def __init__(self, model_path: str):
         import struct
@@ -108,6 +129,18 @@ class PieceCodec:
             self.tokens.add_word(names[i], (i, len(names[i])))
         self.tokens.make_automaton()
         self.chars = {names[i] for i in reachable if len(names[i]) == 1}
+        # merge order, -1 for what no merge makes, and the last merge of each piece
+        order = sorted(self.ids.values(), key=lambda i: -scores[i])
+        self.rank = [-1] * len(names)
+        for r, i in enumerate(order):
+            if len(names[i]) > 1:
+                self.rank[i] = r
+        self.split = [(-1, -1)] * len(names)
+        for i in reachable:
+            if len(names[i]) > 1:
+                left, right = self.merge(names[i], stop=2)
+                self.split[i] = (self.ids[left], self.ids[right])
+        self.size = [len(n) for n in names]
         known = set(reachable)
         self.shorter = [-1] * len(names)
         for i in reachable:
@@ -117,28 +150,11 @@ class PieceCodec:
                     self.shorter[i] = j
                     break
         crossing = any(re.search(f"[^{MARK}]{MARK}", n) for n in self.ids)
-        line = "" if any("\n" in n for n in self.ids) else "\n"
+        # a line end that is in no piece parts segments as well
+        self.line = b"" if any("\n" in n for n in self.ids) else array("i", [self.byte_id[10]]).tobytes()
+        line = "\n" if self.line else ""
         self.segments = None if crossing else re.compile(f" *[^ {line}]+| +" + ("|\n" if line else ""))
-        codec = self
-
-        class Segments(dict):
-            """Two generations: when one is full it becomes the older, and what is
-            used again moves back, so frequent segments stay."""
-
-            older: dict[str, bytes] = {}
-
-            def __missing__(self, segment: str) -> bytes:
-                ids = self.older.get(segment)
-                if ids is None:
-                    ids = np.array(codec.encode_segment(segment.replace(" ", MARK)), dtype="<i4").tobytes()
-                if len(segment) <= codec.SEGMENT:
-                    if len(self) >= codec.CACHE:
-                        self.older = dict(self)
-                        self.clear()
-                    self[segment] = ids
-                return ids
-
-        self.seen = Segments()
+        self.marked, self.plain = Segments(self, MARK), Segments(self, "")
 
     def _raw(self, i: int) -> bytes:
         if self.kinds[i] == 6:
@@ -149,10 +165,11 @@ class PieceCodec:
             return " ⁇ ".encode()
         return self.names[i].replace(MARK, " ").encode()
 
-    def merge(self, text: str) -> list[str]:
-        """Plain merging from single characters: best score first, leftmost among equals."""
+    def merge(self, text: str, stop: int = 1) -> list[str]:
+        """Plain merging from single characters: best score first, leftmost among equals,
+        down to ``stop`` parts at least."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for k in range(len(parts) - 1):
                 i = self.ids.get(parts[k] + parts[k + 1])
@@ -164,65 +181,126 @@ class PieceCodec:
         return parts
 
     def compatible(self, a: int, b: int) -> bool:
+        """Whether merging the characters of both pieces from scratch gives them back.
+
+        Only merges across the border can spoil that. Both pieces are re-merged in
+        thought, latest merge first: at each moment the pieces at the border are the
+        right spine of ``a`` and the left spine of ``b``, and a merge of the two that
+        comes before the merge just undone (of equals the left one is first) would have
+        happened."""
         key = a << 32 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 3 * self.CACHE:
+            if len(self.pairs) >= 2 * self.CACHE:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merge(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
+            found = self.pairs[key] = self._border_holds(a, b)
         return found
 
+    def _border_holds(self, a: int, b: int) -> bool:
+        names, ids, rank, split = self.names, self.ids, self.rank, self.split
+        latest = len(names)
+        while True:
+            joined = ids.get(names[a] + names[b])
+            if joined is not None and rank[joined] < latest:
+                return False
+            if rank[a] > rank[b]:
+                latest = rank[a]
+                a = split[a][1]
+            elif rank[b] >= 0:
+                latest = rank[b] + 1
+                b = split[b][0]
+            else:
+                return True
+
     def encode_segment(self, text: str) -> list[int]:
         """Ids of a text in which spaces are already marks."""
+        if self.chars.issuperset(text):
+            return self._merged(text)
         ids: list[int] = []
         start = 0
         for k, c in enumerate(text):
             if c not in self.chars:
                 if k > start:
-                    ids += self._backtrack(text[start:k])
+                    ids += self._merged(text[start:k])
                 ids += [self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")] if c not in self.ids else [self.ids[c]]
                 start = k + 1
-        return ids + self._backtrack(text[start:]) if start < len(text) else ids
+        return ids + self._merged(text[start:]) if start < len(text) else ids
+
+    def _merged(self, text: str) -> list[int]:
+        """Ids of known characters. Mostly the automaton's longest matches, one after the
+        other, are compatible and so the answer; backtracking starts where they are not."""
+        chosen = [token for _, (token, _) in self.tokens.iter_long(text)]
+        pairs = self.pairs
+        for k in range(1, len(chosen)):
+            a, b = chosen[k - 1], chosen[k]
+            if not (pairs.get(a << 32 | b) or self.compatible(a, b)):
+                return self._backtrack(text, chosen, k)
+        return chosen
 
-    def _backtrack(self, text: str) -> list[int]:
+    def _backtrack(self, text: str, greedy: list[int], k: int) -> list[int]:
+        """Ids of a text whose greedy pieces fit up to the k-th."""
         n = len(text)
-        longest, size = [-1] * n, [0] * n
-        for last, (i, length) in self.tokens.iter(text):
-            s = last - length + 1
-            if length > size[s]:
-                longest[s], size[s] = i, length
+        tokens, size, shorter = self.tokens, self.size, self.shorter
+        longest: dict[int, int] = {n: -1}
+        place = at = 0
+        for i, token in enumerate(greedy):
+            if i == k:
+                at = place
+            longest[place] = token
+            place += size[token]
         failed = bytearray(n // 8 + 1)
-        chosen: list[int] = []
-        at, token = 0, longest[0]
+        chosen, token = greedy[:k], greedy[k]
         while at < n:
             while token >= 0:
-                end = at + len(self.names[token])
+                end = at + size[token]
                 if not failed[end >> 3] >> (end & 7) & 1 and (not chosen or self.compatible(chosen[-1], token)):
                     break
-                token = self.shorter[token]
+                token = shorter[token]
             if token >= 0:
                 chosen.append(token)
                 at = end
-                token = longest[at] if at < n else -1
+                if at not in longest:
+                    longest[at] = next(tokens.iter_long(text, at))[1][0]
+                token = longest[at]
                 continue
             if not chosen:
                 raise AssertionError("no encoding; the vocabulary lacks a character")
             failed[at >> 3] |= 1 << (at & 7)
             last = chosen.pop()
-            at -= len(self.names[last])
-            token = self.shorter[last]
+            at -= size[last]
+            token = shorter[last]
         return chosen
 
+    def _parts(self, text: str) -> list[bytes]:
+        """Ids of a text's segments in order, without the end id."""
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if not (self.line and self.dummy_prefix) or text[0] == " " or "  " in text:
+            found = self.segments.findall(" " + text if self.dummy_prefix else text)
+            return [self.marked[x[1:]] if x[0] == " " and x[1:2] != " " else self.plain[x] for x in found]
+        # single spaces: each but the first word of a later line follows a mark
+        marked, parts, first = self.marked.__getitem__, [], True
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if first:
+                first = False
+                parts.extend(map(marked, words))
+                continue
+            parts.append(self.line)
+            if words[0]:
+                parts.append(self.plain[words[0]])
+            parts.extend(map(marked, words[1:]))
+        return parts
+
     def encode(self, text: str | None, end: bool = True) -> np.ndarray:
         """All ids of a text as int32, with the end id unless ``end`` is false."""
         tail = self.end.to_bytes(4, "little") if end else b""
         if not text:
             return np.frombuffer(tail, dtype="<i4")
         if self.segments is None:
-            body = np.array(self.encode_segment(((MARK if self.dummy_prefix else "") + text).replace(" ", MARK)), dtype="<i4").tobytes()
+            body = array("i", self.encode_segment(((MARK if self.dummy_prefix else "") + text).replace(" ", MARK))).tobytes()
         else:
-            text = text.replace(MARK, " ")
-            body = b"".join(map(self.seen.__getitem__, self.segments.findall(" " + text if self.dummy_prefix else text)))
+            body = b"".join(self._parts(text))
         return np.frombuffer(body + tail, dtype="<i4")
 
     def count(self, text: str | None, end: bool = True) -> int:
@@ -231,9 +309,7 @@ class PieceCodec:
             return int(end)
         if self.segments is None:
             return len(self.encode(text, end))
-        text = text.replace(MARK, " ")
-        found = self.segments.findall(" " + text if self.dummy_prefix else text)
-        return sum(map(len, map(self.seen.__getitem__, found))) // 4 + end
+        return sum(map(len, self._parts(text))) // 4 + end
 
     def decode(self, ids) -> str:
         """Text of ids, as the library decodes them; control ids vanish, each byte
