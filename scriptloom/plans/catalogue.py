@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.functions import alignment, responses, tensors, text
-from scriptloom.operators import corpus, labels, metrics, sampling, sequences
+from scriptloom.operators import corpus, labels, metrics, sampling, sequences, sets
 from scriptloom.session import table
 from scriptloom.storage import written
 
@@ -756,3 +756,148 @@ def tar_round_trip(spark, sf_dir):
     return back.select("shard", "key", F.length("formatted_txt").alias("n_bytes"), F.md5("formatted_txt").alias("md5"))
 
 
+
+
+@query(
+    """
+with p as (select doc_id, text, regexp_extract_all(text, '[.!?]\\s+[a-z]') as m from documents),
+s as (select doc_id, string_split_regex(text, '[.!?]\\s+[a-z]') as parts, m from p)
+select doc_id, upper(left(t, 1)) || substr(t, 2) as text from (
+  select doc_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(left(m[i], length(m[i]) - 1) || upper(right(m[i], 1)), '')), '') as t from s)
+"""
+)
+def capitalize_sentences(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.capitalize_sentences(F.col("text")).alias("text"))
+
+
+@query(
+    """
+select doc_id, case when strpos(text, ' ') > 0 then left(text, strpos(text, ' ') - 1) else text end as key,
+  case when strpos(text, ' ') > 0 then substr(text, strpos(text, ' ') + 1) else '' end as rest from documents
+"""
+)
+def key_partition(spark, sf_dir):
+    parts = _docs(spark, sf_dir).select("doc_id", text.key_parts(F.col("text")).alias("p"))
+    return parts.select("doc_id", "p.key", F.col("p.text").alias("rest"))
+
+
+@query("select event_id, case when event_id % 2 = 0 then props else event_type end as text from events")
+def strip_fences(spark, sf_dir):
+    even = F.col("event_id") % 2 == 0
+    fenced = F.when(even, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n``` "))).otherwise(F.concat(F.lit(" "), "event_type", F.lit("\n")))
+    return table(spark, sf_dir, "events").select("event_id", text.strip_code_fences(fenced).alias("text"))
+
+
+@query(
+    """
+with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) - 1 as p, count(*) over (partition by conv_id) as n from conversations),
+b as (select conv_id, p // 3 as chunk, n, string_agg(turn || chr(9) || text, chr(10) order by turn) as body, count(*) as k, min(p) as lo, max(p) as hi from t group by 1, 2, 3),
+c as (select b.conv_id, b.chunk, string_agg(turn || chr(9) || text, chr(10) order by turn) as ctx from b join t on t.conv_id = b.conv_id and b.n > 3
+  and (t.p between lo - 3 and lo - 1 or t.p between hi + 1 and hi + 3) group by 1, 2)
+select b.conv_id, b.chunk::int as chunk, case when ctx is null then '' else 'CONTEXT' || chr(10) || ctx || chr(10) || chr(10) end || k || case when k = 1 then ' ID:' else ' IDs:' end || chr(10) || body as message
+from b left join c using (conv_id, chunk)
+"""
+)
+def request_messages(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    line = F.struct(F.col("turn").alias("at"), F.struct(F.col("turn").cast("string").alias("key"), "text").alias("line"))
+    lists = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    targets = sequences.chunk_targets(rows, "conv_id", "turn", 3).groupBy("conv_id", "chunk").agg(lists.alias("targets"))
+    near = sequences.chunk_context(rows, "conv_id", "turn", 3, 3).select("conv_id", "chunk", "turn").join(rows, ["conv_id", "turn"])
+    context = near.groupBy("conv_id", "chunk").agg(lists.alias("context"))
+    both = targets.join(context, ["conv_id", "chunk"], "left").withColumn("context", F.coalesce("context", F.array()))
+    return both.select("conv_id", "chunk", text.user_message(F.col("context"), F.col("targets"), "CONTEXT").alias("message"))
+
+
+@query("select doc_id as key, max_by(item, src) as item, max(src) as src from (select doc_id, 1 as src, source as item from documents union all select item_id, 2, left(text, 20) from benchmark) group by 1")
+def later_shard_wins(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("key"), F.lit(1).alias("src"), F.col("source").alias("item"))
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.lit(2).alias("src"), F.left("text", F.lit(20)).alias("item"))
+    return sets.later_wins(sets.concatenated([docs, bench]), "key", "src").select("key", "item", "src")
+
+
+@query("select doc_id as key, bool_or(quality = 0) as failed from (select * from labels union all select doc_id, 0, toxic from labels where doc_id % 5 = 0) group by 1")
+def failed_wins(spark, sf_dir):
+    rows = _label_rows(spark, sf_dir)
+    again = rows.where("key % 5 = 0").withColumn("validation", F.lit("failed"))
+    return labels.label_verdicts(rows.unionByName(again)).select("key", "failed")
+
+
+@query("select keys, count(*) as groups from (select conv_id, string_agg(distinct role, ',' order by role) as keys from conversations group by conv_id) group by keys")
+def key_set_guard(spark, sf_dir):
+    return sets.mixed_key_sets(table(spark, sf_dir, "conversations"), "conv_id", "role")
+
+
+@query(
+    """
+select conv_id, list_contains(r, 'assistant') and list_contains(r, 'user') as complete, array_to_string(list_sort(list_filter(r, lambda x: x not in ('user', 'assistant'))), ',') as extra
+from (select conv_id, list(distinct role) as r from conversations group by conv_id)
+"""
+)
+def member_check(spark, sf_dir):
+    wanted = ["user", "assistant"]
+    roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("r"))
+    found = sets.extra_and_missing(F.col("r"), F.array(*[F.lit(x) for x in wanted]))
+    return roles.select("conv_id", sets.complete(F.col("r"), wanted).alias("complete"), F.array_join(found["extra"], ",").alias("extra"))
+
+
+@query(f"select key as doc_id from ({_DOCS}) where len(w) <= 41")
+def label_length_filter(spark, sf_dir):
+    return _doc_words(spark, sf_dir).where(sets.labels_fit(F.col("words"), F.col("words"), 41)).select(F.col("key").alias("doc_id"))
+
+
+@query(
+    """
+select case when id is null then 'unknown' else 'known' end as kind, count(*) as n
+from (select event_id % 1200 as custom_id from events) left join (select distinct doc_id as id from documents) on id = custom_id group by 1
+"""
+)
+def results_of_requests(spark, sf_dir):
+    requests = _docs(spark, sf_dir).select(F.col("doc_id").alias("custom_id")).distinct()
+    results = table(spark, sf_dir, "events").select((F.col("event_id") % 1200).alias("custom_id"))
+    return labels.collected(requests, results).groupBy(F.when(F.col("known"), "known").otherwise("unknown").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("select event_id, coalesce(nullif(event_id % 3, 0), 0) as input_tokens, 0 as output_tokens, 0 as cache_creation_input_tokens, 0 as cache_read_input_tokens from events")
+def usage_flatten(spark, sf_dir):
+    none = F.lit(None).cast("long")
+    usage = F.struct(F.nullif(F.col("event_id") % 3, F.lit(0)).alias("input_tokens"), *[none.alias(n) for n in ("output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")])
+    return table(spark, sf_dir, "events").select("event_id", usage.alias("u")).select("event_id", *labels.usage_of(F.col("u")))
+
+
+@query(
+    """
+with p as (select event_id, value, value * 2 as other from events where value is not null)
+select event_id, rtrim(case when value <= other * 0.6 then 'collapse,' else '' end || case when value > 0.5 then 'end_collapse,' else '' end || case when value > 0.85 then 'entropy_high,' else '' end
+  || case when value < 0.15 then 'entropy_low,' else '' end || case when value * 100 > 50 then 'logits_high,' else '' end || case when value * 20 > 10 then 'norms_apart,' else '' end, ',') as warnings from p
+"""
+)
+def console_warnings(spark, sf_dir):
+    v = F.col("value")
+    names = metrics.warnings(v, v * 2 * 0.6, v, v, v * 100, v * 20)
+    return table(spark, sf_dir, "events").where("value is not null").select("event_id", F.array_join(names, ",").alias("warnings"))
+
+
+@query("select event_id, coalesce(event_id % 50 = 0 and value < 0.5, false) as ready, least(event_id / 500.0, 1.0)::double as factor from events")
+def word_error_gate(spark, sf_dir):
+    step = F.col("event_id")
+    ready = metrics.scores_words(F.lit(True), step, 50, F.col("value"), 0.5)
+    return table(spark, sf_dir, "events").select("event_id", ready.alias("ready"), tensors.warmup_factor(step, F.lit(500)).alias("factor"))
+
+
+@query()
+def wildcard_spans(spark, sf_dir):
+    """Spans of digit tokens; several splits may fit, so SQL has no counterpart."""
+    rows = _doc_words(spark, sf_dir).where(F.size("words").between(1, 60))
+    hyp = F.transform("words", lambda t: F.when(F.ascii(t) % 16 == 5, "7").otherwise(t))
+    return rows.select("key", alignment.align(hyp, F.col("words")).alias("a")).select("key", "a.ok", F.to_json("a.spans").alias("spans"))
+
+
+@query()
+def log_mel_features(spark, sf_dir):
+    """Shapes and means of spectrograms of synthetic tones, one a nation."""
+    hz = 200 + 100 * F.col("n_nationkey")
+    wave = F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: F.sin(2 * 3.141592653589793 * hz * i / 16000).cast("float"))
+    mel = table(spark, sf_dir, "nation").select("n_nationkey", tensors.log_mel_column(wave).alias("m"))
+    peak = F.array_position(F.transform("m", lambda r: r[25]), F.array_max(F.transform("m", lambda r: r[25])))
+    return mel.select("n_nationkey", F.size("m").alias("bands"), F.size(F.col("m")[0]).alias("frames"), peak.alias("loudest"))

@@ -164,3 +164,17 @@ def test_streams(spark, tmp_path):
     q = metric_log.flushed_stream(stream, 50).writeStream.format("memory").queryName("flushed").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.phase, r.step, r["mean"]) for r in spark.table("flushed").collect()) == [("eval", 51, 5.0), ("train", 50, 2.0)]
+
+
+def test_sets(spark):
+    from scriptloom.functions import text
+    from scriptloom.operators import sets
+
+    assert sets.largest_accepted(lambda n: n <= 37, 1, 100) == 37
+    assert sets.largest_accepted(lambda n: False, 1, 100) == 0
+    assert sets.config_changes({"a": 1, "b": 2}, {"a": 1, "b": 3}, ["a", "b"]) == ["b"]
+    row = spark.range(1).select(
+        sets.disjoint(F.array(F.lit(1)), F.array(F.lit(2))).alias("d"),
+        text.merge_entities(F.array(F.lit("it"), F.lit("is"), F.lit("so")), F.array(F.struct(F.lit(2).alias("end"), F.lit("a").alias("entity")), F.struct(F.lit(8).alias("end"), F.lit(".").alias("entity")))).alias("m"),
+    ).first()
+    assert row.d and row.m == ["a", "0", "."]
