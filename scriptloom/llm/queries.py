@@ -106,7 +106,6 @@ def op9_training_order(spark: SparkSession, sf_dir: str, model_path: str | None
     training_order.write(
         _table(spark, sf_dir, "documents"),
         lambda: sentencepiece_codec.codec(path).encode,
-        lambda: sentencepiece_codec.codec(path).count,
         folder,
         key="epoch-0",
     )

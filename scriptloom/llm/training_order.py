@@ -1,22 +1,23 @@
 """Training-order materialisation of token sequences as binary shards.
 
 Documents are encoded, joined with an end id after each, and cut into sequences of
-``length`` tokens per input partition (the last one padded). With N sequences in all, a
-keyed Feistel network over the next power of four, cycle-walked into 0..N-1, is a
-permutation: sequence i gets slot perm(i), from its number alone, without a sort or any
-state. Shard s holds the slots from s * per_shard on, in order, each as ``length``
-little-endian 16-bit ids and one line feed: a record's place is slot % per_shard times
-the stride, so a reader resumes anywhere.
-
-Two passes over the texts: the first counts tokens per input partition (one number
-each goes to the driver), the second encodes again and sends every sequence to its
-shard: one shuffle of tokens, none of texts. Spark's own text writer writes the bytes,
-so any store works, tasks are retried and a job's files appear together. ``done`` lists
-shards that an earlier run has written; they are left out before the shuffle.
-
-The input must be read in the same partitions both times, as file scans are. Null and
+``length`` tokens per input partition (the last one padded). Sequence j of partition p
+has the index p * 2**32 + j. A keyed Feistel network over the next power of four,
+cycle-walked into the index space, is a permutation: it gives every sequence its place
+from its index alone, without a sort or any state, and without a first pass that counts.
+Equal ranges of places are the shards. A shard's file holds its sequences in order, each
+as ``length`` little-endian 16-bit ids and one line feed. A sequence's global slot is
+its rank among all places: the records of the shards before (their file lengths over
+the stride) and its own place in the file. So a reader resumes anywhere by a division.
+
+The texts are encoded once and sequences shuffled once to their shard. Spark's own text
+writer writes the bytes, so any store works, tasks are retried and a job's files appear
+together. ``done`` lists shards that an earlier run has written; they are left out
+before the shuffle.
+
+A retried task must read the same rows in the same order, as file scans do. Null and
 empty texts contribute an end id. No rows give no sequences and no files. Ids must fit
-16 bits.
+16 bits, a partition 2**32 sequences.
 """
 
 from __future__ import annotations
@@ -30,8 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptloom.llm.decontamination import sized
+
 Encoder = Callable[[str | None], np.ndarray]
 PAD = 0
+#: Index space of a partition.
+ROOM = 1 << 32
+#: Fixes the number of shards only: with more bytes a token, shards hold fewer sequences.
+BYTES_PER_TOKEN = 2.5
 
 
 class Permutation:
@@ -78,31 +85,20 @@ def stride(length: int) -> int:
     return 2 * length + 1
 
 
-def write(docs: DataFrame, encoder: Callable[[], Encoder], counter: Callable[[], Callable[[str | None], int]], folder: str, key: str, length: int = 1024, per_shard: int = 4096, done: list[int] | None = None) -> int:
-    """Write the shards of ``docs`` (column text) below ``folder``; the number of
-    sequences. ``encoder`` and ``counter`` make, on a worker, functions that give a
-    text's ids and their number."""
-    spark = docs.sparkSession
+def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str, length: int = 1024, per_shard: int = 4096, done: list[int] | None = None) -> int:
+    """Write the shards of ``docs`` (column text) below ``folder``; the number of shards,
+    of about ``per_shard`` sequences each. ``encoder`` makes, on a worker, a function
+    that gives a text's ids."""
     texts = docs.select("text")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, n = counter(), 0
-        for batch in batches:
-            for t in batch.column(0):
-                n += count(t.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
-
-    sizes = sorted((r.part, -(-r.n // length)) for r in texts.mapInArrow(tally, "part long, n long").collect())
-    first, total = {}, 0
-    for part, n in sizes:
-        first[part], total = total, total + n
-    if not total:
-        return 0
-    order = Permutation(total, key)
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 2).alias("n")).first().n or 0
+    shards = max(1, -(-size // int(BYTES_PER_TOKEN * length * per_shard)))
+    domain = max(1, texts.rdd.getNumPartitions()) * ROOM
+    width = -(-domain // shards)
+    order = Permutation(domain, key)
     skip = np.array(sorted(done or []), dtype=np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = encoder(), first[TaskContext.get().partitionId()]
+        encode, number = encoder(), TaskContext.get().partitionId() * ROOM
         rest = np.zeros(0, np.uint16)
 
         def rows(tokens: np.ndarray) -> pa.RecordBatch:
@@ -110,9 +106,9 @@ def write(docs: DataFrame, encoder: Callable[[], Encoder], counter: Callable[[],
             whole = tokens.astype("<u2").reshape(-1, length)
             slot = order.slots(np.arange(number, number + len(whole)))
             number += len(whole)
-            keep = ~np.isin(slot // per_shard, skip)
+            keep = ~np.isin(slot // width, skip)
             ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), int(keep.sum()), [None, pa.py_buffer(whole[keep].tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(slot[keep]), pa.array((slot[keep] // per_shard).astype(np.int32)), ids.cast(pa.binary())], names=["slot", "shard", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(slot[keep]), pa.array((slot[keep] // width).astype(np.int32)), ids.cast(pa.binary())], names=["place", "shard", "ids"])
 
         for batch in batches:
             held, size = [rest], len(rest)
@@ -129,32 +125,33 @@ def write(docs: DataFrame, encoder: Callable[[], Encoder], counter: Callable[[],
         if len(rest):
             yield rows(np.concatenate([rest, np.full(-len(rest) % length, PAD, np.uint16)]))
 
-    shards = -(-total // per_shard)
-    made = texts.mapInArrow(cut, "slot long, shard int, ids binary")
-    dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    made = texts.mapInArrow(cut, "place long, shard int, ids binary")
+    dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
     dealt.select(F.col("ids").cast("string").alias("value")).write.mode("append").text(folder)
-    return total
+    return shards
 
 
-def read(spark: SparkSession, folder: str, length: int = 1024, per_shard: int = 4096) -> DataFrame:
+def read(spark: SparkSession, folder: str, length: int = 1024) -> DataFrame:
     """(slot, shard, position, ids binary) of the shards in ``folder``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).withColumn("shard", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
     step = stride(length)
+    starts, total = [], 0
+    for r in files.select("shard", "length").orderBy("shard").collect():  # one row a shard
+        if r.length % step:
+            raise ValueError(f"shard {r.shard} is not a whole number of records")
+        starts.append((r.shard, total))
+        total += r.length // step
+    offsets = sized(spark.createDataFrame(starts, "shard int, start long"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for shard, start, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = content.as_buffer()
-                if len(data) % step:
-                    raise ValueError(f"shard {shard} is not a whole number of records")
                 n = len(data) // step
                 table = np.frombuffer(data, np.uint8).reshape(n, step)
                 ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), n, [None, pa.py_buffer(np.ascontiguousarray(table[:, :-1]).tobytes())])
                 at = np.arange(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard * per_shard + at), pa.array(np.full(n, shard, np.int32)), pa.array(at * step), ids.cast(pa.binary())],
-                    names=["slot", "shard", "position", "ids"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(start + at), pa.array(np.full(n, shard, np.int32)), pa.array(at * step), ids.cast(pa.binary())], names=["slot", "shard", "position", "ids"])
 
-    shard = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-    return files.select(shard.alias("shard"), "content").mapInArrow(records, "slot long, shard int, position long, ids binary")
+    contents = files.select("shard", "content").join(offsets, "shard").select("shard", "start", "content")
+    return contents.mapInArrow(records, "slot long, shard int, position long, ids binary")

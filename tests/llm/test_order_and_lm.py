@@ -34,36 +34,50 @@ def test_permutation_is_a_bijection():
     assert (training_order.Permutation(1000, "a").slots(np.arange(1000)) != training_order.Permutation(1000, "b").slots(np.arange(1000))).any()
 
 
-def _write(spark, docs, folder, **more):
-    c = lambda: sentencepiece_codec.codec(MODEL)
-    return training_order.write(docs, lambda: c().encode, lambda: c().count, folder, "k", length=16, per_shard=20, **more)
+def _write(docs, folder, key="k", **more):
+    return training_order.write(docs, lambda: sentencepiece_codec.codec(MODEL).encode, folder, key, length=16, per_shard=20, **more)
 
 
-def test_shards_hold_every_token_in_order(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).repartition(3).unionByName(
-        spark.createDataFrame([(1, None, None, None, None), (1, "", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    )
+def test_shards_hold_every_sequence_in_order(spark):
     from scriptloom.llm.common import store
 
-    docs = store(docs)
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).repartition(3)
+    odd = spark.createDataFrame([(1, None, None, None, None), (1, "", None, None, None)], some.schema)
+    docs = store(some.unionByName(odd))
     folder = shared_dir(spark)
-    n = _write(spark, docs, folder)
-    rows = sorted(training_order.read(spark, folder, 16, 20).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(n))
-    assert all(r.shard == r.slot // 20 and r.position == r.slot % 20 * 33 for r in rows)
-    inverse = training_order.Permutation(n, "k").indices([r.slot for r in rows])
-    stream = np.concatenate([np.frombuffer(rows[i].ids, "<u2") for i in np.argsort(inverse)])
-    got = Counter(bytes(x) for x in np.split(stream, np.flatnonzero(stream == 2) + 1) if False) or stream
-    want = Counter()
-    for r in docs.collect():
-        want.update(sentencepiece_codec.codec(MODEL).encode(r.text).tolist())
-    counted = Counter(got.tolist())
-    assert {k: v for k, v in counted.items() if k} == {k: v for k, v in want.items() if k}
+    shards = _write(docs, folder)
+    rows = sorted(training_order.read(spark, folder, 16).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(len(rows)))
+    # the same by a plain restatement: streams of partitions, cut, padded, sorted by place
+    streams = {}
+    for r in docs.select(F.spark_partition_id().alias("p"), "text").collect():
+        streams.setdefault(r.p, []).extend(sentencepiece_codec.codec(MODEL).encode(r.text).tolist())
+    domain = docs.rdd.getNumPartitions() << 32
+    perm = training_order.Permutation(domain, "k")
+    want = []
+    for p, ids in streams.items():
+        ids += [0] * (-len(ids) % 16)
+        want += [(int(perm.slots([(p << 32) + j // 16])[0]), ids[j : j + 16]) for j in range(0, len(ids), 16)]
+    want.sort()
+    assert [np.frombuffer(r.ids, "<u2").tolist() for r in rows] == [x for _, x in want]
+    assert [r.shard for r in rows] == [place // -(-domain // shards) for place, _ in want] and shards > 3
+    for s in {r.shard for r in rows}:
+        assert [r.position for r in rows if r.shard == s] == [33 * i for i in range(sum(r.shard == s for r in rows))]
     later = shared_dir(spark)
-    _write(spark, docs, later, done=[0, 2])
-    again = {r.slot: bytes(r.ids) for r in training_order.read(spark, later, 16, 20).collect()}
-    assert again == {r.slot: bytes(r.ids) for r in rows if r.shard not in (0, 2)}
-    assert _write(spark, docs.limit(0), shared_dir(spark)) == 0
+    _write(docs, later, done=[0, 2])
+    again = [bytes(r.ids) for r in sorted(training_order.read(spark, later, 16).collect(), key=lambda r: r.slot)]
+    assert again == [bytes(r.ids) for r in rows if r.shard not in (0, 2)]
+    other = shared_dir(spark)
+    _write(docs, other, "another key")
+    shuffled = [bytes(r.ids) for r in sorted(training_order.read(spark, other, 16).collect(), key=lambda r: r.slot)]
+    assert shuffled != [bytes(r.ids) for r in rows] and sorted(shuffled) == sorted(bytes(r.ids) for r in rows)
+
+
+def test_no_rows_give_no_sequences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    folder = shared_dir(spark)
+    _write(docs, folder)
+    assert training_order.read(spark, folder, 16).collect() == []
 
 
 def brute_scores(train, texts):
