@@ -39,6 +39,8 @@ from scriptloom.llm.elias_fano import EliasFano, U, pack, unpack
 
 ORDER, LEAST, LEAST_WORD, DISCOUNT = 3, 2, 3, 0.75
 WORDS_PER_CHUNK, NODES_PER_CHUNK = 1 << 20, 1 << 19
+#: Tokens for each partition that sums n-grams; it has no more rows than tokens.
+ROWS_PER_PARTITION = 1 << 20
 END = "\n"  # no word holds white space
 QUANTA = (1 << 16) - 1
 
@@ -219,15 +221,22 @@ class Trie:
 
 
 class Words:
-    """Numbers and counts of words for a worker; what was looked up is kept, up to KEEP
-    words, then all is looked up anew."""
+    """Numbers and counts of words for a worker. Words that are frequent in training are
+    kept, up to KEEP of them; the others are looked up for each batch."""
 
-    KEEP = 300_000
+    KEEP, FREQUENT = 300_000, 8
 
     def __init__(self, trie: Trie):
         self.trie = trie.open()
         self.place: dict[bytes, int] = {}
-        self.number, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.number, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        number = self.trie.words(np.array([xxhash.xxh64_intdigest(w, 42) for w in words], U))
+        count = np.zeros(len(words), np.int64)
+        known = np.flatnonzero(number >= 0)
+        count[known] = self.trie.counts(0, number[known])
+        return number, count
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word numbers, -1 for unknown ones, with the end token after each text; counts
@@ -240,22 +249,24 @@ class Words:
             every += words
             every.append(end)
             lengths.append(len(words) + 1)
-        if len(self.place) > self.KEEP:
-            self.place = {}
-        at = list(map(self.place.get, every))
-        if None in at:
-            new = list(dict.fromkeys(w for w, i in zip(every, at, strict=True) if i is None))
-            number = self.trie.words(np.array([xxhash.xxh64_intdigest(w, 42) for w in new], U))
-            count = np.zeros(len(new), np.int64)
-            known = np.flatnonzero(number >= 0)
-            count[known] = self.trie.counts(0, number[known])
-            first = len(self.place)
-            self.number = np.concatenate([self.number[:first], number])
-            self.count = np.concatenate([self.count[:first], count])
-            self.place.update(zip(new, range(first, first + len(new)), strict=True))
-            at = map(self.place.__getitem__, every)
-        at = np.fromiter(at, np.int64, len(every))
-        return self.number[at], self.count[at], np.array(lengths, np.int64)
+        kept = self.place.get
+        at = np.array([kept(w, -1) for w in every], np.int64)
+        number, count = self.number[at], self.count[at]
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            asked = [every[i] for i in missed.tolist()]
+            new = list(dict.fromkeys(asked))
+            new_number, new_count = self._look_up(new)
+            local = dict(zip(new, range(len(new)), strict=True))
+            of = np.fromiter(map(local.__getitem__, asked), np.int64, len(asked))
+            number[missed], count[missed] = new_number[of], new_count[of]
+            frequent = np.flatnonzero(new_count >= self.FREQUENT)[: max(0, self.KEEP - len(self.place))]
+            if len(frequent):
+                first = len(self.place)
+                self.number = np.concatenate([self.number[:first], new_number[frequent], [0]])
+                self.count = np.concatenate([self.count[:first], new_count[frequent], [0]])
+                self.place.update((new[i], first + k) for k, i in enumerate(frequent.tolist()))
+        return number, count, np.array(lengths, np.int64)
 
     def start(self) -> int:
         return int(self.trie.words(np.array([xxhash.xxh64_intdigest(END.encode(), 42)], U))[0])
@@ -343,6 +354,16 @@ def fit(texts: DataFrame, order: int = ORDER) -> Trie:
     return trie
 
 
+def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (context, word, n) summed by n-gram; those below LEAST go."""
+    if (columns := _all(batches)) is None:
+        return
+    c, w, group = _distinct(columns[0], columns[1])
+    n = np.bincount(group, weights=columns[2], minlength=len(c)).astype(np.int64)
+    keep = n >= LEAST
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (c, w, n)], names=["context", "word", "n"])
+
+
 def _add_level(texts: DataFrame, trie: Trie, level: int) -> bool:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(trie)
@@ -362,8 +383,10 @@ def _add_level(texts: DataFrame, trie: Trie, level: int) -> bool:
             for a in range(0, len(c), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)].astype(np.int64)) for x in (c, w, n)], names=["context", "word", "n"])
 
-    counted = texts.mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    grams = store(counted.where(F.col("n") >= LEAST))
+    # every task has summed its own; an n-gram's sums meet in one of many small partitions
+    spread_over = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(trie.total, ROWS_PER_PARTITION))
+    counted = texts.mapInArrow(count, "context long, word long, n long").repartition(spread_over, "context", "word")
+    grams = store(counted.mapInArrow(_sum_grams, "context long, word long, n long"))
     size = grams.count()
     if not size:
         return False
