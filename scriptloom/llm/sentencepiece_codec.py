@@ -72,7 +72,13 @@ class Segments(dict):
 
     def __missing__(self, segment: str) -> bytes:
         ids = self.older.get(segment)
-        if ids is None:
+        if ids is None and 1 < len(segment) <= self.codec.SEGMENT and segment[-2:] not in self.codec.touching:
+            # no piece holds the last two characters side by side: no merge joins them
+            again = segment[:-1] in self
+            ids = self[segment[:-1]] + self.codec.plain[segment[-1]]
+            if not again:  # a rare word: its bare form is kept
+                return ids
+        elif ids is None:
             ids = array("i", self.codec.encode_segment(self.prefix + segment.replace(" ", MARK))).tobytes()
         if len(segment) <= self.codec.SEGMENT:
             if len(self) >= self.codec.CACHE:
@@ -154,6 +160,8 @@ class PieceCodec:
         self.line = b"" if any("\n" in n for n in self.ids) else array("i", [self.byte_id[10]]).tobytes()
         line = "\n" if self.line else ""
         self.segments = None if crossing else re.compile(f" *[^ {line}]+| +" + ("|\n" if line else ""))
+        self.touching = {n[i : i + 2] for n in self.ids for i in range(len(n) - 1)} | {f" {n[i + 1]}" for n in self.ids for i in range(len(n) - 1) if n[i] == MARK}
+        self.touching |= {x.replace(MARK, " ") for x in self.touching}
         self.marked, self.plain = Segments(self, MARK), Segments(self, "")
 
     def _raw(self, i: int) -> bytes:
