@@ -79,7 +79,8 @@ class Segments(dict):
             if not again:  # a rare word: its bare form is kept
                 return ids
         elif ids is None:
-            ids = array("i", self.codec.encode_segment(self.prefix + segment.replace(" ", MARK))).tobytes()
+            text = segment.replace(" ", MARK) if " " in segment else segment
+            ids = array("i", self.codec.encode_segment(self.prefix + text)).tobytes()
         if len(segment) <= self.codec.SEGMENT:
             if len(self) >= self.codec.CACHE:
                 self.older = dict(self)
@@ -130,9 +131,9 @@ class PieceCodec:
         self.raw = [self._raw(i) for i in range(len(names))]
         self.pairs: dict[int, bool] = {}
         reachable = [i for n, i in self.ids.items() if self.merge(n) == [n]]
-        self.tokens = ahocorasick.Automaton()
+        self.tokens = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i in reachable:
-            self.tokens.add_word(names[i], (i, len(names[i])))
+            self.tokens.add_word(names[i], i)
         self.tokens.make_automaton()
         self.chars = {names[i] for i in reachable if len(names[i]) == 1}
         # merge order, -1 for what no merge makes, and the last merge of each piece
@@ -237,12 +238,17 @@ class PieceCodec:
     def _merged(self, text: str) -> list[int]:
         """Ids of known characters. Mostly the automaton's longest matches, one after the
         other, are compatible and so the answer; backtracking starts where they are not."""
-        chosen = [token for _, (token, _) in self.tokens.iter_long(text)]
-        pairs = self.pairs
-        for k in range(1, len(chosen)):
-            a, b = chosen[k - 1], chosen[k]
-            if not (pairs.get(a << 32 | b) or self.compatible(a, b)):
-                return self._backtrack(text, chosen, k)
+        chosen = [token for _, token in self.tokens.iter_long(text)]
+        known, k, a = self.pairs.get, 0, -1
+        for b in chosen:
+            if k:
+                fits = known(a << 32 | b)
+                if fits is None:
+                    fits = self.compatible(a, b)
+                if not fits:
+                    return self._backtrack(text, chosen, k)
+            k += 1
+            a = b
         return chosen
 
     def _backtrack(self, text: str, greedy: list[int], k: int) -> list[int]:
@@ -257,18 +263,26 @@ class PieceCodec:
             longest[place] = token
             place += size[token]
         failed = bytearray(n // 8 + 1)
-        chosen, token = greedy[:k], greedy[k]
+        chosen, token = greedy[:k], shorter[greedy[k]]  # the k-th did not fit
+        known, compatible = self.pairs.get, self.compatible
         while at < n:
+            before = chosen[-1] << 32 if chosen else -1
             while token >= 0:
                 end = at + size[token]
-                if not failed[end >> 3] >> (end & 7) & 1 and (not chosen or self.compatible(chosen[-1], token)):
-                    break
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if before < 0:
+                        break
+                    fits = known(before | token)
+                    if fits is None:
+                        fits = compatible(before >> 32, token)
+                    if fits:
+                        break
                 token = shorter[token]
             if token >= 0:
                 chosen.append(token)
                 at = end
                 if at not in longest:
-                    longest[at] = next(tokens.iter_long(text, at))[1][0]
+                    longest[at] = next(tokens.iter_long(text, at))[1]
                 token = longest[at]
                 continue
             if not chosen:
