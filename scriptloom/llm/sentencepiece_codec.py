@@ -74,10 +74,10 @@ class Segments(dict):
         ids = self.older.get(segment)
         if ids is None and 1 < len(segment) <= self.codec.SEGMENT and segment[-2:] not in self.codec.touching:
             # no piece holds the last two characters side by side: no merge joins them
-            again = segment[:-1] in self
-            ids = self[segment[:-1]] + self.codec.plain[segment[-1]]
-            if not again:  # a rare word: its bare form is kept
-                return ids
+            head = self.get(segment[:-1])
+            if head is None:  # a rare word: its bare form is kept
+                return self[segment[:-1]] + self.codec.plain[segment[-1]]
+            ids = head + self.codec.plain[segment[-1]]
         elif ids is None:
             text = segment.replace(" ", MARK) if " " in segment else segment
             ids = array("i", self.codec.encode_segment(self.prefix + text)).tobytes()

@@ -143,15 +143,9 @@ def read(spark: SparkSession, folder: str, length: int = 1024) -> DataFrame:
         total += r.length // step
     offsets = sized(spark.createDataFrame(starts, "shard int, start long"))
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, start, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = content.as_buffer()
-                n = len(data) // step
-                table = np.frombuffer(data, np.uint8).reshape(n, step)
-                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), n, [None, pa.py_buffer(np.ascontiguousarray(table[:, :-1]).tobytes())])
-                at = np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(start + at), pa.array(np.full(n, shard, np.int32)), pa.array(at * step), ids.cast(pa.binary())], names=["slot", "shard", "position", "ids"])
-
-    contents = files.select("shard", "content").join(offsets, "shard").select("shard", "start", "content")
-    return contents.mapInArrow(records, "slot long, shard int, position long, ids binary")
+    # a file's records are cut out inside the JVM; the file's bytes are not repeated
+    contents = files.select("shard", "content").join(offsets, "shard").where(F.octet_length("content") > 0)
+    places = F.sequence(F.lit(0), (F.octet_length("content") / step).cast("int") - 1)
+    cut = F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(F.col("content"), i * step + 1, F.lit(2 * length)).alias("ids")))
+    rows = contents.select("shard", "start", F.explode(cut).alias("r"))
+    return rows.select((F.col("start") + F.col("r.at")).alias("slot"), "shard", (F.col("r.at").cast("long") * step).alias("position"), "r.ids")
