@@ -178,3 +178,14 @@ def test_sets(spark):
         text.merge_entities(F.array(F.lit("it"), F.lit("is"), F.lit("so")), F.array(F.struct(F.lit(2).alias("end"), F.lit("a").alias("entity")), F.struct(F.lit(8).alias("end"), F.lit(".").alias("entity")))).alias("m"),
     ).first()
     assert row.d and row.m == ["a", "0", "."]
+
+
+def test_principal_components_match_svd(spark):
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    components, shares = corpus.principal_components(rows, "embedding", 5)
+    x = np.array([r.embedding for r in rows.collect()], float)
+    _, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(shares, (s**2 / (s**2).sum())[:5])
+    assert np.allclose(np.abs((components * v[:5]).sum(axis=1)), 1, atol=1e-6)
