@@ -14,39 +14,72 @@ MOST_WORDS = 5
 SPANS = "struct<ok:boolean,spans:array<struct<digits:string,words:array<string>>>>"
 
 
+def spells(hyp: list[str], ref: list[str]) -> bool:
+    """Whether the tokens spell the words. The reachable places are bits of one number,
+    so that a token costs a few operations on it at any length."""
+    at: dict[str, int] = {}
+    for j, w in enumerate(ref):
+        at[w] = at.get(w, 0) | 1 << j
+    every, reach = (1 << len(ref)) - 1, 1
+    for t in hyp:
+        if any(c.isdecimal() for c in t):
+            step, start = 0, reach & every
+            for n in range(1, MOST_WORDS + 1):
+                step |= start << n
+            reach = step & (every << 1 | 1)
+        else:
+            reach = (reach & at.get(t, 0)) << 1
+        if not reach:
+            return False
+    return bool(reach >> len(ref) & 1)
+
+
 def aligns(hyp: Column, ref: Column) -> Column:
     """Whether the tokens ``hyp`` spell ``ref``: plain tokens equal the next word, tokens
-    with a digit take one to five words. One anchored pattern a row, inside the JVM; the
-    numbers of words are compared first, so that hopeless rows never reach the matcher."""
+    with a digit take one to five words. Texts of any length; rows whose numbers of words
+    cannot fit do not reach the matcher."""
     wild = F.size(F.filter(hyp, is_wildcard))
     plain = F.size(hyp) - wild
-    pattern = F.array_join(F.transform(hyp, lambda t: F.when(is_wildcard(t), f"(?:[^ ]+ ){{1,{MOST_WORDS}}}").otherwise(F.concat(t, F.lit(" ")))), "")
-    text = F.array_join(F.transform(ref, lambda t: F.concat(t, F.lit(" "))), "")
     possible = F.size(ref).between(plain + wild, plain + MOST_WORDS * wild)
-    return F.when(possible, F.regexp_like(text, F.concat(F.lit("^"), pattern, F.lit("$")))).otherwise(False)
+
+    @F.arrow_udf("boolean")
+    def run(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        return pa.array([h.is_valid and r.is_valid and spells(h.as_py(), r.as_py()) for h, r in zip(hyps, refs, strict=True)], pa.bool_())
+
+    return F.coalesce(run(F.when(possible, hyp), F.when(possible, ref)), F.lit(False))
 
 
 def spans_of(hyp: list[str], ref: list[str]) -> tuple[bool, list[tuple[str, list[str]]]]:
     """(aligned?, words of each wildcard). If several splits fit, later wildcards take
-    the longer runs. Time and memory grow with len(hyp) * MOST_WORDS * width."""
-    reach: list[dict[int, int]] = [{0: 0}]
-    for t in hyp:
-        here: dict[int, int] = {}
-        wild = any(c.isdecimal() for c in t)
-        for j in sorted(reach[-1]):
-            for step in range(1, MOST_WORDS + 1) if wild else (1,):
-                if j + step <= len(ref) and (wild or ref[j] == t):
-                    here.setdefault(j + step, j)
-        reach.append(here)
-    at = len(ref)
-    if at not in reach[-1]:
+    the longer runs. After i tokens bit d of ``reach[i]`` stands for the word i + d; it
+    has at most MOST_WORDS - 1 bits a wildcard so far."""
+    slack = len(ref) - len(hyp)
+    if slack < 0:
+        return False, []
+    at: dict[str, int] = {}
+    for j, w in enumerate(ref):
+        at[w] = at.get(w, 0) | 1 << j
+    inside = (1 << slack + 1) - 1
+    wild = [any(c.isdecimal() for c in t) for t in hyp]
+    reach = [1]
+    for i, t in enumerate(hyp):
+        r = reach[-1]
+        if wild[i]:
+            for n in range(1, MOST_WORDS):
+                r |= reach[-1] << n
+            reach.append(r & inside)
+        else:
+            reach.append(r & at.get(t, 0) >> i)
+        if not reach[-1]:
+            return False, []
+    if not reach[-1] >> slack & 1:
         return False, []
-    found = []
+    found, d = [], slack
     for i in range(len(hyp), 0, -1):
-        before = reach[i][at]
-        if any(c.isdecimal() for c in hyp[i - 1]):
-            found.append((hyp[i - 1], ref[before:at]))
-        at = before
+        if wild[i - 1]:
+            more = max(n for n in range(MOST_WORDS) if n <= d and reach[i - 1] >> d - n & 1)
+            found.append((hyp[i - 1], ref[i - 1 + d - more : i + d]))
+            d -= more
     return True, found[::-1]
 
 
@@ -55,11 +88,16 @@ def align(hyp: Column, ref: Column) -> Column:
 
     @F.arrow_udf(SPANS)
     def run(hyps: pa.Array, refs: pa.Array) -> pa.Array:
-        out = []
-        for h, r in zip(hyps.to_pylist(), refs.to_pylist(), strict=True):
-            ok, spans = spans_of(h or [], r or [])
-            out.append({"ok": ok, "spans": [{"digits": d, "words": w} for d, w in spans]})
-        return pa.array(out, pa.struct([("ok", pa.bool_()), ("spans", pa.list_(pa.struct([("digits", pa.string()), ("words", pa.list_(pa.string()))])))]))
+        kind = pa.struct([("ok", pa.bool_()), ("spans", pa.list_(pa.struct([("digits", pa.string()), ("words", pa.list_(pa.string()))])))])
+        # a few rows at a time as Python objects
+        parts = []
+        for n in range(0, len(hyps), 64):
+            out = []
+            for h, r in zip(hyps[n : n + 64].to_pylist(), refs[n : n + 64].to_pylist(), strict=True):
+                ok, spans = spans_of(h or [], r or [])
+                out.append({"ok": ok, "spans": [{"digits": d, "words": w} for d, w in spans]})
+            parts.append(pa.array(out, kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return run(hyp, ref)
 
