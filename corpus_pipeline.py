@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm import decontamination, secret_scan, sentencepiece_codec, simhash, stages, toxicity
+from scriptloom.llm import decontamination, near_copies, secret_scan, sentencepiece_codec, stages, toxicity
 from scriptloom.llm.common import small_batches, store
 from scriptloom.llm.queries import tokenizer_path
 
@@ -27,9 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays."""
+    """Of each class of near copies (five-word shingles, Jaccard similarity of 0.8 or
+    more, checked exactly) the document with the smallest id stays."""
     small_batches(spark)
-    classes = simhash.near_duplicate_classes(docs, also={"text_hash": stages.text_hash()})
+    classes = near_copies.near_copy_classes(docs, stages.text_hash())
     return stages.keep_firsts(docs, classes)
 
 
