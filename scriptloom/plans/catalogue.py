@@ -476,7 +476,16 @@ select doc_id as key, case when k in (0, 1, 2, 3) then 'failed' when k = 4 then
 """
 )
 def validate_states(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where("n_chars < 4000")
+    return _validated(_docs(spark, sf_dir).where("n_chars < 4000"))
+
+
+@query()
+def validate_states_all(spark, sf_dir):
+    """``validate_states`` over texts of every length, which its SQL leaves out."""
+    return _validated(_docs(spark, sf_dir))
+
+
+def _validated(docs: DataFrame) -> DataFrame:
     k = F.col("doc_id") % 6
     key = F.col("doc_id").cast("string")
     utterances = docs.select(

@@ -49,3 +49,13 @@ def test_long_wildcard_runs_align(spark):
     assert alignment.spells(hyp, ref) and not alignment.spells(hyp + ["c"], ref)
     row = spark.createDataFrame([(hyp, ref)], "h array<string>, r array<string>")
     assert row.select(alignment.aligns(F.col("h"), F.col("r")).alias("ok")).first().ok
+
+
+def test_states_of_every_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "n_chars").collect()
+    assert any(r.n_chars >= 4000 for r in docs)
+    validation = [*["failed"] * 4, "ok", None]
+    failure = ["no_response", "truncated", "unparseable", "missing", None, None]
+    want = {(r.doc_id, validation[r.doc_id % 6], failure[r.doc_id % 6]) for r in docs}
+    found = QUERIES["validate_states_all"](spark, SF).collect()
+    assert len(found) == len(docs) and {tuple(r) for r in found} == want
