@@ -186,11 +186,14 @@ class ToxicModel:
         return score
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _one_label(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def _sample(docs: DataFrame, one: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of a bounded sample: of each kind, the first rows by hash of
     the id. Texts meet only the chosen ids, of which there are MAX_POSITIVE +
     MAX_NEGATIVE at most, so the broadcast is bounded and no text is shuffled."""
-    one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit("toxic"))
     kinds = [one.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most) for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
     return docs.select("doc_id", "text").join(F.broadcast(store(kinds[0].unionAll(kinds[1]))), "doc_id")
@@ -219,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     Character counts and feature counts are aggregated by Spark; the driver receives
     trigram counts, the chosen features and, for each sampled row, its features.
     """
-    sample = store(_sample(docs, labels))
+    one = store(_one_label(labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")))
+    sample = store(_sample(docs, one))
     grams = sample.select("text").mapInArrow(_words, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     grams = grams.orderBy(F.desc("n"), "gram").limit(1 << 16).collect()
     chars = CharModel({r.gram: r.n for r in grams}, len({c for r in grams for c in r.gram}) + 1)
@@ -241,24 +245,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         .agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("q"))
         .where("p >= 3")
     )
-    rate = pos / (pos + neg)
+    # each sampled row stands for as many labelled rows of its kind
+    every = {r.toxic: r.n for r in docs.join(one, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weight = {1: every[1] / pos, 0: every[0] / neg}
+    rate, share = pos / (pos + neg), every[1] / (every[1] + every[0])
     p, q = F.col("p"), F.col("q")
     drawn = (p - (p + q) * rate) / F.sqrt((p + q) * rate * (1 - rate))  # standard deviations above chance
     best = counted.withColumn("s", drawn).where("s > 4").orderBy(F.desc("s"), "f").limit(MAX_FEATURES)
     at = {r.f: i for i, r in enumerate(best.collect())}
     if not at:
-        return ToxicModel(chars, {}, math.log(rate / (1 - rate)))
+        return ToxicModel(chars, {}, math.log(share / (1 - share)))
 
     @F.arrow_udf("array<int>")
     def hits(lists: pa.Array) -> pa.Array:
         return pa.array([[at[f] for f in x.as_py() if f in at] for x in lists], pa.list_(pa.int32()))
 
     data = rows.select("y", hits("features").alias("x")).collect()
-    return ToxicModel(chars, *_regress(at, [(r.y, r.x) for r in data]))
+    return ToxicModel(chars, *_regress(at, [(r.y, r.x) for r in data], weight))
 
 
-def _regress(at: dict[str, int], rows: list[tuple[int, list[int]]]) -> tuple[dict[str, float], float]:
-    """Logistic regression with a ridge, by accelerated gradient steps over sparse rows."""
+def _regress(at: dict[str, int], rows: list[tuple[int, list[int]]], weight: dict[int, float]) -> tuple[dict[str, float], float]:
+    """Logistic regression with a ridge, by accelerated gradient steps over sparse rows.
+    Each kind of row is sampled at its own rate, 1 / ``weight``. That shifts the bias alone, by
+    the log ratio of the weights, which the fitted bias gets back."""
     y = np.array([r[0] for r in rows], float)
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     column = np.array([c for r in rows for c in r[1]], dtype=np.int64)
@@ -275,7 +284,7 @@ def _regress(at: dict[str, int], rows: list[tuple[int, list[int]]]) -> tuple[dic
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
         look, look_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
-    return {f: float(w[i]) for f, i in at.items()}, float(bias)
+    return {f: float(w[i]) for f, i in at.items()}, float(bias) + math.log(weight[1] / weight[0])
 
 
 def score_column(text: Column, model: ToxicModel) -> Column:
