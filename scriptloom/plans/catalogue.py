@@ -646,7 +646,17 @@ from c order by votes desc, first_seen limit 5
 """
 )
 def topk_votes(spark, sf_dir):
-    votes = corpus.token_rows(_doc_words(spark, sf_dir)).where("pos < 5").select("token", (F.col("key") * 100_000 + F.col("pos") + 1).alias("at"))
+    return _top_voted(corpus.token_rows(_doc_words(spark, sf_dir)).where("pos < 5"), 100_000)
+
+
+@query()
+def topk_votes_all(spark, sf_dir):
+    """``topk_votes`` with a vote for every word; its SQL counts the first five only."""
+    return _top_voted(corpus.token_rows(_doc_words(spark, sf_dir)), 1 << 31)
+
+
+def _top_voted(tokens: DataFrame, width: int) -> DataFrame:
+    votes = tokens.select("token", (F.col("key") * width + F.col("pos") + 1).alias("at"))
     found = metrics.top_votes(votes, "token", "at", 5, 100, "the")
     return found.select("token", "votes", _r6("per_micro").alias("per_micro"), _r6("sep_share").alias("sep_share"))
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,16 @@ def test_states_of_every_document(spark):
     want = {(r.doc_id, validation[r.doc_id % 6], failure[r.doc_id % 6]) for r in docs}
     found = QUERIES["validate_states_all"](spark, SF).collect()
     assert len(found) == len(docs) and {tuple(r) for r in found} == want
+
+
+def test_every_word_votes(spark):
+    docs = words_by_doc(spark)
+    votes, first = Counter(), {}
+    for key in sorted(docs):
+        for pos, token in enumerate(docs[key]):
+            votes[token] += 1
+            first.setdefault(token, (key, pos))
+    best = sorted(votes, key=lambda t: (-votes[t], first[t]))[:5]
+    found = QUERIES["topk_votes_all"](spark, SF).collect()
+    assert sorted((r.token, r.votes) for r in found) == sorted((t, votes[t]) for t in best)
+    assert {r.sep_share for r in found} == {round(votes["the"] / sum(votes.values()), 6)}
