@@ -738,6 +738,24 @@ def sequence_assemble(spark, sf_dir):
     )
 
 
+@query()
+def sequence_assemble_all(spark, sf_dir):
+    """``sequence_assemble`` with the whole text of each turn, padded to the longest of its
+    batch (a conversation); its SQL takes three words and 24 places."""
+    rows = table(spark, sf_dir, "conversations")
+    audio = F.array_repeat(F.lit(0), (F.col("turn") % 3 + 1).cast("int"))
+    chars = F.transform(F.split("role", ""), lambda c: F.ascii(c))
+    words = F.transform(text.tokens(text.normalize(F.col("text"))), lambda w: F.ascii(w))
+    made = written(rows.select("conv_id", "turn", tensors.assemble(audio, chars, words, -1).alias("s")))
+    longest = made.groupBy(F.col("conv_id").alias("batch")).agg(F.max(F.size("s.inputs")).alias("longest"))
+    return made.join(longest, F.col("conv_id").eqNullSafe(F.col("batch"))).select(
+        "conv_id",
+        "turn",
+        F.array_join(tensors.pad(F.col("s.inputs"), F.col("longest"), F.lit(9)).cast("array<string>"), " ").alias("inputs"),
+        F.array_join(F.col("s.labels").cast("array<string>"), " ", "_").alias("labels"),
+    )
+
+
 @query("select doc_id, regexp_extract(source, '(\\d+)', 1)::bigint as step from documents")
 def checkpoint_step(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.step_of(F.concat(F.lit("Step_"), F.regexp_extract("source", r"(\d+)", 1), F.lit(".pt")), F.lit(-1)).alias("step"))

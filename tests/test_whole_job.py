@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from scriptloom.functions import alignment
+from scriptloom.functions import alignment, text
 from scriptloom.operators import corpus
 from scriptloom.plans.catalogue import QUERIES
 
@@ -73,3 +73,22 @@ def test_every_word_votes(spark):
     found = QUERIES["topk_votes_all"](spark, SF).collect()
     assert sorted((r.token, r.votes) for r in found) == sorted((t, votes[t]) for t in best)
     assert {r.sep_share for r in found} == {round(votes["the"] / sum(votes.values()), 6)}
+
+
+def test_sequences_hold_whole_turns(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet")
+    made = rows.select("conv_id", "turn", "role", text.tokens(text.normalize(F.col("text"))).alias("w")).collect()
+    plain = {}
+    for r in made:
+        head = [0] * (r.turn % 3 + 1) + [-1] + [ord(c) for c in r.role] + [-1]
+        said = [ord(w[0]) for w in r.w]
+        plain[r.conv_id, r.turn] = (head + said + [-1], [None] * len(head) + said + [-1])
+    longest = {}
+    for (conv, _), (inputs, _) in plain.items():
+        longest[conv] = max(longest.get(conv, 0), len(inputs))
+    found = QUERIES["sequence_assemble_all"](spark, SF).collect()
+    assert len(found) == len(made) and max(longest.values()) > 24
+    for r in found:
+        inputs, labels = plain[r.conv_id, r.turn]
+        assert r.inputs.split(" ") == [str(x) for x in inputs + [9] * (longest[r.conv_id] - len(inputs))]
+        assert r.labels.split(" ") == ["_" if x is None else str(x) for x in labels]
