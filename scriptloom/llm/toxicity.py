@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from scriptloom.llm.common import store
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 4000, 8000, 4096
+#: Longer tokens are read like others, but neither cached nor counted for the trigrams;
+#: longer runs of spaced letters are several words.
 LONGEST_TOKEN = 40
 
 #: Letters that a character can stand for.
@@ -72,10 +75,21 @@ class CharModel:
     def cost(self, context: str, c: str) -> float:
         return -math.log((self.counts.get(context + c, 0) + 0.5) / (self.counts.get(context, 0) + 0.5 * self.letters))
 
-    def decode(self, token: str) -> str:
-        """The most likely word behind a token."""
+    def decode(self, token: str, split: bool = False) -> str:
+        """The most likely word behind a token; with ``split`` the most likely words, between
+        spaces. Time is linear at any length: the start on which all paths agree is set
+        aside, so that paths stay short."""
         paths = {"^^": (0.0, "")}
+        settled: list[str] = []
         for i, c in enumerate(token):
+            if i % 32 == 31:
+                start = commonprefix([out for _, out in paths.values()])
+                settled.append(start)
+                paths = {context: (cost, out[len(start) :]) for context, (cost, out) in paths.items()}
+            if split:
+                ends = min(((cost + self.cost(x, "$"), out + " ") for x, (cost, out) in paths.items() if x != "^^"), default=None)
+                if ends and ("^^" not in paths or ends[0] < paths["^^"][0]):
+                    paths["^^"] = ends
             steps = [(c, 0.0 if c.isalpha() else COST_KEEP_ODD)]
             steps += [(x, COST_SWAP) for x in LOOKALIKES.get(c, "")]
             if c in SEPARATORS or not (c.isalnum() or c in LOOKALIKES):
@@ -92,7 +106,8 @@ class CharModel:
                     if to not in new or total < new[to][0]:
                         new[to] = (total, out + x)
             paths = new
-        return min((cost + self.cost(context, "$"), out) for context, (cost, out) in paths.items())[1]
+        settled.append(min((cost + self.cost(context, "$"), out) for context, (cost, out) in paths.items())[1])
+        return "".join(settled)
 
 
 def _joined(spaced: str) -> str:
@@ -102,9 +117,7 @@ def _joined(spaced: str) -> str:
 
 def suspicious(token: str) -> bool:
     """Worth a lattice: letters mixed with look-alikes or separators, or a letter three times."""
-    if len(token) > LONGEST_TOKEN or not _MIXED.search(token):
-        return False
-    return bool(_RUN.search(token)) or bool(_ODD.search(token))
+    return bool(_MIXED.search(token)) and (bool(_RUN.search(token)) or bool(_ODD.search(token)))
 
 
 class Restorer:
@@ -128,14 +141,19 @@ class Restorer:
                 self.seen[token] = found
         return found
 
+    def spaced(self, joined: str) -> str:
+        """The word that spaced letters spell, or the words if they are more than a word's."""
+        return self.model.decode(joined, split=len(joined) > LONGEST_TOKEN)
+
     def words(self, text: str | None) -> set[str]:
-        """Distinct restored words of a text. Of spaced letters the joined word comes too."""
+        """Distinct restored words of a text. Of spaced letters the joined word comes too,
+        and of a run longer than a word the words that it holds."""
         low = (text or "").lower()
         found = set(map(self.token, set(low.split())))
         for m in _SPACED.finditer(low):
             joined = _joined(m[0])
-            if len(joined) <= LONGEST_TOKEN and _MIXED.search(joined):
-                found.add(self.model.decode(joined))
+            if _MIXED.search(joined):
+                found.update(self.spaced(joined).split())
         found.discard("")
         return found
 
@@ -144,7 +162,7 @@ class Restorer:
 
         def whole(m):
             joined = _joined(m[0])
-            return self.model.decode(joined) if len(joined) <= LONGEST_TOKEN and _MIXED.search(joined) else m[0]
+            return self.spaced(joined) if _MIXED.search(joined) else m[0]
 
         def one(m):
             bare = _EDGES.sub("", m[0])
@@ -155,7 +173,7 @@ class Restorer:
 
 def features_of(word: str) -> list[str]:
     """A word and its beginnings of three to six characters."""
-    return [word] + ["^" + word[:n] for n in range(3, 7) if len(word) >= n] if len(word) <= LONGEST_TOKEN else []
+    return [word] + ["^" + word[:n] for n in range(3, 7) if len(word) >= n]
 
 
 @dataclass

@@ -1,5 +1,7 @@
 """Toxicity scores that must not depend on the size of the table or the form of the text."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from scriptloom.llm import toxicity
@@ -14,3 +16,16 @@ def test_scores_keep_their_meaning_when_a_kind_is_sampled(spark, monkeypatch):
     capped = toxicity.fit(docs, labels)
     assert abs(whole.scorer()("unknown words") - capped.scorer()("unknown words")) < 0.05
     assert abs(capped.bias - whole.bias) < 1.0
+
+
+def test_long_tokens_and_runs_are_restored():
+    words = Counter("you are an idiot and nobody here will read what loser clown people say about this moron today".split())
+    r = toxicity.Restorer(toxicity.CharModel.fit(Counter({w: 50 for w in words})))
+    assert "idiot" in r.words("the idi" + "o" * 80 + "t of")
+    assert "idiot" in r.words("the " + ("." * 12).join("idiot") + " of")
+    run = " ".join("".join("you are an idiot and nobody here will read what people say".split()))
+    assert {"idiot", "nobody", "people"} <= r.words(run)
+    assert "idiot" in r.text(run).split()
+    assert toxicity.features_of("x" * 41)
+    long = "idiot" * 20000 + "0"
+    assert len(r.model.decode(long)) in (len(long) - 1, len(long))
