@@ -2,14 +2,15 @@
 
 A text is its set of ``shingle``-word shingles (fewer words are one shingle). Of
 ``BANDS`` bands each is ``ROWS`` minimum hashes; texts that agree in a band are
-candidates. At a similarity s a pair is found with probability
+candidates. At a similarity s a pair agrees in a band with probability
 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at 0.8, more above. A candidate links only if the
 Jaccard similarity of the shingle sets is at least ``least``; classes are the connected
 components of such links.
 
 Equal texts are one row before anything is compared. In a bucket each text is compared
 with the ``NEXT`` that follow in the band's own pseudo-random order of texts, and with the
-bucket's first, so that pairs grow with the bucket, not with its square. Texts without
+bucket's first, so that pairs grow with the bucket, not with its square; other pairs of a
+bucket of more than nine texts can be missed. Texts without
 words are one class.
 """
 
