@@ -1,17 +1,23 @@
-"""Near copies by shingle sets: a wide search by MinHash bands, then an exact check.
-
-A text is its set of ``shingle``-word shingles (fewer words are one shingle). Of
-``BANDS`` bands each is ``ROWS`` minimum hashes; texts that agree in a band are
-candidates. At a similarity s a pair agrees in a band with probability
-1 - (1 - s ** ROWS) ** BANDS: 0.9993 at 0.8, more above. A candidate links only if the
-Jaccard similarity of the shingle sets is at least ``least``; classes are the connected
-components of such links.
-
-Equal texts are one row before anything is compared. In a bucket each text is compared
-with the ``NEXT`` that follow in the band's own pseudo-random order of texts, and with the
-bucket's first, so that pairs grow with the bucket, not with its square; other pairs of a
-bucket of more than nine texts can be missed. Texts without
-words are one class.
+"""Near copies by shingle sets: wide candidate search, then an exact check.
+
+A text is its set of ``shingle``-word shingles (fewer words are one shingle). Two texts
+link if the Jaccard similarity of these sets is at least ``least``, computed exactly;
+classes are the connected components of such links. Candidates come from two searches:
+
+* SimHash fingerprints of the same shingles, linked by ball hashing (simhash.py). At a
+  similarity of 0.8 two fingerprints of 64 bits differ in ten bits on average, so this
+  finds the closest copies only.
+* ``BANDS`` keys a text, each of ``ROWS`` minimum hashes. A pair of similarity s shares a
+  key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.997 at 0.8, 0.99999 at 0.9. This is
+  the only place where a link can be missed.
+
+Texts that share a key are compared without emitting all pairs of a bucket: first each
+with the bucket's smallest; links are contracted to classes; then, in buckets that hold
+several classes, the texts outside the largest class with all that are not of their own.
+A pair that is never compared lies in one class already, so no class is lost.
+
+Equal texts are one row before anything is compared. Texts without words are one class.
+Repeated rows are rows of their own in the result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptloom.llm import simhash
 from scriptloom.llm.common import pieces, store, words_of
 from scriptloom.llm.components import components
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS, NEXT = 24, 6, 8
+BANDS, ROWS = 32, 8
+#: Shingle sets that a worker keeps while it checks pairs.
+KEPT = 64
 _DRAW = np.random.default_rng(42)
 _MULTIPLY = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _ADD = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -51,10 +60,9 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
-def similarity(a: str | None, b: str | None, shingle: int = SHINGLE) -> float:
-    x, y = shingles_of(a, shingle), shingles_of(b, shingle)
+def _similar(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+    return both / (len(x) + len(y) - both)
 
 
 def _emitter(shingle: int):
@@ -71,19 +79,46 @@ def _emitter(shingle: int):
     return emit
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows (key, h) that come sorted by key and the band's order."""
-    last, first, recent = None, 0, []
-    for batch in batches:
-        a, b = [], []
-        for key, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if key != last:
-                last, first, recent = key, h, []
-            for x in {first, *recent} - {h}:
-                a.append(min(x, h))
-                b.append(max(x, h))
-            recent = [*recent[-(NEXT - 1) :], h]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _sorted_pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _fingerprint_pairs(texts: DataFrame, shingle: int) -> DataFrame:
+    """Candidates (a, b) among texts (h, text) whose fingerprints are alike or linked."""
+    prints = store(texts.select("h", simhash.fingerprint_column(F.col("text"), shingle).alias("fp")))
+    heads = store(prints.groupBy("fp").agg(F.min("h").alias("head")))
+    alike = prints.join(heads, "fp").where("h <> head").select(*_sorted_pair(F.col("h"), F.col("head")))
+    links = simhash.fingerprint_links(heads.select("fp")).distinct()
+    for side in ("a", "b"):
+        links = links.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}")), side)
+    return alike.unionAll(links.select(*_sorted_pair(F.col("head_a"), F.col("head_b"))))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes whose texts are near copies."""
+
+    @F.arrow_udf("double")
+    def jaccard(a: pa.Array, b: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        kept: dict[int, np.ndarray] = {}
+
+        def shingles(h: int, text: pa.StringScalar) -> np.ndarray:
+            found = kept.pop(h, None)
+            kept[h] = found = shingles_of(text.as_py(), shingle) if found is None else found
+            if len(kept) > KEPT:
+                del kept[next(iter(kept))]
+            return found
+
+        out = []
+        for i, j, s, t in zip(a.to_pylist(), b.to_pylist(), x, y, strict=True):
+            one, two = shingles(i, s), shingles(j, t)
+            fewer, more = sorted((len(one), len(two)))
+            # sets too unlike in size need no comparison; two of none are alike
+            out.append(1.0 if not more else 0.0 if fewer < least * more else _similar(one, two))
+        return pa.array(out, pa.float64())
+
+    left, right = (texts.select(F.col("h").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    scored = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard("a", "b", "text_a", "text_b").alias("s"))
+    return store(scored.where(F.col("s") >= least).select("a", "b"))
 
 
 def near_copy_classes(docs: DataFrame, text_hash: Column, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -91,19 +126,22 @@ def near_copy_classes(docs: DataFrame, text_hash: Column, shingle: int = SHINGLE
     rows = store(docs.select("doc_id", text_hash.alias("text_hash")))
     firsts = store(rows.groupBy("text_hash").agg(F.min("doc_id").alias("first_doc")))
     texts = store(docs.select(text_hash.alias("h"), "text").dropDuplicates(["h"]))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = texts.select("h", "text").mapInArrow(_emitter(shingle), "key long, h long")
-    met = keys.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("key", "h")).mapInArrow(_pairs, "a long, b long")
-    found = store(met.distinct())
-
-    @F.arrow_udf("double")
-    def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([similarity(s.as_py(), t.as_py(), shingle) if s.is_valid and t.is_valid else None for s, t in zip(x, y, strict=True)], pa.float64())
-
-    left, right = (texts.select(F.col("h").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    scored = found.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b", jaccard("text_a", "text_b").alias("s"))
-    wordless = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[\\x20\\x09-\\x0D]", "") == ""
-    links = scored.where((F.col("s") >= least) | (wordless("text_a") & wordless("text_b"))).select("a", "b")
+    keys = store(texts.select("h", "text").mapInArrow(_emitter(shingle), "key long, h long"))
+    leaders = keys.groupBy("key").agg(F.min("h").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    met = store(keys.join(leaders, "key"))
+    first = met.where("h <> leader").select(*_sorted_pair(F.col("h"), F.col("leader")))
+    tried = store(first.unionAll(_fingerprint_pairs(texts, shingle)).distinct())
+    links = _verified(tried, texts, shingle, least)
+    # what is left: pairs across the classes of a bucket
+    roots = components(links).select(F.col("node").alias("h"), "root")
+    classed = store(met.join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("class")))
+    per = classed.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = per.agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main")).where("classes > 1")
+    several = store(classed.join(mixed.select("key", "main"), "key"))
+    if not several.isEmpty():
+        minor = several.where("class <> main").select("key", F.col("h").alias("x"), F.col("class").alias("of"))
+        across = minor.join(several, "key").where("of <> class").select(*_sorted_pair(F.col("x"), F.col("h"))).distinct()
+        links = links.unionAll(_verified(store(across.join(tried, ["a", "b"], "left_anti")), texts, shingle, least))
     roots = components(links).withColumnRenamed("node", "text_hash")
     linked = store(firsts.join(roots, "text_hash"))
     smallest = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))

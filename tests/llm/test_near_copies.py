@@ -1,13 +1,40 @@
-"""The pipeline's near-copy stage against all pairs."""
+"""Near copies against all pairs."""
 
 import random
 
 import corpus_pipeline
+from scriptloom.llm import near_copies
+from scriptloom.llm.stages import text_hash
 
 
 def shingles(text):
-    w = text.split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = low.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_classes(texts):
+    """The place of the first member of each text's class."""
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if parent[i] != parent[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    return parent
+
+
+def changed(words, n, rng, word):
+    copy = list(words)
+    for at in rng.sample(range(len(words) // 10), n):
+        copy[at * 10 + 4] = word()
+    return copy
+
+
+def documents(spark, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def test_links_are_all_pairs_of_four_fifths(spark):
@@ -17,18 +44,35 @@ def test_links_are_all_pairs_of_four_fifths(spark):
     for _ in range(40):
         base = [word() for _ in range(100)]
         texts.append(" ".join(base))
-        for changed in (1, 2, 3, 4):
-            copy = list(base)
-            for at in rng.sample(range(10), changed):
-                copy[at * 10 + 4] = word()
-            texts.append(" ".join(copy))
-    sets = [shingles(t) for t in texts]
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    parent = list(range(len(texts)))
-    for i, j in near:
-        a, b = parent[i], parent[j]
-        parent = [min(a, b) if p in (a, b) else p for p in parent]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert near and any(p != i for i, p in enumerate(parent))
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
-    assert kept == {i for i, p in enumerate(parent) if p == i}
+        texts += [" ".join(changed(base, n, rng, word)) for n in (1, 2, 3, 4)]
+    want = brute_classes(texts)
+    assert any(c != i for i, c in enumerate(want)) and len(set(want)) > 40
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), "").collect()}
+    assert kept == set(want)
+
+
+def test_large_buckets_of_several_classes(spark, monkeypatch):
+    """With one hash a key, unlike texts meet in large buckets; classes must stay whole, and
+    so must chains whose ends are unlike."""
+    monkeypatch.setattr(near_copies, "_fingerprint_pairs", lambda texts, shingle: texts.selectExpr("h as a", "h as b").limit(0))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared, texts = [word() for _ in range(60)], ["", None, " "]
+    for _ in range(12):
+        chain = shared + [word() for _ in range(60)]
+        for _ in range(10):
+            texts.append(" ".join(chain))
+            chain = changed(chain, 2, rng, word)
+    want = brute_classes(["" if t is None else t for t in texts])
+    docs = documents(spark, texts)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_classes(docs, text_hash()).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 2 < len(set(want)) < len(texts) / 2
+
+
+def test_recall_on_the_documents(spark):
+    """Every class that all pairs of the table's texts give, with ids that repeat or lack."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    want = brute_classes([r.text for r in rows])
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_classes(docs, text_hash()).collect()}
+    assert [got[r.doc_id] for r in rows] == [rows[c].doc_id for c in want]

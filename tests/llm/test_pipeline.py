@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scriptloom.llm import queries, secret_scan, toxicity
-from tests.llm.test_simhash import brute_classes, brute_fingerprint
+from tests.llm.test_near_copies import brute_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,11 +29,8 @@ def test_stages_in_order(spark):
     assert {r.doc_id for r in got.collect()} == set(kept)
 
     ids = sorted(kept)
-    classes = brute_classes([brute_fingerprint(kept[i].text) for i in ids])
-    firsts = {}
-    for i, c in zip(ids, classes):
-        firsts.setdefault(c, i)
-    kept = {i: kept[i] for i in firsts.values()}
+    classes = brute_classes([kept[i].text for i in ids])
+    kept = {i: kept[i] for i, c in zip(ids, classes) if ids[c] == i}
     got = corpus_pipeline.drop_near_duplicates(spark, got, SF)
     assert got.columns == names and sorted(r.doc_id for r in got.collect()) == sorted(kept)
 
