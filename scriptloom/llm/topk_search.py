@@ -1,33 +1,38 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors become integers, floor(SCALE * x). They are grouped by length (buckets whose
-lengths differ by a factor of at most ``RATIO``), a bucket with many rows is dealt into
-blocks by hash. A query needs at most theta = its k-th best score so far; against a
-block with greatest length l, only vectors with a cosine of at least
-theta / (|q| l), the local threshold, can matter:
-
-* above 1: the block is skipped;
-* at least ``STEEP``: coordinate pruning. On the query's largest coordinates, a vector
-  with such a cosine lies in a known interval; only vectors in all intervals remain;
+lengths differ by a factor of at most ``RATIO``); a bucket with many rows is dealt into
+blocks by hash. Blocks are visited from the longest on, in rounds. Before each round a
+query's theta is its k-th best score so far; against a block whose greatest length is l,
+only vectors with a cosine of at least theta / (|q| l), the local threshold, can matter:
+
+* above 1: the pair is skipped. A block of queries is not even sent to the blocks of
+  vectors that are too short for all its queries;
+* from the block's own bound on: coordinate pruning. On the query's largest coordinates,
+  a vector with such a cosine lies in a known interval; only vectors in all intervals
+  remain;
 * else: length pruning. Of the block, sorted by length, only the head with
   |q| |v| >= theta remains.
 
-What remains is verified by exact products, so pruning never changes a result. The
-first theta comes from ``SEEDS`` of the longest vectors, a fixed number.
-
-Query blocks (a stated query set) meet every vector block on a block number; both are
-single rows of bounded size. The heads of the blocks' results are merged by query.
+A block is read in parts that double in size, each of which raises theta for the next.
+The bound and the number of coordinates are chosen for each part on a few of its
+queries, by what either pruning would cost (``tuned``). What remains is verified by
+exact products, so pruning never changes a result. The first theta comes from ``SEEDS``
+of the longest vectors, a fixed number.
 
 Vectors that are null or hold null or non-finite components take no part. Vectors of
 different dimensions are compared as if shorter ones ended in zeros; empty ones have
-length 0. An id that repeats counts once, with its best score; rows with the query's
-own id are no candidates. Null ids take no part. No candidates: no rows. Scores are
-exact in 64 bits for components up to 2**26 / dimension; beyond, arithmetic is on Python
-integers and a score outside 64 bits becomes the nearest one inside.
+length 0. Rows alike in id and vector count once. An id with several vectors is one
+query and one candidate, and the best score between any of the vectors of two ids is
+theirs; rows with the query's own id are no candidates. Null ids take no part. No
+candidates: no rows. Scores are exact in 64 bits for components up to 2**26 / dimension;
+beyond, arithmetic is on Python integers and a score outside 64 bits becomes the nearest
+one inside.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +42,16 @@ from pyspark.sql import functions as F
 
 from scriptloom.llm.common import parts, store
 
-SCALE, RATIO, STEEP, SEEDS = 64, 1.1, 0.6, 2048
-BLOCK, QUERY_BLOCK, FOCUS = 8192, 2048, 3
+SCALE, RATIO, SEEDS = 64, 1.1, 2048
+BLOCK, QUERY_BLOCK = 8192, 2048
+#: Shares of the blocks after which thetas are raised.
+ROUNDS = (1 / 16, 1 / 4)
+#: The first part of a block that is read, as a divisor.
+LEAD = 16
+#: Queries that a part is tuned on, the numbers of coordinates it chooses from, and costs,
+#: where one component of a product within a matrix product costs 1: looking at a
+#: coordinate of a vector, verifying a component of a gathered vector, a query by itself.
+TUNED_ON, FOCUS, LOOK, GATHER, ALONE = 8, (1, 2, 3, 4, 6), 12.0, 10.0, 300_000.0
 
 
 def integers(vector: Column) -> Column:
@@ -48,7 +61,7 @@ def integers(vector: Column) -> Column:
 
 
 class Block:
-    """Vectors of a block, longest first, with sorted coordinates on demand."""
+    """Vectors of a block, longest first."""
 
     def __init__(self, ids, rows: list[np.ndarray], dim: int):
         matrix = np.zeros((len(rows), dim))
@@ -57,28 +70,32 @@ class Block:
         length = np.sqrt((matrix * matrix).sum(axis=1))
         order = np.lexsort((ids, -length))
         self.ids, self.matrix, self.length = np.asarray(ids, np.int64)[order], matrix[order], length[order]
-        self._sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def coordinate(self, f: int) -> tuple[np.ndarray, np.ndarray]:
-        if f not in self._sorted:
-            unit = self.matrix[:, f] / np.where(self.length > 0, self.length, 1)
-            order = np.argsort(unit, kind="stable")
-            self._sorted[f] = order, unit[order]
-        return self._sorted[f]
-
-    def near(self, unit: np.ndarray, cosine: float) -> np.ndarray:
-        """Places of the vectors whose largest query coordinates allow such a cosine."""
-        keep = None
-        for f in np.argsort(-np.abs(unit))[:FOCUS]:
-            order, values = self.coordinate(int(f))
+        self._units: dict[int, np.ndarray] = {}
+
+    def coordinate(self, f: int) -> np.ndarray:
+        """One coordinate of all unit vectors."""
+        if f not in self._units:
+            self._units[f] = self.matrix[:, f] / np.where(self.length > 0, self.length, 1)
+        return self._units[f]
+
+    def head(self, theta: float, length: float) -> int:
+        """Vectors that are long enough for the score."""
+        if theta <= 0 or not length:
+            return len(self.length) if theta <= 0 else 0
+        return int(np.searchsorted(-self.length, -(theta / length) * (1 - 1e-12), side="right"))
+
+    def near(self, unit: np.ndarray, cosine: float, focus: int, begin: int, end: int) -> np.ndarray:
+        """Places from ``begin`` to ``end`` of the vectors that the query's largest
+        coordinates allow to have such a cosine."""
+        at = None
+        for f in np.argsort(-np.abs(unit), kind="stable")[:focus].tolist():
             mid, half = unit[f] * cosine, np.sqrt(max(0.0, (1 - unit[f] ** 2) * (1 - cosine**2)))
             low = -1.0 if unit[f] < 0 and -unit[f] >= cosine else mid - half
             high = 1.0 if unit[f] >= cosine else mid + half
-            a, b = np.searchsorted(values, low - 1e-9), np.searchsorted(values, high + 1e-9, side="right")
-            here = np.zeros(len(values), bool)
-            here[order[a:b]] = True
-            keep = here if keep is None else keep & here
-        return np.flatnonzero(keep)
+            values = self.coordinate(f)[begin:end] if at is None else self.coordinate(f)[at]
+            inside = np.flatnonzero((values >= low - 1e-9) & (values <= high + 1e-9))
+            at = begin + inside if at is None else at[inside]
+        return np.arange(begin, end) if at is None else at
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -106,38 +123,66 @@ def _best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.nda
     return ids[first], scores[first]
 
 
-def search(query_ids, queries: np.ndarray, theta: np.ndarray, block: Block, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of each query's best in a block, no worse than theta."""
+def tuned(block: Block, begin: int, end: int, queries: np.ndarray, lengths: np.ndarray, heads: np.ndarray, cosine: np.ndarray) -> tuple[float, int]:
+    """(least cosine for coordinate pruning, number of coordinates) for a part of a block:
+    of the sample, the split that costs least. Above 1: never."""
+    steepest = np.argsort(-cosine, kind="stable")
+    some = steepest[np.unique(np.linspace(0, len(steepest) - 1, TUNED_ON).astype(int))]
+    dim = block.matrix.shape[1]
+    by_length = (heads[some] - begin) * float(dim)
+    best = (0.0, 2.0, 1)
+    for focus in FOCUS:
+        left = np.array([len(block.near(queries[i] / lengths[i], cosine[i], focus, begin, end)) for i in some])
+        saved = np.cumsum(by_length - (LOOK * (end - begin) * (1 + focus / 8) + GATHER * left * dim + ALONE))
+        at = int(np.argmax(saved))
+        if saved[at] > best[0]:
+            best = (saved[at], float(cosine[some[at]]), focus)
+    return best[1:]
+
+
+def search(query_ids, queries: np.ndarray, theta: np.ndarray, block: Block, k: int, tally: Counter | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, ids, scores) of each query's best in a block, no worse than theta, in
+    several parts. The block is read from its longest vectors on in parts that double;
+    what a part yields raises theta for the next. ``tally`` counts the products that
+    each way was spared or has verified."""
     lengths = np.sqrt((queries * queries).sum(axis=1))
-    most = block.length[0] if len(block.length) else 0.0
-    whole: list[tuple[int, int]] = []
-    for i, q in enumerate(queries):
-        room = lengths[i] * most
-        if theta[i] > room * (1 + 1e-12):
+    theta, n, counts = theta.copy(), len(block.length), Counter()
+    end = 0
+    while end < n:
+        begin, end = end, min(n, max(2 * end, n // LEAD, 4 * k))
+        room = lengths * block.length[begin]
+        able = np.flatnonzero(theta <= room * (1 + 1e-12))
+        counts["skipped"] += (len(theta) - len(able)) * (end - begin)
+        if not len(able):
             continue
-        cosine = theta[i] / room if room else 0.0
-        if cosine >= STEEP:
-            at = block.near(q / lengths[i], min(1.0, cosine))
-            ids, scores = _best(block.ids[at], products(q[None, :], block.matrix[at])[0], query_ids[i], k)
-            good = scores >= theta[i]
-            if good.any():
-                yield query_ids[i], ids[good], scores[good]
-        else:
-            head = len(block.length)
-            if theta[i] > 0:
-                head = int(np.searchsorted(-block.length, -(theta[i] / lengths[i]) * (1 - 1e-12), side="right"))
-            if head:
-                whole.append((i, head))
-    for at in range(0, len(whole), 256):
-        some = whole[at : at + 256]
-        head = max(h for _, h in some)
-        scored = products(queries[[i for i, _ in some]], block.matrix[:head])
-        for (i, h), scores in zip(some, scored, strict=True):
-            ids, scores = block.ids[:h], scores[:h]
+        heads = np.array([min(end, max(begin, block.head(theta[i], lengths[i]))) for i in able])
+        cosine = np.minimum(1.0, np.divide(theta[able], room[able], out=np.zeros(len(able)), where=room[able] > 0))
+        steep, focus = (2.0, 1)
+        if (known := np.flatnonzero(cosine > 0)).size:
+            steep, focus = tuned(block, begin, end, queries[able[known]], lengths[able[known]], heads[known], cosine[known])
+        alone = cosine >= steep
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for i, c in zip(able[alone].tolist(), cosine[alone].tolist(), strict=True):
+            at = block.near(queries[i] / lengths[i], c, focus, begin, end)
+            counts["pruned by coordinates"] += end - begin - len(at)
+            counts["verified after coordinates"] += len(at)
+            found.append((i, block.ids[at], products(queries[i][None, :], block.matrix[at])[0]))
+        whole, heads = able[~alone], heads[~alone]
+        counts["pruned by length"] += int((end - heads).sum())
+        counts["verified after length"] += int((heads - begin).sum())
+        for a in range(0, len(whole), 256):
+            some, most = whole[a : a + 256], heads[a : a + 256]
+            scored = products(queries[some], block.matrix[begin : most.max()])
+            found += [(i, block.ids[begin:h], x[: h - begin]) for i, h, x in zip(some.tolist(), most.tolist(), scored, strict=True)]
+        for i, ids, scores in found:
             good = scores >= theta[i]
             ids, scores = _best(ids[good], scores[good], query_ids[i], k)
+            if len(scores) == k:
+                theta[i] = max(theta[i], scores[-1])
             if len(ids):
                 yield query_ids[i], ids, scores
+    if tally is not None:
+        tally.update(counts)
 
 
 def _matrix(rows: list[np.ndarray], dim: int) -> np.ndarray:
@@ -154,63 +199,42 @@ def _vectors(lists) -> list[np.ndarray]:
 
 
 _MADE = "query_id long, vec_id long, score long"
+_ASKED = "qpart long, query_ids array<long>, queries array<array<double>>, lengths array<double>, theta array<double>"
 
 
-def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best other rows for every row of the query
-    set, all if there are fewer."""
-    read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col)).alias("q"), is_query.alias("asks"))
-    rows = read.where("q is not null and vec_id is not null").withColumn("length", F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x)))
-    rows = store(rows.withColumn("bucket", F.when(F.col("length") < 1, F.lit(-1)).otherwise(F.floor(F.log("length") / F.log(F.lit(RATIO)))).cast("int")))
-    # lengths span at most log(2**1024) / log(RATIO) buckets
-    sizes = {r.bucket: r.n for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    firsts, total = {}, 0
-    for b, n in sorted(sizes.items()):
-        firsts[b], total = (total, parts(n, BLOCK)), total + parts(n, BLOCK)
-
-    def of_bucket(at: int) -> Column:
-        return F.create_map(*[F.lit(x) for b, f in firsts.items() for x in (b, f[at])])[F.col("bucket")]
-
-    spread = F.xxhash64("vec_id")
-    number = (of_bucket(0) + F.pmod(spread, of_bucket(1))).cast("int").alias("block")
-    blocks = rows.groupBy(number).agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))
-    blocks = store(blocks.select("block", F.col("rows.vec_id").alias("ids"), F.col("rows.q").alias("vectors")))
+def _number(bucket: Column, firsts: dict[int, tuple[int, int]], spread: Column) -> Column:
+    """The block of a row: one of its bucket's."""
+    first, many = (F.create_map(*[F.lit(x) for b, f in firsts.items() for x in (b, f[at])])[bucket] for at in (0, 1))
+    return (first + F.pmod(spread, many)).cast("int")
 
-    seeds = rows.select("vec_id", "q", "length").orderBy(F.desc("length"), "vec_id").limit(SEEDS).collect()
-    seed_rows, seed_ids = [np.array(r.q) for r in seeds], [r.vec_id for r in seeds]
 
-    asked = rows.where("asks").groupBy("vec_id").agg(F.min("q").alias("q"))
-    n_asked = store(asked)
-    per = parts(n_asked.count(), QUERY_BLOCK)
-    packed = n_asked.groupBy(F.pmod(spread, F.lit(per)).alias("qpart")).agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))
+def _first_thetas(seeds: list, k: int):
+    """Query blocks with their lengths and the thetas that the seeds give."""
+    seed_rows, seed_ids = [np.array(r.q) for r in seeds], np.array([r.vec_id for r in seeds], np.int64)
 
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, ids, vectors in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                asked_rows = _vectors(vectors.values)
-                dim = max(map(len, asked_rows + seed_rows), default=0)
-                block = Block(np.array(seed_ids, np.int64), seed_rows, dim)
-                query_ids = ids.values.to_numpy(zero_copy_only=False)
-                theta = np.full(len(query_ids), -np.inf)
-                best = search(query_ids, _matrix(asked_rows, dim), theta, block, k)
-                place = {q: i for i, q in enumerate(query_ids.tolist())}
-                for q, found, scores in best:
-                    if len(found) == k:
-                        theta[place[int(q)]] = scores[-1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.as_py()], pa.int64()), pa.array([query_ids.tolist()], pa.list_(pa.int64())), vectors_of(vectors), pa.array([theta.tolist()], pa.list_(pa.float64()))],
-                    names=["qpart", "query_ids", "queries", "theta"],
-                )
-
-    def vectors_of(scalar) -> pa.Array:
-        return pa.array([scalar.as_py()], pa.list_(pa.list_(pa.float64())))
-
-    asked_blocks = packed.select(F.col("qpart").cast("long"), F.col("rows.vec_id").alias("ids"), F.col("rows.q").alias("vectors"))
-    asked_blocks = store(asked_blocks.mapInArrow(bounds, "qpart long, query_ids array<long>, queries array<array<double>>, theta array<double>"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, ids, vectors in zip(*[batch.column(i) for i in range(3)], strict=True):
+                rows = _vectors(vectors.values)
+                dim = max(map(len, rows + seed_rows), default=0)
+                queries, query_ids = _matrix(rows, dim), ids.values.to_numpy(zero_copy_only=False)
+                theta, block = np.full(len(rows), -np.inf), Block(seed_ids, seed_rows, dim)
+                for a in range(0, len(rows), 256):
+                    for i, scores in enumerate(products(queries[a : a + 256], block.matrix), a):
+                        _, best = _best(block.ids, scores, query_ids[i], k)
+                        if len(best) == k:
+                            theta[i] = best[-1]
+                columns = [pa.array([part.as_py()], pa.int64()), pa.array([query_ids.tolist()], pa.list_(pa.int64())), pa.array([vectors.as_py()], pa.list_(pa.list_(pa.float64())))]
+                columns += [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (np.sqrt((queries * queries).sum(axis=1)), theta)]
+                yield pa.RecordBatch.from_arrays(columns, names=["qpart", "query_ids", "queries", "lengths", "theta"])
+
+    return run
+
+
+def _verify(k: int):
+    """The best of each query from rows (ids, vectors, query_ids, queries, theta)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, vectors, query_ids, queries, theta in zip(*[batch.column(i) for i in range(5)], strict=True):
                 block_rows, asked_rows = _vectors(vectors.values), _vectors(queries.values)
@@ -223,9 +247,54 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k:
                         names=["query_id", "vec_id", "score"],
                     )
 
-    at = F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("block")
-    met = blocks.join(asked_blocks.select("*", at), "block")
-    made = met.select("ids", "vectors", "query_ids", "queries", "theta").mapInArrow(verify, _MADE)
-    once = made.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return run
+
+
+def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best other rows for every row of the query
+    set, all if there are fewer."""
+    read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col)).alias("q"), is_query.alias("asks"))
+    once = read.where("q is not null and vec_id is not null").groupBy("vec_id", "q").agg(F.bool_or("asks").alias("asks"))
+    rows = once.withColumn("length", F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x)))
+    rows = store(rows.withColumn("bucket", F.when(F.col("length") < 1, F.lit(-1)).otherwise(F.floor(F.log("length") / F.log(F.lit(RATIO)))).cast("int")))
+    # lengths span at most log(2**1024) / log(RATIO) buckets
+    sizes = {r.bucket: r for r in rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()}
+    if not sizes:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
+    firsts, total, reaches = {}, 0, []
+    for b in sorted(sizes, reverse=True):
+        firsts[b] = (total, parts(sizes[b].n, BLOCK))
+        total += firsts[b][1]
+        reaches.append((float(sizes[b].longest), total))
+    spread = F.xxhash64("vec_id", "q")
+    blocks = rows.groupBy(_number(F.col("bucket"), firsts, spread).alias("block")).agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))
+    blocks = store(blocks.select("block", F.col("rows.vec_id").alias("ids"), F.col("rows.q").alias("vectors")))
+
+    seeds = rows.select("vec_id", "q", "length").orderBy(F.desc("length"), "vec_id", "q").limit(SEEDS).collect()
+    asked = rows.where("asks")
+    per = parts(asked.count(), QUERY_BLOCK)
+    packed = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(per)).alias("qpart")).agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))
+    packed = packed.select(F.col("qpart").cast("long"), F.col("rows.vec_id").alias("ids"), F.col("rows.q").alias("vectors"))
+    asking = store(packed.mapInArrow(_first_thetas(seeds, k), _ASKED))
+
+    # the blocks that are long enough for one of the queries, from the longest on
+    needed = F.zip_with("theta", "lengths", lambda t, n: F.when(n > 0, t / n).when(t > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
+    least = F.array_min(needed) * (1 - 1e-9)
+    reach = F.aggregate(F.array(*[F.struct(F.lit(x).alias("l"), F.lit(n).alias("n")) for x, n in reaches]), F.lit(0), lambda s, r: F.when(r["l"] >= least, F.greatest(s, r["n"])).otherwise(s))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    cuts = sorted({-(-total * share // 1) for share in ROUNDS} | {total})
+    best, low = None, 0
+    for high in map(int, cuts):
+        to = F.least(reach, F.lit(high))
+        sent = asking.select("*", to.alias("to")).where(F.col("to") > low).select("*", F.explode(F.sequence(F.lit(low), F.col("to") - 1)).alias("block"))
+        made = blocks.join(sent, "block").select("ids", "vectors", "query_ids", "queries", "theta").mapInArrow(_verify(k), _MADE)
+        made = made if best is None else made.unionAll(best.select("query_id", "vec_id", "score"))
+        scored = made.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", place).where(F.col("rank") <= k)
+        if high == total:
+            return scored.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best, low = store(scored), high
+        raised = best.where(F.col("rank") == k).select("query_id", "score", F.pmod(F.xxhash64("query_id"), F.lit(per)).cast("long").alias("qpart"))
+        raised = raised.groupBy("qpart").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.col("score").cast("double")))).alias("bars"))
+        higher = F.zip_with("query_ids", "theta", lambda i, t: F.greatest(t, F.coalesce(F.col("bars")[i], t)))
+        asking = store(asking.join(raised, "qpart", "left").select("qpart", "query_ids", "queries", "lengths", F.when(F.col("bars").isNull(), F.col("theta")).otherwise(higher).alias("theta")))
+    raise AssertionError("the last round returns")

@@ -73,33 +73,90 @@ def test_shuffled_decontamination_is_the_same(spark, monkeypatch):
 def brute_top(rows, k):
     import math
 
-    vectors = {i: [math.floor(64 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    vectors = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            vectors.setdefault(i, []).append([math.floor(64 * x) for x in v])
     out = []
-    for q, a in vectors.items():
+    for q, mine in vectors.items():
         if q % 2 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors.items() if i != q)
+            scored = sorted((-max(sum(x * y for x, y in zip(a, b)) for a in mine for b in theirs), i) for i, theirs in vectors.items() if i != q)
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("steep", [0.0, 0.6, 2.0])
-def test_top_k_with_each_pruning(spark, monkeypatch, steep):
+@pytest.mark.parametrize("choice", [(0.0, 2), (0.6, 3), (2.0, 1), None])
+def test_top_k_with_each_pruning(spark, monkeypatch, choice):
     import random
 
-    monkeypatch.setattr(topk_search, "STEEP", steep)
-    monkeypatch.setattr(topk_search, "BLOCK", 40)
+    if choice:
+        monkeypatch.setattr(topk_search, "tuned", lambda *_: choice)
+    monkeypatch.setattr(topk_search, "BLOCK", 20)
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 16)
     monkeypatch.setattr(topk_search, "SEEDS", 30)
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) * rng.choice([0.02, 1, 1, 8]) for _ in range(6)]) for i in range(150)]
     rows += [(200 + i, [1.0, 1.0, 1.0, 1.0, 1.0, 1.0]) for i in range(60)]
+    # an id with several vectors, and rows that repeat
+    rows += [(400, [1.0] + [0.0] * 5), (400, [0.0, 1.0] + [0.0] * 4), (401, [9.0] + [0.0] * 5), (401, [0.0, -9.0] + [0.0] * 4)] + [(402, [0.5] * 6)] * 100
     rows += [(300, None), (301, [1.0, None]), (302, [float("nan")]), (304, [float("inf")]), (306, []), (308, [0.0] * 6), (310, [2.0]), (None, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(3)
     got = topk_search.top_k(df, "vec_id", "embedding", F.col("vec_id") % 2 == 0, 5).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, 5)
     assert topk_search.top_k(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 2 == 0, 5).collect() == []
 
 
+@pytest.mark.parametrize("dim,centres,sigma,way", [(32, 40, 0.7, "skipped"), (32, 4000, 0.3, "pruned by length")])
+def test_top_k_prunes_by_length_and_direction(dim, centres, sigma, way):
+    """Vectors of many or few lengths and directions: the way that should spare products
+    does, and no result is lost."""
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(centres, dim))
+    middle /= np.linalg.norm(middle, axis=1)[:, None] / 5
+    vectors = middle[rng.integers(0, centres, 8000)] + 0.02 * rng.normal(size=(8000, dim))
+    vectors = np.floor(64 * vectors * rng.lognormal(0, sigma, 8000)[:, None])
+    bucket = np.floor(np.log(np.sqrt((vectors**2).sum(axis=1))) / np.log(topk_search.RATIO))
+    best, tally = {i: [] for i in range(0, 8000, 80)}, Counter()
+    queries = vectors[list(best)]
+    for b in sorted(set(bucket), reverse=True):
+        at = np.flatnonzero(bucket == b)
+        theta = np.array([sorted(s)[-10] if len(s) >= 10 else -np.inf for s in best.values()])
+        block = topk_search.Block(at, list(vectors[at]), dim)
+        for q, _, scores in topk_search.search(np.array(list(best)), queries, theta, block, 10, tally):
+            best[int(q)] += scores.tolist()
+    for q, scores in best.items():
+        assert sorted(scores)[-10:] == sorted(np.delete(vectors @ vectors[q], q))[-10:]
+    assert sum(tally.values()) == 100 * 8000
+    print(dim, centres, sigma, {name: round(n / (100 * 8000), 3) for name, n in tally.items()})
+    assert tally[way] > 0.005 * 100 * 8000
+
+
+def test_tuning_takes_coordinates_where_they_cost_less():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(20, 512))
+    middle /= np.linalg.norm(middle, axis=1)[:, None] / 5
+    vectors = np.floor(64 * (middle[rng.integers(0, 20, 8000)] + 0.02 * rng.normal(size=(8000, 512))))
+    block = topk_search.Block(np.arange(8000), list(vectors), 512)
+    queries = vectors[:100]
+    lengths = np.sqrt((queries**2).sum(axis=1))
+    scores = queries @ block.matrix.T
+    theta = np.sort(scores, axis=1)[:, -10]
+    cosine = np.minimum(1, theta / (lengths * block.length[4000]))
+    steep, focus = topk_search.tuned(block, 4000, 8000, queries, lengths, np.full(100, 8000), cosine)
+    assert steep <= cosine.max() and focus > 1
+    for i in range(100):
+        at = block.near(queries[i] / lengths[i], cosine[i], focus, 4000, 8000)
+        assert set(4000 + np.flatnonzero(scores[i, 4000:] >= theta[i])) <= set(at) and len(at) < 800
+    # low thresholds, short vectors: the matrix product costs less
+    assert topk_search.tuned(block, 0, 500, queries, lengths, np.full(100, 500), np.full(100, 0.2))[0] > 1
+
+
 def test_top_k_large_components(spark):
     rows = [(0, [1e12, -3e12]), (2, [2e12, 1e12]), (3, [1e12, 1e12]), (3, [1e12, 1e12])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
