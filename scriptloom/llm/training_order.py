@@ -1,44 +1,68 @@
 """Training-order materialisation of token sequences as binary shards.
 
-Documents are encoded, joined with an end id after each, and cut into sequences of
-``length`` tokens per input partition (the last one padded). Sequence j of partition p
-has the index p * 2**32 + j. A keyed Feistel network over the next power of four,
-cycle-walked into the index space, is a permutation: it gives every sequence its place
-from its index alone, without a sort or any state, and without a first pass that counts.
-Equal ranges of places are the shards. A shard's file holds its sequences in order, each
-as ``length`` little-endian 16-bit ids and one line feed. A sequence's global slot is
-its rank among all places: the records of the shards before (their file lengths over
-the stride) and its own place in the file. So a reader resumes anywhere by a division.
-
-The texts are encoded once and sequences shuffled once to their shard. Spark's own text
-writer writes the bytes, so any store works, tasks are retried and a job's files appear
-together. ``done`` lists shards that an earlier run has written; they are left out
-before the shuffle.
-
-A retried task must read the same rows in the same order, as file scans do. Null and
-empty texts contribute an end id. No rows give no sequences and no files. Ids must fit
-16 bits, a partition 2**32 sequences.
+Documents are taken in the order of their ids (equal ids by the hash of the text; rows
+alike in both are interchangeable), each followed by an end id, and the whole stream is
+cut into sequences of ``length`` tokens, the last one padded. Sequence i of n goes to the
+slot that a keyed Feistel network over the next power of four, cycle-walked into
+0..n-1, gives: a permutation, so that every sequence knows its slot from its number
+alone. Shard s holds the slots from s * per_shard on, as many records as that, the last
+shard the rest. A record is ``length`` little-endian 16-bit ids and one line feed, so a
+slot is found by a division and a seek. Neither the sequences nor their slots depend on
+how the input is partitioned.
+
+Steps, each of them restartable:
+
+1. Texts are encoded once, in blocks of whole documents, to a table bucketed by the
+   task that wrote them.
+2. Numbers of tokens, with no token, are sorted by document; sums by task and one sum a
+   task give every document's place in the stream. These places are bucketed likewise,
+   so that they meet the blocks without moving a token.
+3. Every block is cut at the sequence borders. Its pieces travel once, compressed and
+   one row for each shard they go to; a shard's task lays them out and writes its file.
+
+``done`` lists shards that are already written; they are left out before the shuffle.
+Spark's own text writer writes the bytes, so any store works, tasks are retried and a
+job's files appear together. Null and empty texts contribute an end id. No rows give no
+sequences and no files. Ids must fit 16 bits; others raise.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.decontamination import sized
+from scriptloom.llm.common import file_system, remove, shared_dir, sized, store
 
 Encoder = Callable[[str | None], np.ndarray]
 PAD = 0
-#: Index space of a partition.
-ROOM = 1 << 32
-#: Fixes the number of shards only: with more bytes a token, shards hold fewer sequences.
-BYTES_PER_TOKEN = 2.5
+#: Tokens and documents of a block at most, and tokens that a task deals out at once.
+BLOCK_TOKENS, BLOCK_DOCS, AT_ONCE = 1 << 20, 4096, 1 << 23
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What a reader needs to find a slot."""
+
+    length: int
+    per_shard: int
+    sequences: int
+
+    @property
+    def stride(self) -> int:
+        return 2 * self.length + 1
+
+    @property
+    def shards(self) -> int:
+        return -(-self.sequences // self.per_shard)
 
 
 class Permutation:
@@ -81,77 +105,209 @@ class Permutation:
         return self._walk(slot, True)
 
 
-def stride(length: int) -> int:
-    return 2 * length + 1
+class Bucketed:
+    """A table in the shared folder, bucketed by a column: two of them with as many buckets
+    join on it without an exchange."""
+
+    def __init__(self, df: DataFrame, column: str, buckets: int):
+        self.spark, self.path, self.name = df.sparkSession, shared_dir(df.sparkSession), f"scriptloom_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, column).option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+        remove(self.spark, self.path)
 
 
-def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str, length: int = 1024, per_shard: int = 4096, done: list[int] | None = None) -> int:
-    """Write the shards of ``docs`` (column text) below ``folder``; the number of shards,
-    of about ``per_shard`` sequences each. ``encoder`` makes, on a worker, a function
-    that gives a text's ids."""
-    texts = docs.select("text")
-    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 2).alias("n")).first().n or 0
-    shards = max(1, -(-size // int(BYTES_PER_TOKEN * length * per_shard)))
-    domain = max(1, texts.rdd.getNumPartitions()) * ROOM
-    width = -(-domain // shards)
-    order = Permutation(domain, key)
-    skip = np.array(sorted(done or []), dtype=np.int64)
+def _encode(encoder: Callable[[], Encoder]):
+    """Blocks of encoded documents from rows (doc_id, hash, text)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = encoder(), TaskContext.get().partitionId() * ROOM
-        rest = np.zeros(0, np.uint16)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part, block = encoder(), TaskContext.get().partitionId(), 0
+        keys, hashes, held, size = [], [], [], 0
 
-        def rows(tokens: np.ndarray) -> pa.RecordBatch:
-            nonlocal number
-            whole = tokens.astype("<u2").reshape(-1, length)
-            slot = order.slots(np.arange(number, number + len(whole)))
-            number += len(whole)
-            keep = ~np.isin(slot // width, skip)
-            ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), int(keep.sum()), [None, pa.py_buffer(whole[keep].tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(slot[keep]), pa.array((slot[keep] // width).astype(np.int32)), ids.cast(pa.binary())], names=["place", "shard", "ids"])
+        def made() -> pa.RecordBatch:
+            nonlocal block, keys, hashes, held, size
+            tokens = np.concatenate(held)
+            if len(tokens) and not 0 <= tokens.min() <= tokens.max() < 1 << 16:
+                raise ValueError("an id does not fit 16 bits")
+            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([hashes], pa.list_(pa.int64()))]
+            columns += [pa.array([[len(x) for x in held]], pa.list_(pa.int32())), pa.array([tokens.astype("<u2").tobytes()])]
+            block, keys, hashes, held, size = block + 1, [], [], [], 0
+            return pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys", "hashes", "counts", "ids"])
 
         for batch in batches:
-            held, size = [rest], len(rest)
-            for t in batch.column(0):
-                ids = encode(t.as_py())
-                held.append(ids.astype(np.uint16))
+            for key, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids = encode(text.as_py())
+                keys.append(key)
+                hashes.append(h)
+                held.append(ids)
                 size += len(ids)
-                if size >= 512 * length:
-                    tokens = np.concatenate(held)
-                    whole = len(tokens) // length * length
-                    yield rows(tokens[:whole])
-                    held, size = [tokens[whole:]], len(tokens) - whole
-            rest = np.concatenate(held)
-        if len(rest):
-            yield rows(np.concatenate([rest, np.full(-len(rest) % length, PAD, np.uint16)]))
-
-    made = texts.mapInArrow(cut, "place long, shard int, ids binary")
-    dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
-    dealt.select(F.col("ids").cast("string").alias("value")).write.mode("append").text(folder)
-    return shards
-
-
-def read(spark: SparkSession, folder: str, length: int = 1024) -> DataFrame:
-    """(slot, shard, position, ids binary) of the shards in ``folder``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).withColumn("shard", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
-    step = stride(length)
-    starts, total = [], 0
-    for r in files.select("shard", "length").orderBy("shard").collect():  # one row a shard
-        if r.length % step:
-            raise ValueError(f"shard {r.shard} is not a whole number of records")
-        starts.append((r.shard, total))
-        total += r.length // step
-    offsets = sized(spark.createDataFrame(starts, "shard int, start long"))
+                if size >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
+                    yield made()
+        if held:
+            yield made()
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, block, pos, n) with the tokens before each in its task."""
+    task, before = TaskContext.get().partitionId(), 0
+    for b in batches:
+        ends = before + np.cumsum(b.column(3).to_numpy(), dtype=np.int64)
+        starts = np.concatenate(([before], ends[:-1])).astype(np.int64)[: b.num_rows]
+        before = int(ends[-1]) if b.num_rows else before
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, task, np.int32)), *b.columns[:3], pa.array(starts), pa.array(ends)], names=["task", "part", "block", "pos", "start", "end"])
+
+
+def _places(blocks: DataFrame, buckets: int) -> tuple[Bucketed, int]:
+    """(part, at, starts) of each block: its documents' places in the stream; and the tokens
+    of all."""
+    each = blocks.select("part", "block", F.posexplode(F.arrays_zip("keys", "hashes", "counts")).alias("pos", "d"))
+    # the last keys tell apart what is alike, so that no value fills a partition
+    order = [F.col("d.keys").asc_nulls_first(), F.col("d.hashes").asc(), F.xxhash64("part", "block", "pos").asc()]
+    ranged = each.repartitionByRange(*order).sortWithinPartitions(*order).select("part", "block", "pos", F.col("d.counts").alias("n"))
+    summed = store(ranged.mapInArrow(_sums, "task int, part int, block int, pos int, start long, end long"))
+    bases, total = [], 0
+    for r in summed.groupBy("task").agg(F.max("end").alias("n")).orderBy("task").collect():  # one row a task
+        bases.append((r.task, total))
+        total += r.n
+    tasks = sized(blocks.sparkSession.createDataFrame(bases, "task int, base long"))
+    found = summed.join(tasks, "task").groupBy("part", F.col("block").alias("at")).agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("start") + F.col("base")).alias("start")))).alias("s"))
+    return Bucketed(found.select("part", "at", F.col("s.start").alias("starts")), "part", buckets), total
+
+
+def _within(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each of several runs, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _pieces(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(sequence, place in it, first token, tokens) of the pieces into which sequence
+    borders cut documents that lie one after the other in a block."""
+    first, last = starts // length, (starts + counts - 1) // length
+    many = last - first + 1
+    doc = np.repeat(np.arange(len(starts)), many)
+    sequence = _within(first, many)
+    begin = np.maximum(starts[doc], sequence * length)
+    end = np.minimum(starts[doc] + counts[doc], (sequence + 1) * length)
+    token = begin - starts[doc] + (np.cumsum(counts) - counts)[doc]
+    return sequence, begin - sequence * length, token, end - begin
+
+
+def _deal(layout: Layout, key: str, done: np.ndarray):
+    """Rows (shard, data) from rows (counts, ids, starts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, squeeze = Permutation(layout.sequences, key), zstandard.ZstdCompressor(level=3).compress
+        held, size = [], 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            starts, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            sequence, at, token, n = _pieces(starts, counts, layout.length)
+            slot = order.slots(sequence)
+            shard = slot // layout.per_shard
+            keep = np.flatnonzero(~np.isin(shard, done))
+            keep = keep[np.lexsort((at[keep], slot[keep]))]
+            borders = np.flatnonzero(np.diff(shard[keep])) + 1
+            for some in np.split(keep, borders) if len(keep) else ():
+                head = np.concatenate(([len(some)], slot[some], at[some], n[some])).astype("<i8").tobytes()
+                data = squeeze(head + ids[_within(token[some], n[some])].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([shard[some[0]]], pa.int32()), pa.array([data])], names=["shard", "data"])
+
+        for batch in batches:
+            for counts, ids, starts in zip(*[batch.column(i) for i in range(3)], strict=True):
+                held.append((starts.values.to_numpy().astype(np.int64), counts.values.to_numpy().astype(np.int64), np.frombuffer(ids.as_buffer(), "<u2")))
+                size += len(held[-1][2])
+                if size >= AT_ONCE:
+                    yield from dealt()
+                    held, size = [], 0
+        if held:
+            yield from dealt()
+
+    return run
+
+
+def _lay_out(layout: Layout):
+    """The records of a shard, in order, from all its rows (shard, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread, records, first = zstandard.ZstdDecompressor().decompress, None, 0
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if records is None:
+                    first = shard * layout.per_shard
+                    records = np.full(min(layout.per_shard, layout.sequences - first) * layout.length, PAD, "<u2")
+                raw = spread(data.as_py())
+                many = int(np.frombuffer(raw, "<i8", 1)[0])
+                slot, at, n = np.frombuffer(raw, "<i8", 3 * many, 8).reshape(3, many)
+                records[_within((slot - first) * layout.length + at, n)] = np.frombuffer(raw, "<u2", offset=8 + 24 * many)
+        for a in range(0, 0 if records is None else len(records), 1024 * layout.length):
+            some = records[a : a + 1024 * layout.length]
+            ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * layout.length), len(some) // layout.length, [None, pa.py_buffer(some.tobytes())])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.binary())], names=["ids"])
+
+    return run
+
+
+def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str, length: int = 1024, per_shard: int = 4096, done: list[int] | None = None) -> Layout:
+    """Write the shards of ``docs`` (doc_id long, text) below ``folder``. ``encoder`` makes,
+    on a worker, a function that gives a text's ids."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    buckets = max(1, min(rows.rdd.getNumPartitions(), 20_000))
+    encoded = rows.mapInArrow(_encode(encoder), "part int, block int, keys array<long>, hashes array<long>, counts array<int>, ids binary")
+    blocks = Bucketed(encoded, "part", buckets)
+    places, total = _places(blocks.df, buckets)
+    layout = Layout(length, per_shard, -(-total // length))
+    if layout.sequences:
+        # the second condition must not become a key, for the tables are bucketed by the first
+        match = (blocks.df["part"] == places.df["part"]) & (blocks.df["block"] - places.df["at"] == 0)
+        joined = blocks.df.join(places.df, match).select("counts", "ids", "starts")
+        dealt = joined.mapInArrow(_deal(layout, key, np.array(sorted(done or []), np.int64)), "shard int, data binary")
+        laid = dealt.repartitionById(layout.shards, F.col("shard")).mapInArrow(_lay_out(layout), "ids binary")
+        laid.select(F.col("ids").cast("string").alias("value")).write.mode("append").text(folder)
+        spark.createDataFrame([tuple(asdict(layout).values())], "length int, per_shard int, sequences long").coalesce(1).write.mode("overwrite").json(f"{folder}/_layout")
+    blocks.drop()
+    places.drop()
+    return layout
+
+
+def layout_of(spark: SparkSession, folder: str) -> Layout:
+    """The layout that ``write`` left in a folder; no sequences where it left none."""
+    fs, path = file_system(spark, f"{folder}/_layout")
+    if not fs.exists(path):
+        return Layout(1, 1, 0)
+    return Layout(**spark.read.schema("length int, per_shard int, sequences long").json(f"{folder}/_layout").first().asDict())
+
+
+def read(spark: SparkSession, folder: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(slot, shard, position, ids binary) of the slots from ``start`` to before ``stop``;
+    only their shards are opened. Shards that are not written yet have no rows."""
+    layout = layout_of(spark, folder)
+    stop = layout.sequences if stop is None else min(stop, layout.sequences)
+    fs, path = file_system(spark, folder)
+    files = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-") and s.getLen()] if fs.exists(path) else []
+    listed = [(int(f.getName().split("-")[1]), f.toString()) for f in files]
+    wanted = [p for shard, p in listed if start < (shard + 1) * layout.per_shard and shard * layout.per_shard < stop]
+    schema = "slot long, shard int, position long, ids binary"
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    length, step, per_shard = layout.length, layout.stride, layout.per_shard
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, start, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = content.as_buffer()
-                n = len(data) // step
-                table = np.frombuffer(data, np.uint8).reshape(n, step)
-                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), n, [None, pa.py_buffer(np.ascontiguousarray(table[:, :-1]).tobytes())])
-                at = np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(start + at), pa.array(np.full(n, shard, np.int32)), pa.array(at * step), ids.cast(pa.binary())], names=["slot", "shard", "position", "ids"])
-
-    contents = files.select("shard", "content").join(offsets, "shard").select("shard", "start", "content")
-    return contents.mapInArrow(records, "slot long, shard int, position long, ids binary")
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                table = np.frombuffer(content.as_buffer(), np.uint8)
+                if len(table) % step:
+                    raise ValueError(f"shard {shard} is not a whole number of records")
+                table = table.reshape(-1, step)
+                at = np.arange(len(table))
+                at = at[(shard * per_shard + at >= start) & (shard * per_shard + at < stop)]
+                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(at), [None, pa.py_buffer(np.ascontiguousarray(table[at, :-1]).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(shard * per_shard + at), pa.array(np.full(len(at), shard, np.int32)), pa.array(at * step), ids.cast(pa.binary())], names=["slot", "shard", "position", "ids"])
+
+    files = spark.read.format("binaryFile").load(wanted).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    return files.mapInArrow(records, schema)
