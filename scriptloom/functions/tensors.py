@@ -65,13 +65,24 @@ def token_losses(logits: Column, label: Column) -> Column:
     )
 
 
+def prefix(audio: Column, instruction: Column, sep: int) -> Column:
+    """What generation starts from: audio SEP instruction SEP."""
+    mark = F.array(F.lit(sep))
+    return F.concat(audio, mark, instruction, mark)
+
+
+def extended(prefixes: Column, generated: Column, longest: Column, steps: Column, fill: Column) -> Column:
+    """A row of a generation batch after some steps: the tokens so far right behind its own
+    prefix, padded to the longest prefix of the batch and as many places as steps."""
+    return pad(F.concat(prefixes, F.slice(generated, F.lit(1), steps)), longest + steps, fill)
+
+
 def assemble(audio: Column, instruction: Column, transcript: Column, sep: int) -> Column:
-    """struct<inputs, labels>: audio SEP instruction SEP transcript SEP, with labels for
-    the transcript and its end only (null elsewhere)."""
+    """struct<inputs, labels>: the prefix, then transcript SEP, with labels for the
+    transcript and its end only (null elsewhere)."""
     mark = F.array(F.lit(sep))
-    inputs = F.concat(audio, mark, instruction, mark, transcript, mark)
     masked = F.array_repeat(F.lit(None).cast("int"), F.size(audio) + F.size(instruction) + 2)
-    return F.struct(inputs.alias("inputs"), F.concat(masked, transcript, mark).alias("labels"))
+    return F.struct(F.concat(prefix(audio, instruction, sep), transcript, mark).alias("inputs"), F.concat(masked, transcript, mark).alias("labels"))
 
 
 def pad(values: Column, length: Column, fill: Column) -> Column:

@@ -153,17 +153,3 @@ def padded_length(longest: Column, multiple: int = 8) -> Column:
 def vocabulary_encode(ids: Column, mapping: Column) -> Column:
     """Old ids to new ids; ids that the map lacks vanish."""
     return F.filter(F.transform(ids, lambda i: mapping[i]), lambda i: i.isNotNull())
-
-
-def merge_entities(words: Column, entities: Column) -> Column:
-    """Label of each word: that of the last entity that ends before the word's end does
-    (counting the space after it), among those no earlier word took; ``0`` without one.
-    ``entities``: array of struct<end, entity>, in order."""
-    ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda s, w: (s + F.length(w) + 1).cast("int")))
-
-    def label(end: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.element_at(ends, i)).otherwise(0)
-        taken = F.filter(entities, lambda e: (e["end"] < end) & (e["end"] >= before))
-        return F.when(F.size(taken) > 0, F.element_at(taken, -1)["entity"]).otherwise("0")
-
-    return F.when(F.size(words) > 0, F.transform(ends, label)).otherwise(F.array().cast("array<string>"))

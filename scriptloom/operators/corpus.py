@@ -127,6 +127,11 @@ def duration_summary(rows: DataFrame, group: str, part: str, seconds: str) -> Da
     return rows.groupBy(group).agg(F.countDistinct(part).alias("parts"), F.sum(seconds).alias("seconds"))
 
 
+def chapter_durations(rows: DataFrame, chapter: str, key: str, seconds: str) -> DataFrame:
+    """(chapter, seconds, keys): total duration and the utterances of each chapter, in order."""
+    return rows.groupBy(chapter).agg(F.sum(seconds).alias("seconds"), F.array_sort(F.collect_list(key)).alias("keys"))
+
+
 def best_within_budget(summary: DataFrame, group: str, budget: float) -> DataFrame:
     """The group with most parts whose duration is within the budget; first by name of equals."""
     return summary.where((F.col("seconds") <= budget) & (F.col("parts") > 0)).orderBy(F.desc("parts"), F.col(group).cast("string")).limit(1)

@@ -17,7 +17,8 @@ from scriptloom.functions.alignment import validates
 from scriptloom.functions.responses import parse_response
 from scriptloom.functions.text import is_wildcard, max_tokens, minimal_divergence, normalize, payload_chars, tokens
 from scriptloom.operators.sequences import valid_neighbours
-from scriptloom.storage import bounded
+from scriptloom.operators.sets import config_changes
+from scriptloom.storage import bounded, with_position
 
 # Fixed values.
 IN_FLIGHT = ("pending", "submitted")
@@ -99,11 +100,37 @@ def worst(utterances: DataFrame, by: str, n: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), by).limit(n).join(F.broadcast(groups))
 
 
+def failure_counts(utterances: DataFrame, by: str = "failure") -> DataFrame:
+    """(by, n) of the utterances that are not ok; a failure without a kind is ``unvalidated``."""
+    failed = utterances.where(~F.col("validation").eqNullSafe("ok"))
+    value = F.coalesce(by, F.lit("unvalidated")) if by == "failure" else F.col(by)
+    return failed.groupBy(value.alias(by)).agg(F.count("*").alias("n"))
+
+
 def new_requests(prepared: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Insert-if-absent: rows whose key is not there yet."""
     return prepared.join(existing.select(key).distinct(), key, "left_anti")
 
 
+def prepared(run: dict | None, config: dict, utterances: DataFrame, requests: DataFrame, existing: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """All utterances and requests of a run after new ones (``key``, ``custom_id``) joined
+    those that exist. Preparing twice changes nothing. A run with another configuration
+    raises, for its submitted requests would no longer fit."""
+    if changed := config_changes(run or config, config, list(config)):
+        raise ValueError(f"prepared before with other settings: {', '.join(changed)}")
+    if existing is None:
+        return utterances, requests
+    pairs = zip(existing, (utterances, requests), ("key", "custom_id"), strict=True)
+    return tuple(old.unionByName(new_requests(new, old, key)) for old, new, key in pairs)
+
+
+def report_order(triaged_rows: DataFrame) -> DataFrame:
+    """Triaged rows with their ``position`` in a report: rows that need no judgement (no
+    tag) first, then the model's edits, then probable defects of the reference; by key."""
+    bucket = F.when(F.col("tag").isNull(), 0).when(F.col("tag") == "model-edit", 1).otherwise(2)
+    return with_position(triaged_rows.withColumn("bucket", bucket), "bucket", "key")
+
+
 def collected(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Requests with their results, and results of unknown requests (``known`` false)."""
     known = requests.select("custom_id", F.lit(True).alias("known"))
@@ -225,7 +252,7 @@ def costs(requests: DataFrame, prices: DataFrame) -> DataFrame:
         F.count("*").alias("requests"), *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_write", "cache_read")]
     )
     paid = (F.col("input_tokens") + F.col("cache_write") * CACHE_WRITE + F.col("cache_read") * CACHE_READ) * F.col("input_price") + F.col("output_tokens") * F.col("output_price")
-    priced = sums.join(F.broadcast(prices), "model", "left").withColumn("cost", paid * BATCH_DISCOUNT / 1e6)
+    priced = sums.join(bounded(prices), "model", "left").withColumn("cost", paid * BATCH_DISCOUNT / 1e6)
     every = ("requests", "input_tokens", "output_tokens", "cache_write", "cache_read")
     cost = F.when(F.count("cost") == F.count("*"), F.sum("cost"))
     return priced.rollup("model").agg(*[F.sum(c).alias(c) for c in every], cost.alias("cost"))

@@ -88,6 +88,27 @@ def flushed(log: DataFrame, step: str, phase: str, value: str, period: int, alwa
     return log.where(emits).groupBy(phase, step).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
+def collected(log: DataFrame, families: dict[str, tuple[str, tuple[str, ...], int]], always: str = "eval") -> DataFrame:
+    """(phase, step, name, value): all metrics of a log (step, phase, name, value), each folded
+    as its family says. ``families``: name to (mean, sum, max, last or norm; phases it
+    belongs to; period). A value shows at every ``period``-th step, in the phase
+    ``always`` at each. Windows are single steps. ``last`` goes by the column ``ts``.
+    Routes are one expression, so all families fold in one pass and one exchange."""
+    kinds = F.create_map(*[F.lit(x) for name, (kind, _, _) in families.items() for x in (name, kind)])
+    routed = F.lit(False)
+    for name, (_, phases, period) in families.items():
+        due = (F.col("phase") == always) | (F.col("step") % period == 0)
+        routed = routed | ((F.col("name") == name) & F.col("phase").isin(*phases) & due)
+    value, kind = F.col("value"), F.col("kind")
+    sums = log.where(routed).groupBy("phase", "step", "name").agg(
+        F.avg(value).alias("mean"), F.sum(value).alias("sum"), F.max(value).alias("max"), F.max_by(value, "ts").alias("last"), F.sqrt(F.sum(value * value)).alias("norm")
+    )
+    chosen = F.lit(None).cast("double")
+    for how in ("mean", "sum", "max", "last", "norm"):
+        chosen = F.when(kind == how, F.col(how)).otherwise(chosen)
+    return sums.withColumn("kind", kinds[F.col("name")]).select("phase", "step", "name", chosen.alias("value"))
+
+
 def gaps(train: DataFrame, evaluation: DataFrame, step: str, value: str) -> DataFrame:
     """(step, train, eval, gap): eval less train, null unless both are there."""
     a = train.select(step, F.col(value).alias("train"))

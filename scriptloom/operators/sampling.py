@@ -55,9 +55,16 @@ def batches_by_length(df: DataFrame, length: str, size: int, *ties: str, drop_la
     return placed
 
 
+def first_batches(batched: DataFrame, most: int, batch: str = "batch") -> DataFrame:
+    """The rows of the first ``most`` batches."""
+    return batched.where(F.col(batch) < most)
+
+
 def variant(key: Column, variants: list[str], seed: int) -> Column:
-    """One of several texts for each key, the same on every run."""
-    return F.element_at(F.array(*[F.lit(v) for v in variants]), (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(len(variants))) + 1).cast("int"))
+    """One of several texts for each key, the same on every run and engine: by the first 48
+    bits of md5(seed, key)."""
+    number = F.conv(F.substring(shuffle_key(key, seed), 1, 12), 16, 10).cast("long")
+    return F.element_at(F.array(*[F.lit(v) for v in variants]), (number % len(variants) + 1).cast("int"))
 
 
 def cyclic(cursor: Column, batches: int) -> Column:

@@ -149,13 +149,3 @@ def counters(df: DataFrame, order: str) -> DataFrame:
     return with_position(df, order, name="step").withColumn("step", F.col("step") + 1)
 
 
-def brace_range(pattern: str) -> list[str]:
-    """Paths of the first {a..b} range of a pattern, zero-padded like its first bound."""
-    import re
-
-    m = re.search(r"\{(\d+)\.\.(\d+)\}", pattern)
-    if not m:
-        return [pattern]
-    return [pattern[: m.start()] + str(i).zfill(len(m[1])) + pattern[m.end() :] for i in range(int(m[1]), int(m[2]) + 1)]
-
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -53,15 +54,21 @@ def config_changes(old: dict, new: dict, keys: list[str]) -> list[str]:
     return [k for k in keys if old.get(k) != new.get(k)]
 
 
-def largest_accepted(accepts: Callable[[int], bool], low: int, high: int) -> int:
-    """Largest n that ``accepts``, found by halving; 0 if not even 1 is."""
-    if not accepts(1):
-        return 0
-    best, low = 1, max(2, low)
-    while low <= high:
-        mid = (low + high) // 2
-        if accepts(mid):
-            best, low = mid, mid + 1
-        else:
-            high = mid - 1
-    return best
+def largest_accepted(accepts: Callable[[int], bool], most: int) -> int:
+    """The largest n up to ``most`` that ``accepts``, where all smaller ones are accepted
+    too; 0 if there is none. Doubles until it is refused, then bisects the last gap."""
+    top = 1
+    while top <= most and accepts(top):
+        top *= 2
+    refused = range(top // 2 + 1, min(top, most + 1))
+    return top // 2 + bisect_left(refused, True, key=lambda n: not accepts(n))
+
+
+def splits_like(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose split begins so; on a partition column only these folders are read."""
+    return rows.where(F.startswith(column, F.lit(prefix)))
+
+
+def within_frames(rows: DataFrame, column: str, most: int = 3000) -> DataFrame:
+    """Rows of at most so many feature frames."""
+    return rows.where(F.col(column) <= most)

@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.functions import alignment, responses, tensors, text
+from scriptloom.functions import alignment, models, responses, tensors, text
 from scriptloom.operators import corpus, labels, metrics, sampling, sequences, sets
 from scriptloom.session import table
-from scriptloom.storage import written
+from scriptloom.storage import with_position, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,9 +168,9 @@ def relabel_manifest(spark, sf_dir):
     return labels.relabelled(manifest, _label_rows(spark, sf_dir), drop_unlabelled=True)
 
 
-@query("select doc_id as key, lang, 'f' || doc_id as formatted from documents join labels using (doc_id) where quality = 1")
+@query("select doc_id as key, source, n_chars as size, 'u' as unformatted, 'ok' as validation from documents join labels using (doc_id) where quality = 1")
 def labelled_utterances(spark, sf_dir):
-    return labels.labelled(_samples(spark, sf_dir), _label_rows(spark, sf_dir)).select("key", "lang", "formatted")
+    return labels.labelled(_samples(spark, sf_dir), _label_rows(spark, sf_dir)).select("key", "source", "size", "unformatted", "validation")
 
 
 @query("select doc_id as key, lang from documents where doc_id in (select doc_id from labels where quality = 0)")
@@ -329,62 +329,71 @@ def drop_last_batches(spark, sf_dir):
     return sampling.batches_by_length(_docs(spark, sf_dir).select("doc_id", "n_chars"), "n_chars", 16, "doc_id", drop_last=True).select("doc_id", "batch")
 
 
-# The hypothesis: the reference without words whose hash falls into one of eight classes.
-_DROP = "substr(md5(key || ':' || pos), 1, 1) in ('0', '1')"
+# The hypothesis. One half of the texts lack words whose hash falls into one of eight
+# classes; in the other half such words are replaced, and others followed by a new word.
+# New words begin as no word of a reference does: each costs one edit, as does
+# each missing word of the first half, and no alignment is cheaper.
+_HIT = "substr(md5(key || ':' || pos), 1, 1)"
+_EDITED = f"""case when md5(key) < '8' then case when {_HIT} in ('0', '1') then [] else [token] end
+  when {_HIT} in ('0', '1') then ['zqxjzq' || token] when {_HIT} = '2' then [token, 'zqxjzq'] else [token] end"""
+_EDITS = f"({_HIT} in ('0', '1') or (md5(key) >= '8' and {_HIT} = '2'))"
 _CONV = f"select conv_id || '-' || turn as key, role, {_words('text')} as w from conversations"
 _CONV_TOK = f"select key, role, unnest(w) as token, generate_subscripts(w, 1) as pos from ({_CONV})"
+_REF_HYP = f"select key, list(token order by pos) as r, flatten(list({_EDITED} order by pos)) as h from ({_CONV_TOK}) group by key"
 
 
-def _with_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "role", text.tokens(text.normalize(F.col("text"))).alias("ref")
     )
-    drop = lambda w, i: F.substring(F.md5(F.concat(F.col("key"), F.lit(":"), (i + 1).cast("string")).cast("binary")), 1, 1).isin("0", "1")
-    return rows.withColumn("hyp", F.filter("ref", lambda w, i: ~drop(w, i)))
+    fewer = F.md5(F.col("key").cast("binary")) < "8"
+
+    def edited(w: Column, i: Column) -> Column:
+        hit = F.substring(F.md5(F.concat(F.col("key"), F.lit(":"), (i + 1).cast("string")).cast("binary")), 1, 1)
+        new = F.concat(F.lit("zqxjzq"), w)
+        return (
+            F.when(fewer & hit.isin("0", "1"), F.array().cast("array<string>")).when(fewer, F.array(w))
+            .when(hit.isin("0", "1"), F.array(new)).when(hit == "2", F.array(w, F.lit("zqxjzq"))).otherwise(F.array(w))
+        )
 
+    return rows.withColumn("hyp", F.flatten(F.transform("ref", edited)))
 
-@query(f"select role, sum(d)::bigint as edits, count(*) as ref_words, count(distinct key) as n_scored, round(sum(d) / count(*), 6) as wer from (select *, ({_DROP})::int as d from ({_CONV_TOK})) group by role")
+
+@query(f"select role, sum(d)::bigint as edits, count(*) as ref_words, count(distinct key) as n_scored, round(sum(d) / count(*), 6) as wer from (select *, {_EDITS}::int as d from ({_CONV_TOK})) group by role")
 def wer_by_split(spark, sf_dir):
-    scored = metrics.word_error_rate(_with_dropped(spark, sf_dir).where("size(ref) > 0"), ["role"], F.col("ref"), F.col("hyp"))
+    scored = metrics.word_error_rate(_with_edits(spark, sf_dir).where("size(ref) > 0"), ["role"], F.col("ref"), F.col("hyp"))
     return scored.withColumn("wer", _r6("wer"))
 
 
 @query(
     f"""
-with t as (select key, list(token order by pos) as r, coalesce(list(token order by pos) filter (not ({_DROP})), []) as h from ({_CONV_TOK}) group by key),
+with t as ({_REF_HYP}),
 a as (select *, coalesce(list_min(list_filter(range(1, least(len(r), len(h)) + 1), lambda i: r[i] <> h[i])) - 1, least(len(r), len(h))) as p from t),
 b as (select *, coalesce(list_min(list_filter(range(1, least(len(r), len(h)) - p + 1), lambda i: r[len(r) + 1 - i] <> h[len(h) + 1 - i])) - 1, least(len(r), len(h)) - p) as s from a)
 select key, array_to_string(r[p + 1 : len(r) - s], ' ') as ref, array_to_string(h[p + 1 : len(h) - s], ' ') as hyp from b
 """
 )
 def minimal_divergence(spark, sf_dir):
-    rows = _with_dropped(spark, sf_dir).where("size(ref) > 0").select("key", text.minimal_divergence(F.col("ref"), F.col("hyp")).alias("d"))
+    rows = _with_edits(spark, sf_dir).where("size(ref) > 0").select("key", text.minimal_divergence(F.col("ref"), F.col("hyp")).alias("d"))
     return rows.select("key", F.array_join("d.ref", " ").alias("ref"), F.array_join("d.hyp", " ").alias("hyp"))
 
 
-# Some words are replaced by a digit token, every 50th text loses its last word.
-_DIGITS = f"select key, w, list_transform(w[: len(w) - (case when key % 50 = 0 then 1 else 0 end)], lambda t: case when ascii(t) % 16 = 5 then '7' else t end) as h from ({_DOCS})"
+# Words of a class are replaced by a digit token; every third text lacks its last word.
+# Then one wildcard has to stand for two words, and every plain word after it must equal
+# its successor: the last wildcard lies behind the last plain word that does not.
+_WILD = "(ascii(w[i]) % 16 = 5 or regexp_matches(w[i], '\\p{Nd}'))"
 
 
 @query(
     f"""
-select key, regexp_full_match(array_to_string(list_transform(w, lambda t: t || ' '), ''),
-  array_to_string(list_transform(h, lambda t: case when regexp_matches(t, '\\p{{Nd}}') then '([^ ]+ ){{1,5}}' else t || ' ' end), '')) as ok
-from ({_DIGITS}) where len(w) between 1 and 60
+with d as (select key, w, len(w) - 1 as m from ({_DOCS}))
+select key, key % 3 <> 0 or coalesce(list_max(list_filter(range(1, m + 1), lambda i: {_WILD}))
+  > coalesce(list_max(list_filter(range(1, m + 1), lambda i: not {_WILD} and w[i] <> w[i + 1])), 0), m < 0) as ok from d
 """
 )
 def align_validate(spark, sf_dir):
-    rows = _doc_words(spark, sf_dir).where(F.size("words").between(1, 60))
-    cut = F.slice("words", F.lit(1), F.size("words") - F.when(F.col("key") % 50 == 0, 1).otherwise(0))
-    hyp = F.transform(cut, lambda t: F.when(F.ascii(t) % 16 == 5, "7").otherwise(t))
-    return rows.select("key", alignment.aligns(hyp, F.col("words")).alias("ok"))
-
-
-@query()
-def align_validate_all(spark, sf_dir):
-    """``align_validate`` over texts of every length, which its SQL leaves out."""
     rows = _doc_words(spark, sf_dir)
-    cut = F.slice("words", F.lit(1), F.greatest(F.size("words") - F.when(F.col("key") % 50 == 0, 1).otherwise(0), F.lit(0)))
+    cut = F.slice("words", F.lit(1), F.greatest(F.size("words") - F.when(F.col("key") % 3 == 0, 1).otherwise(0), F.lit(0)))
     hyp = F.transform(cut, lambda t: F.when(F.ascii(t) % 16 == 5, "7").otherwise(t))
     return rows.select("key", alignment.aligns(hyp, F.col("words")).alias("ok"))
 
@@ -466,27 +475,21 @@ def finalize_labels(spark, sf_dir):
     return labels.finalized(_states(spark, sf_dir)).select("key", "formatted", "validation", "attempts")
 
 
-# Requests of one target each: by id they succeed, stop early, answer in prose, answer
-# for another id, change a word, or are still waiting.
+# Requests of one target each: by id they get no answer, stop early, answer in prose,
+# answer for another id, succeed, are still waiting, or answer with a word too many.
 @query(
     """
-with d as (select doc_id, doc_id % 6 as k from documents where n_chars < 4000)
-select doc_id as key, case when k in (0, 1, 2, 3) then 'failed' when k = 4 then 'ok' end as validation,
-  case k when 0 then 'no_response' when 1 then 'truncated' when 2 then 'unparseable' when 3 then 'missing' end as failure from d
+with d as (select doc_id, doc_id % 7 as k from documents)
+select doc_id as key, case when k in (0, 1, 2, 3, 6) then 'failed' when k = 4 then 'ok' end as validation,
+  case k when 0 then 'no_response' when 1 then 'truncated' when 2 then 'unparseable' when 3 then 'missing' when 6 then 'alignment' end as failure from d
 """
 )
 def validate_states(spark, sf_dir):
-    return _validated(_docs(spark, sf_dir).where("n_chars < 4000"))
-
-
-@query()
-def validate_states_all(spark, sf_dir):
-    """``validate_states`` over texts of every length, which its SQL leaves out."""
     return _validated(_docs(spark, sf_dir))
 
 
 def _validated(docs: DataFrame) -> DataFrame:
-    k = F.col("doc_id") % 6
+    k = F.col("doc_id") % 7
     key = F.col("doc_id").cast("string")
     utterances = docs.select(
         key.alias("key"), F.col("text").alias("unformatted"), *[F.lit(None).cast("string").alias(c) for c in ("formatted", "validation", "failure")]
@@ -497,7 +500,7 @@ def _validated(docs: DataFrame) -> DataFrame:
         F.when(k == 0, "errored").when(k == 5, "pending").otherwise("succeeded").alias("state"),
         F.when(k == 1, "max_tokens").otherwise("end_turn").alias("stop_reason"),
     )
-    good = F.to_json(F.create_map(key, F.col("text")))
+    good = F.to_json(F.create_map(key, F.when(k == 6, F.concat("text", F.lit(" besides"))).otherwise(F.col("text"))))
     body = F.when(k == 1, F.substring(good, 1, 5)).when(k == 2, "no object here").when(k == 3, F.to_json(F.create_map(F.lit("other"), F.lit("x")))).otherwise(F.concat(F.lit("```json\n"), good, F.lit("\n```")))
     answers = docs.where(k != 0).select(F.concat(F.lit("r"), key).alias("custom_id"), body.alias("text"))
     return labels.validated(utterances, requests, answers).select(F.col("key").cast("long").alias("key"), "validation", "failure")
@@ -506,7 +509,7 @@ def _validated(docs: DataFrame) -> DataFrame:
 @query(
     f"""
 with t as ({_CONV_TOK}), df as (select token, count(distinct key) as n from t group by token), dict as (select distinct token from t where pos = 1),
-r as (select key, list(token order by pos) as r, coalesce(list(token order by pos) filter (not ({_DROP})), []) as h from t group by key),
+r as ({_REF_HYP}),
 a as (select *, coalesce(list_min(list_filter(range(1, least(len(r), len(h)) + 1), lambda i: r[i] <> h[i])) - 1, least(len(r), len(h))) as p from r),
 b as (select *, coalesce(list_min(list_filter(range(1, least(len(r), len(h)) - p + 1), lambda i: r[len(r) + 1 - i] <> h[len(h) + 1 - i])) - 1, least(len(r), len(h)) - p) as s from a),
 e as (select distinct key, unnest(r[p + 1 : len(r) - s]) as token from b),
@@ -517,7 +520,7 @@ select b.key, case when suspects is null then 'model-edit' else 'probable-refere
 """
 )
 def failure_triage(spark, sf_dir):
-    rows = _with_dropped(spark, sf_dir).where("size(ref) > 0")
+    rows = _with_edits(spark, sf_dir).where("size(ref) > 0")
     words = rows.select("key", F.col("ref").alias("words"))
     dictionary = words.select(F.element_at("words", 1).alias("word"))
     failed = rows.select("key", F.array_join("ref", " ").alias("unformatted"), F.array_join("hyp", " ").alias("formatted"))
@@ -640,18 +643,12 @@ def stage_exit_first_step(spark, sf_dir):
 
 @query(
     f"""
-with c as (select token, count(*) as votes, min(key * 100000 + pos) as first_seen from ({_TOK}) where pos <= 5 group by token)
+with c as (select token, count(*) as votes, min(key * 2147483648 + pos) as first_seen from ({_TOK}) group by token)
 select token, votes, round(votes / 100.0, 6) as per_micro, round((select votes from c where token = 'the') / (select sum(votes) from c), 6) as sep_share
 from c order by votes desc, first_seen limit 5
 """
 )
 def topk_votes(spark, sf_dir):
-    return _top_voted(corpus.token_rows(_doc_words(spark, sf_dir)).where("pos < 5"), 100_000)
-
-
-@query()
-def topk_votes_all(spark, sf_dir):
-    """``topk_votes`` with a vote for every word; its SQL counts the first five only."""
     return _top_voted(corpus.token_rows(_doc_words(spark, sf_dir)), 1 << 31)
 
 
@@ -678,12 +675,15 @@ def window_means(spark, sf_dir):
 
 @query(
     """
-select vec_id, unnest(range(16)) as i, round(unnest(list_transform(range(16), lambda i: list_sum(embedding[4 * i + 1 : 4 * i + 4]::double[]) / 4)), 6) as pooled from embeddings
+with e as (select vec_id, list_concat(embedding::double[], [label::double, 1.0]) as v from embeddings)
+select vec_id, unnest(range(17)) as i, round(unnest(list_transform(range(17), lambda i: list_sum(v[4 * i + 1 : 4 * i + 4]) / 4)), 6) as pooled from e
 """
 )
 def mean_pool4(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(tensors.mean_pool(F.col("embedding").cast("array<double>"))).alias("i", "v"))
-    return rows.select("vec_id", F.col("i").cast("long").alias("i"), _r6("v").alias("pooled"))
+    """66 values a row, so that zeros fill the last run."""
+    rows = table(spark, sf_dir, "embeddings")
+    frames = F.concat(F.col("embedding").cast("array<double>"), F.array(F.col("label").cast("double"), F.lit(1.0)))
+    return rows.select("vec_id", F.posexplode(tensors.mean_pool(frames)).alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), _r6("v").alias("pooled"))
 
 
 @query("select label, round(sqrt(sum(list_sum(list_transform(embedding::double[], lambda x: x * x)))), 6) as norm from embeddings group by label")
@@ -718,30 +718,15 @@ _IDS = "list_transform(string_split(role, ''), lambda c: ascii(c))"
 
 @query(
     f"""
-with t as (select conv_id, turn, list_transform(range(turn % 3 + 1), lambda i: 0::int) as a, {_IDS} as b, list_transform(({_words('text')})[1:3], lambda w: ascii(w)) as c from conversations),
-s as (select *, list_concat(a, [-1], b, [-1], c, [-1]) as inputs, list_concat(list_transform(range(len(a) + len(b) + 2), lambda i: null::int), c, [-1]) as labels from t)
-select conv_id, turn, array_to_string(list_transform(range(1, 25), lambda i: coalesce(inputs[i], 9)), ' ') as inputs,
-  array_to_string(list_transform(labels, lambda x: coalesce(x::varchar, '_')), ' ') as labels from s
+with t as (select conv_id, turn, list_transform(range(turn % 3 + 1), lambda i: 0::int) as a, {_IDS} as b, list_transform({_words('text')}, lambda w: ascii(w)) as c from conversations),
+s as (select *, list_concat(a, [-1], b, [-1], c, [-1]) as inputs, list_concat(list_transform(range(len(a) + len(b) + 2), lambda i: null::int), c, [-1]) as labels from t),
+m as (select *, max(len(inputs)) over (partition by conv_id) as longest from s)
+select conv_id, turn, array_to_string(list_transform(range(1, longest + 1), lambda i: coalesce(inputs[i], 9)), ' ') as inputs,
+  array_to_string(list_transform(labels, lambda x: coalesce(x::varchar, '_')), ' ') as labels from m
 """
 )
 def sequence_assemble(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    audio = F.array_repeat(F.lit(0), (F.col("turn") % 3 + 1).cast("int"))
-    chars = F.transform(F.split("role", ""), lambda c: F.ascii(c))
-    words = F.transform(F.slice(text.tokens(text.normalize(F.col("text"))), 1, 3), lambda w: F.ascii(w))
-    made = rows.select("conv_id", "turn", tensors.assemble(audio, chars, words, -1).alias("s"))
-    return made.select(
-        "conv_id",
-        "turn",
-        F.array_join(tensors.pad(F.col("s.inputs"), F.lit(24), F.lit(9)).cast("array<string>"), " ").alias("inputs"),
-        F.array_join(F.col("s.labels").cast("array<string>"), " ", "_").alias("labels"),
-    )
-
-
-@query()
-def sequence_assemble_all(spark, sf_dir):
-    """``sequence_assemble`` with the whole text of each turn, padded to the longest of its
-    batch (a conversation); its SQL takes three words and 24 places."""
+    """Whole turns, padded to the longest of their batch (a conversation)."""
     rows = table(spark, sf_dir, "conversations")
     audio = F.array_repeat(F.lit(0), (F.col("turn") % 3 + 1).cast("int"))
     chars = F.transform(F.split("role", ""), lambda c: F.ascii(c))
@@ -756,14 +741,25 @@ def sequence_assemble_all(spark, sf_dir):
     )
 
 
-@query("select doc_id, regexp_extract(source, '(\\d+)', 1)::bigint as step from documents")
+@query("select conv_id, turn, array_to_string(list_concat(list_transform(range(turn % 3 + 1), lambda i: 0), [-1], " + _IDS + ", [-1]), ' ') as prefix from conversations")
+def generation_prefix(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    audio = F.array_repeat(F.lit(0), (F.col("turn") % 3 + 1).cast("int"))
+    chars = F.transform(F.split("role", ""), lambda c: F.ascii(c))
+    return rows.select("conv_id", "turn", F.array_join(tensors.prefix(audio, chars, -1).cast("array<string>"), " ").alias("prefix"))
+
+
+@query("select doc_id, case when doc_id % 4 = 0 then doc_id // 4 else regexp_extract(source, '(\\d+)', 1)::bigint end as step from documents")
 def checkpoint_step(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", text.step_of(F.concat(F.lit("Step_"), F.regexp_extract("source", r"(\d+)", 1), F.lit(".pt")), F.lit(-1)).alias("step"))
+    """Names without a step get their position."""
+    number = F.regexp_extract("source", r"(\d+)", 1)
+    name = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("best_"), number)).otherwise(F.concat(F.lit("Step_"), number, F.lit(".pt")))
+    return _docs(spark, sf_dir).select("doc_id", text.step_of(name, F.floor(F.col("doc_id") / 4)).alias("step"))
 
 
-@query("select doc_id, case ((doc_id * 7919) % 3)::int when 0 then 'a' when 1 then 'b' else 'c' end is not null as chosen from documents")
+@query("select doc_id, (['a', 'b', 'c'])[1 + ('0x' || substr(md5('1:' || doc_id), 1, 12))::bigint % 3] as chosen from documents")
 def instruction_variant(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", sampling.variant(F.col("doc_id"), ["a", "b", "c"], 1).isin("a", "b", "c").alias("chosen"))
+    return _docs(spark, sf_dir).select("doc_id", sampling.variant(F.col("doc_id"), ["a", "b", "c"], 1).alias("chosen"))
 
 
 @query("select event_id, (event_id + 5) % 7 as batch from events")
@@ -855,10 +851,10 @@ def request_messages(spark, sf_dir):
     return both.select("conv_id", "chunk", text.user_message(F.col("context"), F.col("targets"), "CONTEXT").alias("message"))
 
 
-@query("select doc_id as key, max_by(item, src) as item, max(src) as src from (select doc_id, 1 as src, source as item from documents union all select item_id, 2, left(text, 20) from benchmark) group by 1")
+@query("select doc_id as key, max_by(item, src) as item, max(src) as src from (select doc_id, 1 as src, source as item from documents union all select item_id, 2, text from benchmark) group by 1")
 def later_shard_wins(spark, sf_dir):
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("key"), F.lit(1).alias("src"), F.col("source").alias("item"))
-    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.lit(2).alias("src"), F.left("text", F.lit(20)).alias("item"))
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.lit(2).alias("src"), F.col("text").alias("item"))
     return sets.later_wins(sets.concatenated([docs, bench]), "key", "src").select("key", "item", "src")
 
 
@@ -904,11 +900,21 @@ def results_of_requests(spark, sf_dir):
     return labels.collected(requests, results).groupBy(F.when(F.col("known"), "known").otherwise("unknown").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("select event_id, coalesce(nullif(event_id % 3, 0), 0) as input_tokens, 0 as output_tokens, 0 as cache_creation_input_tokens, 0 as cache_read_input_tokens from events")
+@query(
+    """
+select event_id, case when event_id % 11 = 0 then 0 else event_id % 3 end as input_tokens, case when event_id % 11 = 0 then 0 else event_id % 50 end as output_tokens,
+  case when event_id % 11 = 0 or event_id % 2 = 0 then 0 else event_id % 7 end as cache_creation_input_tokens,
+  case when event_id % 11 = 0 or event_id % 2 = 1 then 0 else event_id % 13 end as cache_read_input_tokens from events
+"""
+)
 def usage_flatten(spark, sf_dir):
-    none = F.lit(None).cast("long")
-    usage = F.struct(F.nullif(F.col("event_id") % 3, F.lit(0)).alias("input_tokens"), *[none.alias(n) for n in ("output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")])
-    return table(spark, sf_dir, "events").select("event_id", usage.alias("u")).select("event_id", *labels.usage_of(F.col("u")))
+    """Every eleventh event has no usage, and the two cache counts take turns."""
+    i = F.col("event_id")
+    usage = F.struct(
+        F.nullif(i % 3, F.lit(0)).alias("input_tokens"), (i % 50).alias("output_tokens"),
+        F.when(i % 2 == 1, i % 7).alias("cache_creation_input_tokens"), F.when(i % 2 == 0, i % 13).alias("cache_read_input_tokens"),
+    )
+    return table(spark, sf_dir, "events").select("event_id", F.when(i % 11 != 0, usage).alias("u")).select("event_id", *labels.usage_of(F.col("u")))
 
 
 @query(
@@ -941,9 +947,181 @@ def wildcard_spans(spark, sf_dir):
 
 @query()
 def log_mel_features(spark, sf_dir):
-    """Shapes and means of spectrograms of synthetic tones, one a nation."""
-    hz = 200 + 100 * F.col("n_nationkey")
-    wave = F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: F.sin(2 * 3.141592653589793 * hz * i / 16000).cast("float"))
-    mel = table(spark, sf_dir, "nation").select("n_nationkey", tensors.log_mel_column(wave).alias("m"))
-    peak = F.array_position(F.transform("m", lambda r: r[25]), F.array_max(F.transform("m", lambda r: r[25])))
-    return mel.select("n_nationkey", F.size("m").alias("bands"), F.size(F.col("m")[0]).alias("frames"), peak.alias("loudest"))
+    """Spectrograms of every vector, repeated to a wave; numpy in the tests."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("wave", F.flatten(F.array_repeat("embedding", 25)).cast("array<float>"))
+    mel = rows.select("vec_id", tensors.log_mel_column(F.col("wave")).alias("m"))
+    total = F.aggregate("m", F.lit(0.0), lambda s, r: s + F.aggregate(r, F.lit(0.0), lambda t, x: t + x))
+    return mel.select("vec_id", F.size("m").alias("bands"), F.size(F.col("m")[0]).alias("frames"), F.round(total, 2).alias("total"))
+
+
+@query(
+    f"""
+with s as ({_STATE}), f as (select source as chapter, coalesce(failure, 'unvalidated') as failure from s where validation is distinct from 'ok')
+select 'chapter' as by, chapter as value, count(*) as n from f group by chapter union all select 'kind', failure, count(*) from f group by failure
+"""
+)
+def failure_counts(spark, sf_dir):
+    states = written(_states(spark, sf_dir))
+    chapters = labels.failure_counts(states, "chapter").select(F.lit("chapter").alias("by"), F.col("chapter").alias("value"), "n")
+    return chapters.unionAll(labels.failure_counts(states).select(F.lit("kind"), "failure", "n"))
+
+
+@query(
+    """
+with t as (select doc_id as key, case doc_id % 3 when 0 then null when 1 then 'model-edit' else 'probable-reference-defect' end as tag from documents)
+select key, tag, row_number() over (order by case when tag is null then 0 when tag = 'model-edit' then 1 else 2 end, key) - 1 as position from t
+"""
+)
+def report_order(spark, sf_dir):
+    third = F.col("doc_id") % 3
+    tagged = _docs(spark, sf_dir).select(F.col("doc_id").alias("key"), F.when(third == 1, "model-edit").when(third == 2, "probable-reference-defect").alias("tag"))
+    return labels.report_order(tagged).select("key", "tag", "position")
+
+
+@query(
+    """
+select l_orderkey as chapter, sum(l_quantity) as seconds, string_agg(l_partkey::varchar, ',' order by l_partkey) as keys from lineitem group by l_orderkey
+"""
+)
+def chapter_durations(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chapter"), F.col("l_partkey").alias("key"), F.col("l_quantity").alias("seconds"))
+    found = corpus.chapter_durations(rows, "chapter", "key", "seconds")
+    return found.select("chapter", "seconds", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"))
+
+
+@query(
+    """
+select 'utterance' as kind, doc_id::varchar as key, case when doc_id % 3 = 0 then 'old' else 'new' end as origin from documents
+union all select 'request', 'r' || source, case when source < 'src3' then 'old' else 'new' end from (select distinct source from documents)
+"""
+)
+def prepare_twice(spark, sf_dir):
+    """A run that grows: what exists stays, the rest is added."""
+    docs = _docs(spark, sf_dir)
+    utterances = docs.select(F.col("doc_id").cast("string").alias("key"), F.lit("new").alias("origin"))
+    requests = docs.select(F.concat(F.lit("r"), "source").alias("custom_id"), F.lit("new").alias("origin")).distinct()
+    old = (utterances.where("key % 3 = 0").withColumn("origin", F.lit("old")), requests.where("custom_id < 'rsrc3'").withColumn("origin", F.lit("old")))
+    config = {"root": sf_dir, "overlap": 3}
+    once = labels.prepared(None, config, utterances, requests, old)
+    twice = labels.prepared(config, config, utterances, requests, once)
+    return twice[0].select(F.lit("utterance").alias("kind"), "key", "origin").unionAll(twice[1].select(F.lit("request"), "custom_id", "origin"))
+
+
+@query("select doc_id, source from documents where source like 'src1%'")
+def split_discovery(spark, sf_dir):
+    return sets.splits_like(_docs(spark, sf_dir), "source", "src1").select("doc_id", "source")
+
+
+@query("select doc_id, n_chars from documents where n_chars <= 3000")
+def frame_limit(spark, sf_dir):
+    return sets.within_frames(_docs(spark, sf_dir), "n_chars").select("doc_id", "n_chars")
+
+
+@query(f"select doc_id, batch from ({_BATCHES}) where batch < 5")
+def batch_cap(spark, sf_dir):
+    return sampling.first_batches(sampling.batches_by_length(_docs(spark, sf_dir).select("doc_id", "n_chars"), "n_chars", 16, "doc_id"), 5).select("doc_id", "batch")
+
+
+@query("select conv_id, turn, lead(role) over (partition by conv_id order by turn) as target from conversations")
+def shifted_labels(spark, sf_dir):
+    return sequences.shifted_labels(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role").select("conv_id", "turn", "target")
+
+
+@query(
+    """
+with e as (select vec_id, embedding::double[] as x, vec_id % 64 as label, list_max(embedding::double[]) as top from embeddings),
+s as (select *, list_transform(x, lambda v: exp(v - top)) as w, list_sum(list_transform(x, lambda v: exp(v - top))) as total from e)
+select vec_id, round(ln(total) + top - x[label + 1], 6) as loss, list_position(x, top) - 1 as pred,
+  round(ln(total) - list_sum(list_transform(x, lambda v: exp(v - top) * (v - top))) / total, 6) as entropy from s
+"""
+)
+def token_losses(spark, sf_dir):
+    """Vectors as logits."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", tensors.token_losses(F.col("embedding").cast("array<double>"), (F.col("vec_id") % 64).cast("int")).alias("t"))
+    return rows.select("vec_id", _r6("t.loss").alias("loss"), "t.pred", _r6("t.entropy").alias("entropy"))
+
+
+@query(
+    """
+with n as (select label, sqrt(sum(list_sum(list_transform(embedding::double[], lambda x: x * x)))) as norm from embeddings group by label)
+select label, round(norm / greatest((select norm from n order by label limit 1), 1e-12), 6) as ratio from n
+"""
+)
+def norm_ratios(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
+    norms = written(metrics.norms(rows, "label", F.col("x")))
+    first = norms.agg(F.min_by("norm", "label").alias("first"))  # one row
+    return norms.join(F.broadcast(first)).select("label", _r6(metrics.norm_ratio(F.col("norm"), F.col("first"))).alias("ratio"))
+
+
+@query(
+    """
+select conv_id, len(list_intersect(coalesce(list(turn % 5) filter (role = 'user'), []), coalesce(list(turn % 5) filter (role <> 'user'), []))) = 0 as apart
+from conversations group by conv_id
+"""
+)
+def disjoint_members(spark, sf_dir):
+    turn, user = F.col("turn") % 5, F.col("role") == "user"
+    both = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(F.when(user, turn)).alias("a"), F.collect_set(F.when(~user, turn)).alias("b"))
+    return both.select("conv_id", sets.disjoint(F.col("a"), F.col("b")).alias("apart"))
+
+
+@query("select source as shard, doc_id as key from documents where source not in (select source from documents where doc_id % 97 = 0)")
+def unwritten_shards(spark, sf_dir):
+    from scriptloom.sources import tar
+
+    docs = _docs(spark, sf_dir)
+    done = docs.where("doc_id % 97 = 0").select(F.col("source").alias("shard"))
+    return tar.unwritten(docs.select(F.col("source").alias("shard"), F.col("doc_id").alias("key")), done)
+
+
+@query("select doc_id as key, row_number() over (order by encode(source || '-' || doc_id)) - 1 as position from documents")
+def sorted_by_key(spark, sf_dir):
+    keyed = _docs(spark, sf_dir).select(F.col("doc_id").alias("key"), F.concat_ws("-", F.col("source"), F.col("doc_id").cast("string")).alias("name"))
+    return with_position(keyed, "name").select("key", "position")
+
+
+@query(
+    """
+with e as (select event_id % 400 as step, case when event_id % 3 = 0 then 'eval' else 'train' end as phase,
+  ['loss', 'tokens', 'logit', 'grad', 'stray'][1 + event_id % 5] as name, value from events)
+select phase, step, name, round(case name when 'loss' then avg(value) when 'tokens' then sum(value) when 'logit' then max(value) else sqrt(sum(value * value)) end, 6) as value
+from e where (name in ('loss', 'tokens', 'logit') or (name = 'grad' and phase = 'train')) and (phase = 'eval' or name = 'grad' or step % 10 = 0) group by 1, 2, 3
+"""
+)
+def metric_collector(spark, sf_dir):
+    i = F.col("event_id")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("loss", "tokens", "logit", "grad", "stray")]), (i % 5 + 1).cast("int"))
+    log = table(spark, sf_dir, "events").select((i % 400).alias("step"), F.when(i % 3 == 0, "eval").otherwise("train").alias("phase"), name.alias("name"), "value", "ts")
+    both = ("train", "eval")
+    families = {"loss": ("mean", both, 10), "tokens": ("sum", both, 10), "logit": ("max", both, 10), "grad": ("norm", ("train",), 1)}
+    return metrics.collected(log, families).withColumn("value", _r6("value"))
+
+
+@query(
+    f"""
+with t as (select conv_id, turn, {_words('text')} as w from conversations)
+select conv_id, turn, array_to_string(list_transform(range(1, len(w) + 1), lambda i: w[i] || case when i = len(w) then '.' when i % 7 = 0 then ',' else '' end), ' ') as text from t
+"""
+)
+def restored_punctuation(spark, sf_dir):
+    """The hook of a punctuation model: a stand-in sets a comma after each seventh word and
+    a full stop at the end."""
+
+    def load():
+        def marks(texts: list) -> list:
+            found = []
+            for t in texts:
+                at, ends = 0, []
+                words = (t or "").split()
+                for n, w in enumerate(words, 1):
+                    at += len(w)
+                    ends.append({"end": at, "entity": "." if n == len(words) else "," if n % 7 == 0 else "0"})
+                    at += 1
+                found.append(ends)
+            return found
+
+        return marks
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokens(text.normalize(F.col("text"))).alias("w"))
+    return rows.select("conv_id", "turn", models.punctuated(F.col("w"), load).alias("text"))

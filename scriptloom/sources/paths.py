@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.operators.sequences import brace_range
+from scriptloom.storage import with_position
+
+
+_NUMBERS = re.compile(r"^(?P<head>.*?)\{(?P<first>\d+)\.\.(?P<last>\d+)\}(?P<tail>.*)$", re.S)
+
+
+def brace_range(pattern: str) -> list[str]:
+    """The names that the first {a..b} of a pattern stands for; numbers are as wide as a."""
+    parts = _NUMBERS.match(pattern)
+    if parts is None:
+        return [pattern]
+    numbers = range(int(parts["first"]), int(parts["last"]) + 1)
+    return [f"{parts['head']}{n:0{len(parts['first'])}d}{parts['tail']}" for n in numbers]
 
 
 def _found(spark: SparkSession, pattern: str) -> list[str]:
@@ -31,13 +45,7 @@ def shard_list(spark: SparkSession, path: str) -> DataFrame:
     """(position, path) of a list file: one path a line; blank lines and # comments do not count."""
     lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "path"))
     lines = lines.select("line", F.trim("path").alias("path")).where((F.col("path") != "") & ~F.startswith("path", F.lit("#")))
-    return lines.orderBy("line").select((F.row_number().over(_by_line()) - 1).alias("position"), "path")
-
-
-def _by_line():
-    from pyspark.sql import Window
-
-    return Window.orderBy("line")
+    return with_position(lines, "line").select("position", "path")
 
 
 def write_shard_list(paths: list[str], spark: SparkSession, folder: str) -> None:

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new name below spark.checkpoint.dir; a temporary folder where that is unset."""
+    """A new name below spark.checkpoint.dir. Where that is unset, a local session (tests) gets
+    a temporary folder; on a cluster that would be no shared one, so it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scriptloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/scriptloom/{uuid.uuid4().hex}"
@@ -40,10 +43,19 @@ def with_position(df: DataFrame, *order: Column | str, name: str = "position") -
         starts[r["part"]], total = total, total + r["count"]
     if not starts:
         return df.withColumn(name, F.lit(0).cast("long"))
-    offset = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[part]
-    return rows.withColumn(name, (offset + F.col("_m").bitwiseAND(_LOW)).cast("long")).drop("_m")
+    first = df.sparkSession.createDataFrame(list(starts.items()), "_p long, _s long")  # one row a task
+    joined = rows.withColumn("_p", part).join(F.broadcast(first), "_p")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_s") + F.col("_m").bitwiseAND(_LOW)).alias(name))
 
 
-def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows allow it, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes of values that a broadcast may hold.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` from a written table, with a broadcast hint if the bytes of its values allow
+    it, else without, so that a join shuffles both sides."""
+    rows = written(df)
+    row = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in rows.columns), F.lit(16))
+    size = rows.agg(F.sum(row).alias("size")).first().size or 0
+    return F.broadcast(rows) if size <= (BROADCAST_BYTES if most is None else most) else rows

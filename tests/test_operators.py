@@ -167,15 +167,18 @@ def test_streams(spark, tmp_path):
 
 
 def test_sets(spark):
-    from scriptloom.functions import text
+    from scriptloom.functions import models
     from scriptloom.operators import sets
 
-    assert sets.largest_accepted(lambda n: n <= 37, 1, 100) == 37
-    assert sets.largest_accepted(lambda n: False, 1, 100) == 0
+    for most in (0, 1, 2, 37, 100):
+        for limit in (0, 1, 2, 3, 36, 37, 38, 64, 100, 1000):
+            asked = []
+            assert sets.largest_accepted(lambda n: asked.append(n) or n <= limit, most) == min(limit, most)
+            assert len(asked) < 16 and all(1 <= n <= most for n in asked)
     assert sets.config_changes({"a": 1, "b": 2}, {"a": 1, "b": 3}, ["a", "b"]) == ["b"]
     row = spark.range(1).select(
         sets.disjoint(F.array(F.lit(1)), F.array(F.lit(2))).alias("d"),
-        text.merge_entities(F.array(F.lit("it"), F.lit("is"), F.lit("so")), F.array(F.struct(F.lit(2).alias("end"), F.lit("a").alias("entity")), F.struct(F.lit(8).alias("end"), F.lit(".").alias("entity")))).alias("m"),
+        models.merge_entities(F.array(F.lit("it"), F.lit("is"), F.lit("so")), F.array(F.struct(F.lit(2).alias("end"), F.lit("a").alias("entity")), F.struct(F.lit(8).alias("end"), F.lit(".").alias("entity")))).alias("m"),
     ).first()
     assert row.d and row.m == ["a", "0", "."]
 
@@ -189,3 +192,90 @@ def test_principal_components_match_svd(spark):
     _, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     assert np.allclose(shares, (s**2 / (s**2).sum())[:5])
     assert np.allclose(np.abs((components * v[:5]).sum(axis=1)), 1, atol=1e-6)
+
+
+def test_models_plug_in(spark):
+    import io
+    import wave
+
+    import numpy as np
+
+    from scriptloom.functions import models
+
+    rows = spark.createDataFrame([(1, "we met anna and bob"), (2, ""), (3, None)], "i int, t string")
+    tagger = lambda: lambda texts: [None if t is None else [i for i in (t.find("anna"), t.find("bob")) if i >= 0] for t in texts]
+    got = {r.i: r.t for r in rows.select("i", models.proper_nouns(F.col("t"), tagger).alias("t")).collect()}
+    assert got == {1: "we met Anna and Bob", 2: "", 3: None}
+    upper = rows.select("i", models.model_column(F.col("t"), lambda: lambda x: [t and t.upper() for t in x], "string", 1).alias("t"))
+    assert {r.i: r.t for r in upper.collect()} == {1: "WE MET ANNA AND BOB", 2: "", 3: None}
+    with pytest.raises(Exception, match="answer every input"):
+        rows.select(models.model_column(F.col("t"), lambda: lambda x: [], "string")).collect()
+
+    def sound(rate, channels, seconds=0.5):
+        t = np.arange(int(rate * seconds)) / rate
+        tone = np.sin(2 * np.pi * 440 * t)
+        frames = np.stack([tone, 0.5 * tone][:channels], axis=1)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(2)
+            f.setframerate(rate)
+            f.writeframes((frames * 30000).astype("<i2").tobytes())
+        return out.getvalue()
+
+    def load():
+        def decode(content):
+            if content is None:
+                return None
+            with wave.open(io.BytesIO(content)) as f:
+                return np.frombuffer(f.readframes(f.getnframes()), "<i2").reshape(-1, f.getnchannels()) / 32768, f.getframerate()
+
+        return lambda contents: [decode(c) for c in contents]
+
+    files = spark.createDataFrame([(1, sound(16000, 1)), (2, sound(44100, 2)), (3, sound(8000, 1)), (4, None)], "i int, content binary")
+    got = {r.i: r.a for r in files.select("i", models.audio_column(F.col("content"), load).alias("a")).collect()}
+    assert got[4] is None
+    tone = np.sin(2 * np.pi * 440 * np.arange(8000) / 16000) * 30000 / 32768
+    for i, level in ((1, 1), (2, 0.75), (3, 1)):
+        assert got[i].seconds == 0.5 and np.abs(np.array(got[i].wave) - level * tone)[50:-50].max() < 0.01
+
+
+def test_generation_rows_keep_padding_behind(spark):
+    from scriptloom.functions import tensors
+
+    row = spark.range(1).select(
+        tensors.prefix(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3)), -1).alias("p"),
+        tensors.extended(F.array(F.lit(1), F.lit(-1)), F.array(F.lit(7), F.lit(8), F.lit(9)), F.lit(4), F.lit(2), F.lit(0)).alias("x"),
+    ).first()
+    assert row.p == [1, 2, -1, 3, -1] and row.x == [1, -1, 7, 8, 0, 0]
+
+
+def test_prepare_refuses_other_settings(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "key string"), spark.createDataFrame([("r",)], "custom_id string")
+    with pytest.raises(ValueError, match="overlap"):
+        labels.prepared({"overlap": 2, "root": "x"}, {"overlap": 3, "root": "x"}, *rows, rows)
+    again = labels.prepared({"overlap": 3}, {"overlap": 3}, *rows, rows)
+    assert [sorted(r[0] for r in t.collect()) for t in again] == [["a", "b"], ["r"]]
+    assert [t.count() for t in labels.prepared(None, {"overlap": 3}, *rows)] == [2, 1]
+
+
+def test_positions_over_many_partitions_and_joins_without_broadcast(spark, monkeypatch):
+    from scriptloom import storage
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        rows = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("v"), F.lit("x").alias("_p"))
+        assert rows.rdd.getNumPartitions() > 0
+        got = storage.with_position(rows.drop("_p"), "v").collect()
+        assert sorted((r.v, r.position) for r in got) == [(i, i) for i in range(2000)]
+        assert storage.with_position(rows.where("v < 0"), "v").collect() == []
+        monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+        vocabulary = spark.createDataFrame([("a", 0), ("b", 1)], "token string, id long")
+        words = spark.createDataFrame([(1, ["b", "x", "a", "b"]), (2, [])], "key int, words array<string>")
+        assert {r.key: r.ids for r in corpus.encode(words, vocabulary).collect()} == {1: [1, 0, 1], 2: []}
+        assert "Broadcast" not in corpus.encode(words, vocabulary)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
