@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,13 +21,16 @@ SPACES = "\\x20\\x09-\\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as in
-    local tests, is a temporary folder set instead.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset in a local
+    session, as in tests, is a temporary folder set instead; elsewhere it raises, for
+    executors could not see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scriptloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/scriptloom/{uuid.uuid4().hex}"
@@ -36,10 +40,10 @@ class Stored:
     """A DataFrame written as Parquet to the shared folder: its lineage ends there,
     so a lost executor costs a read, not a recomputation."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, codec: str = "snappy"):
         self.spark = df.sparkSession
         self.path = shared_dir(self.spark)
-        df.write.parquet(self.path)
+        df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -47,8 +51,20 @@ class Stored:
         remove(self.spark, self.path)
 
 
-def store(df: DataFrame) -> DataFrame:
-    return Stored(df).df
+def store(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    return Stored(df, codec).df
+
+
+#: Bytes of values that a broadcast may hold.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A stored table, with a broadcast hint if the bytes of its values allow it; else joins
+    shuffle it."""
+    row = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(16))
+    size = df.agg(F.sum(row).alias("size")).first().size or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def file_system(spark: SparkSession, path: str):
@@ -103,6 +119,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each of several runs, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def parts(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_part))
 

@@ -2,16 +2,19 @@
 
 Learning. Words (lower-cased [^\\x20\\x09-\\x0D]+, then one end token a text) are counted
 by their 64-bit hash. Level 1 of the trie is the sorted hashes of all words, with exact
-counts. Level k holds the n-grams of k words whose parts are in the levels below and
-that occur at least ``LEAST`` times; words rarer than ``LEAST_WORD`` enter no level
-above the first. A node's number is its place in its level.
+counts. A node's number is its place in its level. Every text is written once as its
+word numbers; counting and scoring read these, so texts are split and words looked up
+only once. Level k holds the n-grams of k words that occur at least ``least`` times (1:
+all of them). No n-gram is more frequent than a part of it, so those with a part below
+``least`` are left out before they are counted; nothing else is.
 
 A level is sorted by (context, word) and cut into chunks, each written by one task as
 one file of plain bytes: the contexts, the pointers to the children of each and the
 children's word numbers made monotone by a base for each context are Elias-Fano
-sequences; probabilities and back-off weights are quantised to 16 bits. Executors fetch
-the files through Spark and map them into memory; a search finds the context, then the
-successor of base + word in the context's range.
+sequences; probabilities and back-off weights are quantised to 16 bits. Workers map the
+files into memory, from the shared folder where it is mounted, else from the executor's
+copy that Spark fetches; a search finds the context, then the successor of base + word in
+the context's range.
 
 Probabilities are interpolated absolute discounting with the pruned mass in the
 back-off, down to P(w) = (c + 1/2) / (N + (V + 1) / 2), which is exact and gives the
@@ -26,10 +29,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +42,15 @@ from pyspark.sql import functions as F
 from scriptloom.llm.common import file_system, parts, pieces, shared_dir, store, words_of
 from scriptloom.llm.elias_fano import EliasFano, U, pack, unpack
 
-ORDER, LEAST, LEAST_WORD, DISCOUNT = 3, 2, 3, 0.75
+ORDER, LEAST, DISCOUNT = 3, 2, 0.75
 WORDS_PER_CHUNK, NODES_PER_CHUNK = 1 << 20, 1 << 19
 #: Tokens for each partition that sums n-grams; it has no more rows than tokens.
 ROWS_PER_PARTITION = 1 << 20
+#: Tokens that a task counts or scores at once.
+AT_ONCE = 1 << 21
 END = "\n"  # no word holds white space
+#: Fetch chunks even where they could be mapped from the shared folder.
+FETCHED = False
 QUANTA = (1 << 16) - 1
 
 
@@ -149,24 +158,29 @@ class GramChunk:
 
 
 class Trie:
-    """The levels written so far: names of chunk files, in order, and totals."""
+    """The levels written so far: addresses of chunk files, in order, and totals."""
 
-    def __init__(self, levels: list[list[str]], total: int, distinct: int):
-        self.names, self.total, self.distinct = levels, total, distinct
+    def __init__(self, levels: list[list[str]], total: int, distinct: int, least: int = LEAST):
+        self.names, self.total, self.distinct, self.least = levels, total, distinct, least
         self.levels: list[list] | None = None
 
     def __getstate__(self):
-        return self.names, self.total, self.distinct
+        return self.names, self.total, self.distinct, self.least
 
     def __setstate__(self, state):
-        self.names, self.total, self.distinct = state
+        self.names, self.total, self.distinct, self.least = state
         self.levels = None
 
+    @property
+    def kind(self) -> np.dtype:
+        """Of word numbers plus one, as texts are written."""
+        return np.dtype("<u4" if self.distinct < (1 << 32) - 1 else "<u8")
+
     def open(self) -> Trie:
         if self.levels is None:
             self.levels = []
             for k, names in enumerate(self.names):
-                maps = [np.memmap(SparkFiles.get(n), np.uint8, "r").view(np.ndarray) for n in names]
+                maps = [np.memmap(_local(n), np.uint8, "r").view(np.ndarray) for n in names]
                 self.levels.append([(WordChunk if k == 0 else GramChunk)(m[:-1].view(U)) for m in maps])
             self.levels = self.levels or [[]]
             self.starts = [np.concatenate(([0], np.cumsum([c.n for c in level]))).astype(np.int64) for level in self.levels]
@@ -178,16 +192,14 @@ class Trie:
         chunks = self.levels[0]
         if chunks:
             of = np.searchsorted(np.array([c.first for c in chunks], U), hashes, side="right") - 1
-            for i in np.unique(of[of >= 0]):
-                sel = np.flatnonzero(of == i)
+            for i, sel in _by_chunk(of):
                 at = chunks[i].find(hashes[sel])
                 out[sel] = np.where(at >= 0, at + self.starts[0][i], -1)
         return out
 
     def _each(self, level: int, number: np.ndarray, of: str) -> np.ndarray:
         out = np.zeros(len(number))
-        for i in np.unique(where := np.searchsorted(self.starts[level], number, side="right") - 1):
-            sel = np.flatnonzero(where == i)
+        for i, sel in _by_chunk(np.searchsorted(self.starts[level], number, side="right") - 1):
             out[sel] = getattr(self.levels[level][i], of)(number[sel] - self.starts[level][i])
         return out
 
@@ -208,8 +220,7 @@ class Trie:
             of = of - later
         # a context may begin in a later chunk than the one that would hold the n-gram
         of = np.where((of < 0) | ((contexts[np.minimum(of + 1, len(chunks) - 1)] == context) & (np.array([c.last[0] for c in chunks])[np.maximum(of, 0)] < context)), np.minimum(of + 1, len(chunks) - 1), of)
-        for i in np.unique(of):
-            sel = np.flatnonzero(of == i)
+        for i, sel in _by_chunk(of):
             at, owner = chunks[i].find(context[sel], word[sel])
             back[sel] = np.where(owner >= 0, chunks[i].back(np.maximum(owner, 0)), 0)
             number[sel] = np.where(at >= 0, at + self.starts[level][i], -1)
@@ -220,27 +231,31 @@ class Trie:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
+def _by_chunk(of: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
+    """(chunk, places) for each chunk that occurs; places below 0 are in none."""
+    if not len(of):
+        return
+    low, high = int(of.min()), int(of.max())
+    if low == high >= 0:
+        yield low, slice(None)
+        return
+    for i in np.flatnonzero(np.bincount(of[of >= 0])) if high >= 0 else ():
+        yield int(i), np.flatnonzero(of == i)
+
+
 class Words:
-    """Numbers and counts of words for a worker. Words that are frequent in training are
+    """Numbers of words for a worker. Words that are frequent in training are
     kept, up to KEEP of them; the others are looked up for each batch."""
 
     KEEP, FREQUENT = 300_000, 8
 
     def __init__(self, trie: Trie):
         self.trie = trie.open()
-        self.place: dict[bytes, int] = {}
-        self.number, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        number = self.trie.words(np.array([xxhash.xxh64_intdigest(w, 42) for w in words], U))
-        count = np.zeros(len(words), np.int64)
-        known = np.flatnonzero(number >= 0)
-        count[known] = self.trie.counts(0, number[known])
-        return number, count
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word numbers, -1 for unknown ones, with the end token after each text; counts
-        in training; tokens of each text)."""
+        self.number: dict[bytes, int] = {}
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, -1 for unknown ones, with the end token after each text; tokens
+        of each text)."""
         every: list[bytes] = []
         lengths = []
         end = END.encode()
@@ -249,27 +264,46 @@ class Words:
             every += words
             every.append(end)
             lengths.append(len(words) + 1)
-        kept = self.place.get
-        at = np.array([kept(w, -1) for w in every], np.int64)
-        number, count = self.number[at], self.count[at]
-        missed = np.flatnonzero(at < 0)
+        kept = self.number.get
+        number = np.array([kept(w, -2) for w in every], np.int64)
+        missed = np.flatnonzero(number == -2)
         if len(missed):
             asked = [every[i] for i in missed.tolist()]
             new = list(dict.fromkeys(asked))
-            new_number, new_count = self._look_up(new)
-            local = dict(zip(new, range(len(new)), strict=True))
-            of = np.fromiter(map(local.__getitem__, asked), np.int64, len(asked))
-            number[missed], count[missed] = new_number[of], new_count[of]
-            frequent = np.flatnonzero(new_count >= self.FREQUENT)[: max(0, self.KEEP - len(self.place))]
-            if len(frequent):
-                first = len(self.place)
-                self.number = np.concatenate([self.number[:first], new_number[frequent], [0]])
-                self.count = np.concatenate([self.count[:first], new_count[frequent], [0]])
-                self.place.update((new[i], first + k) for k, i in enumerate(frequent.tolist()))
-        return number, count, np.array(lengths, np.int64)
-
-    def start(self) -> int:
-        return int(self.trie.words(np.array([xxhash.xxh64_intdigest(END.encode(), 42)], U))[0])
+            found = self.trie.words(np.array([xxhash.xxh64_intdigest(w, 42) for w in new], U))
+            local = dict(zip(new, found.tolist(), strict=True))
+            number[missed] = np.fromiter(map(local.__getitem__, asked), np.int64, len(asked))
+            if (room := self.KEEP - len(self.number)) > 0:
+                known = np.flatnonzero(found >= 0)
+                frequent = known[self.trie.counts(0, found[known]) >= self.FREQUENT][:room]
+                self.number.update((new[i], int(found[i])) for i in frequent.tolist())
+        return number, np.array(lengths, np.int64)
+
+
+def _number_of_end(trie: Trie) -> int:
+    return int(trie.words(np.array([xxhash.xxh64_intdigest(END.encode(), 42)], U))[0])
+
+
+def _numbers(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, tokens of each text) of a column that ``words_column`` made."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
+    return data.astype(np.int64) - 1, np.diff(ends).astype(np.int64) // kind.itemsize
+
+
+def _gathered(columns: Iterator[pa.Array], kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of whole texts with about AT_ONCE tokens together."""
+    held, size = [], 0
+    for column in columns:
+        held.append(_numbers(column, kind))
+        size += len(held[-1][0])
+        if size >= AT_ONCE:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def _before(numbers: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -301,17 +335,27 @@ def _grams(trie: Trie, level: int, context: np.ndarray, word: np.ndarray) -> tup
     return np.where(w < 0, -1, number)[group], logp[group], back[group]
 
 
+def _local(address: str) -> str:
+    """Where a worker finds a chunk. A folder of the file system that driver and executors
+    share is mounted on each of them; other stores' files were fetched by Spark."""
+    where = urlsplit(address)
+    return SparkFiles.get(where.path) if where.scheme == "fetched" else unquote(where.path)
+
+
 def _write_chunks(made: DataFrame) -> list[str]:
-    """Write rows (chunk binary), one a partition, as one file each; fetch them to all
-    executors. Names in the order of partitions."""
+    """Write rows (chunk binary), one a partition, as one file each; their addresses in the
+    order of partitions. From stores that cannot be mapped into memory every executor
+    fetches them."""
     spark = made.sparkSession
     folder = shared_dir(spark)
     made.select(F.col("chunk").cast("string").alias("value")).write.text(folder)
     fs, path = file_system(spark, folder)
     files = sorted(str(s.getPath().toString()) for s in fs.listStatus(path) if s.getPath().getName().startswith("part-") and s.getLen() > 1)
+    if files and urlsplit(files[0]).scheme == "file" and not FETCHED:
+        return files
     for f in files:
         spark.sparkContext.addFile(f)
-    return [f.rpartition("/")[2] for f in files]
+    return [f"fetched:{f.rpartition('/')[2]}" for f in files]
 
 
 def _all(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
@@ -329,12 +373,50 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.values(), pa.int64())], names=["h", "n"])
 
 
-def fit(texts: DataFrame, order: int = ORDER) -> Trie:
+def words_column(text: Column, trie: Trie) -> Column:
+    """Column of a text's word numbers plus one (0: unknown word), the end token last, as
+    little-endian integers of ``trie.kind``."""
+    state: dict[str, Words] = {}
+
+    @F.arrow_udf("binary")
+    def numbers(texts: pa.Array) -> pa.Array:
+        if "words" not in state:
+            state["words"] = Words(trie)
+        made = [pa.array([], pa.binary())]
+        for batch in pieces([pa.RecordBatch.from_arrays([texts], names=["t"])], 0):
+            number, lengths = state["words"].read(batch.column(0).to_pylist())
+            raw = (number + 1).astype(trie.kind)
+            ends = np.concatenate(([0], np.cumsum(lengths * trie.kind.itemsize))).astype(np.int32)
+            made.append(pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())]))
+        return pa.concat_arrays(made)
+
+    return numbers(text)
+
+
+def fit(texts: DataFrame, order: int = ORDER, least: int = LEAST) -> Trie:
     """The trie of the texts (column text)."""
-    texts = texts.select("text")
+    return fit_rows(texts.select("text"), F.lit(True), order, least)[0]
+
+
+def fit_rows(docs: DataFrame, training: Column, order: int = ORDER, least: int = LEAST) -> tuple[Trie, DataFrame]:
+    """The trie of the rows of ``docs`` (column text) for which ``training`` holds, and all
+    rows as a written table, with the column ``words`` for ``score_column`` in place of
+    the text."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    trie = vocabulary(docs.where(training).select("text"), least)
+    read = docs.select(F.struct(*others, F.lit(0)).alias("row"), F.coalesce(training, F.lit(False)).alias("training"), words_column(F.col("text"), trie).alias("words"))
+    rows = store(read, "zstd")
+    for level in range(1, order if trie.total else 0):
+        if not _add_level(rows.where("training").select("words"), trie, level):
+            break
+    return trie, rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "text"], "words")
+
+
+def vocabulary(texts: DataFrame, least: int = LEAST) -> Trie:
+    """The first level, of the texts (column text)."""
     unigrams = store(texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     sums = unigrams.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    trie = Trie([], sums.n, sums.v)
+    trie = Trie([], sums.n, sums.v, least)
     if not sums.v:
         return trie
     chunks = parts(sums.v, WORDS_PER_CHUNK)
@@ -348,50 +430,90 @@ def fit(texts: DataFrame, order: int = ORDER) -> Trie:
     # unsigned ranges of the hash: its top 31 bits, in equal parts
     part = F.floor(F.shiftrightunsigned("h", 33) * chunks / (1 << 31)).cast("int")
     trie.names.append(_write_chunks(unigrams.repartitionById(chunks, part).mapInArrow(first_level, "chunk binary")))
-    for level in range(1, order):
-        if not _add_level(texts, trie, level):
-            break
     return trie
 
 
-def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (context, word, n) summed by n-gram; those below LEAST go."""
-    if (columns := _all(batches)) is None:
-        return
-    c, w, group = _distinct(columns[0], columns[1])
-    n = np.bincount(group, weights=columns[2], minlength=len(c)).astype(np.int64)
-    keep = n >= LEAST
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (c, w, n)], names=["context", "word", "n"])
+def _counted(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, sorted, and how often each occurs."""
+    bits = int(word.max(initial=0)).bit_length()
+    if int(context.max(initial=0)).bit_length() + bits <= 62:
+        key = np.sort(context << bits | word)
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        return key[new] >> bits, key[new] & ((1 << bits) - 1), np.diff(np.append(new, len(key)))
+    c, w, group = _distinct(context, word)
+    return c, w, np.bincount(group, minlength=len(c))
+
+
+def _spread(context: np.ndarray, word: np.ndarray, over: int) -> np.ndarray:
+    """The partition of each n-gram, by hash."""
+    with np.errstate(over="ignore"):
+        x = (context.astype(U) * U(0x9E3779B97F4A7C15)) ^ (word.astype(U) * U(0xC2B2AE3D27D4EB4F))
+        x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
+    part = ((x >> U(32)) % U(over)).astype(np.int64)
+    return part.astype(np.uint16) if over <= 1 << 16 else part
+
+
+def _squeeze(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted n-grams with their counts, compressed: steps between contexts, and all
+    numbers by their bytes of like weight, so that the empty ones vanish."""
+    columns = np.stack([np.diff(context, prepend=0), word, n]).astype("<i8")
+    return zstandard.compress(np.ascontiguousarray(columns.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)).tobytes(), 1)
+
+
+def _spread_out(grams: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same n-grams again."""
+    raw = np.frombuffer(zstandard.decompress(grams), np.uint8).reshape(3, 8, -1)
+    steps, word, n = np.ascontiguousarray(raw.transpose(0, 2, 1)).reshape(3, -1).view("<i8")
+    return np.cumsum(steps), word, n
+
+
+def _known(trie: Trie, numbers: np.ndarray) -> np.ndarray:
+    """Word numbers, -1 for words that are unknown or below ``trie.least``."""
+    return np.where((numbers >= 0) & (trie.counts(0, np.maximum(numbers, 0)) >= trie.least), numbers, -1)
 
 
-def _add_level(texts: DataFrame, trie: Trie, level: int) -> bool:
+def _add_level(rows: DataFrame, trie: Trie, level: int) -> bool:
+    # an n-gram's counts meet in one of many small partitions
+    spread_over = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(trie.total, ROWS_PER_PARTITION))
+
+    def sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (context, word, n) summed by n-gram; those below ``least`` go."""
+        held = [_spread_out(x.as_py()) for b in batches for x in b.column(1)]
+        if not held:
+            return
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        c, w, group = _distinct(columns[0], columns[1])
+        n = np.bincount(group, weights=columns[2], minlength=len(c)).astype(np.int64)
+        keep = n >= trie.least
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (c, w, n)], names=["context", "word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(trie)
-        start = words.start()
-        for batch in pieces(batches, 0, 32 << 20):
-            numbers, counts, lengths = words.read(batch.column(0).to_pylist())
-            kept = np.where(counts < LEAST_WORD, -1, numbers)
+        t = trie.open()
+        start = _number_of_end(t)
+        for numbers, lengths in _gathered((b.column(0) for b in batches), t.kind):
+            kept = _known(t, numbers)
             context = _before(kept, lengths, start)
             for below in range(1, level):
                 known = np.full(len(kept), -1, np.int64)
                 ok = np.flatnonzero((context >= 0) & (kept >= 0))
-                known[ok] = _grams(words.trie, below, context[ok], kept[ok])[0]
+                known[ok] = _grams(t, below, context[ok], kept[ok])[0]
                 context = _before(known, lengths, -1)
+                kept = np.where(known >= 0, kept, -1)
             ok = np.flatnonzero((context >= 0) & (kept >= 0))
-            c, w, group = _distinct(context[ok], kept[ok])
-            n = np.bincount(group, minlength=len(c))
-            for a in range(0, len(c), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)].astype(np.int64)) for x in (c, w, n)], names=["context", "word", "n"])
-
-    # every task has summed its own; an n-gram's sums meet in one of many small partitions
-    spread_over = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(trie.total, ROWS_PER_PARTITION))
-    counted = texts.mapInArrow(count, "context long, word long, n long").repartition(spread_over, "context", "word")
-    grams = store(counted.mapInArrow(_sum_grams, "context long, word long, n long"))
+            counted = _counted(context[ok], kept[ok])
+            part = _spread(*counted[:2], spread_over)
+            order = np.argsort(part, kind="stable")
+            starts = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
+            rows = [_squeeze(*(x[some] for x in counted)) for some in np.split(order, starts[1:])] if len(order) else []
+            yield pa.RecordBatch.from_arrays([pa.array(part[order[starts]], pa.int32()), pa.array(rows, pa.binary())], names=["part", "grams"])
+
+    counted = rows.mapInArrow(count, "part int, grams binary").repartitionById(spread_over, F.col("part"))
+    grams = store(counted.mapInArrow(sum_grams, "context long, word long, n long"))
     size = grams.count()
     if not size:
         return False
     kept = store(grams.groupBy("context").agg(F.sum("n").alias("kept"), F.count("*").alias("types")))
-    rows = store(grams.join(kept, "context").select("context", "word", "n", "kept", "types"))
+    nodes = store(grams.join(kept, "context").select("context", "word", "n", "kept", "types"))
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _all(batches)
@@ -404,7 +526,7 @@ def _add_level(texts: DataFrame, trie: Trie, level: int) -> bool:
         p = (n - DISCOUNT) / uses + back * 10 ** _lower(t, level, context, word)
         yield pa.RecordBatch.from_arrays([pa.array([gram_chunk(context, word, np.log10(p), n, np.log10(np.maximum(back, 1e-12)))])], names=["chunk"])
 
-    spread = rows.repartitionByRange(parts(size, NODES_PER_CHUNK), "context", "word").sortWithinPartitions("context", "word")
+    spread = nodes.repartitionByRange(parts(size, NODES_PER_CHUNK), "context", "word").sortWithinPartitions("context", "word")
     trie.names.append(_write_chunks(spread.mapInArrow(chunk, "chunk binary")))
     trie.levels = None
     return True
@@ -423,8 +545,8 @@ def _lower(trie: Trie, level: int, context: np.ndarray, word: np.ndarray) -> np.
 def _last_word(trie: Trie, level: int, number: np.ndarray) -> np.ndarray:
     """The last word of the n-grams with these numbers."""
     out = np.zeros(len(number), np.int64)
-    for i in np.unique(where := np.searchsorted(trie.starts[level], number, side="right") - 1):
-        c, sel = trie.levels[level][i], np.flatnonzero(where == i)
+    for i, sel in _by_chunk(np.searchsorted(trie.starts[level], number, side="right") - 1):
+        c = trie.levels[level][i]
         at = number[sel] - trie.starts[level][i]
         begins = c.begins.access(np.arange(c.begins.n)).astype(np.int64)
         begin = begins[np.searchsorted(begins[:-1], at, side="right") - 1]
@@ -436,15 +558,14 @@ def _last_word(trie: Trie, level: int, number: np.ndarray) -> np.ndarray:
 SCORED = "struct<n_tokens:long,n_known:long,base_score:double,score:double>"
 
 
-def score_texts(words: Words, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """(tokens, known tokens, base score, score) of each text."""
-    trie = words.trie
-    numbers, counts, lengths = words.read(texts)
+def score_numbers(trie: Trie, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(tokens, known tokens, base score, score) of texts given as word numbers."""
+    counts = np.where(numbers >= 0, trie.counts(0, np.maximum(numbers, 0)), 0) if trie.total else np.zeros(len(numbers), np.int64)
     base = trie.unigram(counts)
     score = base.copy()
     # rare and unknown words are in no n-gram, but back off from their contexts as well
-    kept = np.where(counts < LEAST_WORD, -1, numbers)
-    context = _before(kept, lengths, words.start())
+    kept = np.where(counts < trie.least, -1, numbers)
+    context = _before(kept, lengths, _number_of_end(trie))
     for level in range(1, len(trie.levels)):
         at = np.flatnonzero(context >= 0)
         number, logp, back = _grams(trie, level, context[at], kept[at])
@@ -456,21 +577,15 @@ def score_texts(words: Words, texts: list[str | None]) -> tuple[np.ndarray, ...]
     return lengths, np.add.reduceat((counts > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(score, first)
 
 
-def score_column(text: Column, trie: Trie) -> Column:
-    """Column of struct<n_tokens, n_known, base_score, score>."""
-
-    state: dict[str, Words] = {}
+def score_column(words: Column, trie: Trie) -> Column:
+    """Column of struct<n_tokens, n_known, base_score, score> of ``words_column``."""
 
     @F.arrow_udf(SCORED)
-    def score(texts: pa.Array) -> pa.Array:
-        if "words" not in state:
-            state["words"] = Words(trie)
-        words = state["words"]
-        made = []
-        for batch in pieces([pa.RecordBatch.from_arrays([texts], names=["t"])], 0):
-            made.append(score_texts(words, batch.column(0).to_pylist()))
+    def score(column: pa.Array) -> pa.Array:
+        t = trie.open()
+        made = [score_numbers(t, *x) for x in _gathered((column.slice(a, 256) for a in range(0, len(column), 256)), t.kind)]
         columns = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [np.zeros(0)] * 4
         kinds = (np.int64, np.int64, np.float64, np.float64)
         return pa.StructArray.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["n_tokens", "n_known", "base_score", "score"])
 
-    return score(text)
+    return score(words)

@@ -33,18 +33,9 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text) + 8
-    placed = kd_shards.shard(
-        _table(spark, sf_dir, "documents"),
-        {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(text.cast("binary"))},
-        size,
-        {
-            "source": kd_shards.text_code(F.col("source")),
-            "lang": kd_shards.text_code(F.col("lang")),
-            "size": kd_shards.number_code(size),
-            "n_chars": kd_shards.number_code(F.col("n_chars")),
-        },
-        shards=24,
-    )
+    docs = _table(spark, sf_dir, "documents")
+    dims = kd_shards.dimensions(docs, {"source": F.col("source"), "lang": F.col("lang")}, {"size": size, "n_chars": F.col("n_chars")})
+    placed = kd_shards.shard(docs, {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(text.cast("binary"))}, size, dims, shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -104,8 +95,8 @@ def op9_training_order(spark: SparkSession, sf_dir: str, model_path: str | None
     """A row for each sequence, read back from the shards it writes."""
     path, folder = model_path or tokenizer_path("piece_bpe_32k.model"), shared_dir(spark)
     training_order.write(
-        _table(spark, sf_dir, "documents"),
-        lambda: sentencepiece_codec.codec(path).encode,
+        _table(spark, sf_dir, "documents").select("doc_id", "text"),
+        lambda: sentencepiece_codec.codec(path).encode_all,
         folder,
         key="epoch-0",
     )
@@ -116,8 +107,8 @@ def op9_training_order(spark: SparkSession, sf_dir: str, model_path: str | None
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(F.col("doc_id")), F.lit(-1)) == 1
-    trie = ngram_lm.fit(docs.where(~held_out))
-    scored = docs.select("doc_id", held_out.alias("held_out"), ngram_lm.score_column(F.col("text"), trie).alias("s"))
+    trie, rows = ngram_lm.fit_rows(docs.withColumn("held_out", held_out), ~F.col("held_out"))
+    scored = rows.select("doc_id", "held_out", ngram_lm.score_column(F.col("words"), trie).alias("s"))
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scriptloom.llm import ngram_lm, queries, sentencepiece_codec, training_order
@@ -35,52 +36,78 @@ def test_permutation_is_a_bijection():
 
 
 def _write(docs, folder, key="k", **more):
-    return training_order.write(docs, lambda: sentencepiece_codec.codec(MODEL).encode, folder, key, length=16, per_shard=20, **more)
+    return training_order.write(docs, lambda: sentencepiece_codec.codec(MODEL).encode_all, folder, key, length=16, per_shard=20, **more)
 
 
-def test_shards_hold_every_sequence_in_order(spark):
-    from scriptloom.llm.common import store
+def _bytes(spark, folder, *slots):
+    return [(r.slot, r.shard, r.position, bytes(r.ids)) for r in sorted(training_order.read(spark, folder, *slots).collect(), key=lambda r: r.slot)]
 
-    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).repartition(3)
-    odd = spark.createDataFrame([(1, None, None, None, None), (1, "", None, None, None)], some.schema)
-    docs = store(some.unionByName(odd))
+
+def brute_order(rows, length, key):
+    """The sequences by slot, restated plainly."""
+    stream = []
+    for _, text in rows:
+        stream += sentencepiece_codec.codec(MODEL).encode(text).tolist()
+    stream += [0] * (-len(stream) % length)
+    cut = [stream[i : i + length] for i in range(0, len(stream), length)]
+    slots = training_order.Permutation(len(cut), key).slots(np.arange(len(cut)))
+    return [cut[i] for i in np.argsort(slots)]
+
+
+def test_shards_hold_every_sequence_in_order(spark, monkeypatch):
+    for name, n in (("BLOCK_TOKENS", 300), ("BLOCK_DOCS", 4), ("AT_ONCE", 900)):
+        monkeypatch.setattr(training_order, name, n)
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).select("text", "doc_id", F.lit(1).alias("part"), F.lit("x").alias("ids"))
+    odd = spark.createDataFrame([(None, 7000, 1, ""), ("", 7000, 1, ""), ("a b", 7001, 1, ""), ("a b", 7001, 1, ""), ("none", None, 1, "")], some.schema)
+    docs = some.unionByName(odd)
     folder = shared_dir(spark)
-    shards = _write(docs, folder)
-    rows = sorted(training_order.read(spark, folder, 16).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(len(rows)))
-    # the same by a plain restatement: streams of partitions, cut, padded, sorted by place
-    streams = {}
-    for r in docs.select(F.spark_partition_id().alias("p"), "text").collect():
-        streams.setdefault(r.p, []).extend(sentencepiece_codec.codec(MODEL).encode(r.text).tolist())
-    domain = docs.rdd.getNumPartitions() << 32
-    perm = training_order.Permutation(domain, "k")
-    want = []
-    for p, ids in streams.items():
-        ids += [0] * (-len(ids) % 16)
-        want += [(int(perm.slots([(p << 32) + j // 16])[0]), ids[j : j + 16]) for j in range(0, len(ids), 16)]
-    want.sort()
-    assert [np.frombuffer(r.ids, "<u2").tolist() for r in rows] == [x for _, x in want]
-    assert [r.shard for r in rows] == [place // -(-domain // shards) for place, _ in want] and shards > 3
-    for s in {r.shard for r in rows}:
-        assert [r.position for r in rows if r.shard == s] == [33 * i for i in range(sum(r.shard == s for r in rows))]
+    layout = _write(docs.repartition(2), folder)
+    rows = _bytes(spark, folder)
+    want = brute_order(sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0)), 16, "k")
+    assert [np.frombuffer(r[3], "<u2").tolist() for r in rows] == want and layout.sequences == len(want)
+    assert [r[:3] for r in rows] == [(i, i // 20, i % 20 * 33) for i in range(len(want))] and layout.shards > 3
+    # neither the partitions nor their order matter
+    again = shared_dir(spark)
+    _write(docs.orderBy(F.rand(3)).repartition(7), again)
+    assert _bytes(spark, again) == rows
+    # a run that was broken off goes on; a reader starts anywhere
     later = shared_dir(spark)
-    _write(docs, later, done=[0, 2])
-    again = [bytes(r.ids) for r in sorted(training_order.read(spark, later, 16).collect(), key=lambda r: r.slot)]
-    assert again == [bytes(r.ids) for r in rows if r.shard not in (0, 2)]
+    _write(docs.repartition(3), later, done=[0, 2])
+    assert _bytes(spark, later) == [r for r in rows if r[1] not in (0, 2)]
+    _write(docs.repartition(5), later, done=[s for s in range(layout.shards) if s not in (0, 2)])
+    assert _bytes(spark, later) == rows and _bytes(spark, later, 33) == rows[33:] and _bytes(spark, later, 5, 61) == rows[5:61]
+    assert training_order.read(spark, later, 45, 58).select("shard").distinct().count() == 1 == len(training_order.read(spark, later, 45, 58).inputFiles())
     other = shared_dir(spark)
     _write(docs, other, "another key")
-    shuffled = [bytes(r.ids) for r in sorted(training_order.read(spark, other, 16).collect(), key=lambda r: r.slot)]
-    assert shuffled != [bytes(r.ids) for r in rows] and sorted(shuffled) == sorted(bytes(r.ids) for r in rows)
+    shuffled = [r[3] for r in _bytes(spark, other)]
+    assert shuffled != [r[3] for r in rows] and sorted(shuffled) == sorted(r[3] for r in rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("scriptloom_")]
+
+
+def test_training_order_query(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    want = brute_order(docs, 1024, "epoch-0")
+    got = sorted(queries.op9_training_order(spark, sf).collect())
+    assert [(r.slot, r.shard, r.position, r.n_bytes, r.ids_crc32) for r in got] == [
+        (i, i // 4096, i % 4096 * 2049, 2048, zlib.crc32(np.array(ids, "<u2").tobytes())) for i, ids in enumerate(want)
+    ]
+
+
+def test_ids_beyond_16_bits_raise(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="16 bits"):
+        training_order.write(docs, lambda: lambda texts: (np.array([70_000], np.int32), np.ones(len(texts), np.int64)), shared_dir(spark), "k")
 
 
 def test_no_rows_give_no_sequences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     folder = shared_dir(spark)
-    _write(docs, folder)
-    assert training_order.read(spark, folder, 16).collect() == []
+    assert _write(docs, folder).sequences == 0
+    assert training_order.read(spark, folder).collect() == []
 
 
-def brute_scores(train, texts):
+def brute_scores(train, texts, least=ngram_lm.LEAST):
     def tokens(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
         return [*re.findall(r"[^\x20\x09-\x0D]+", low), "\n"]
@@ -89,18 +116,18 @@ def brute_scores(train, texts):
     rows = [tokens(t) for t in train]
     for r in rows:
         uni.update(r)
-    kept = lambda w: uni[w] >= ngram_lm.LEAST_WORD
+    kept = lambda w: uni[w] >= least
     for r in rows:
         for u, w in zip(["\n", *r], r):
             if kept(u) and kept(w):
                 bi[u, w] += 1
-    bi = Counter({k: n for k, n in bi.items() if n >= ngram_lm.LEAST})
+    bi = Counter({k: n for k, n in bi.items() if n >= least})
     for r in rows:
         h = ["\n", *r]
         for a, b, c in zip(h, h[1:], h[2:]):
             if (a, b) in bi and kept(c):
                 tri[a, b, c] += 1
-    tri = Counter({k: n for k, n in tri.items() if n >= ngram_lm.LEAST})
+    tri = Counter({k: n for k, n in tri.items() if n >= least})
     total, distinct = sum(uni.values()), len(uni)
     mass = {}
     for table in (bi, tri):
@@ -129,6 +156,10 @@ def brute_scores(train, texts):
     return out, total
 
 
+def _scores(trie):
+    return ngram_lm.score_column(ngram_lm.words_column(F.col("text"), trie), trie).alias("s")
+
+
 def test_scores_match_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -142,22 +173,38 @@ def test_scores_match_brute_force(spark):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
-def test_scores_over_many_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_scores_over_many_chunks(spark, monkeypatch, least):
+    monkeypatch.setattr(ngram_lm, "FETCHED", least == 2)
     monkeypatch.setattr(ngram_lm, "WORDS_PER_CHUNK", 50)
     monkeypatch.setattr(ngram_lm, "NODES_PER_CHUNK", 4)
     texts = ["a b c a b d", "a b c", "c a b d", None, "", "a b", "d c a b c d A B c d e f g", "b b b b b b"] * 6 + ["x" + "y" * i for i in range(200)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
-    trie = ngram_lm.fit(df)
+    trie = ngram_lm.fit(df, least=least)
     assert len(trie.names[0]) > 2 and len(trie.names[1]) > 1
-    got = df.select("text", ngram_lm.score_column(F.col("text"), trie).alias("s")).collect()
-    want, _ = brute_scores(texts, [r.text for r in got])
+    assert {n.partition(":")[0] for level in trie.names for n in level} == {"fetched" if least == 2 else "file"}
+    got = df.select("text", _scores(trie)).collect()
+    want, _ = brute_scores(texts, [r.text for r in got], least)
     for r, (n, known, base, score) in zip(got, want):
         assert (r.s.n_tokens, r.s.n_known) == (n, known)
         assert math.isclose(r.s.base_score, base, rel_tol=1e-9) and math.isclose(r.s.score, score, abs_tol=2e-3), r.text
 
 
+def test_rows_that_repeat_and_names_that_clash(spark):
+    rows = [(1, "a b a b", "w", 1), (1, "a b a b", "w", 1), (None, None, None, None), (2, "  ", "", 2), (3, "long " * 30_000, "x", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, words string, training long").drop("words").withColumnRenamed("training", "row")
+    trie, kept = ngram_lm.fit_rows(df, F.col("doc_id") < 3)
+    assert kept.columns == ["doc_id", "row", "words"]
+    got = sorted(kept.select("doc_id", "row", ngram_lm.score_column(F.col("words"), trie).alias("s")).collect(), key=repr)
+    texts = {1: "a b a b", 2: "  ", None: None, 3: "long " * 30_000}
+    want, total = brute_scores(["a b a b", "a b a b", "  "], [texts[r.doc_id] for r in got])
+    assert trie.total == total == 11 and len(got) == 5
+    for r, (n, known, base, score) in zip(got, want):
+        assert (r.s.n_tokens, r.s.n_known) == (n, known) and math.isclose(r.s.score, score, rel_tol=1e-3, abs_tol=2e-3)
+
+
 def test_without_training_rows(spark):
     df = spark.createDataFrame([("a b",), (None,)], "text string")
     trie = ngram_lm.fit(df.limit(0))
-    rows = [r.s for r in df.select(ngram_lm.score_column(F.col("text"), trie).alias("s")).collect()]
+    rows = [r.s for r in df.select(_scores(trie)).collect()]
     assert [(s.n_tokens, s.n_known, s.base_score, s.score) for s in rows] == [(3, 0, 0.0, 0.0), (1, 0, 0.0, 0.0)]
