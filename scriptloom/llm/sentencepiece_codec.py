@@ -25,9 +25,12 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptloom.llm.common import pieces, runs
+
 MARK = "▁"
 ENCODED = "struct<ids:array<int>,decoded:string>"
 
@@ -66,28 +69,38 @@ class Segments(dict):
     """Ids (as bytes) of segments after a prefix. Two generations: when one is full it
     becomes the older, and what is used again moves back, so frequent segments stay."""
 
+    __slots__ = ("codec", "prefix", "older", "touching", "plain", "longest", "room")
+
     def __init__(self, codec: PieceCodec, prefix: str):
         super().__init__()
         self.codec, self.prefix, self.older = codec, prefix, {}
+        self.touching, self.longest, self.room = codec.touching, codec.SEGMENT, codec.CACHE
+        self.plain = self if not prefix else codec.plain
 
     def __missing__(self, segment: str) -> bytes:
         ids = self.older.get(segment)
-        if ids is None and 1 < len(segment) <= self.codec.SEGMENT and segment[-2:] not in self.codec.touching:
-            # no piece holds the last two characters side by side: no merge joins them
-            head = self.get(segment[:-1])
-            if head is None:  # a rare word: its bare form is kept
-                return self[segment[:-1]] + self.codec.plain[segment[-1]]
-            ids = head + self.codec.plain[segment[-1]]
-        elif ids is None:
-            text = segment.replace(" ", MARK) if " " in segment else segment
-            ids = array("i", self.codec.encode_segment(self.prefix + text)).tobytes()
-        if len(segment) <= self.codec.SEGMENT:
-            if len(self) >= self.codec.CACHE:
-                self.older = dict(self)
-                self.clear()
-            self[segment] = ids
+        if len(segment) > self.longest:
+            return self._encoded(segment)
+        if ids is None:
+            if segment[-2:] not in self.touching and len(segment) > 1:
+                # no piece holds the last two characters side by side: no merge joins them
+                head, tail = segment[:-1], self.plain[segment[-1]]
+                ids = self.get(head)
+                if ids is None:  # a rare word: its bare form is kept
+                    return self[head] + tail
+                ids += tail
+            else:
+                ids = self._encoded(segment)
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        self[segment] = ids
         return ids
 
+    def _encoded(self, segment: str) -> bytes:
+        text = segment.replace(" ", MARK) if " " in segment else segment
+        return array("i", self.codec.encode_segment(self.prefix + text)).tobytes()
+
 
 class PieceCodec:
     """Encoder and decoder of one model file.
@@ -163,7 +176,8 @@ class PieceCodec:
         self.segments = None if crossing else re.compile(f" *[^ {line}]+| +" + ("|\n" if line else ""))
         self.touching = {n[i : i + 2] for n in self.ids for i in range(len(n) - 1)} | {f" {n[i + 1]}" for n in self.ids for i in range(len(n) - 1) if n[i] == MARK}
         self.touching |= {x.replace(MARK, " ") for x in self.touching}
-        self.marked, self.plain = Segments(self, MARK), Segments(self, "")
+        self.plain = Segments(self, "")
+        self.marked = Segments(self, MARK)
 
     def _raw(self, i: int) -> bytes:
         if self.kinds[i] == 6:
@@ -325,6 +339,38 @@ class PieceCodec:
             body = b"".join(self._parts(text))
         return np.frombuffer(body + tail, dtype="<i4")
 
+    def encode_all(self, texts: pa.Array, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, one text after the other, and how many each has.
+
+        Texts with single spaces fall into words at the spaces, where a line end begins a
+        word. Each distinct word of the column is encoded once, and its ids are laid out
+        wherever it occurs."""
+        lengths, ids = np.full(len(texts), int(end), np.int64), np.zeros(0, np.int32)
+        plain_spaces = np.zeros(len(texts), bool)
+        if self.segments is not None and self.line and self.dummy_prefix and len(texts):
+            odd = pc.or_(pc.or_(pc.match_substring(texts, MARK), pc.match_substring(texts, "  ")), pc.or_(pc.starts_with(texts, " "), pc.equal(texts, "")))
+            plain_spaces = ~pc.fill_null(odd, True).to_numpy(zero_copy_only=False)
+        if plain_spaces.any():
+            split = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(plain_spaces)), "\n", " \n"), " ")
+            coded = split.flatten().dictionary_encode()
+            marked, plain, line = self.marked, self.plain, self.line
+            words = [marked[w] if w[:1] != "\n" else line + plain[w[1:]] if len(w) > 1 else line for w in coded.dictionary.to_pylist()]
+            each = np.frombuffer(b"".join(words), "<i4")
+            many = np.fromiter(map(len, words), np.int64, len(words)) // 4
+            at = coded.indices.to_numpy()
+            ids = each[runs((np.cumsum(many) - many)[at], many[at])]
+            lengths[plain_spaces] += np.add.reduceat(many[at], split.offsets.to_numpy()[:-1])
+        others = {i: self.encode(texts[i].as_py(), False) for i in np.flatnonzero(~plain_spaces).tolist()}
+        for i, found in others.items():
+            lengths[i] += len(found)
+        ends = np.cumsum(lengths)
+        out = np.full(int(ends[-1]) if len(ends) else 0, self.end, np.int32)
+        begins = ends - lengths
+        out[runs(begins[plain_spaces], lengths[plain_spaces] - end)] = ids
+        for i, found in others.items():
+            out[begins[i] : begins[i] + len(found)] = found
+        return out, lengths
+
     def count(self, text: str | None, end: bool = True) -> int:
         """Number of the ids that ``encode`` gives, without joining them."""
         if not text:
@@ -379,11 +425,14 @@ def codec(model_path: str) -> PieceCodec:
     return _codecs[model_path]
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+def _lists(ids: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+
+
+def _sliced(texts: pa.Array) -> list[pa.Array]:
+    """A column in slices of a bounded size."""
+    return [b.column(0) for b in pieces([pa.RecordBatch.from_arrays([texts], names=["t"])], 0)]
 
 
 def encode(text: Column, model_path: str, end: bool = True) -> Column:
@@ -392,7 +441,7 @@ def encode(text: Column, model_path: str, end: bool = True) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         c = codec(model_path)
-        return _lists([c.encode(t.as_py(), end) for t in texts])
+        return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *[_lists(*c.encode_all(t, end)) for t in _sliced(texts)]])
 
     return ids(text)
 
@@ -414,8 +463,11 @@ def encode_decode(text: Column, model_path: str, end: bool = True) -> Column:
     @F.arrow_udf(ENCODED)
     def both(texts: pa.Array) -> pa.Array:
         c = codec(model_path)
-        ids = [c.encode(t.as_py(), end) for t in texts]
-        decoded = pa.array([c.decode(a) for a in ids], pa.string())
-        return pa.StructArray.from_arrays([_lists(ids), decoded], names=["ids", "decoded"])
+        lists, decoded = [pa.array([], pa.list_(pa.int32()))], [pa.array([], pa.string())]
+        for some in _sliced(texts):
+            ids, lengths = c.encode_all(some, end)
+            lists.append(_lists(ids, lengths))
+            decoded.append(pa.array([c.decode(a) for a in np.split(ids, np.cumsum(lengths)[:-1])], pa.string()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.concat_arrays(decoded)], names=["ids", "decoded"])
 
     return both(text)

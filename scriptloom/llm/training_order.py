@@ -40,9 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import file_system, remove, shared_dir, sized, store
+from scriptloom.llm.common import file_system, pieces, remove, runs, shared_dir, sized, store
 
-Encoder = Callable[[str | None], np.ndarray]
+#: From texts to all their ids and the number of each text's.
+Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 PAD = 0
 #: Tokens and documents of a block at most, and tokens that a task deals out at once.
 BLOCK_TOKENS, BLOCK_DOCS, AT_ONCE = 1 << 20, 4096, 1 << 23
@@ -124,29 +125,25 @@ def _encode(encoder: Callable[[], Encoder]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, block = encoder(), TaskContext.get().partitionId(), 0
-        keys, hashes, held, size = [], [], [], 0
 
-        def made() -> pa.RecordBatch:
-            nonlocal block, keys, hashes, held, size
-            tokens = np.concatenate(held)
-            if len(tokens) and not 0 <= tokens.min() <= tokens.max() < 1 << 16:
-                raise ValueError("an id does not fit 16 bits")
-            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([hashes], pa.list_(pa.int64()))]
-            columns += [pa.array([[len(x) for x in held]], pa.list_(pa.int32())), pa.array([tokens.astype("<u2").tobytes()])]
-            block, keys, hashes, held, size = block + 1, [], [], [], 0
+        def made(keys: pa.Array, hashes: pa.Array, counts: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+            nonlocal block
+            lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (keys, hashes, pa.array(counts, pa.int32()))]
+            columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), *lists, pa.array([tokens.astype("<u2").tobytes()])]
+            block += 1
             return pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys", "hashes", "counts", "ids"])
 
-        for batch in batches:
-            for key, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = encode(text.as_py())
-                keys.append(key)
-                hashes.append(h)
-                held.append(ids)
-                size += len(ids)
-                if size >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
-                    yield made()
-        if held:
-            yield made()
+        for batch in pieces(batches, 2):
+            tokens, counts = encode(batch.column(2))
+            if len(tokens) and not 0 <= tokens.min() <= tokens.max() < 1 << 16:
+                raise ValueError("an id does not fit 16 bits")
+            ends = np.cumsum(counts)
+            begin = 0
+            while begin < len(counts):  # at least a document, else as many as fit
+                before = ends[begin] - counts[begin]
+                end = min(begin + BLOCK_DOCS, max(begin + 1, int(np.searchsorted(ends, before + BLOCK_TOKENS, side="right"))))
+                yield made(*(batch.column(i).slice(begin, end - begin) for i in (0, 1)), counts[begin:end], tokens[before : ends[end - 1]])
+                begin = end
 
     return run
 
@@ -178,19 +175,13 @@ def _places(blocks: DataFrame, buckets: int) -> tuple[Bucketed, int]:
     return Bucketed(found.select("part", "at", F.col("s.start").alias("starts")), "part", buckets), total
 
 
-def _within(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... for each of several runs, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def _pieces(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(sequence, place in it, first token, tokens) of the pieces into which sequence
     borders cut documents that lie one after the other in a block."""
     first, last = starts // length, (starts + counts - 1) // length
     many = last - first + 1
     doc = np.repeat(np.arange(len(starts)), many)
-    sequence = _within(first, many)
+    sequence = runs(first, many)
     begin = np.maximum(starts[doc], sequence * length)
     end = np.minimum(starts[doc] + counts[doc], (sequence + 1) * length)
     token = begin - starts[doc] + (np.cumsum(counts) - counts)[doc]
@@ -214,7 +205,7 @@ def _deal(layout: Layout, key: str, done: np.ndarray):
             borders = np.flatnonzero(np.diff(shard[keep])) + 1
             for some in np.split(keep, borders) if len(keep) else ():
                 head = np.concatenate(([len(some)], slot[some], at[some], n[some])).astype("<i8").tobytes()
-                data = squeeze(head + ids[_within(token[some], n[some])].tobytes())
+                data = squeeze(head + ids[runs(token[some], n[some])].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([shard[some[0]]], pa.int32()), pa.array([data])], names=["shard", "data"])
 
         for batch in batches:
@@ -243,7 +234,7 @@ def _lay_out(layout: Layout):
                 raw = spread(data.as_py())
                 many = int(np.frombuffer(raw, "<i8", 1)[0])
                 slot, at, n = np.frombuffer(raw, "<i8", 3 * many, 8).reshape(3, many)
-                records[_within((slot - first) * layout.length + at, n)] = np.frombuffer(raw, "<u2", offset=8 + 24 * many)
+                records[runs((slot - first) * layout.length + at, n)] = np.frombuffer(raw, "<u2", offset=8 + 24 * many)
         for a in range(0, 0 if records is None else len(records), 1024 * layout.length):
             some = records[a : a + 1024 * layout.length]
             ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * layout.length), len(some) // layout.length, [None, pa.py_buffer(some.tobytes())])
@@ -254,7 +245,7 @@ def _lay_out(layout: Layout):
 
 def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str, length: int = 1024, per_shard: int = 4096, done: list[int] | None = None) -> Layout:
     """Write the shards of ``docs`` (doc_id long, text) below ``folder``. ``encoder`` makes,
-    on a worker, a function that gives a text's ids."""
+    on a worker, a function that gives the ids of a column of texts."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     buckets = max(1, min(rows.rdd.getNumPartitions(), 20_000))

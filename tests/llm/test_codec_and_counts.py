@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -31,6 +32,13 @@ def test_encodes_and_decodes_as_the_library(library, codec):
         assert codec.count(t) == len(want)
         assert codec.decode(want) == library.decode(want)
     assert codec.encode(None).tolist() == [codec.end]
+    texts += [None, "a\n\nb", "\n", "\na b", "a \nb", "a\n b", "a\n", "x " * 20_000, "one\ntwo  three"] + ["".join(rng.choice("ab the\n .é") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    for end in (True, False):
+        ids, lengths = codec.encode_all(pa.array(texts, pa.string()).slice(3), end)
+        found = np.split(ids, np.cumsum(lengths)[:-1])
+        assert len(lengths) == len(texts) - 3 and [x.tolist() for x in found] == [library.encode(t or "", add_eos=end) for t in texts[3:]]
+    for none in ([], [None], [""], [" "]):
+        assert codec.encode_all(pa.array(none, pa.string()))[1].sum() == sum(len(library.encode(t or "", add_eos=True)) for t in none)
 
 
 def test_decodes_any_ids_as_the_library(library, codec):
