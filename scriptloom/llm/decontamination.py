@@ -13,7 +13,8 @@ size-partitioned MinHash search that misses nothing:
   long documents.
 
 Everything is DataFrame operations. The index and the verified pairs are broadcast if
-they have at most ``SMALL`` rows, which is counted; beyond that they are shuffled.
+the bytes of their values, which are summed up, allow it (``common.sized``); beyond that
+they are shuffled.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered. Fewer words than a shingle: the whole
 sequence is the one shingle. Null and empty texts have none: such items match nothing,
@@ -28,10 +29,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import store, word_array
+from scriptloom.llm.common import sized, store, word_array
 
 SHINGLE, CONTAINED = 5, 0.8
-SMALL = 200_000
 
 
 def _needed(n: Column, share: float) -> Column:
@@ -67,16 +67,6 @@ def shingle_texts(text: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(let(word_array(text), texts))
 
 
-def small(df: DataFrame) -> bool:
-    """Whether a stored table may be broadcast."""
-    return df.limit(SMALL + 1).count() <= SMALL
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """A stored table, with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(df) if small(df) else df
-
-
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", share: float = CONTAINED) -> DataFrame:
     """(doc_id, text_hash, item_id, shared, item_shingles) for every document and item
     of which the document contains at least ``share`` of the shingles."""
@@ -100,7 +90,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     # verification: the texts of the candidates only
     found = candidates.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_hash", "_t")
     texts = docs.withColumn("text_hash", F.xxhash64("text")).join(
-        sized(found.select("_d", "_t").distinct()), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi"
+        sized(store(found.select("_d", "_t").distinct())), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi"
     )
     in_docs = store(texts.select("doc_id", "text_hash", shingle_texts(F.col("text")).alias("_s")).dropDuplicates(["doc_id", "text_hash"]))
     tested = tests.select("item_id", shingle_texts(F.col("text")).alias("_i"))

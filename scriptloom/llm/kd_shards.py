@@ -18,12 +18,12 @@ table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import parts, store
-from scriptloom.llm.decontamination import sized
+from scriptloom.llm.common import parts, sized, store
 
 BINS = 4096
 #: Share of a shard's target that a cut may be off.
@@ -32,14 +32,28 @@ TIES = 1 << 52
 ROWS_PER_SLOT_BUCKET = 200_000
 
 
-def text_code(value: Column) -> Column:
-    """An order-preserving long of a string: its first six bytes."""
-    head = F.rpad(F.substring(F.coalesce(value.cast("string"), F.lit("")).cast("binary"), 1, 6), 6, F.lit(b"\0"))
-    return F.conv(F.hex(head), 16, 10).cast("long")
-
-
-def number_code(value: Column) -> Column:
-    return F.least(F.greatest(F.coalesce(value.cast("long"), F.lit(0)), F.lit(0)), F.lit(TIES))
+def dimensions(docs: DataFrame, texts: dict[str, Column], numbers: dict[str, Column]) -> dict[str, Column]:
+    """Order-preserving longs from 0 to 2**52 of metadata, fitted to its range by one pass:
+    of strings the six bytes after what all of them begin with, of numbers the distance
+    from the least, in steps that fit. Null is the empty string, or 0. Values that share a code
+    are told apart by the tie, so a coarse code costs order within it, never balance."""
+    texts = {n: F.coalesce(c.cast("string"), F.lit("")).cast("binary") for n, c in texts.items()}
+    numbers = {n: F.coalesce(c.cast("long"), F.lit(0)) for n, c in numbers.items()}
+    ends = [f(c).alias(f"{f.__name__}_{n}") for n, c in {**texts, **numbers}.items() for f in (F.min, F.max)]
+    found = docs.agg(*ends).first()
+
+    def text_code(n: str, c: Column) -> Column:
+        begin = len(commonprefix([bytes(found[f"min_{n}"] or b""), bytes(found[f"max_{n}"] or b"")]))
+        head = F.rpad(F.substring(c, begin + 1, 6), 6, F.lit(b"\0"))
+        return F.conv(F.hex(head), 16, 10).cast("long")
+
+    def number_code(n: str, c: Column) -> Column:
+        low, high = found[f"min_{n}"] or 0, found[f"max_{n}"] or 0
+        step = -(-(high - low + 1) // TIES)
+        away = c.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)") if high - low >= 1 << 63 else c - F.lit(low)
+        return F.floor(away / step).cast("long") if step > 1 else away.cast("long")
+
+    return {**{n: text_code(n, c) for n, c in texts.items()}, **{n: number_code(n, c) for n, c in numbers.items()}}
 
 
 @dataclass

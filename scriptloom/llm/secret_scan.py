@@ -2,9 +2,11 @@
 
 One pass over the texts finds the base matches and further candidates (long mixed
 tokens). Candidates are hashed; the hashes are aggregated over the whole corpus by
-distinct owners and repositories. A credential that many owners hold is an example
-that was copied around (``example``); one that few hold and that looks random is
-likely live (``live``). Both add spans; base spans always stay.
+distinct owners and repositories. A credential is an example that was copied around
+(``example``) if ``WIDE`` owners hold it, or if several do and it lies in ``WIDE_REPOS``
+repositories. Any other that looks random is likely live (``live``): an owner's own key
+stays one however many of its repositories repeat it. Both add spans; base spans always
+stay.
 
 Texts never move: only spans and hashes are shuffled. A hash that a third of all rows
 share is pre-aggregated before its exchange, and rows meet verdicts in a join that
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from scriptloom.llm.common import store
 
-#: Owners from which on a credential counts as a copied example.
-WIDE = 3
+#: Owners, and repositories of more than one owner, from which on a credential counts as a
+#: copied example.
+WIDE, WIDE_REPOS = 3, 6
 #: A live-looking value has at least so many characters and bits of entropy a character.
 LEAST, ENTROPY = 16, 3.0
 
@@ -79,9 +82,12 @@ def base_matches(text: str | None) -> list[Match]:
 def candidates(text: str | None, base: list[Match]) -> list[tuple[int, int, str]]:
     """(start, stop, value) of the base values and of further long mixed tokens."""
     found = {(m.at, m.at + len(m.value)): m.value for m in base}
-    covered = sorted(found)
+    covered, at, reach = sorted(found), 0, 0
     for m in MIXED.finditer(text or ""):
-        if not any(a < m.end() and m.start() < b for a, b in covered):
+        while at < len(covered) and covered[at][0] < m.end():
+            reach = max(reach, covered[at][1])
+            at += 1
+        if reach <= m.start():
             found[m.span()] = m[0]
     return [(a, b, v) for (a, b), v in sorted(found.items())]
 
@@ -110,10 +116,10 @@ def find_column(text: Column) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories, uses) over rows (hash, owner, repo)."""
-    held = found.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
-    per_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"), F.sum("n").alias("uses"))
+    """(hash, owners, repositories) over rows (hash, owner, repo). A repository belongs to
+    its owner: one name under two owners is two."""
+    per_owner = found.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repos"))
+    return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
 
 
 def scan(docs: DataFrame, keys: list[str], text: Column, owner: Column, repo: Column) -> DataFrame:
@@ -130,7 +136,8 @@ def scan(docs: DataFrame, keys: list[str], text: Column, owner: Column, repo: Co
     rows = store(read.select("*", F.monotonically_increasing_id().alias("row")))
     each = rows.select("row", "owner", "repo", F.explode("found.candidates").alias("c")).select("row", "owner", "repo", "c.*")
     verdicts = store(ownership(each))
-    kind = F.when(F.col("owners") >= WIDE, "example").when(F.col("random"), "live")
+    copied = (F.col("owners") >= WIDE) | ((F.col("owners") > 1) & (F.col("repositories") >= WIDE_REPOS))
+    kind = F.when(copied, "example").when(F.col("random"), "live")
     judged = each.select("row", "hash", "start", "stop", "random").join(verdicts, "hash").withColumn("kind", kind).where("kind is not null")
     added = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("added"))
     named = F.transform(F.coalesce("added", F.array()), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))

@@ -1,7 +1,7 @@
 """Filtering steps on whole document tables, for pipelines.
 
-Texts are joined only with lists of (doc_id, text hash): a list of at most ``SMALL``
-rows, which is counted, is broadcast; a longer one is shuffled with the texts.
+Texts are joined only with lists of (doc_id, text hash): a list whose bytes allow it is
+broadcast (``common.sized``); a longer one is shuffled with the texts.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import store
-from scriptloom.llm.decontamination import sized
+from scriptloom.llm.common import sized, store
 
 
 def text_hash(text: str = "text") -> Column:

@@ -11,10 +11,14 @@ not suspicious have one path only and pass as they are.
 The score. Presence of words and word beginnings of the restored text, with weights
 from a logistic regression. Labels are learned only from the rows that the caller
 passes; the sample is bounded by ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` rows (by hash
-of the id), features by ``MAX_FEATURES``; scoring covers every row and whole texts.
+of the id), features by ``MAX_FEATURES``, of those that ``LEAST_ROWS`` toxic rows hold and
+that lie ``STRONG`` standard deviations above chance; scoring covers every row and whole
+texts. The character model needs no labels and counts all texts.
 
 Null and empty texts get the score of a text without features. Without usable labels
-(none at all, or of one kind) every row gets the share of toxic labels, or 0.
+(none at all, or of one kind) every row gets the share of toxic labels, or 0. A labelled
+document is a distinct pair of id and text: rows that repeat it count once, and an id
+with several texts gives each of them its label. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,12 @@ from pyspark.sql import functions as F
 
 from scriptloom.llm.common import store
 
-MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES = 4000, 8000, 4096
+MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES, LEAST_ROWS, STRONG = 4000, 8000, 4096, 3, 4
+#: Trigrams, and pairs, below this share of all are left to the smoothing. At most
+#: 1 / LEAST_SHARE can reach it, so the model is bounded at any size of the corpus.
+LEAST_SHARE = 2.0**-18
+#: Distinct words that a task counts before it breaks them into trigrams.
+WORDS_AT_ONCE = 200_000
 #: Longer tokens are read like others, but neither cached nor counted for the trigrams;
 #: longer runs of spaced letters are several words.
 LONGEST_TOKEN = 40
@@ -208,30 +217,56 @@ def _one_label(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def _sample(docs: DataFrame, one: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of a bounded sample: of each kind, the first rows by hash of
-    the id. Texts meet only the chosen ids, of which there are MAX_POSITIVE +
-    MAX_NEGATIVE at most, so the broadcast is bounded and no text is shuffled."""
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+
+
+def _sample(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(text, toxic) of a bounded sample of ``labelled`` (doc_id, h, toxic): of each kind the
+    first by hash of the id. Texts meet only the chosen pairs of id and hash, of which
+    there are MAX_POSITIVE + MAX_NEGATIVE at most; of equal rows one comes."""
     order = F.xxhash64(F.col("doc_id"), F.lit("toxic"))
-    kinds = [one.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most) for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
-    return docs.select("doc_id", "text").join(F.broadcast(store(kinds[0].unionAll(kinds[1]))), "doc_id")
+    kinds = [labelled.where(F.col("toxic") == y).orderBy(order, "doc_id", "h").limit(most) for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
+    chosen = F.broadcast(store(kinds[0].unionAll(kinds[1])))
+    return docs.select("doc_id", _text_hash(), "text").join(chosen, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("text", "toxic")
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n): trigrams and pairs of a task's words, each summed."""
+    grams: Counter = Counter()
 
+    def breaks(words: Counter) -> None:
+        for word, n in words.items():
+            bare = _EDGES.sub("", word)
+            if bare.isalpha() and len(bare) <= LONGEST_TOKEN:
+                padded = f"^^{bare}$"
+                for i in range(2, len(padded)):
+                    grams[padded[i - 2 : i + 1]] += n
+                    grams[padded[i - 2 : i]] += n
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for t in batch.column(0):
-            counts.update(w for w in map(lambda x: _EDGES.sub("", x), (t.as_py() or "").lower().split()) if w.isalpha() and len(w) <= LONGEST_TOKEN)
-    grams: Counter = Counter()
-    for word, n in counts.items():
-        padded = f"^^{word}$"
-        for i in range(2, len(padded)):
-            grams[padded[i - 2 : i + 1]] += n
-            grams[padded[i - 2 : i]] += n
+            counts.update((t.as_py() or "").lower().split())
+            if len(counts) > WORDS_AT_ONCE:
+                breaks(counts)
+                counts.clear()
+    breaks(counts)
     if grams:
         yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], names=["gram", "n"])
 
 
+def char_model(texts: DataFrame) -> CharModel:
+    """The character model of all texts (column text); the driver receives its bounded
+    counts."""
+    grams = store(texts.select("text").mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    size = F.char_length("gram")
+    totals = {r.size: r.n for r in grams.groupBy(size.alias("size")).agg(F.sum("n").alias("n")).collect()}  # two rows
+    enough = F.when(size == 3, F.lit(totals.get(3, 0) * LEAST_SHARE)).otherwise(F.lit(totals.get(2, 0) * LEAST_SHARE))
+    kept = grams.where(F.col("n") >= enough).collect()
+    return CharModel({r.gram: r.n for r in kept}, len({c for r in kept for c in r.gram}) + 1)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Fit on documents (doc_id, text) with labels (doc_id, toxic 0 or 1); a bounded
     sample of the labelled documents is learned from. A document with several labels is
@@ -240,11 +275,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     Character counts and feature counts are aggregated by Spark; the driver receives
     trigram counts, the chosen features and, for each sampled row, its features.
     """
-    one = store(_one_label(labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")))
-    sample = store(_sample(docs, one))
-    grams = sample.select("text").mapInArrow(_words, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = grams.orderBy(F.desc("n"), "gram").limit(1 << 16).collect()
-    chars = CharModel({r.gram: r.n for r in grams}, len({c for r in grams for c in r.gram}) + 1)
+    labelled = store(docs.select("doc_id", _text_hash()).join(_one_label(labels), "doc_id").distinct())
+    sample = store(_sample(docs, labelled))
+    chars = char_model(docs)
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
@@ -261,15 +294,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         rows.select("y", F.explode("features").alias("f"))
         .groupBy("f")
         .agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("q"))
-        .where("p >= 3")
+        .where(F.col("p") >= LEAST_ROWS)
     )
     # each sampled row stands for as many labelled rows of its kind
-    every = {r.toxic: r.n for r in docs.join(one, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    every = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     weight = {1: every[1] / pos, 0: every[0] / neg}
     rate, share = pos / (pos + neg), every[1] / (every[1] + every[0])
     p, q = F.col("p"), F.col("q")
     drawn = (p - (p + q) * rate) / F.sqrt((p + q) * rate * (1 - rate))  # standard deviations above chance
-    best = counted.withColumn("s", drawn).where("s > 4").orderBy(F.desc("s"), "f").limit(MAX_FEATURES)
+    best = counted.withColumn("s", drawn).where(F.col("s") > STRONG).orderBy(F.desc("s"), "f").limit(MAX_FEATURES)
     at = {r.f: i for i, r in enumerate(best.collect())}
     if not at:
         return ToxicModel(chars, {}, math.log(share / (1 - share)))

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from scriptloom.llm import decontamination, kd_shards, queries, sql, topk_search
+from scriptloom.llm import common, decontamination, kd_shards, queries, sql, topk_search
 from tests.llm.harness import rows_of, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
@@ -40,13 +40,59 @@ def test_shards(spark):
 def test_shards_of_one_hot_value_and_odd_rows(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 7), "s", None) for i in range(3000)] + [(None, None, None, None)] * 3, "doc_id long, text string, source string, size string")
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 8
-    dims = {"source": kd_shards.text_code(F.col("source")), "n": kd_shards.number_code(F.lit(None))}
+    dims = kd_shards.dimensions(docs, {"source": F.col("source")}, {"n": F.lit(None)})
     rows = kd_shards.shard(docs, {"doc_id": F.col("doc_id")}, size, dims, 24).collect()
     assert len(rows) == 3003
     check_shards(rows, 24, 14)
     assert kd_shards.shard(docs.limit(0), {"doc_id": F.col("doc_id")}, size, dims, 24).collect() == []
 
 
+def test_dimension_codes_keep_order_and_use_the_range(spark):
+    texts = ["https://example.org/", "https://example.org/a", "https://example.org/b" + "x" * 50, "https://example.org/zz"]
+    numbers = [-(2**63), -5, 0, 2**63 - 1]
+    rows = spark.createDataFrame(list(zip(texts, numbers, [-9, -8, 0, 7])), "t string, n long, m long").withColumn("size", F.lit("clash"))
+    dims = kd_shards.dimensions(rows, {"t": F.col("t")}, {"n": F.col("n"), "m": F.col("m")})
+    got = rows.orderBy("n").select(*[c.alias(n) for n, c in dims.items()]).collect()
+    for name in ("t", "n", "m"):
+        codes = [r[name] for r in got]
+        assert codes == sorted(codes) and codes[0] >= 0 and codes[-1] <= 2**52
+    assert len({r.t for r in got}) == 4 and [r.m for r in got] == [0, 1, 9, 16] and len({r.n for r in got}) >= 3
+    placed = kd_shards.shard(rows, {"size_of": F.col("size"), "n": F.col("n")}, F.lit(10), dims, 3)
+    assert placed.columns == ["size_of", "n", "size", "shard", "slot"] and placed.count() == 4
+    assert [c for c in kd_shards.dimensions(rows.limit(0), {"t": F.col("t")}, {"n": F.col("n")})] == ["t", "n"]
+
+
+def test_shards_are_those_of_plain_medians(spark, monkeypatch):
+    """Rows of one size, so that every cut between rows is exact."""
+    import random
+
+    monkeypatch.setattr(kd_shards, "TOLERANCE", 0.0)
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(1000), rng.randrange(50), "abc"[min(2, rng.randrange(5))]) for i in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id long, x long, y long, t string")
+    dims = kd_shards.dimensions(docs, {"t": F.col("t")}, {"x": F.col("x"), "y": F.col("y")})
+    got = kd_shards.shard(docs, {"doc_id": F.col("doc_id")}, F.lit(4), dims, 24).collect()
+    seen = docs.select("doc_id", *[c.alias(n) for n, c in dims.items()]).collect()
+    assert sorted(r.shard for r in got) == sorted(list(range(24)) * 40)
+    place = {r.doc_id: r.shard for r in got}
+    values = {r.doc_id: (r.t, r.x, r.y) for r in seen}
+
+    def check(ids, first, leaves):
+        """At each node the widest dimension parts the rows, up to ties."""
+        if leaves == 1:
+            return
+        half = leaves // 2
+        left, right = [i for i in ids if place[i] < first + half], [i for i in ids if place[i] >= first + half]
+        spans = [max(1, max(v[d] for v in values.values()) - min(v[d] for v in values.values())) for d in range(3)]
+        widths = [(max(values[i][d] for i in ids) - min(values[i][d] for i in ids)) / spans[d] for d in range(3)]
+        d = widths.index(max(widths))
+        assert max(values[i][d] for i in left) <= min(values[i][d] for i in right)
+        check(left, first, half)
+        check(right, first + half, leaves - half)
+
+    check(list(values), 0, 24)
+
+
 def test_decontamination_of_odd_rows(spark):
     passage = " ".join(f"w{i}" for i in range(40))
     long = "z " * 50_000 + passage.upper() + " y" * 50_000
@@ -66,7 +112,7 @@ def test_decontamination_of_odd_rows(spark):
 def test_shuffled_decontamination_is_the_same(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = rows_of(decontamination.contained_items(docs, items))
-    monkeypatch.setattr(decontamination, "SMALL", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert rows_of(decontamination.contained_items(docs, items)) == want
 
 
