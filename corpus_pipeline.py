@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm import decontamination, near_copies, secret_scan, sentencepiece_codec, stages, toxicity
-from scriptloom.llm.common import small_batches, store
+from scriptloom.llm.common import sized, small_batches, store
 from scriptloom.llm.queries import tokenizer_path
 
 
@@ -51,7 +51,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     marked = store(found.select(F.col("doc_id").alias("_doc"), "_hash", live.alias("_live")).where("size(_live) > 0").dropDuplicates(["_doc", "_hash"]))
     rows = stages.packed(docs, id=F.col("doc_id"), hash=stages.text_hash())
     match = F.col("id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash"))
-    masked = rows.join(decontamination.sized(marked), match, "left").select("row", "_live", secret_scan.redact_column(F.col("row.text"), F.col("_live")).alias("clean"))
+    masked = rows.join(sized(marked), match, "left").select("row", "_live", secret_scan.redact_column(F.col("row.text"), F.col("_live")).alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.when(F.col("_live").isNull(), F.col("row.n_chars")).otherwise(F.length("clean").cast("long"))}
     return masked.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
