@@ -1,8 +1,9 @@
 """Operators over ordered utterances: chunks, neighbours, packing, running values.
 
-Folds that carry state along an order (packing, moving averages) are sequential within
-a group by definition. They stream: a group's rows come sorted to one task in batches,
-and only the state is held, never the group. Groups run in parallel.
+Packing carries a state along an order that cannot be split. It streams: a group's rows
+come sorted to one task in batches, and only the state is held, never the group. Groups
+run in parallel. Sums and moving averages are linear in their state, so a group of any
+size is split over tasks (``linear_scan``).
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.storage import with_position
+from scriptloom.storage import with_position, written
 
 
 def folded(df: DataFrame, group: list[str], order: list[str], inputs: list[str], step: Callable, name: str, kind: str) -> DataFrame:
@@ -67,14 +69,52 @@ def submit_pack(df: DataFrame, size: str, most_bytes: int, most_rows: int, group
     return folded(df, group, order, [size], step, name, "int")
 
 
-def moving_average(df: DataFrame, value: str, alpha: float, group: list[str], order: list[str], name: str = "ema") -> DataFrame:
-    """Exponential moving average that starts at each group's first value; nulls keep it."""
+def linear_scan(df: DataFrame, value: str, keep: float, add: float, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with the running state s = keep * s + add * x of each group, which its first
+    value starts and nulls leave alone.
 
-    def step(state, x):
-        state = x if state is None else state if x is None else alpha * state + (1 - alpha) * x
-        return state, state
+    A range exchange cuts groups anywhere. Each task folds its rows once, and where its
+    first group may have begun in an earlier task it keeps the fold as a linear function
+    of the state it does not know. One row a task is enough to pass the states on."""
+    names = df.columns
+    ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    added = {"__t": pa.int32(), "__i": pa.int64(), "__first": pa.bool_(), "__a": pa.float64(), "__b": pa.float64(), "__c": pa.float64()}
+    kinds = {"__t": "int", "__i": "long", "__first": "boolean", "__a": "double", "__b": "double", "__c": "double"}
+    schema = df.select("*", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()]).schema
 
-    return folded(df, group, order, [value], step, name, "double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, row, first, key, a, b, c = TaskContext.get().partitionId(), 0, True, None, 1.0, 0.0, None
+        for batch in batches:
+            keys = list(zip(*[batch.column(names.index(g)).to_pylist() for g in group], strict=True)) if group else [()] * batch.num_rows
+            out = []
+            for k, x in zip(keys, batch.column(names.index(value)).to_pylist(), strict=True):
+                if k != key:
+                    first, key, a, b, c = row == 0, k, 1.0, 0.0, None
+                if x is not None:
+                    x = float(x)
+                    a, b, c = keep * a, keep * b + add * x, x if c is None else keep * c + add * x
+                out.append((task, row, first, a, b, c))
+                row += 1
+            columns = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, t) for x, t in zip(columns, added.values(), strict=True)]], names=[*names, *added])
+
+    made = written(ranged.mapInArrow(run, schema))
+    key = F.struct(F.lit(0).alias("_"), *group)
+    ends = made.groupBy("__t").agg(F.min_by(key, "__i").alias("begin"), F.max_by(key, "__i").alias("end"), F.max_by(F.struct("__first", "__a", "__b", "__c"), "__i").alias("last"))
+    passed, state, of = [], None, None
+    for r in ends.orderBy("__t").collect():  # one row a task
+        begun = state if of == r.begin else None
+        passed.append((r["__t"], begun))
+        carried = r.last["__first"] and begun is not None
+        state, of = r.last["__a"] * begun + r.last["__b"] if carried else r.last["__c"], r.end
+    states = F.broadcast(df.sparkSession.createDataFrame(passed, "__t int, __s double"))
+    known = F.when(F.col("__first") & F.col("__s").isNotNull(), F.col("__a") * F.col("__s") + F.col("__b")).otherwise(F.col("__c"))
+    return made.join(states, "__t").select(*[F.col(f"`{n}`") for n in names if n != name], known.alias(name))
+
+
+def moving_average(df: DataFrame, value: str, alpha: float, group: list[str], order: list[str], name: str = "ema") -> DataFrame:
+    """Exponential moving average that starts at each group's first value; nulls keep it."""
+    return linear_scan(df, value, alpha, 1 - alpha, group, order, name)
 
 
 def chunk_targets(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
@@ -117,6 +157,11 @@ def even_spaced(df: DataFrame, key: str, n: int) -> DataFrame:
     return placed.where(hit)
 
 
+def of_spaced_groups(df: DataFrame, group: str, n: int) -> DataFrame:
+    """The rows of n groups evenly spread over the order of their names."""
+    return df.join(even_spaced(df.select(group).distinct(), group, n).select(group), group, "left_semi")
+
+
 def valid_neighbours(df: DataFrame, group: str, order: str, key: str, valid: Column, per_side: int = 2, name: str = "neighbours") -> DataFrame:
     """Each row with the keys of up to ``per_side`` nearest valid rows on each side, in order.
 

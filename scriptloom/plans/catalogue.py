@@ -289,6 +289,17 @@ def valid_neighbours(spark, sf_dir):
     return near.select("doc_id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
 
 
+@query(
+    """
+with g as (select source, row_number() over (order by source) - 1 as p, count(*) over () as n from (select distinct source from documents)),
+k as (select source from g where p in (select floor(i * (n - 1) / 6.0 + 0.5) from (select distinct n from g), range(7) t(i)))
+select source, doc_id from documents where source in (select source from k)
+"""
+)
+def spaced_chapters(spark, sf_dir):
+    return sequences.of_spaced_groups(_docs(spark, sf_dir).select("source", "doc_id"), "source", 7)
+
+
 @query("select conv_id, turn, lag(role) over (partition by conv_id order by turn) as prev from conversations")
 def previous_role(spark, sf_dir):
     return sequences.previous(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role").select("conv_id", "turn", "prev")
@@ -547,13 +558,14 @@ def cost_rollup(spark, sf_dir):
     return labels.costs(requests, prices).withColumn("cost", _r6("cost"))
 
 
-# Predictions: the most frequent successor of the word before; loss from its share.
+# Predictions: the most frequent successor of the word before; loss from its share. Labels
+# of every eleventh position are masked.
 @query(
     f"""
 with t as ({_TOK}), pairs as (select key, pos, lag(token) over (partition by key order by pos) as prev, token from t),
 b as (select prev, token, count(*) as n from pairs where prev is not null group by 1, 2), u as (select prev, sum(n) as s from b group by prev),
 best as (select prev, token as pred from b qualify row_number() over (partition by prev order by n desc, encode(token)) = 1),
-r as (select p.key, pos, p.token = pred as hit, -ln(n / s) as loss from pairs p join b on b.prev = p.prev and b.token = p.token join u on u.prev = p.prev join best on best.prev = p.prev),
+r as (select p.key, pos, p.token = pred as hit, -ln(n / s) as loss from pairs p join b on b.prev = p.prev and b.token = p.token join u on u.prev = p.prev join best on best.prev = p.prev where pos % 11 <> 0),
 o as (select *, row_number() over (partition by key order by pos) = 1 as is_first from r), k as (select key, avg(loss) filter (not is_first) as rest from o group by key)
 select round(avg(loss) filter (is_first), 6) as first_loss, round((select avg(rest) from k), 6) as rest_loss, round(avg(loss) filter (hit), 6) as hit_loss,
   round(avg(loss) filter (not hit), 6) as miss_loss, count(*)::bigint as n_positions, (count(*) filter (hit))::bigint as n_hits, count(distinct key)::bigint as n_samples from o
@@ -566,7 +578,9 @@ def loss_decomposition(spark, sf_dir):
     best = two.join(by_prev.select("prev", "s", "top"), "prev").where("n = top").groupBy("prev", "s").agg(F.min("cur").alias("pred"))
     at = F.transform(F.sequence(F.lit(2), F.size("words")), lambda i: F.struct(i.alias("pos"), F.element_at("words", i - 1).alias("prev"), F.element_at("words", i).alias("cur")))
     rows = words.where(F.size("words") > 1).select("key", F.explode(at).alias("p")).select("key", "p.*")
-    scored = rows.join(two, ["prev", "cur"]).join(best, "prev").select("key", "pos", F.col("cur").alias("label"), "pred", (-F.log(F.col("n") / F.col("s"))).alias("loss"))
+    # loss and prediction are those of the pair, so positions are shuffled once
+    types = written(two.join(best, "prev").select("prev", "cur", "pred", (-F.log(F.col("n") / F.col("s"))).alias("loss")))
+    scored = rows.join(types, ["prev", "cur"]).select("key", "pos", F.when(F.col("pos") % 11 != 0, F.col("cur")).alias("label"), "pred", "loss")
     found = metrics.loss_decomposition(scored, [], "key", "pos", "label", "pred", "loss")
     return found.select(*[_r6(c).alias(c) for c in ("first_loss", "rest_loss", "hit_loss", "miss_loss")], *[F.col(c).cast("long") for c in ("n_positions", "n_hits", "n_samples")])
 

@@ -59,7 +59,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition) -> Iterator[tuple]:
         path = partition.value
-        with tarfile.open(path.removeprefix("file:"), "r|") as archive:
+        with tarfile.open(local_path(path), "r|") as archive:
             for member in archive:
                 if member.isfile():
                     key, ext = split_name(member.name, self.suffixes)
@@ -67,6 +67,17 @@ class _Reader(DataSourceReader):
                         yield shard_name(path), key, ext, archive.extractfile(member).read()
 
 
+def local_path(path: str) -> str:
+    """The path without its scheme. Archives are written and read as files, so the folder must be
+    mounted; another store raises instead of ending up in a local folder of its name."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    if scheme != "file":
+        raise ValueError(f"archives need a mounted folder, not {path}")
+    return "/" + rest.lstrip("/")
+
+
 def shard_name(path: str) -> str:
     return path.rpartition("/")[2].removesuffix(".tar")
 
@@ -101,10 +112,10 @@ def write(members: DataFrame, folder: str) -> DataFrame:
 
     A file is written under another name and renamed when whole, so readers never see a
     part and a retried task starts over. The folder must be shared by the executors."""
+    target = local_path(folder)
     arranged = members.select("shard", "key", "ext", "payload").repartition("shard").sortWithinPartitions("shard", "key", "ext")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = folder.removeprefix("file:")
         os.makedirs(target, exist_ok=True)
         open_: tuple[str, tarfile.TarFile] | None = None
         count = size = 0

@@ -279,3 +279,33 @@ def test_positions_over_many_partitions_and_joins_without_broadcast(spark, monke
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_scans_over_any_cut(spark, partitions):
+    """Groups that span tasks, tasks that span groups, nulls at each end."""
+    import random
+
+    rng = random.Random(partitions)
+    rows = [(g, i, None if rng.random() < 0.2 or i < 2 else rng.random()) for g, n in ((None, 3), ("a", 400), ("b", 1), ("c", 150), ("d", 2)) for i in range(n)]
+    want = {}
+    for g, i, x in rows:
+        s, t = want.get((g, i - 1), (None, None))
+        want[g, i] = (s, t) if x is None else (x if s is None else 0.9 * s + 0.1 * x, x if t is None else t + x)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "g string, i int, x double")
+        ema = {(r.g, r.i): r.ema for r in sequences.moving_average(df, "x", 0.9, ["g"], ["i"]).collect()}
+        total = {(r.g, r.i): r.t for r in metrics.cumulative(df, ["g"], "i", "x", "t").collect()}
+        whole = [r.t for r in sorted(metrics.cumulative(df.where("g = 'a'"), [], "i", "x", "t").collect(), key=lambda r: r.i)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(ema) == set(total) == set(want)
+    assert all(w is None if t is None else abs(w - t) < 1e-9 for w, t in zip(whole, [total["a", i] for i in range(400)], strict=True))
+    for k, (s, t) in want.items():
+        for got, w in ((ema[k], s), (total[k], t)):
+            assert got is None if w is None else abs(got - w) < 1e-9
+    assert metrics.cumulative(df.limit(0), ["g"], "i", "x", "t").collect() == []
