@@ -6,6 +6,8 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,24 @@ from pyspark.sql import types as T
 SPACES = "\\x20\\x09-\\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written inside are deleted at the end. Only for work
+    whose results are written by then, as ``Stored(..., keep=True)``."""
+    made: list[str] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
+def shared_dir(spark: SparkSession, keep: bool = False) -> str:
     """A new folder name below the folder that driver and executors share.
 
     The cluster names it in spark.checkpoint.dir. Only where that is unset in a local
@@ -33,16 +52,19 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scriptloom-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/scriptloom/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/scriptloom/{uuid.uuid4().hex}"
+    if not keep and (made := _SCRATCH.get()) is not None:
+        made.append(path)
+    return path
 
 
 class Stored:
     """A DataFrame written as Parquet to the shared folder: its lineage ends there,
     so a lost executor costs a read, not a recomputation."""
 
-    def __init__(self, df: DataFrame, codec: str = "snappy"):
+    def __init__(self, df: DataFrame, codec: str = "snappy", keep: bool = False):
         self.spark = df.sparkSession
-        self.path = shared_dir(self.spark)
+        self.path = shared_dir(self.spark, keep)
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

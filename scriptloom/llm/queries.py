@@ -112,6 +112,17 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express."""
+    return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    scored = op10_lm_scores(spark, sf_dir)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_kd_shards": op2_kd_shards,
@@ -123,4 +134,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_training_order": op9_training_order,
     "op10_lm_scores": op10_lm_scores,
+    "secret_counts": secret_counts,
+    "lm_base_scores": lm_base_scores,
 }

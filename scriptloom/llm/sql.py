@@ -30,7 +30,33 @@ select query_id, row_number() over (partition by query_id order by score desc, v
 from p qualify rank <= 20
 """
 
+_ASSIGN = """(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+SECRET_COUNTS = f"""
+select doc_id, len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 2), lambda v: length(v) >= 6))::bigint as n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20))::bigint as n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: length(v) >= 24))::bigint as n_hex
+from (select doc_id, coalesce(text, '') as t from documents)
+"""
+
+#: crc32 of the decimal text of doc_id, bit by bit.
+_BIT = "lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end"
+_BYTE = f"lambda c, x: list_reduce(list_concat([xor(c, x)], list_transform(range(8), lambda i: i::ubigint)), {_BIT})"
+_CRC = f"xor(list_reduce(list_concat([4294967295::ubigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)), {_BYTE}), 4294967295::ubigint)"
+
+LM_BASE = f"""
+with d as (select doc_id, {_CRC} % 5 = 1 as held_out, list_concat({_WORDS}, [chr(10)]) as w from documents),
+t as (select doc_id, held_out, unnest(w) as word from d),
+u as (select word, count(*) as c from t where not held_out group by word),
+s as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from u)
+select doc_id, held_out, count(*)::bigint as n_tokens, count(c)::bigint as n_known, (select n from s) as train_tokens,
+  round(sum(log10((coalesce(c, 0) + 0.5) / ((select n from s) + 0.5 * ((select v from s) + 1)))), 6) as base_score
+from t left join u using (word) group by doc_id, held_out
+"""
+
 ORACLES: dict[str, str] = {
     "op1_top_k": OP1,
     "op5_decontamination": OP5,
+    "secret_counts": SECRET_COUNTS,
+    "lm_base_scores": LM_BASE,
 }

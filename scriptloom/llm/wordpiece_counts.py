@@ -7,7 +7,8 @@ of the current match are taken off, and the number of pieces taken. A word of n
 characters costs O(n) steps, however often the longest match fails.
 
 Words are [^\\x20\\x09-\\x0D]+, of any length. A word that has no full cover counts as one
-unknown piece. Null and empty texts have no words.
+unknown piece. Null and empty texts have no words. Every row is counted by itself, so
+repeated rows count alike, an empty table gives none, and other columns do not matter.
 """
 
 from __future__ import annotations

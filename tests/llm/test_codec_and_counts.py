@@ -105,7 +105,24 @@ def test_counts_match_a_wordpiece_tokenizer():
     assert ours.count("\x01 a \x01")[2] == 2
 
 
-def test_counts_query(spark):
-    rows = queries.op6_token_counts(spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == 200 and all(r.n_tokens >= r.n_words >= r.n_unknown for r in rows)
-    assert np.mean([r.n_tokens / max(1, r.n_words) for r in rows]) > 1
+def test_counts_query_matches_greedy_pieces(spark):
+    import re
+
+    sf = "/root/testdata/sf0.001"
+    names = [n for n in sentencepiece_codec.codec(MODEL).ids if sentencepiece_codec.MARK not in n[1:] and n != sentencepiece_codec.MARK]
+    initial, continuing = {n[1:] for n in names if n[0] == sentencepiece_codec.MARK}, {n for n in names if n[0] != sentencepiece_codec.MARK}
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = {}
+    rows = queries.op6_token_counts(spark, sf).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", text[r.doc_id])
+        counts = [seen.setdefault(w, greedy(w, initial, continuing)) for w in words]
+        assert (r.n_words, r.n_tokens, r.n_unknown) == (len(words), sum(n or 1 for n in counts), counts.count(0))
+
+
+def test_counts_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "a b", 3), (3, "a b", 3), (None, "x" * 100_000, 4)], "doc_id long, text string, n_tokens int")
+    got = docs.select("doc_id", wordpiece_counts.count_column(F.col("text"), MODEL).alias("c")).collect()
+    assert sorted((r.doc_id or 0, r.c.n_words, r.c.n_unknown) for r in got) == [(0, 1, 0), (1, 0, 0), (2, 0, 0), (3, 2, 0), (3, 2, 0)]
+    assert docs.limit(0).select(wordpiece_counts.count_column(F.col("text"), MODEL)).collect() == []

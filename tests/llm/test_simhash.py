@@ -75,3 +75,16 @@ def test_odd_rows(spark):
     rows = simhash.near_duplicate_classes(docs).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in rows) == [(0, 3), (1, 1), (2, 1), (3, 3), (3, 3), (5, 5)]
     assert simhash.near_duplicate_classes(docs.limit(0)).collect() == []
+
+
+def test_query_matches_brute_force(spark):
+    from scriptloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    prints = [brute_fingerprint(t) for _, t in docs]
+    first = {}
+    for (i, _), c in zip(docs, brute_classes(prints)):
+        first.setdefault(c, i)
+    want = [(i, f"{p:016x}", first[c]) for (i, _), p, c in zip(docs, prints, brute_classes(prints))]
+    assert sorted(tuple(r) for r in queries.op3_simhash(spark, sf).collect()) == want
