@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm import decontamination, near_copies, secret_scan, sentencepiece_codec, stages, toxicity
-from scriptloom.llm.common import sized, small_batches, store
+from scriptloom.llm.common import Stored, scratch, sized, small_batches, store
 from scriptloom.llm.queries import tokenizer_path
 
 
@@ -76,8 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. What a stage wrote on the way is deleted once its rows are
+    written, and these once the next stage's are."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            made = Stored(stage(spark, docs, sf_dir), keep=True)
+        if last is not None:
+            last.drop()
+        docs, last = made.df, made
     return docs
