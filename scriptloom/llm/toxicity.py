@@ -231,29 +231,49 @@ def _sample(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     return docs.select("doc_id", _text_hash(), "text").join(chosen, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("text", "toxic")
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n): trigrams and pairs of a task's words, each summed."""
-    grams: Counter = Counter()
+def _break(words: Counter, grams: Counter) -> None:
+    """Adds the trigrams of words, as three code points of 21 bits each."""
+    padded, counts = [], []
+    for word, n in words.items():
+        if not word.isalpha():
+            word = _EDGES.sub("", word)
+            if not word.isalpha():
+                continue
+        if len(word) <= LONGEST_TOKEN:
+            padded.append(f"^^{word}$")
+            counts.append(n)
+    if not padded:
+        return
+    codes = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.int64)
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    starts = np.ones(len(codes), bool)
+    ends = np.cumsum(lengths)
+    starts[ends - 1] = starts[ends - 2] = False
+    starts = np.flatnonzero(starts)
+    found, group = np.unique(codes[starts] << 42 | codes[starts + 1] << 21 | codes[starts + 2], return_inverse=True)
+    sums = np.bincount(group, weights=np.repeat(counts, lengths)[starts]).astype(np.int64)
+    for gram, n in zip(found.tolist(), sums.tolist(), strict=True):
+        grams[gram] += n
 
-    def breaks(words: Counter) -> None:
-        for word, n in words.items():
-            bare = _EDGES.sub("", word)
-            if bare.isalpha() and len(bare) <= LONGEST_TOKEN:
-                padded = f"^^{bare}$"
-                for i in range(2, len(padded)):
-                    grams[padded[i - 2 : i + 1]] += n
-                    grams[padded[i - 2 : i]] += n
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n): trigrams, and the pairs they begin with, of a task's words, each summed."""
+    grams: Counter = Counter()
     counts: Counter = Counter()
     for batch in batches:
         for t in batch.column(0):
             counts.update((t.as_py() or "").lower().split())
             if len(counts) > WORDS_AT_ONCE:
-                breaks(counts)
+                _break(counts, grams)
                 counts.clear()
-    breaks(counts)
-    if grams:
-        yield pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], names=["gram", "n"])
+    _break(counts, grams)
+    texts: Counter = Counter()
+    for gram, n in grams.items():
+        three = "".join(chr(gram >> shift & 0x1FFFFF) for shift in (42, 21, 0))
+        texts[three] += n
+        texts[three[:2]] += n
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array(texts.keys(), pa.string()), pa.array(texts.values(), pa.int64())], names=["gram", "n"])
 
 
 def char_model(texts: DataFrame) -> CharModel:
