@@ -92,22 +92,24 @@ class Search:
     def width(self) -> int:
         return max(1, -(-(self.high - self.low + 1) // BINS))
 
-    def narrow(self, bins: dict[int, float]) -> None:
+    def narrow(self, bins: dict[int, tuple[float, int, int]]) -> None:
+        """On to the bin with the quantile. ``bins``: weight, least and greatest value of
+        each; the search goes on between the two, so few values take few passes."""
         before = self.below
         for b in sorted(bins):
-            if before + bins[b] >= self.goal:
+            if before + bins[b][0] >= self.goal:
                 break
-            before += bins[b]
-        start = self.low + b * self.width
-        if bins[b] <= self.tolerance or (self.width == 1 and self.value is not None):
-            nearer_end = before + bins[b] - self.goal < self.goal - before
-            at = start + self.width if nearer_end else start
+            before += bins[b][0]
+        weight, least, most = bins[b]
+        if weight <= self.tolerance or (least == most and self.value is not None):
+            nearer_end = before + weight - self.goal < self.goal - before
+            at = most + 1 if nearer_end else least
             self.node.cut = (at, 0) if self.value is None else (self.value, at)
             self.done = True
-        elif self.width == 1:
-            self.value, self.low, self.high, self.below = start, 0, TIES - 1, before
+        elif least == most:
+            self.value, self.low, self.high, self.below = least, 0, TIES - 1, before
         else:
-            self.low, self.high, self.below = start, start + self.width - 1, before
+            self.low, self.high, self.below = least, most, before
 
 
 def _by_node(values: dict[int, int | str]) -> Column:
@@ -150,9 +152,9 @@ def grow(meta: DataFrame, dims: list[str], shards: int) -> Node | None:
             rows = rows.select("size", "_node", F.when(F.col("_in") < 0, F.col("_place")).otherwise(F.col("_tie")).alias("_at"))
             rows = rows.where(F.col("_at").between(_by_node({k: s.low for k, s in active.items()}), _by_node({k: s.high for k, s in active.items()})))
             bin_ = F.floor((F.col("_at") - _by_node({k: s.low for k, s in active.items()})) / _by_node({k: s.width for k, s in active.items()}))
-            sums: dict[int, dict[int, float]] = {k: {} for k in active}
-            for r in rows.groupBy("_node", bin_.alias("_bin")).agg(F.sum("size").alias("w")).collect():
-                sums[r["_node"]][int(r["_bin"])] = float(r["w"])
+            sums: dict[int, dict[int, tuple[float, int, int]]] = {k: {} for k in active}
+            for r in rows.groupBy("_node", bin_.alias("_bin")).agg(F.sum("size").alias("w"), F.min("_at").alias("least"), F.max("_at").alias("most")).collect():
+                sums[r["_node"]][int(r["_bin"])] = (float(r["w"]), r["least"], r["most"])
             for k, s in active.items():
                 s.narrow(sums[k])
         level = []
