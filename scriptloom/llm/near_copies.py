@@ -12,9 +12,10 @@ classes are the connected components of such links. Candidates come from two sea
   the only place where a link can be missed.
 
 Texts that share a key are compared without emitting all pairs of a bucket: first each
-with the bucket's smallest; links are contracted to classes; then, in buckets that hold
-several classes, the texts outside the largest class with all that are not of their own.
-A pair that is never compared lies in one class already, so no class is lost.
+with the smallest text of all its buckets; links are contracted to classes; then each with
+the smallest of those buckets whose smallest is of another class; then, in buckets that
+still hold several classes, the texts outside the largest class with all that are not of
+their own. A pair that is never compared lies in one class already, so no class is lost.
 
 Equal texts are one row before anything is compared. Texts without words are one class.
 Repeated rows are rows of their own in the result; other columns are ignored.
@@ -129,9 +130,19 @@ def near_copy_classes(docs: DataFrame, text_hash: Column, shingle: int = SHINGLE
     keys = store(texts.select("h", "text").mapInArrow(_emitter(shingle), "key long, h long"))
     leaders = keys.groupBy("key").agg(F.min("h").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     met = store(keys.join(leaders, "key"))
-    first = met.where("h <> leader").select(*_sorted_pair(F.col("h"), F.col("leader")))
+    first = met.where("h <> leader").groupBy("h").agg(F.min("leader").alias("leader")).select(*_sorted_pair(F.col("h"), F.col("leader")))
     tried = store(first.unionAll(_fingerprint_pairs(texts, shingle)).distinct())
     links = _verified(tried, texts, shingle, least)
+    # the smallest of buckets that are of another class
+    roots = components(links)
+    sides = (roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")) for c in ("h", "leader"))
+    apart = met.where("h <> leader").select("h", "leader").distinct()
+    for c, side in zip(("h", "leader"), sides, strict=True):
+        apart = apart.join(side, c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    apart = apart.where("of_h <> of_leader").select(*_sorted_pair(F.col("h"), F.col("leader"))).distinct()
+    second = store(apart.join(tried, ["a", "b"], "left_anti"))
+    tried = tried.unionAll(second)
+    links = links.unionAll(_verified(second, texts, shingle, least))
     # what is left: pairs across the classes of a bucket
     roots = components(links).select(F.col("node").alias("h"), "root")
     classed = store(met.join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("class")))
