@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import fold, shared_dir, small_batches
-from scriptloom.llm import decontamination, kd_shards, ngram_lm, secret_scan, sentencepiece_codec, simhash, topk_search, toxicity, training_order, wordpiece_counts
+from scriptloom.llm import byte_bpe_codec, decontamination, kd_shards, ngram_lm, secret_scan, sentencepiece_codec, simhash, topk_search, toxicity, training_order, wordpiece_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -112,6 +112,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    coded = byte_bpe_codec.round_trip(F.col("text"), tokenizer or tokenizer_path("byte_bpe_50k.json"))
+    found = _table(spark, sf_dir, "documents").select("doc_id", coded.alias("c"))
+    return found.select("doc_id", "c.n_tokens", F.sha2("c.packed", 256).alias("ids_sha256"), _sha256(F.col("c.decoded")).alias("decoded_sha256"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op7 that SQL can express."""
     return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -134,6 +140,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_training_order": op9_training_order,
     "op10_lm_scores": op10_lm_scores,
+    "op11_byte_bpe": op11_byte_bpe,
     "secret_counts": secret_counts,
     "lm_base_scores": lm_base_scores,
 }
