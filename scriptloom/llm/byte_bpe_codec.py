@@ -104,12 +104,16 @@ class ByteCodec:
         self.special_at = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
         raw = {i: bytes(map(byte_of.__getitem__, s)) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.first = [vocab[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
-        #: (rank, new symbol) of each pair of symbols
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        #: Of each pair of symbols, as left * width + right, the place of its rank in a queue
+        #: entry: rank 0 is entry 1 << 32, so that an entry plus a place below it stays in order.
+        self.width = max(vocab.values()) + 1
+        self.merges: dict[int, int] = {}
+        self.made = [-1]
+        for pair in model["merges"]:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
-        self.whole = {raw[i]: i for s, i in vocab.items()}
+            self.merges.setdefault(vocab[left] * self.width + vocab[right], len(self.made) << 32)
+            self.made.append(vocab[left + right])
+        self.byte_pairs = [self.merges.get(a * self.width + b, 0) for a in self.first for b in self.first]
         top = max(raw) + 1
         strings = [raw.get(i, b"") for i in range(top)]
         self.raw_size = np.fromiter(map(len, strings), np.int64, top)
@@ -125,30 +129,30 @@ class ByteCodec:
 
     def merged(self, word: bytes) -> list[int]:
         """Symbols of a word after all merges, lowest rank first, leftmost of equal ranks."""
-        symbol = [self.first[b] for b in word]
-        n = len(symbol)
-        if n < 2:
+        symbol, n = list(map(self.first.__getitem__, word)), len(word)
+        pair, merges, width, made = self.byte_pairs, self.merges.get, self.width, self.made
+        queue = [entry + i for i, (a, b) in enumerate(zip(word, word[1:], strict=False)) if (entry := pair[a << 8 | b])]
+        if not queue:
             return symbol
+        pop, push = heapq.heappop, heapq.heappush
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges = self.merges.get
-        queue = [(m[0], i) for i in range(n - 1) if (m := merges((symbol[i], symbol[i + 1])))]
         heapq.heapify(queue)
         while queue:
-            rank, i = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if symbol[i] < 0 or j >= n:
-                continue  # stale: this symbol has gone, or is the last one now
-            found = merges((symbol[i], symbol[j]))
-            if not found or found[0] != rank:
-                continue  # stale: one of the two has been merged with another
-            symbol[i], symbol[j] = found[1], -1
-            after[i] = k = after[j]
+            if j >= n or merges(symbol[i] * width + symbol[j]) != entry - i:
+                continue  # stale: one of the two has gone or been merged with another
+            new = symbol[i] = made[entry >> 32]
+            k = after[i] = after[j]
+            symbol[j], after[j] = -1, n
             if k < n:
                 before[k] = i
-                if m := merges((symbol[i], symbol[k])):
-                    heapq.heappush(queue, (m[0], i))
-            if (h := before[i]) >= 0 and (m := merges((symbol[h], symbol[i]))):
-                heapq.heappush(queue, (m[0], h))
+                if entry := merges(new * width + symbol[k]):
+                    push(queue, entry + i)
+            h = before[i]
+            if h >= 0 and (entry := merges(symbol[h] * width + new)):
+                push(queue, entry + h)
         return [s for s in symbol if s >= 0]
 
     def _starts(self, points: np.ndarray, kind: np.ndarray) -> np.ndarray:

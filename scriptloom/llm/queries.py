@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import fold, shared_dir, small_batches
-from scriptloom.llm import byte_bpe_codec, decontamination, kd_shards, ngram_lm, secret_scan, sentencepiece_codec, simhash, topk_search, toxicity, training_order, wordpiece_counts
+from scriptloom.llm import byte_bpe_codec, decontamination, filter_audit, kd_shards, ngram_lm, secret_scan, sentencepiece_codec, simhash, topk_search, toxicity, training_order, wordpiece_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -118,6 +118,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return found.select("doc_id", "c.n_tokens", F.sha2("c.packed", 256).alias("ids_sha256"), _sha256(F.col("c.decoded")).alias("decoded_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op7 that SQL can express."""
     return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -141,6 +145,7 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_lm_scores": op10_lm_scores,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_filter_audit": op13_filter_audit,
     "secret_counts": secret_counts,
     "lm_base_scores": lm_base_scores,
 }

@@ -54,9 +54,38 @@ select doc_id, held_out, count(*)::bigint as n_tokens, count(c)::bigint as n_kno
 from t left join u using (word) group by doc_id, held_out
 """
 
+#: Every order is applied to the cells, and the Shapley sums come from all 120 results.
+FILTER_AUDIT = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by t) as least from d),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+m as (select w.doc_id, part, coalesce(good, 0) as good, coalesce(l.toxic, 0) as toxic,
+    coalesce((len(words) < 200)::int, 0) + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce((w.doc_id > least)::int, 0) as mask
+  from w left join l on l.doc_id = w.doc_id),
+cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, mask),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as bit),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from f a, f b, f c, f d, f e
+  where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s as (select filter_order, i as step, substr(filter_order, i, 1) as letter, f.bit,
+    coalesce((select sum(g.bit) from f g where contains(substr(filter_order, 1, i - 1), g.x)), 0)::bigint as gone
+  from o, range(1, 6) r(i), f where f.x = substr(filter_order, i, 1)),
+r as (select part, filter_order, step, letter,
+    sum(n) filter (mask & (gone | bit) = 0) as kept, sum(n) filter (mask & bit <> 0 and mask & gone = 0) as removed,
+    sum(n) filter (mask & bit <> 0 and mask & gone <> 0) as redundant, sum(n) filter (mask = bit) as unique_fails,
+    sum(good) filter (mask & bit <> 0 and mask & gone = 0) as good_lost, sum(toxic) filter (mask & bit <> 0 and mask & gone = 0) as toxic_lost
+  from cells, s group by all)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+  coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  sum(coalesce(removed, 0)) over (partition by part, letter)::bigint as shapley from r
+"""
+
 ORACLES: dict[str, str] = {
     "op1_top_k": OP1,
     "op5_decontamination": OP5,
+    "op13_filter_audit": FILTER_AUDIT,
     "secret_counts": SECRET_COUNTS,
     "lm_base_scores": LM_BASE,
 }
