@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import fold, shared_dir, small_batches
-from scriptloom.llm import byte_bpe_codec, decontamination, filter_audit, kd_shards, ngram_lm, secret_scan, sentencepiece_codec, simhash, topk_search, toxicity, training_order, wordpiece_counts
+from scriptloom.llm import byte_bpe_codec, decontamination, filter_audit, kd_shards, ngram_lm, schema_rewrite, secret_scan, sentencepiece_codec, simhash, topk_search, toxicity, training_order, wordpiece_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -118,6 +118,32 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return found.select("doc_id", "c.n_tokens", F.sha2("c.packed", 256).alias("ids_sha256"), _sha256(F.col("c.decoded")).alias("decoded_sha256"))
 
 
+#: The evolved schema of clients; field ids are the places.
+CLIENTS = [
+    ("client_id", "bigint"), ("master_id", "bigint"), ("source", "string"), ("updated_at", "timestamp_ntz"), ("name", "string"),
+    ("email", "string"), ("city", "string"), ("nation_id", "bigint"), ("segment", "string"), ("balance", "double"),
+]
+
+
+def op12_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of clients in the order of hashed ids drift by version, then are rewritten. A null
+    client_id sorts first, as the hash of an empty text."""
+    schema, folder = schema_rewrite.evolved_schema(CLIENTS), f"{shared_dir(spark, keep=True)}/clients"
+    clients = spark.read.parquet(f"{sf_dir}/clients.parquet")
+    hashed = F.crc32(F.coalesce(F.col("client_id").cast("string"), F.lit("")).cast("binary"))
+    ranked, _ = schema_rewrite.ordered_files(clients, schema, [hashed, F.col("client_id")], lambda n: 1 + n // 500)
+    remainder = F.crc32(F.concat(F.lit("42:"), F.col("file_no").cast("string")).cast("binary")) % 24
+    version = F.when(remainder > 15, 0).otherwise(remainder).cast("int")
+    columns = lambda v: schema_rewrite.drifted_columns(schema, v, ("name", "email"), {"nation_id", "source"}, {"balance": "float", "nation_id": "int"})
+    schema_rewrite.write_drifted(spark, ranked, folder, version, columns)
+    before = schema_rewrite.rewrite(spark, folder, schema, {"nation_id": -1, "source": "none"})
+    report = schema_rewrite.file_report(spark, folder, schema, before, "client_id")
+    number = F.regexp_extract("file", r"^(\d+)", 1).cast("long").alias("file_no")
+    return report.select(
+        number, F.col("version").cast("long").alias("version"), "n_rows", "n_nulls", F.col("keys_sha256").alias("ids_sha256"), "rows_sha256", "start_columns", "columns", "path", "rewritten"
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -145,6 +171,7 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_lm_scores": op10_lm_scores,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_schema_rewrite": op12_schema_rewrite,
     "op13_filter_audit": op13_filter_audit,
     "secret_counts": secret_counts,
     "lm_base_scores": lm_base_scores,
