@@ -1,14 +1,12 @@
-"""Operators over ordered utterances: chunks, neighbours, packing, running values.
+"""Operators over ordered utterances: chunks, neighbours, running values.
 
-Packing carries a state along an order that cannot be split. It streams: a group's rows
-come sorted to one task in batches, and only the state is held, never the group. Groups
-run in parallel. Sums and moving averages are linear in their state, so a group of any
-size is split over tasks (``linear_scan``).
+Sums and moving averages are linear in their state, so a group of any size is split over
+tasks (``linear_scan``). Packing has a module of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,57 +16,6 @@ from pyspark.sql import functions as F
 from scriptloom.storage import with_position, written
 
 
-def folded(df: DataFrame, group: list[str], order: list[str], inputs: list[str], step: Callable, name: str, kind: str) -> DataFrame:
-    """``df`` with a column that a sequential fold yields. ``step(state, *values)`` gives
-    (state, output); state is None at each group's first row."""
-    partitioned = df.repartition(*group) if group else df.coalesce(1)
-    arranged = partitioned.sortWithinPartitions(*group, *order)
-    names = df.columns
-    schema = df.withColumn(name, F.lit(None).cast(kind)).schema
-    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[kind]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = object(), None
-        for b in batches:
-            columns = [b.column(names.index(c)).to_pylist() for c in inputs]
-            keys = list(zip(*[b.column(names.index(c)).to_pylist() for c in group], strict=True)) if group else [()] * b.num_rows
-            out = []
-            for i in range(b.num_rows):
-                if keys[i] != key:
-                    key, state = keys[i], None
-                state, value = step(state, *[c[i] for c in columns])
-                out.append(value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], names=[*names, name])
-
-    return arranged.mapInArrow(run, schema)
-
-
-def shard_pack(df: DataFrame, size: str, threshold: float, group: list[str], order: list[str], name: str = "shard_index") -> DataFrame:
-    """Shard number within each group: a new shard opens before a row once the current
-    one holds the threshold; the excess is not carried over."""
-
-    def step(state, value):
-        shard, held = state or (0, 0)
-        if held >= threshold:
-            shard, held = shard + 1, 0
-        return (shard, held + (value or 0)), shard
-
-    return folded(df, group, order, [size], step, name, "int")
-
-
-def submit_pack(df: DataFrame, size: str, most_bytes: int, most_rows: int, group: list[str], order: list[str], name: str = "batch_index") -> DataFrame:
-    """Batch number: a batch closes before a row that would exceed its rows or bytes."""
-
-    def step(state, value):
-        batch, rows, held = state or (0, 0, 0)
-        value = value or 0
-        if rows and (rows >= most_rows or held + value > most_bytes):
-            batch, rows, held = batch + 1, 0, 0
-        return (batch, rows + 1, held + value), batch
-
-    return folded(df, group, order, [size], step, name, "int")
-
-
 def linear_scan(df: DataFrame, value: str, keep: float, add: float, group: list[str], order: list[str], name: str) -> DataFrame:
     """``df`` with the running state s = keep * s + add * x of each group, which its first
     value starts and nulls leave alone.

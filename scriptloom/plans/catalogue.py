@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.functions import alignment, models, responses, tensors, text
-from scriptloom.operators import corpus, labels, metrics, sampling, sequences, sets
+from scriptloom.operators import corpus, labels, metrics, packing, sampling, sequences, sets
 from scriptloom.session import table
 from scriptloom.storage import with_position, written
 
@@ -234,13 +234,13 @@ _BY_LANG = "select lang, doc_id as key, n_chars as size, row_number() over (part
 
 @query(_fold_sql(_BY_LANG, "held >= 50000") + "select lang, key, k::int as shard_index from r")
 def shard_pack(spark, sf_dir):
-    packed = sequences.shard_pack(_samples(spark, sf_dir).select("lang", "key", "size"), "size", 50_000, ["lang"], ["key"])
+    packed = packing.shard_pack(_samples(spark, sf_dir).select("lang", "key", "size"), "size", 50_000, ["lang"], ["key"])
     return packed.select("lang", "key", "shard_index")
 
 
 @query(_fold_sql(_BY_LANG, "n >= 20 or held + d.size > 60000") + "select lang, key, k::int as batch_index from r")
 def submit_pack(spark, sf_dir):
-    packed = sequences.submit_pack(_samples(spark, sf_dir).select("lang", "key", "size"), "size", 60_000, 20, ["lang"], ["key"])
+    packed = packing.submit_pack(_samples(spark, sf_dir).select("lang", "key", "size"), "size", 60_000, 20, ["lang"], ["key"])
     return packed.select("lang", "key", "batch_index")
 
 

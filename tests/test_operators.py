@@ -3,17 +3,17 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from scriptloom.operators import corpus, labels, metrics, sampling, sequences
+from scriptloom.operators import corpus, labels, metrics, packing, sampling, sequences
 from scriptloom.sources import paths, tables, tar
 
 
 def test_packing(spark):
     rows = spark.createDataFrame([("a", i, 4) for i in range(7)] + [("b", 0, None)], "g string, i int, size int")
-    got = {(r.g, r.i): r.shard_index for r in sequences.shard_pack(rows, "size", 10, ["g"], ["i"]).collect()}
+    got = {(r.g, r.i): r.shard_index for r in packing.shard_pack(rows, "size", 10, ["g"], ["i"]).collect()}
     assert [got["a", i] for i in range(7)] == [0, 0, 0, 1, 1, 1, 2] and got["b", 0] == 0
-    got = {(r.g, r.i): r.batch_index for r in sequences.submit_pack(rows, "size", 10, 3, ["g"], ["i"]).collect()}
+    got = {(r.g, r.i): r.batch_index for r in packing.submit_pack(rows, "size", 10, 3, ["g"], ["i"]).collect()}
     assert [got["a", i] for i in range(7)] == [0, 0, 1, 1, 2, 2, 3]
-    assert sequences.shard_pack(rows.limit(0), "size", 10, ["g"], ["i"]).collect() == []
+    assert packing.shard_pack(rows.limit(0), "size", 10, ["g"], ["i"]).collect() == []
 
 
 def test_chunk_contexts(spark):
