@@ -1,17 +1,20 @@
 """Operators over ordered utterances: chunks, neighbours, running values.
 
 Sums and moving averages are linear in their state, so a group of any size is split over
-tasks (``linear_scan``). Packing has a module of its own.
+tasks (``linear_scan``), as are states that merge (``segmented_scan``). Packing has a module
+of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptloom.storage import with_position, written
 
@@ -109,22 +112,68 @@ def of_spaced_groups(df: DataFrame, group: str, n: int) -> DataFrame:
     return df.join(even_spaced(df.select(group).distinct(), group, n).select(group), group, "left_semi")
 
 
+def segmented_scan(df: DataFrame, group: list[str], order: list[Column], inputs: list[str], step: Callable, merge: Callable, kind: str, name: str) -> DataFrame:
+    """``df`` with the state that the earlier rows of its group leave behind, for any state that
+    is associative: what two runs of rows leave is ``merge`` of what each leaves.
+
+    ``step(state, *inputs)`` gives the state after a row, from an empty list at a group's
+    first; ``merge(earlier, later)`` works on lists and on Columns alike. A range exchange
+    cuts groups anywhere; each task folds its rows as a stream, and what its first group
+    holds in earlier tasks is merged in afterwards. One row a task tells that."""
+    names = df.columns
+    by = [*[F.col(f"`{g}`") for g in group], *order]
+    added = {"__t": T.IntegerType(), "__i": T.LongType(), "__first": T.BooleanType(), "__s": T.DataType.fromDDL(kind)}
+    arrow = [to_arrow_type(t) for t in added.values()]
+    schema = df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, row, first, key, state = TaskContext.get().partitionId(), 0, True, None, []
+        for batch in batches:
+            keys = list(zip(*[batch.column(names.index(g)).to_pylist() for g in group], strict=True)) if group else [()] * batch.num_rows
+            out = []
+            for k, *values in zip(keys, *[batch.column(names.index(c)).to_pylist() for c in inputs], strict=True):
+                if not row or k != key:
+                    first, key, state = row == 0, k, []
+                out.append((task, row, first, state))
+                state, row = step(state, *values), row + 1
+            columns = zip(*out, strict=True) if out else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, t) for x, t in zip(columns, arrow, strict=True)]], names=[*names, *added])
+
+    made = written(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema))
+    key = F.struct(F.lit(0).alias("_"), *group)
+    last = F.struct("__first", "__s", F.struct(*inputs).alias("inputs"))
+    ends = made.groupBy("__t").agg(F.min_by(key, "__i").alias("begin"), F.max_by(key, "__i").alias("end"), F.max_by(last, "__i").alias("last"))
+    passed, state, of = [], [], None
+    for r in ends.orderBy("__t").collect():  # one row a task
+        begun = state if of == r.begin else []
+        passed.append((r["__t"], begun))
+        left = step(r.last["__s"], *r.last.inputs)
+        state, of = merge(begun, left) if r.last["__first"] else left, r.end
+    known = F.broadcast(df.sparkSession.createDataFrame(passed, T.StructType([T.StructField("__t", T.IntegerType()), T.StructField("__begun", added["__s"])])))
+    full = F.when(F.col("__first") & (F.size("__begun") > 0), merge(F.col("__begun"), F.col("__s"))).otherwise(F.col("__s"))
+    return made.join(known, "__t").select(*[F.col(f"`{n}`") for n in names if n != name], full.alias(name))
+
+
 def valid_neighbours(df: DataFrame, group: str, order: str, key: str, valid: Column, per_side: int = 2, name: str = "neighbours") -> DataFrame:
     """Each row with the keys of up to ``per_side`` nearest valid rows on each side, in order.
 
-    Running last-k and next-k valid keys, by lag over the valid rows only: state is k
-    keys a row, not the group."""
-    base = df.withColumn("_valid", F.coalesce(valid, F.lit(False)))
-    w = Window.partitionBy(group).orderBy(order)
-    base = base.withColumn("_n", F.sum(F.col("_valid").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = base.where("_valid").select(F.col(group).alias("_g"), F.col("_n").alias("_r"), F.col(key).alias("_key"))
-    first = F.col("_n") - F.col("_valid").cast("int")
-    wanted = F.sequence(first - per_side + 1, F.col("_n") + per_side)
-    others = F.filter(wanted, lambda r: ~(F.col("_valid") & (r == F.col("_n"))))
-    asked = base.select(group, order, F.explode(others).alias("_r"))
-    got = asked.join(ranked, (F.col(group) == F.col("_g")) & (asked["_r"] == ranked["_r"])).groupBy(group, order)
-    lists = got.agg(F.array_sort(F.collect_list(F.struct(asked["_r"].alias("r"), "_key"))).alias("_l"))
-    return base.join(lists, [group, order], "left").withColumn(name, F.coalesce(F.col("_l._key"), F.array())).drop("_l", "_n", "_valid")
+    Two scans, one in each direction, whose state is the last valid keys; a group of any
+    size is split over tasks. Rows that tie in the order are ordered by the key."""
+
+    def step(state: list, ok: bool, k) -> list:
+        return [*state, k][-per_side:] if ok else state
+
+    def merge(earlier, later):
+        if isinstance(earlier, list):
+            return (earlier + later)[-per_side:]
+        both = F.concat(earlier, later)
+        return F.slice(both, F.greatest(F.size(both) - per_side + 1, F.lit(1)), per_side)
+
+    kind = f"array<{df.schema[key].dataType.simpleString()}>"
+    rows = df.withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    for order_by, side in ((F.asc, "_before"), (F.desc, "_after")):
+        rows = segmented_scan(rows, [group], [order_by(order), order_by(key)], ["_valid", key], step, merge, kind, side)
+    return rows.withColumn(name, F.concat("_before", F.reverse("_after"))).drop("_valid", "_before", "_after")
 
 
 def previous(df: DataFrame, group: str, order: str, value: str, name: str = "prev") -> DataFrame:

@@ -36,6 +36,28 @@ def test_neighbours(spark):
     assert got[3] == [1, 2, 5, 6] and got[0] == [1, 2] and got[8] == [6, 7, 9] and got[5] == [1, 2, 6, 7]
 
 
+def test_neighbours_across_tasks(spark):
+    """One hot group and small ones, cut by a range exchange anywhere; runs without valid rows
+    that span tasks."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice("abc"), i, None if rng.random() < 0.1 else rng.random() < 0.3 and not 60 < i < 130) for i in range(240)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        df = spark.createDataFrame(rows, "g string, i int, ok boolean").withColumn("k", F.concat(F.lit("k"), "i"))
+        got = {r.i: r.neighbours for r in sequences.valid_neighbours(df, "g", "i", "k", F.col("ok"), 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for g, i, _ in rows:
+        valid = [j for h, j, ok in rows if h == g and ok and j != i]
+        assert got[i] == [f"k{j}" for j in [j for j in valid if j < i][-3:] + [j for j in valid if j > i][:3]]
+    assert sequences.valid_neighbours(df.limit(0), "g", "i", "k", F.col("ok")).collect() == []
+
+
 def test_samples_repeat_with_their_seed(spark):
     rows = spark.range(200).select(F.col("id").alias("k"))
     draw = lambda s: [r.k for r in sampling.sample(rows.repartition(5), "k", 20, s).collect()]
