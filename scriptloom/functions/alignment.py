@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,24 +15,56 @@ MOST_WORDS = 5
 SPANS = "struct<ok:boolean,spans:array<struct<digits:string,words:array<string>>>>"
 
 
-def spells(hyp: list[str], ref: list[str]) -> bool:
-    """Whether the tokens spell the words. The reachable places are bits of one number,
-    so that a token costs a few operations on it at any length."""
-    at: dict[str, int] = {}
-    for j, w in enumerate(ref):
-        at[w] = at.get(w, 0) | 1 << j
-    every, reach = (1 << len(ref)) - 1, 1
-    for t in hyp:
-        if any(c.isdecimal() for c in t):
-            step, start = 0, reach & every
-            for n in range(1, MOST_WORDS + 1):
-                step |= start << n
-            reach = step & (every << 1 | 1)
+class Windows:
+    """Where each word occurs, as bits, in blocks no wider than the windows that are asked for,
+    so that a window costs its own width and not the text's."""
+
+    def __init__(self, words: list[str], width: int):
+        self.size = size = max(width, 64)
+        self.inside = (1 << width) - 1
+        self.masks: dict[tuple[str, int], int] = {}
+        for i, w in enumerate(words):
+            key = (w, i // size)
+            self.masks[key] = self.masks.get(key, 0) | 1 << i % size
+
+    def at(self, word: str, start: int) -> int:
+        """Bit d: the word stands at place start + d."""
+        block, shift = divmod(start, self.size)
+        both = self.masks.get((word, block), 0) >> shift
+        if shift:
+            both |= self.masks.get((word, block + 1), 0) << self.size - shift
+        return both & self.inside
+
+
+def _reaches(hyp: list[str], ref: list[str], wild: list[bool]) -> Iterator[int]:
+    """After each token the places that can be reached: after i tokens bit d stands for the
+    word i + d. Ends early where none can be."""
+    slack = len(ref) - len(hyp)
+    windows, reach = Windows(ref, slack + 1), 1
+    for i, t in enumerate(hyp):
+        if wild[i]:
+            # one to five words: the bits move up by none to four
+            more = reach | reach << 1
+            reach = (more | more << 2 | reach << 4) & windows.inside
         else:
-            reach = (reach & at.get(t, 0)) << 1
+            reach &= windows.at(t, i)
+        yield reach
         if not reach:
-            return False
-    return bool(reach >> len(ref) & 1)
+            return
+
+
+def spells(hyp: list[str], ref: list[str]) -> bool:
+    """Whether the tokens spell the words."""
+    if not len(hyp) <= len(ref) <= MOST_WORDS * len(hyp):
+        return False
+    reach = 1
+    for reach in _reaches(hyp, ref, [_has_digit(t) for t in hyp]):
+        pass
+    return bool(reach >> len(ref) - len(hyp) & 1)
+
+
+def _has_digit(token: str) -> bool:
+    return not token.isalpha() and any(c.isdecimal() for c in token)
 
 
 def aligns(hyp: Column, ref: Column) -> Column:
@@ -51,27 +84,12 @@ def aligns(hyp: Column, ref: Column) -> Column:
 
 def spans_of(hyp: list[str], ref: list[str]) -> tuple[bool, list[tuple[str, list[str]]]]:
     """(aligned?, words of each wildcard). If several splits fit, later wildcards take
-    the longer runs. After i tokens bit d of ``reach[i]`` stands for the word i + d; it
-    has at most MOST_WORDS - 1 bits a wildcard so far."""
+    the longer runs."""
     slack = len(ref) - len(hyp)
     if slack < 0:
         return False, []
-    at: dict[str, int] = {}
-    for j, w in enumerate(ref):
-        at[w] = at.get(w, 0) | 1 << j
-    inside = (1 << slack + 1) - 1
-    wild = [any(c.isdecimal() for c in t) for t in hyp]
-    reach = [1]
-    for i, t in enumerate(hyp):
-        r = reach[-1]
-        if wild[i]:
-            for n in range(1, MOST_WORDS):
-                r |= reach[-1] << n
-            reach.append(r & inside)
-        else:
-            reach.append(r & at.get(t, 0) >> i)
-        if not reach[-1]:
-            return False, []
+    wild = [_has_digit(t) for t in hyp]
+    reach = [1, *_reaches(hyp, ref, wild)]
     if not reach[-1] >> slack & 1:
         return False, []
     found, d = [], slack
@@ -123,21 +141,51 @@ def edit_distance(ref: Column, hyp: Column) -> Column:
     return F.element_at(F.aggregate(ref, first, row), -1)
 
 
+def _apart_within(ref: list[str], hyp: list[str], band: int) -> int:
+    """Edits between two texts if there are no more than ``band``, else more than that.
+
+    A column of the table is its differences, as bits; only places within ``band`` of the
+    diagonal are kept (Hyyrö's diagonal form of Myers' algorithm). Bit ``band + d`` stands for
+    the reference word d places behind the current one; the bits of the diagonal on which
+    the table ends add up to the distance."""
+    windows = Windows(ref, 2 * band + 1)
+    inside, end = windows.inside, len(ref) - len(hyp) + band
+    up, down = inside >> band << band, 0  # differences along the column: +1, -1
+    free = 0
+    for j, word in enumerate(hyp):
+        same = windows.at(word, j - band)
+        level = ((same & up) + up ^ up | same | down) & inside
+        right, left = down | inside & ~(level | up), level & up
+        free += level >> end & 1
+        below = level >> 1
+        up, down = left | inside & ~(below | right), below & right
+    return max(len(ref) - len(hyp), 0) + len(hyp) - free
+
+
 def words_apart(ref: list[str], hyp: list[str]) -> int:
-    """Word edit distance, a numpy row at a time."""
-    ids: dict[str, int] = {}
-    a, b = (np.array([ids.setdefault(w, len(ids)) for w in x], np.int64) for x in (ref, hyp))
-    row = np.arange(len(b) + 1)
-    for w in a:
-        best = np.minimum(row[1:] + 1, row[:-1] + (b != w))
-        new = np.concatenate(([row[0] + 1], best))
-        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-    return int(row[-1])
+    """Word edit distance of texts of any length: equal ends go, then the band around the
+    diagonal doubles until it holds the distance."""
+    most = min(len(ref), len(hyp))
+    start = next((i for i in range(most) if ref[i] != hyp[i]), most)
+    tail = next((i for i in range(most - start) if ref[-1 - i] != hyp[-1 - i]), most - start)
+    ref, hyp = ref[start : len(ref) - tail], hyp[start : len(hyp) - tail]
+    if not ref or not hyp:
+        return max(len(ref), len(hyp))
+    band = max(32, abs(len(ref) - len(hyp)))
+    while (found := _apart_within(ref, hyp, band)) > band:
+        band *= 2
+    return found
 
 
 def edit_distance_udf(ref: Column, hyp: Column) -> Column:
     @F.arrow_udf("int")
     def run(refs: pa.Array, hyps: pa.Array) -> pa.Array:
-        return pa.array([words_apart(r or [], h or []) for r, h in zip(refs.to_pylist(), hyps.to_pylist(), strict=True)], pa.int32())
+        # a few rows at a time as Python objects
+        out = [
+            words_apart(r or [], h or [])
+            for n in range(0, len(refs), 64)
+            for r, h in zip(refs[n : n + 64].to_pylist(), hyps[n : n + 64].to_pylist(), strict=True)
+        ]
+        return pa.array(out, pa.int32())
 
     return run(ref, hyp)
