@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.functions.text import let, normalize, tokens
-from scriptloom.storage import bounded, with_position, written
+from scriptloom.storage import with_position, written
 
 
 def words_of(df: DataFrame, key: str, text: str, words: Column | None = None) -> DataFrame:
@@ -97,7 +100,7 @@ def token_union(*tables: DataFrame, extra: list | None = None) -> DataFrame:
 
 def dense_ids(tokens_: DataFrame) -> DataFrame:
     """(token, id): ids from 0 in token order."""
-    return with_position(tokens_.select("token"), "token", name="id")
+    return with_position(written(tokens_.select("token")), "token", name="id")  # the range exchange reads twice
 
 
 def first_free_id(used: DataFrame, special: DataFrame, ids: DataFrame) -> DataFrame:
@@ -108,18 +111,65 @@ def first_free_id(used: DataFrame, special: DataFrame, ids: DataFrame) -> DataFr
     return free_special.join(free, "k").select(F.coalesce("a", "b").alias("id"))
 
 
+#: Bytes of a table's most frequent rows that every worker holds.
+HEAD_BYTES = 8 << 20
+
+
+def map_elements(rows: DataFrame, column: str, table: DataFrame, source: str, target: str) -> DataFrame:
+    """``rows`` with the elements of an array replaced by their targets, in order; elements that
+    the table lacks vanish.
+
+    The head of the table, its most frequent rows up to ``HEAD_BYTES``, goes to the workers,
+    which replace elements in place. Only other elements are exchanged, so that words that
+    every text holds meet in no task; they return to their places by position. A table that
+    fits into the head needs no exchange at all."""
+    table = written(table.select(F.col(source).alias("_from"), F.col(target).alias("_to")))
+    size = F.coalesce(F.octet_length(F.col("_from").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("_to").cast("string")), F.lit(0)) + 16
+    total, n = table.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    head = table
+    if total > HEAD_BYTES:
+        rows = written(rows)
+        counts = rows.select(F.explode(column).alias("_from")).groupBy("_from").agg(F.count("*").alias("_n"))
+        most = max(1, HEAD_BYTES * n // total)
+        ranked = table.join(counts, "_from").orderBy(F.desc("_n"), "_from").limit(most)
+        head = written(ranked.select("_from", "_to"))
+        held = head.agg(F.sum(size)).first()[0] or 0
+        if held > HEAD_BYTES:  # frequent elements may be longer than others
+            head = ranked.select("_from", "_to").limit(max(1, most * HEAD_BYTES // held))
+    known = head.toArrow()
+    keys, values = known["_from"].combine_chunks(), known["_to"].combine_chunks()
+
+    @F.arrow_udf(f"array<{table.schema['_to'].dataType.simpleString()}>")
+    def place(arrays: pa.Array) -> pa.Array:
+        """Each element's target, or null."""
+        flat = arrays.flatten()
+        found = values.take(pc.index_in(flat, value_set=keys.cast(flat.type)))
+        lengths = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, found)
+
+    placed = rows.withColumn("_got", place(column))
+    others = [F.col(f"`{c}`") for c in rows.columns if c != column]
+    if total <= HEAD_BYTES:
+        return placed.select(*others, F.array_compact("_got").alias(column))
+    placed = written(placed.withColumn("_row", F.monotonically_increasing_id()))
+    pairs = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("_got")).alias("pos"), F.col(column).alias("value"), F.col("_got").alias("to")), lambda p: p["value"].isNotNull() & p["to"].isNull())
+    asked = placed.select("_row", F.explode(pairs).alias("p")).select("_row", F.col("p.pos").alias("_pos"), F.col("p.value").alias("_from"))
+    answered = asked.join(table, "_from").groupBy("_row").agg(F.collect_list(F.struct(F.col("_pos").alias("pos"), F.col("_to").alias("to"))).alias("_more"))
+    here = F.filter(F.transform("_got", lambda to, pos: F.struct(pos.alias("pos"), to.alias("to"))), lambda p: p["to"].isNotNull())
+    merged = F.when(F.col("_more").isNull(), F.array_compact("_got")).otherwise(F.array_sort(F.concat(here, "_more"))["to"])
+    return placed.join(answered, "_row", "left").select(*others, merged.alias(column))
+
+
 def encode(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(key, ids): words as ids in order; words without an id vanish. The vocabulary is
-    broadcast if its counted rows allow it."""
-    found = token_rows(words).join(bounded(vocabulary), "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("p"))
-    return words.select("key").join(found, "key", "left").select("key", F.coalesce(F.col("p.id"), F.array().cast("array<bigint>")).alias("ids"))
+    """(key, ids): words as ids in order; words without an id vanish."""
+    return map_elements(words.select("key", F.col("words").alias("ids")), "ids", vocabulary, "token", "id")
 
 
 def decode(ids: DataFrame, vocabulary: DataFrame, between: str = " ") -> DataFrame:
     """(key, text) of (key, ids); ids outside the vocabulary are skipped."""
-    rows = ids.select("key", F.posexplode("ids").alias("pos", "id")).join(bounded(vocabulary), "id")
-    found = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p"))
-    return ids.select("key").join(found, "key", "left").select("key", F.array_join(F.coalesce(F.col("p.token"), F.array()), between).alias("text"))
+    found = map_elements(ids.select("key", "ids"), "ids", vocabulary, "id", "token")
+    return found.select("key", F.array_join("ids", between).alias("text"))
 
 
 def duration_summary(rows: DataFrame, group: str, part: str, seconds: str) -> DataFrame:

@@ -105,6 +105,13 @@ def first_free_id(spark, sf_dir):
     return corpus.first_free_id(used, special, spark.range(60))
 
 
+def _words_and_english(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All words, normalised once, and the vocabulary of the English documents."""
+    rows = _docs(spark, sf_dir).select("lang", F.col("doc_id").alias("key"), text.tokens(text.normalize(F.col("text"))).alias("words"))
+    stored = written(rows)
+    return stored.select("key", "words"), written(corpus.dense_ids(corpus.token_union(stored.where("lang = 'en'"))))
+
+
 @query(
     f"""
 with v as (select token, row_number() over (order by encode(token)) - 1 as id from (select distinct token from ({_TOK}) t join documents d on d.doc_id = t.key where lang = 'en')),
@@ -113,9 +120,8 @@ select doc_id, coalesce(ids, '') as ids from documents left join e on key = doc_
 """
 )
 def encode_drop_unknown(spark, sf_dir):
-    english = corpus.words_of(_docs(spark, sf_dir).where("lang = 'en'"), "doc_id", "text")
-    vocabulary = corpus.dense_ids(corpus.token_union(english))
-    coded = corpus.encode(_doc_words(spark, sf_dir), vocabulary)
+    words, vocabulary = _words_and_english(spark, sf_dir)
+    coded = corpus.encode(words, vocabulary)
     return coded.select(F.col("key").alias("doc_id"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -127,9 +133,8 @@ select doc_id, coalesce(s, '') as text from documents left join e on key = doc_i
 """
 )
 def decode_round_trip(spark, sf_dir):
-    english = corpus.words_of(_docs(spark, sf_dir).where("lang = 'en'"), "doc_id", "text")
-    vocabulary = written(corpus.dense_ids(corpus.token_union(english)))
-    return corpus.decode(corpus.encode(_doc_words(spark, sf_dir), vocabulary), vocabulary).withColumnRenamed("key", "doc_id")
+    words, vocabulary = _words_and_english(spark, sf_dir)
+    return corpus.decode(corpus.encode(words, vocabulary), vocabulary).withColumnRenamed("key", "doc_id")
 
 
 def _label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,25 @@ def test_vocabulary(spark):
     assert {r.key: r.text for r in corpus.decode(coded, vocabulary).collect()} == {1: "b a b", 2: "", 3: "a"}
 
 
+@pytest.mark.parametrize("head", [1 << 20, 300, 40])
+def test_elements_by_a_head_and_an_exchanged_tail(spark, monkeypatch, head):
+    """Frequent words are replaced in place, the others return to their places."""
+    import random
+
+    monkeypatch.setattr(corpus, "HEAD_BYTES", head)
+    rng = random.Random(4)
+    ids = {f"w{i}": i for i in range(60)}
+    rows = [(k, [f"w{int(rng.paretovariate(0.7))}" if rng.random() < 0.9 else rng.choice(["?", None]) for _ in range(rng.randint(0, 30))]) for k in range(120)] + [(7, ["w1"]), (200, None)]
+    df = spark.createDataFrame(rows, "key int, words array<string>")
+    coded = corpus.encode(df, spark.createDataFrame(list(ids.items()), "token string, id long"))
+    want = sorted((k, [ids[w] for w in words or [] if w in ids]) for k, words in rows)
+    assert sorted((r.key, r.ids) for r in coded.collect()) == want
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == (head < 1 << 20)
+    back = corpus.decode(coded, spark.createDataFrame(list(ids.items()), "token string, id long"))
+    assert sorted((r.key, r.text) for r in back.collect()) == [(k, " ".join(f"w{i}" for i in v)) for k, v in want]
+
+
 def test_transcripts_and_lists(spark, tmp_path):
     folder = tmp_path / "in" / "train" / "1" / "2"
     folder.mkdir(parents=True)
@@ -281,7 +300,7 @@ def test_prepare_refuses_other_settings(spark):
     assert [t.count() for t in labels.prepared(None, {"overlap": 3}, *rows)] == [2, 1]
 
 
-def test_positions_over_many_partitions_and_joins_without_broadcast(spark, monkeypatch):
+def test_positions_over_many_partitions(spark):
     from scriptloom import storage
 
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -293,11 +312,6 @@ def test_positions_over_many_partitions_and_joins_without_broadcast(spark, monke
         got = storage.with_position(rows.drop("_p"), "v").collect()
         assert sorted((r.v, r.position) for r in got) == [(i, i) for i in range(2000)]
         assert storage.with_position(rows.where("v < 0"), "v").collect() == []
-        monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
-        vocabulary = spark.createDataFrame([("a", 0), ("b", 1)], "token string, id long")
-        words = spark.createDataFrame([(1, ["b", "x", "a", "b"]), (2, [])], "key int, words array<string>")
-        assert {r.key: r.ids for r in corpus.encode(words, vocabulary).collect()} == {1: [1, 0, 1], 2: []}
-        assert "Broadcast" not in corpus.encode(words, vocabulary)._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
