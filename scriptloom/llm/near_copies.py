@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.llm import simhash
-from scriptloom.llm.common import pieces, store, words_of
+from scriptloom.llm.common import pieces, sized, store, words_of
 from scriptloom.llm.components import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -122,6 +122,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return store(scored.where(F.col("s") >= least).select("a", "b"))
 
 
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(h, class, s) of rows (h, class, text): each text's shingle hashes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2):
+            sets = [shingles_of(t.as_py(), shingle).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["h", "class", "s"])
+
+    return texts.select("h", "class", "text").mapInArrow(made, "h long, class long, s array<long>")
+
+
+def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes that can have a Jaccard similarity of ``least``, of rows
+    (h, class, s) with sets of hashes; no such pair is left out.
+
+    Elements are ordered by how many sets hold them, the rarest first. With an overlap of at
+    least o two sets share one of their first n - o + 1 elements each. Of a pair the smaller
+    set needs 2 least / (1 + least) of its elements in both, the larger one ``least`` of its
+    own; these bounds give the lengths of the two prefixes. What comes behind a shared
+    element bounds the overlap once more. Where an element's texts are mostly of one class,
+    only those outside it meet the others."""
+    n = F.size("s")
+    rarity = sized(store(sets.select(F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("c"))))
+    each = sets.where(n > 0).select("h", "class", n.alias("n"), F.explode("s").alias("e")).join(rarity, "e")
+    ranked = each.groupBy("h", "class", "n").agg(F.array_sort(F.collect_list(F.struct("c", "e")))["e"].alias("s"))  # a text's own elements
+    needed = lambda share: F.ceil(share * F.col("n") - 1e-9).cast("int")
+    small, large = needed(2 * least / (1 + least)), needed(least)
+    first = ranked.select("h", "class", "n", (F.col("n") - small).alias("last"), F.posexplode(F.slice("s", F.lit(1), F.col("n") - large + 1)).alias("at", "e"))
+    met = store(first)
+    per = met.groupBy("e", "class").agg(F.count("*").alias("c")).groupBy("e")
+    mixed = per.agg(F.count("*").alias("classes"), F.max_by("class", F.struct("c", "class")).alias("main")).where("classes > 1").select("e", "main")
+    left = store(met.join(mixed, "e"))
+    x, y = left.where("at <= last").alias("x"), left.alias("y")
+    both = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    alike = (
+        (F.col("x.e") == F.col("y.e"))
+        & (F.col("x.class") != F.col("y.class"))
+        & (F.struct("x.n", "x.h") < F.struct("y.n", "y.h"))
+        & (F.col("x.n") >= large_part(F.col("y.n"), least))
+        & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= both)
+    )
+    minor = F.col("class") != F.col("main")
+    found = x.where(minor).join(y, alike).select("x.h", F.col("y.h").alias("g")).unionAll(x.where(~minor).join(y.where(minor), alike).select("x.h", F.col("y.h").alias("g")))
+    return found.select(*_sorted_pair(F.col("h"), F.col("g"))).distinct()
+
+
+def large_part(n: Column, least: float) -> Column:
+    """The fewest elements of a set that can be alike to one of n."""
+    return F.ceil(least * n - 1e-9)
+
+
+def _verified_sets(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose stored sets are alike."""
+
+    @F.arrow_udf("double")
+    def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
+        both = ((np.asarray(s.values), np.asarray(t.values)) for s, t in zip(x, y, strict=True))
+        return pa.array([_similar(s, t) for s, t in both], pa.float64())
+
+    left, right = (sets.select(F.col("h").alias(c), F.col("s").alias(f"set_{c}")) for c in ("a", "b"))
+    return store(pairs.join(left, "a").join(right, "b").where(jaccard("set_a", "set_b") >= least).select("a", "b"))
+
+
 def near_copy_classes(docs: DataFrame, text_hash: Column, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(doc_id, text_hash, component_id) for every row of ``docs`` (doc_id, text)."""
     rows = store(docs.select("doc_id", text_hash.alias("text_hash")))
@@ -150,9 +213,10 @@ def near_copy_classes(docs: DataFrame, text_hash: Column, shingle: int = SHINGLE
     mixed = per.agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main")).where("classes > 1")
     several = store(classed.join(mixed.select("key", "main"), "key"))
     if not several.isEmpty():
-        minor = several.where("class <> main").select("key", F.col("h").alias("x"), F.col("class").alias("of"))
-        across = minor.join(several, "key").where("of <> class").select(*_sorted_pair(F.col("x"), F.col("h"))).distinct()
-        links = links.unionAll(_verified(store(across.join(tried, ["a", "b"], "left_anti")), texts, shingle, least))
+        odd = several.select("h", "class").distinct()
+        sets = store(_shingle_sets(texts.join(odd, "h"), shingle))
+        across = store(prefix_pairs(sets, least).join(tried, ["a", "b"], "left_anti"))
+        links = links.unionAll(_verified_sets(across, sets, least))
     roots = components(links).withColumnRenamed("node", "text_hash")
     linked = store(firsts.join(roots, "text_hash"))
     smallest = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))

@@ -76,3 +76,49 @@ def test_recall_on_the_documents(spark):
     want = brute_classes([r.text for r in rows])
     got = {r.doc_id: r.component_id for r in near_copies.near_copy_classes(docs, text_hash()).collect()}
     assert [got[r.doc_id] for r in rows] == [rows[c].doc_id for c in want]
+
+
+def test_prefix_pairs_hold_every_alike_pair(spark):
+    """Random sets of shared and own elements, some of one class already."""
+    rng = random.Random(6)
+    common = [rng.getrandbits(62) for _ in range(60)]
+    rows = []
+    for h in range(150):
+        base = set(rng.sample(common, rng.randint(1, 40))) if h % 3 or not rows else set(rows[rng.randrange(len(rows))][2])
+        for _ in range(rng.randint(0, 5)):
+            base.add(rng.getrandbits(62))
+        rows.append((h, h // 2 if h % 5 == 0 else h + 1000, sorted(base)))
+    df = spark.createDataFrame(rows + [(999, 5, [])], "h long, class long, s array<long>")
+    got = {(r.a, r.b) for r in near_copies.prefix_pairs(df, 0.8).collect()}
+    alike = {
+        (g, h) for g, c, s in rows for h, d, t in rows
+        if g < h and c != d and len(set(s) & set(t)) >= 0.8 * len(set(s) | set(t))
+    }
+    assert alike and alike <= got
+    verified = near_copies._verified_sets(spark.createDataFrame(sorted(got), "a long, b long"), df, 0.8)
+    assert {(r.a, r.b) for r in verified.collect()} == alike
+
+
+def test_letters_of_one_form_do_not_meet_each_other(spark, monkeypatch):
+    """Texts of 80 common and 12 own words (similarity below 0.8, so none link): the number of
+    compared pairs follows the number of texts."""
+    monkeypatch.setattr(near_copies, "_fingerprint_pairs", lambda texts, shingle: texts.selectExpr("h as a", "h as b").limit(0))
+    compared = []
+    for name in ("_verified", "_verified_sets"):
+        whole = getattr(near_copies, name)
+
+        def counted(pairs, *more, whole=whole):
+            compared.append(pairs.count())
+            return whole(pairs, *more)
+
+        monkeypatch.setattr(near_copies, name, counted)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    form, totals = [word() for _ in range(80)], []
+    for n in (100, 300):
+        compared.clear()
+        docs = documents(spark, [" ".join(form + [word() for _ in range(12)]) for _ in range(n)])
+        classes = near_copies.near_copy_classes(docs, text_hash()).collect()
+        assert all(r.doc_id == r.component_id for r in classes)
+        totals.append(sum(compared))
+    assert totals[0] < 1500 and totals[1] < 4.5 * totals[0]
