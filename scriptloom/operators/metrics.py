@@ -45,6 +45,51 @@ def loss_decomposition(positions: DataFrame, by: list[str], sample: str, pos: st
     )
 
 
+def slice_state(logits: Column, start: Column, label: Column) -> Column:
+    """What a slice of a position's logits, from id ``start`` on, tells of its loss: the largest
+    logit, its id, and relative to it the sums of e^x and x e^x; and the label's logit, if it
+    lies here. Logits of minus infinity have no weight."""
+    top = F.array_max(logits)
+    none = top.isNull() | (top == float("-inf"))
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    weighted = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.when(x == float("-inf"), 0.0).otherwise(F.exp(x - top) * (x - top)))
+    at = label - start
+    here = F.when((at >= 0) & (at < F.size(logits)), F.get(logits, at.cast("int")))
+    return F.struct(
+        F.coalesce(top, F.lit(float("-inf"))).alias("top"), (start + F.array_position(logits, top) - 1).cast("long").alias("at"),
+        F.when(none, 0.0).otherwise(total).alias("total"), F.when(none, 0.0).otherwise(weighted).alias("weighted"), here.cast("double").alias("label"),
+    )
+
+
+def merged_state(a: Column, b: Column) -> Column:
+    """The state of two slices together; the order of merges does not matter. Of equal logits
+    the smaller id is the prediction."""
+    first = (a["top"] > b["top"]) | ((a["top"] == b["top"]) & (F.coalesce(a["at"] <= b["at"], b["at"].isNull())))
+    top = F.greatest(a["top"], b["top"])
+
+    def moved(s: Column) -> tuple[Column, Column]:
+        gone, shift = s["total"] == 0, s["top"] - top
+        scale = F.exp(shift)
+        return F.when(gone, 0.0).otherwise(s["total"] * scale), F.when(gone, 0.0).otherwise(scale * (s["weighted"] + s["total"] * shift))
+
+    (ta, wa), (tb, wb) = moved(a), moved(b)
+    return F.struct(
+        top.alias("top"), F.when(first, a["at"]).otherwise(b["at"]).alias("at"), (ta + tb).alias("total"), (wa + wb).alias("weighted"), F.coalesce(a["label"], b["label"]).alias("label")
+    )
+
+
+def sliced_losses(slices: DataFrame, by: list[str], start: str, logits: str, label: str) -> DataFrame:
+    """(by, loss, pred, entropy) of positions whose logits come as slices (by, start, logits,
+    label) of any lengths, in any order, so that no row holds a whole vocabulary. Only the
+    slices' states, five numbers each, are exchanged. A label outside all slices has no
+    loss."""
+    states = slices.select(*by, slice_state(F.col(logits).cast("array<double>"), F.col(start).cast("long"), F.col(label).cast("long")).alias("s"))
+    lists = states.groupBy(*by).agg(F.collect_list("s").alias("l"))
+    one = lists.select(*by, F.aggregate(F.slice("l", F.lit(2), F.size("l")), F.element_at("l", 1), merged_state).alias("s"))
+    norm = F.log("s.total")
+    return one.select(*by, (norm + F.col("s.top") - F.col("s.label")).alias("loss"), F.col("s.at").cast("int").alias("pred"), (norm - F.col("s.weighted") / F.col("s.total")).alias("entropy"))
+
+
 def token_budget(micros: DataFrame, by: list[str], n: str) -> DataFrame:
     """Labelled tokens of a window: mean of its micro-batches and total."""
     return micros.groupBy(*by).agg((F.sum(n) / F.greatest(F.count("*"), F.lit(1))).alias("mean_tokens"), F.sum(n).alias("total_tokens"))

@@ -1060,6 +1060,18 @@ def token_losses(spark, sf_dir):
     return rows.select("vec_id", _r6("t.loss").alias("loss"), "t.pred", _r6("t.entropy").alias("entropy"))
 
 
+@query(ORACLES["token_losses"])
+def sliced_losses(spark, sf_dir):
+    """The same from slices of uneven lengths, in rows of their own."""
+    width = (F.col("vec_id") % 29 + 3).cast("int")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 64).alias("label"), "embedding", width.alias("width"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("embedding") - 1, F.lit(0)), F.col("width"))
+    slices = vectors.select("*", F.explode(starts).alias("start"))
+    slices = slices.select("vec_id", "label", "start", F.slice("embedding", F.col("start") + 1, F.col("width")).alias("logits"))
+    rows = metrics.sliced_losses(slices, ["vec_id"], "start", "logits", "label")
+    return rows.select("vec_id", _r6("loss").alias("loss"), "pred", _r6("entropy").alias("entropy"))
+
+
 @query(
     """
 with n as (select label, sqrt(sum(list_sum(list_transform(embedding::double[], lambda x: x * x)))) as norm from embeddings group by label)

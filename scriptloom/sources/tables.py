@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.functions.text import key_parts
+from scriptloom.sources.heads import heads
 from scriptloom.storage import with_position
 
 LABELS = "key string, unformatted string, formatted string, validation string, attempts int"
@@ -78,10 +79,11 @@ def checksums(spark: SparkSession, root: str) -> DataFrame:
 
 
 def flac_seconds(spark: SparkSession, root: str) -> DataFrame:
-    """(path, seconds) from the stream-info header: 20 bits of rate, 36 bits of samples."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.flac").load(root)
-    head = F.hex(F.substring("content", 19, 8))
+    """(path, seconds) from the stream-info header, the first 42 bytes: 20 bits of rate, 36 bits
+    of samples."""
+    files = heads(spark, root, 42, ".flac")
+    head = F.hex(F.substring("head", 19, 8))
     number = lambda h: F.conv(h, 16, 10).cast("long")
     rate, samples = number(F.substring(head, 1, 5)), number(F.substring(head, 8, 9))
-    ok = F.hex(F.substring("content", 1, 4)) == "664C6143"
+    ok = F.hex(F.substring("head", 1, 4)) == "664C6143"
     return files.select("path", F.when(ok & (rate > 0), samples / rate).alias("seconds"))

@@ -161,6 +161,48 @@ def test_transcripts_and_lists(spark, tmp_path):
     assert names == ["s_000.tar", "s_002.tar"]
 
 
+def test_heads_read_no_more_than_they_give(spark, tmp_path):
+    from scriptloom.sources import heads
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    with open(tmp_path / "a" / "b" / "long.flac", "wb") as f:
+        f.write(b"fLaC")
+        f.seek(1 << 33)  # 8 GB of nothing: a reader of whole files would not end
+        f.write(b"x")
+    (tmp_path / "a" / "short.flac").write_bytes(b"fL")
+    (tmp_path / "other.txt").write_text("no")
+    for root in (str(tmp_path), f"file:{tmp_path}"):
+        rows = sorted((r.path.rpartition("/")[2], r.length, bytes(r.head)) for r in heads.heads(spark, root, 6, ".flac").collect())
+        assert rows == [("long.flac", (1 << 33) + 1, b"fLaC\0\0"), ("short.flac", 2, b"fL")]
+    assert heads.heads(spark, str(tmp_path), 6, ".none").collect() == []
+
+
+def test_losses_of_slices_equal_those_of_whole_logits(spark):
+    """Any slicing, in any order; ties, minus infinity, large logits, labels outside."""
+    import math
+    import random
+
+    rng, inf = random.Random(8), float("-inf")
+    rows, want = [], {}
+    for k in range(60):
+        x = [rng.choice([rng.uniform(-5, 5), 700.0, 3.0, inf]) for _ in range(rng.randint(1, 40))]
+        x[rng.randrange(len(x))] = rng.choice([3.0, 900.0])
+        label = rng.randrange(len(x) + 2)
+        top = max(x)
+        e = [math.exp(v - top) for v in x]
+        norm = math.log(sum(e))
+        entropy = norm - sum(p * (v - top) for p, v in zip(e, x) if p) / sum(e)
+        want[k] = (norm + top - x[label] if label < len(x) else None, x.index(top), entropy)
+        cuts = sorted({0, len(x), *(rng.randint(0, len(x)) for _ in range(rng.randint(0, 6)))})
+        rows += [(k, a, x[a:b], label) for a, b in zip(cuts, cuts[1:])]
+    rng.shuffle(rows)
+    got = metrics.sliced_losses(spark.createDataFrame(rows, "k int, start int, logits array<double>, label int"), ["k"], "start", "logits", "label")
+    for r in got.collect():
+        loss, pred, entropy = want[r.k]
+        assert r.pred == pred and abs(r.entropy - entropy) < 1e-9
+        assert (r.loss is None) == (loss is None) and (loss is None or r.loss == loss or abs(r.loss - loss) < 1e-9)
+
+
 def test_label_files(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"key":"a","formatted":"1"}\n{"key":"a","formatted":"2","validation":"failed"}\n{"key":"b","formatted":"3"}\n')
     rows = tables.labels(spark, str(tmp_path / "l.jsonl"))
