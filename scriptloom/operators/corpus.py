@@ -60,7 +60,11 @@ def baselines(words: DataFrame, vocabulary: int | None = None) -> DataFrame:
     successor. ``vocabulary``: size for the uniform loss and the coverage (default: the
     distinct words)."""
     words = written(words)
-    one, two = written(unigrams(words)), bigrams(words)
+    return baselines_of_counts(written(unigrams(words)), bigrams(words), first_tokens(words), vocabulary)
+
+
+def baselines_of_counts(one: DataFrame, two: DataFrame, firsts: DataFrame, vocabulary: int | None = None) -> DataFrame:
+    """The same from counts: (token, n), (prev, cur, n) and (token, n) of first tokens."""
     n = F.col("n")
     by_prev = two.groupBy("prev").agg(F.sum(n).alias("s"), F.sum(n * F.log(n)).alias("nln"), F.count("*").alias("types"))
     joined = by_prev.join(one.select(F.col("token").alias("prev"), n.alias("of_prev")), "prev")
@@ -70,7 +74,7 @@ def baselines(words: DataFrame, vocabulary: int | None = None) -> DataFrame:
         (-(F.sum("nln") - F.sum(F.col("s") * F.log("of_prev"))) / F.sum("s")).alias("bigram_loss"),
         (-(F.sum("nln") - F.sum(F.col("s") * F.log("s"))) / F.sum("s")).alias("bigram_cond_entropy"),
     )
-    first = entropy(first_tokens(words), "first").drop("first_types").withColumnRenamed("first_tokens", "n_utterances").withColumnRenamed("first_loss", "first_token_loss")
+    first = entropy(firsts, "first").drop("first_types").withColumnRenamed("first_tokens", "n_utterances").withColumnRenamed("first_loss", "first_token_loss")
     # three tables of one row each, put side by side
     row = entropy(one, "unigram").withColumn("_k", F.lit(1)).join(pair.withColumn("_k", F.lit(1)), "_k").join(first.withColumn("_k", F.lit(1)), "_k").drop("_k")
     size = F.lit(vocabulary) if vocabulary else F.col("unigram_types")

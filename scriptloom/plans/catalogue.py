@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.functions import alignment, models, responses, tensors, text
-from scriptloom.operators import corpus, labels, metrics, packing, sampling, sequences, sets
+from scriptloom.operators import corpus, labels, metrics, packing, sampling, sequences, sets, statistics
 from scriptloom.session import table
-from scriptloom.storage import with_position, written
+from scriptloom.storage import shared_folder, with_position, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,20 @@ def corpus_baselines(spark, sf_dir):
     return row.select(*[F.col(c).cast("long") for c in exact], *[_r6(c).alias(c) for c in rounded])
 
 
+@query(ORACLES["corpus_baselines"])
+def grown_baselines(spark, sf_dir):
+    """The same for a corpus that came in three parts, each counted when it came."""
+    folder = shared_folder(spark)
+    rows = _docs(spark, sf_dir).select(F.concat("lang", F.lit("-"), F.col("doc_id") % 3).alias("shard"), "doc_id", "text")
+    words = written(rows.select("shard", F.col("doc_id").alias("key"), text.tokens(text.normalize(F.col("text"))).alias("words")))
+    for part in range(3):
+        statistics.add(words.where(F.col("shard").endswith(f"-{part}")), folder)
+    row = statistics.baselines(spark, folder, vocabulary=40148)
+    exact = ["unigram_tokens", "unigram_types", "bigram_tokens", "bigram_types", "n_utterances"]
+    rounded = ["unigram_loss", "bigram_loss", "bigram_cond_entropy", "first_token_loss", "uniform_loss", "vocab_coverage"]
+    return row.select(*[F.col(c).cast("long") for c in exact], *[_r6(c).alias(c) for c in rounded])
+
+
 @query(f"select key as doc_id, array_to_string(w, ' ') as normalized from ({_DOCS})")
 def normalize_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("normalized"))
@@ -801,7 +815,6 @@ def union_splits(spark, sf_dir):
 def tar_round_trip(spark, sf_dir):
     """Members written as archives in the shared folder and read back."""
     from scriptloom.sources import tar
-    from scriptloom.storage import shared_folder
 
     docs = _docs(spark, sf_dir)
     shard, key = F.concat(F.lit("s"), F.format_string("%03d", (F.col("doc_id") % 8).cast("int"))), F.concat(F.lit("d"), "doc_id")

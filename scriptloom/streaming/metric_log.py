@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scriptloom.sources.tables import RESPONSES
 
@@ -21,6 +25,72 @@ def flushed_stream(log: DataFrame, period: int, always: str = "eval", delay: str
     )
 
 
+STEP_STATE = "n long, total double, most double, squares double, last_at long, last double, due long"
+COLLECTED = "phase string, step long, name string, value double"
+
+
+class _Family(StatefulProcessor):
+    """The open steps of one metric in one phase. A step's first row sets a timer; when the
+    watermark passes it, the step's value is emitted and its state goes."""
+
+    def __init__(self, kinds: dict[str, str], span_ms: int):
+        self.kinds, self.span = kinds, span_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps = handle.getMapState("steps", "step long", STEP_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for step, of in batch.groupby("step"):
+                step, values = int(step), of["value"].astype(float)
+                at = of["ts"].astype("datetime64[ms]").astype("int64")
+                newest = at.to_numpy().argmax()
+                n, total, most, squares, last_at, last = len(of), values.sum(), values.max(), (values * values).sum(), int(at.iloc[newest]), float(values.iloc[newest])
+                due = int(at.min()) + self.span
+                held = self.steps.getValue((step,)) if self.steps.containsKey((step,)) else None
+                if held:
+                    n, total, most, squares = n + held[0], total + held[1], max(most, held[2]), squares + held[3]
+                    if held[4] > last_at:
+                        last_at, last = held[4], held[5]
+                    due = min(due, held[6])
+                self.steps.updateValue((step,), (n, float(total), float(most), float(squares), last_at, last, due))
+                self.handle.registerTimer(due)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        done = [(k[0], v) for k, v in self.steps.iterator() if v[6] <= now]
+        rows = []
+        for step, (n, total, most, squares, _, last, _) in done:
+            self.steps.removeKey((step,))
+            value = {"mean": total / n, "sum": total, "max": most, "norm": squares**0.5, "last": last}[self.kinds[key[1]]]
+            rows.append((key[0], step, key[1], value))
+        yield pd.DataFrame(rows, columns=["phase", "step", "name", "value"])
+
+
+def collected_stream(log: DataFrame, families: dict[str, tuple[str, tuple[str, ...], int]], always: str = "eval", delay: str = "10 minutes", span_ms: int = 60_000, row_id: str | None = None) -> DataFrame:
+    """``metrics.collected`` of a stream (ts, step, phase, name, value): each metric folded as its
+    family says, one value a step, emitted once the watermark has passed ``span_ms`` after the
+    step's first row. So rows may be late by ``delay`` and a step may take that span; rows that
+    are later are dropped. With ``row_id`` rows that come again within the delay count once.
+
+    State is kept for each metric and phase: its open steps. It needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass)."""
+    provider = log.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if "RocksDB" not in provider:
+        raise ValueError("collected_stream needs spark.sql.streaming.stateStore.providerClass to name the RocksDB provider")
+    rows = log.withWatermark("ts", delay)
+    if row_id:
+        rows = rows.dropDuplicatesWithinWatermark([row_id])
+    routed = F.lit(False)
+    for name, (_, phases, period) in families.items():
+        routed = routed | ((F.col("name") == name) & F.col("phase").isin(*phases) & ((F.col("phase") == always) | (F.col("step") % period == 0)))
+    kept = rows.where(routed & F.col("value").isNotNull()).select("ts", F.col("step").cast("long").alias("step"), "phase", "name", F.col("value").cast("double").alias("value"))
+    fold = _Family({name: kind for name, (kind, _, _) in families.items()}, span_ms)
+    return kept.groupBy("phase", "name").transformWithStateInPandas(fold, COLLECTED, "Append", "EventTime")
+
+
 def collect_responses(spark: SparkSession, folder: str, table: str, checkpoint: str) -> None:
     """Append new response files of a folder to a Parquet table, each once; ends when
     there are no more. Run again to poll."""
