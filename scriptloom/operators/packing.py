@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.storage import bounded, written
+from scriptloom.storage import bounded, scratch, written
 
 _PLACES = {"__t": ("int", pa.int32()), "__i": ("long", pa.int64()), "__g": ("long", pa.int64()), "__v": ("long", pa.int64())}
 _ROW_LIMIT = 1 << 62
@@ -78,7 +78,8 @@ def pack(df: DataFrame, size: str, rule: Rule, group: list[str], order: list[str
         raise ValueError("sizes must be integers")
     rows = written(_placed(df, size, group, order))
     tasks = _tasks(rows, group, rule)
-    numbers = _entries(rows, tasks, rule) if tasks else {}
+    with scratch(df.sparkSession):  # what it finds is collected, a row a task
+        numbers = _entries(rows, tasks, rule) if tasks else {}
     return _numbered(rows, df.columns, name, numbers, rule)
 
 

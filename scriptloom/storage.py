@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +24,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scriptloom/{uuid.uuid4().hex}"
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are deleted at the end: for work whose results are
+    collected or written elsewhere by then. May be nested."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        for path in made:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table: lineage ends, nothing is computed again."""
+    """The same rows from a Parquet table: lineage ends, nothing is computed again. The table
+    stays, unless ``scratch`` deletes it."""
     path = shared_folder(df.sparkSession)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

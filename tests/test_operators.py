@@ -203,6 +203,22 @@ def test_losses_of_slices_equal_those_of_whole_logits(spark):
         assert (r.loss is None) == (loss is None) and (loss is None or r.loss == loss or abs(r.loss - loss) < 1e-9)
 
 
+def test_scratch_tables_go(spark):
+    import os
+
+    from scriptloom import storage
+
+    files = lambda df: [f.removeprefix("file://") for f in df.inputFiles()]
+    kept = storage.written(spark.range(3))
+    with storage.scratch(spark):
+        outer = storage.written(spark.range(4))
+        with storage.scratch(spark):
+            inner = storage.written(spark.range(5))
+            held = {k: files(df) for k, df in {"kept": kept, "outer": outer, "inner": inner}.items()}
+        assert [any(map(os.path.exists, held[k])) for k in ("kept", "outer", "inner")] == [True, True, False]
+    assert [any(map(os.path.exists, held[k])) for k in ("kept", "outer")] == [True, False] and kept.count() == 3
+
+
 def test_label_files(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"key":"a","formatted":"1"}\n{"key":"a","formatted":"2","validation":"failed"}\n{"key":"b","formatted":"3"}\n')
     rows = tables.labels(spark, str(tmp_path / "l.jsonl"))
