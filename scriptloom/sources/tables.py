@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions.text import key_parts
 from scriptloom.sources.heads import heads
-from scriptloom.storage import with_position
 
 LABELS = "key string, unformatted string, formatted string, validation string, attempts int"
 MANIFEST = "key string, split string, shard string, duration_s double, n_mel_frames int, unformatted string, formatted string"
@@ -45,9 +44,11 @@ def chapters(rows: DataFrame) -> DataFrame:
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """Labels in file order (``line``); a missing validation stays null, which means ok."""
-    rows = spark.read.schema(LABELS).json(path).withColumn("_f", F.col(_FILE)).withColumn("_n", F.monotonically_increasing_id())
-    return with_position(rows, "_f", "_n", name="line").drop("_f", "_n")
+    """Labels with ``line``, a text that sorts in file order: file, start of the split, number in
+    it. Nothing is exchanged for it. A missing validation stays null, which means ok."""
+    number = lambda c: F.lpad(c.cast("string"), 20, "0")
+    place = F.concat_ws("\x01", F.col(_FILE), number(F.col("_metadata.file_block_start")), number(F.monotonically_increasing_id()))
+    return spark.read.schema(LABELS).json(path).withColumn("line", place)
 
 
 def write_labels(rows: DataFrame, folder: str) -> None:

@@ -231,6 +231,25 @@ def test_label_files(spark, tmp_path):
     assert tables.checksums(spark, str(tmp_path / "l.jsonl")).first().bytes == (tmp_path / "l.jsonl").stat().st_size
 
 
+def test_the_last_label_wins_over_files_and_splits(spark, tmp_path):
+    """File order without a sort: files in several splits, keys again in later files."""
+    want = {}
+    for f in ("a.json", "a.json-b", "b.json"):
+        rows = [(f"k{i * 7 % 40}", f"{f}:{i}") for i in range(300)]
+        (tmp_path / f).write_text("".join(f'{{"key":"{k}","formatted":"{v}"}}\n' for k, v in rows))
+        want |= dict(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = tables.labels(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 10
+        assert {r.key: r.formatted for r in labels.latest_labels(rows, "line").collect()} == want
+        assert [r.formatted for r in rows.orderBy("line").collect()] == [f"{f}:{i}" for f in ("a.json", "a.json-b", "b.json") for i in range(300)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_tar_source(spark, tmp_path):
     rows = [("s0", k, e, f"{k}/{e}".encode()) for k in ("a", "b.c") for e in tar.REQUIRED] + [("s1", "x", "mel.npy", b"only")]
     out = tar.write(spark.createDataFrame(rows, tar.SCHEMA), str(tmp_path)).collect()
