@@ -245,27 +245,52 @@ def _lay_out(layout: Layout):
 
 def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str, length: int = 1024, per_shard: int = 4096, done: list[int] | None = None) -> Layout:
     """Write the shards of ``docs`` (doc_id long, text) below ``folder``. ``encoder`` makes,
-    on a worker, a function that gives the ids of a column of texts."""
+    on a worker, a function that gives the ids of a column of texts. Shards that the folder
+    holds already, as after a run that broke off, are left out, like those of ``done``; so
+    writing twice gives the same rows. A folder of another layout or key raises
+    ValueError."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     buckets = max(1, min(rows.rdd.getNumPartitions(), 20_000))
     encoded = rows.mapInArrow(_encode(encoder), "part int, block int, keys array<long>, hashes array<long>, counts array<int>, ids binary")
-    blocks = Bucketed(encoded, "part", buckets)
-    places, total = _places(blocks.df, buckets)
-    layout = Layout(length, per_shard, -(-total // length))
-    if layout.sequences:
-        # the second condition must not become a key, for the tables are bucketed by the first
-        match = (blocks.df["part"] == places.df["part"]) & (blocks.df["block"] - places.df["at"] == 0)
-        joined = blocks.df.join(places.df, match).select("counts", "ids", "starts")
-        dealt = joined.mapInArrow(_deal(layout, key, np.array(sorted(done or []), np.int64)), "shard int, data binary")
-        laid = dealt.repartitionById(layout.shards, F.col("shard")).mapInArrow(_lay_out(layout), "ids binary")
-        laid.select(F.col("ids").cast("string").alias("value")).write.mode("append").text(folder)
-        spark.createDataFrame([tuple(asdict(layout).values())], "length int, per_shard int, sequences long").coalesce(1).write.mode("overwrite").json(f"{folder}/_layout")
-    blocks.drop()
-    places.drop()
+    blocks = places = None
+    try:
+        blocks = Bucketed(encoded, "part", buckets)
+        places, total = _places(blocks.df, buckets)
+        layout = Layout(length, per_shard, -(-total // length))
+        before = layout_of(spark, folder)
+        if before.sequences:
+            its_key = spark.read.schema("key string").json(f"{folder}/_layout").first().key
+            if (before, its_key) != (layout, key):
+                raise ValueError(f"the folder has shards of {before} and key {its_key}, not of {layout} and key {key}")
+        if layout.sequences:
+            skipped = np.array(sorted({*(done or []), *written_shards(spark, folder)}), np.int64)
+            # the second condition must not become a key, for the tables are bucketed by the first
+            match = (blocks.df["part"] == places.df["part"]) & (blocks.df["block"] - places.df["at"] == 0)
+            joined = blocks.df.join(places.df, match).select("counts", "ids", "starts")
+            dealt = joined.mapInArrow(_deal(layout, key, skipped), "shard int, data binary")
+            laid = dealt.repartitionById(layout.shards, F.col("shard")).mapInArrow(_lay_out(layout), "ids binary")
+            if not before.sequences:
+                spark.createDataFrame([(*asdict(layout).values(), key)], "length int, per_shard int, sequences long, key string").coalesce(1).write.mode("overwrite").json(f"{folder}/_layout")
+            laid.select(F.col("ids").cast("string").alias("value")).write.mode("append").text(folder)
+    finally:
+        for table in (blocks, places):
+            if table is not None:
+                table.drop()
     return layout
 
 
+def written_shards(spark: SparkSession, folder: str) -> list[int]:
+    """The shards that a folder holds, whole."""
+    return sorted({shard for shard, _ in _files(spark, folder)})
+
+
+def _files(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    fs, path = file_system(spark, folder)
+    files = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-") and s.getLen()] if fs.exists(path) else []
+    return [(int(f.getName().split("-")[1]), f.toString()) for f in files]
+
+
 def layout_of(spark: SparkSession, folder: str) -> Layout:
     """The layout that ``write`` left in a folder; no sequences where it left none."""
     fs, path = file_system(spark, f"{folder}/_layout")
@@ -279,9 +304,7 @@ def read(spark: SparkSession, folder: str, start: int = 0, stop: int | None = No
     only their shards are opened. Shards that are not written yet have no rows."""
     layout = layout_of(spark, folder)
     stop = layout.sequences if stop is None else min(stop, layout.sequences)
-    fs, path = file_system(spark, folder)
-    files = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-") and s.getLen()] if fs.exists(path) else []
-    listed = [(int(f.getName().split("-")[1]), f.toString()) for f in files]
+    listed = _files(spark, folder)
     wanted = [p for shard, p in listed if start < (shard + 1) * layout.per_shard and shard * layout.per_shard < stop]
     schema = "slot long, shard int, position long, ids binary"
     if not wanted:

@@ -77,6 +77,11 @@ def test_shards_hold_every_sequence_in_order(spark, monkeypatch):
     _write(docs.repartition(5), later, done=[s for s in range(layout.shards) if s not in (0, 2)])
     assert _bytes(spark, later) == rows and _bytes(spark, later, 33) == rows[33:] and _bytes(spark, later, 5, 61) == rows[5:61]
     assert training_order.read(spark, later, 45, 58).select("shard").distinct().count() == 1 == len(training_order.read(spark, later, 45, 58).inputFiles())
+    # writing again changes nothing, with or without a shard that is missing
+    _write(docs.repartition(4), later)
+    assert _bytes(spark, later) == rows and training_order.written_shards(spark, later) == list(range(layout.shards))
+    with pytest.raises(ValueError, match="another key"):
+        _write(docs, later, "another key")
     other = shared_dir(spark)
     _write(docs, other, "another key")
     shuffled = [r[3] for r in _bytes(spark, other)]
