@@ -3,23 +3,29 @@
 Containment of an item's five-word shingles, verified exactly. Candidates come from a
 size-partitioned MinHash search that misses nothing:
 
-* Items are partitioned by their number of distinct shingles (powers of two). An item of
-  up to u shingles that a document contains to the share t lacks at most u - ceil(t u)
-  of them, so one of its u - ceil(t u) + 1 smallest hashes (its bottom MinHash sketch)
-  is in the document. The sketches are the index.
-* A document is searched at the partitions that it is large enough for, and of its
-  shingles only those count that lie at or below the largest sketch hash there. Its
-  length does not matter otherwise, where banded MinHash would lose short items in
+* A document that contains the share t of an item of q shingles lacks at most
+  m = q - ceil(t q) of them. So of any m + d shingles of the item at least d are in the
+  document. Items of one size have the same m; documents with fewer than ceil(t q)
+  shingles are not searched for them.
+* The index holds m + d of an item's shingles (its bottom sketch): those of fewest items
+  first, by MinHash among these, d from 1 to m + 1 as far as the item has shingles of its
+  own. What many items share (a common phrase) is in a sketch only if that part alone
+  may be the share t of the item, so such phrases make no pairs.
+* A document and an item are a candidate if d shingles of the sketch are in the document.
+  The document's length does not matter, where banded MinHash would lose short items in
   long documents.
 
+Items of the same shingles are one class until the end.
+
 Everything is DataFrame operations. The index and the verified pairs are broadcast if
 the bytes of their values, which are summed up, allow it (``common.sized``); beyond that
-they are shuffled.
+they are shuffled. Until then a document's shingles meet the index where they are made.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered. Fewer words than a shingle: the whole
 sequence is the one shingle. Null and empty texts have none: such items match nothing,
-such documents match no item. Repeated documents match alike; repeated items (id and
-text) count once.
+such documents match no item, and no rows give no rows. Repeated documents match alike;
+repeated items (id and text) count once; an id with several texts has all of them tested.
+Very long texts are arrays of their words. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -67,37 +73,46 @@ def shingle_texts(text: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(let(word_array(text), texts))
 
 
+def _classes(tests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, class) of each item text that has shingles, and (class, text, _i) with one
+    text and the shingles of each class."""
+    shingled = tests.withColumn("_i", F.array_sort(shingle_texts(F.col("text")))).where("size(_i) > 0")
+    # no shingle holds a line feed, so the joined text tells sets apart
+    tests = store(shingled.withColumn("class", F.sha2(F.array_join("_i", "\n"), 256)))
+    return tests, store(tests.groupBy("class").agg(F.min_by(F.struct("text", "_i"), "text").alias("r")).select("class", "r.*"))
+
+
+def _sketches(classes: DataFrame, share: float) -> DataFrame:
+    """(class, needed, demand, hash): the index."""
+    hashes = store(classes.select("class", F.explode(F.array_distinct(shingle_hashes(F.col("text")))).alias("hash")))
+    ranked = hashes.join(hashes.groupBy("hash").agg(F.count("*").alias("n")), "hash")
+    sets = ranked.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("h"), F.count_if(F.col("n") == 1).alias("own"))
+    q = F.size("h")
+    sets = sets.withColumn("needed", _needed(q, share)).withColumn("lacks", F.size("h") - F.col("needed"))
+    size = F.greatest(F.col("lacks") + 1, F.least(F.col("own"), 2 * F.col("lacks") + 1)).cast("int")
+    return sets.select("class", "needed", (size - F.col("lacks")).alias("demand"), F.explode(F.slice("h.hash", F.lit(1), size)).alias("hash"))
+
+
+def _candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, class) of documents that hold as much of a sketch as they must."""
+    hashed = docs.select("doc_id", "text_hash", F.explode(let(shingle_hashes(F.col("text")), lambda h: F.array(F.struct(F.size(h).alias("n"), h.alias("h"))))).alias("s"))
+    searched = hashed.select("doc_id", "text_hash", "s.n", F.explode("s.h").alias("hash"))
+    met = searched.join(index, "hash").where("n >= needed")
+    held = met.groupBy("doc_id", "text_hash", "class").agg(F.size(F.collect_set("hash")).alias("held"), F.first("demand").alias("demand"))
+    return held.where("held >= demand").select("doc_id", "text_hash", "class")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", share: float = CONTAINED) -> DataFrame:
     """(doc_id, text_hash, item_id, shared, item_shingles) for every document and item
     of which the document contains at least ``share`` of the shingles."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    tests = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).distinct()
-    sizes = store(tests.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text")))).alias("h")))
-    sizes = sizes.where("size(h) > 0").withColumn("q", F.size("h")).withColumn("part", F.floor(F.log2("q")).cast("int"))
-    top = F.pow(F.lit(2), F.col("part") + 1) - 1
-    index = store(sizes.select("item_id", "q", "part", F.explode(F.slice("h", F.lit(1), (top - _needed(top, share) + 1).cast("int"))).alias("hash")))
-    # at most 31 partitions of item sizes
-    limits = index.groupBy("part").agg(F.max("hash").alias("limit"), F.min("q").alias("least")).collect()
-
-    def within(h: Column) -> Column:
-        bound = F.lit(None).cast("long")
-        for r in limits:
-            bound = F.greatest(bound, F.when(F.size(h) >= _needed(F.lit(r.least), share), F.lit(r.limit)))
-        return F.filter(h, lambda x: x <= bound)
-
-    searched = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode_outer(let(shingle_hashes(F.col("text")), within)).alias("hash"))
-    candidates = store(searched.join(sized(store(index.select("hash", "item_id").distinct())), "hash").select("doc_id", "text_hash", "item_id").distinct())
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    tests, classes = _classes(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).distinct())
+    found = store(_candidates(docs, sized(store(_sketches(classes, share))))).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
     # verification: the texts of the candidates only
-    found = candidates.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_hash", "_t")
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(
-        sized(store(found.select("_d", "_t").distinct())), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi"
-    )
-    in_docs = store(texts.select("doc_id", "text_hash", shingle_texts(F.col("text")).alias("_s")).dropDuplicates(["doc_id", "text_hash"]))
-    tested = tests.select("item_id", shingle_texts(F.col("text")).alias("_i"))
-    pairs = found.withColumnRenamed("item_id", "_n").join(
-        in_docs, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("text_hash"))
-    )
-    # an id may stand for several item texts: each is tested
-    pairs = pairs.join(sized(store(tested)), F.col("_n").eqNullSafe(F.col("item_id")))
-    counted = pairs.select("doc_id", "text_hash", "item_id", F.size(F.array_intersect("_s", "_i")).cast("long").alias("shared"), F.size("_i").cast("long").alias("item_shingles"))
-    return counted.where(F.col("shared") >= _needed(F.col("item_shingles"), share)).where("item_shingles > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
+    texts = docs.join(sized(store(found.select("_d", "_t").distinct())), same, "left_semi")
+    in_docs = store(texts.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", shingle_texts(F.col("text")).alias("_s")))
+    pairs = found.join(in_docs, same).join(sized(store(classes.select("class", "_i"))), "class")
+    counted = pairs.select("doc_id", "text_hash", "class", F.size(F.array_intersect("_s", "_i")).cast("long").alias("shared"), F.size("_i").cast("long").alias("item_shingles"))
+    held = counted.where(F.col("shared") >= _needed(F.col("item_shingles"), share))
+    return held.join(sized(store(tests.select("item_id", "class").distinct())), "class").select("doc_id", "text_hash", "item_id", "shared", "item_shingles")

@@ -109,6 +109,53 @@ def test_decontamination_of_odd_rows(spark):
     assert decontamination.contained_items(docs, items.limit(0)).collect() == []
 
 
+def test_common_phrase_makes_no_candidates(spark):
+    """A phrase, or two thirds of each item, that all share: no pair but those contained."""
+
+    def own(kind, i, n):
+        return " ".join(f"{kind}{i}_{j}" for j in range(n))
+
+    for shared, rest in ((12, 30), (60, 30)):
+        phrase = " ".join(f"c{j}" for j in range(shared))
+        items = [(i, f"{phrase} {own('i', i, rest)}") for i in range(100)]
+        docs = [(i, f"{own('a', i, 20)} {phrase} {own('b', i, 20)}") for i in range(400)]
+        docs += [(1000 + i, f"{own('a', i, 9)} {items[i][1]} {own('b', i, 9)}") for i in range(5)]
+        docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        _, classes = decontamination._classes(items)
+        index = decontamination._sketches(classes, 0.8)
+        texts = docs.withColumn("text_hash", F.xxhash64("text"))
+        assert decontamination._candidates(texts, index).count() < 10
+        hashes = texts.select(F.explode(decontamination.shingle_hashes(F.col("text"))).alias("hash"))
+        assert hashes.join(index, "hash").count() < 1000
+        found = sorted((r.doc_id, r.item_id) for r in decontamination.contained_items(docs, items).collect())
+        assert found == [(1000 + i, i) for i in range(5)]
+
+
+def test_decontamination_equals_all_pairs(spark):
+    """Items cut from documents with words changed, parts in common and copies, against all
+    pairs of documents and items."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    passages = [[rng.choice(base) for _ in range(rng.randrange(3, 60))] for _ in range(25)]
+    docs = [(i, " ".join(w for _ in range(3) for w in rng.choice(passages)[: rng.randrange(1, 60)])) for i in range(150)]
+    items = []
+    for i in range(60):
+        words = list(rng.choice(passages)) + (rng.choice(passages)[:10] if i % 3 == 0 else [])
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice(base)
+        items.append((i % 50, " ".join(words)))
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+
+    want = {(d, i) for d, t in docs for i, u in items if 10 * len(shingles(t) & shingles(u)) >= 8 * len(shingles(u))}
+    got = decontamination.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 50
+
+
 def test_shuffled_decontamination_is_the_same(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = rows_of(decontamination.contained_items(docs, items))
