@@ -18,12 +18,16 @@ Steps, each of them restartable:
    task give every document's place in the stream. These places are bucketed likewise,
    so that they meet the blocks without moving a token.
 3. Every block is cut at the sequence borders. Its pieces travel once, compressed and
-   one row for each shard they go to; a shard's task lays them out and writes its file.
+   one row for each shard they go to. A task takes a range of shards, sorts its rows by
+   shard, lays out one shard after the other and writes a file for each, so that the number
+   of tasks does not grow with the data.
 
 ``done`` lists shards that are already written; they are left out before the shuffle.
 Spark's own text writer writes the bytes, so any store works, tasks are retried and a
 job's files appear together. Null and empty texts contribute an end id. No rows give no
-sequences and no files. Ids must fit 16 bits; others raise.
+sequences and no files. Very long texts span blocks of their own and any number of
+sequences. Repeated rows are documents like others. Columns but doc_id and text are not
+read. Ids must fit 16 bits; others raise.
 """
 
 from __future__ import annotations
@@ -222,33 +226,41 @@ def _deal(layout: Layout, key: str, done: np.ndarray):
 
 
 def _lay_out(layout: Layout):
-    """The records of a shard, in order, from all its rows (shard, data)."""
+    """Rows (shard, value) with the bytes of each shard but the last line feed, from all its
+    rows (shard, data), which follow one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread, records, first = zstandard.ZstdDecompressor().decompress, None, 0
+        spread, records, current = zstandard.ZstdDecompressor().decompress, None, -1
+
+        def laid() -> pa.RecordBatch:
+            lines = np.full((len(records) // layout.length, layout.stride), 10, np.uint8)
+            lines[:, :-1] = records.view(np.uint8).reshape(len(lines), -1)
+            value = pa.py_buffer(lines.reshape(-1)[:-1])
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, value.size], "<i4")), value])], names=["shard", "value"])
+
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if records is None:
-                    first = shard * layout.per_shard
+                if shard != current:
+                    if records is not None:
+                        yield laid()
+                    current, first = shard, shard * layout.per_shard
                     records = np.full(min(layout.per_shard, layout.sequences - first) * layout.length, PAD, "<u2")
                 raw = spread(data.as_py())
                 many = int(np.frombuffer(raw, "<i8", 1)[0])
                 slot, at, n = np.frombuffer(raw, "<i8", 3 * many, 8).reshape(3, many)
                 records[runs((slot - first) * layout.length + at, n)] = np.frombuffer(raw, "<u2", offset=8 + 24 * many)
-        for a in range(0, 0 if records is None else len(records), 1024 * layout.length):
-            some = records[a : a + 1024 * layout.length]
-            ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * layout.length), len(some) // layout.length, [None, pa.py_buffer(some.tobytes())])
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.binary())], names=["ids"])
+        if records is not None:
+            yield laid()
 
     return run
 
 
-def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str, length: int = 1024, per_shard: int = 4096, done: list[int] | None = None) -> Layout:
+def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str, length: int = 1024, per_shard: int = 4096, done: list[int] | None = None, most_tasks: int = 10_000) -> Layout:
     """Write the shards of ``docs`` (doc_id long, text) below ``folder``. ``encoder`` makes,
     on a worker, a function that gives the ids of a column of texts. Shards that the folder
     holds already, as after a run that broke off, are left out, like those of ``done``; so
-    writing twice gives the same rows. A folder of another layout or key raises
-    ValueError."""
+    writing twice gives the same rows. At most ``most_tasks`` tasks write, several shards each
+    if there are more. A folder of another layout or key raises ValueError."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     buckets = max(1, min(rows.rdd.getNumPartitions(), 20_000))
@@ -269,10 +281,12 @@ def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str
             match = (blocks.df["part"] == places.df["part"]) & (blocks.df["block"] - places.df["at"] == 0)
             joined = blocks.df.join(places.df, match).select("counts", "ids", "starts")
             dealt = joined.mapInArrow(_deal(layout, key, skipped), "shard int, data binary")
-            laid = dealt.repartitionById(layout.shards, F.col("shard")).mapInArrow(_lay_out(layout), "ids binary")
+            each = -(-layout.shards // most_tasks)
+            sent = dealt.repartitionById(-(-layout.shards // each), F.floor(F.col("shard") / each).cast("int"))
+            laid = (sent.sortWithinPartitions("shard") if each > 1 else sent).mapInArrow(_lay_out(layout), "shard int, value binary")
             if not before.sequences:
                 spark.createDataFrame([(*asdict(layout).values(), key)], "length int, per_shard int, sequences long, key string").coalesce(1).write.mode("overwrite").json(f"{folder}/_layout")
-            laid.select(F.col("ids").cast("string").alias("value")).write.mode("append").text(folder)
+            laid.select("shard", F.col("value").cast("string")).write.mode("append").partitionBy("shard").text(folder)
     finally:
         for table in (blocks, places):
             if table is not None:
@@ -282,13 +296,9 @@ def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str
 
 def written_shards(spark: SparkSession, folder: str) -> list[int]:
     """The shards that a folder holds, whole."""
-    return sorted({shard for shard, _ in _files(spark, folder)})
-
-
-def _files(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
     fs, path = file_system(spark, folder)
-    files = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-") and s.getLen()] if fs.exists(path) else []
-    return [(int(f.getName().split("-")[1]), f.toString()) for f in files]
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n[6:]) for n in names if n.startswith("shard="))
 
 
 def layout_of(spark: SparkSession, folder: str) -> Layout:
@@ -304,8 +314,7 @@ def read(spark: SparkSession, folder: str, start: int = 0, stop: int | None = No
     only their shards are opened. Shards that are not written yet have no rows."""
     layout = layout_of(spark, folder)
     stop = layout.sequences if stop is None else min(stop, layout.sequences)
-    listed = _files(spark, folder)
-    wanted = [p for shard, p in listed if start < (shard + 1) * layout.per_shard and shard * layout.per_shard < stop]
+    wanted = [f"{folder}/shard={s}" for s in written_shards(spark, folder) if start < (s + 1) * layout.per_shard and s * layout.per_shard < stop]
     schema = "slot long, shard int, position long, ids binary"
     if not wanted:
         return spark.createDataFrame([], schema)
@@ -323,5 +332,5 @@ def read(spark: SparkSession, folder: str, start: int = 0, stop: int | None = No
                 ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(at), [None, pa.py_buffer(np.ascontiguousarray(table[at, :-1]).tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(shard * per_shard + at), pa.array(np.full(len(at), shard, np.int32)), pa.array(at * step), ids.cast(pa.binary())], names=["slot", "shard", "position", "ids"])
 
-    files = spark.read.format("binaryFile").load(wanted).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    files = spark.read.format("binaryFile").load(wanted).select(F.regexp_extract("path", r"shard=(\d+)/[^/]*$", 1).cast("int").alias("shard"), "content")
     return files.mapInArrow(records, schema)

@@ -70,6 +70,12 @@ def test_shards_hold_every_sequence_in_order(spark, monkeypatch):
     again = shared_dir(spark)
     _write(docs.orderBy(F.rand(3)).repartition(7), again)
     assert _bytes(spark, again) == rows
+    # a task may write several shards
+    two = shared_dir(spark)
+    _write(docs.repartition(3), two, most_tasks=2)
+    names = [f.split("/")[-2:] for f in training_order.read(spark, two).inputFiles()]
+    assert _bytes(spark, two) == rows and len(names) == layout.shards == len({d for d, _ in names})
+    assert len({f.split("-")[1] for _, f in names}) == 2
     # a run that was broken off goes on; a reader starts anywhere
     later = shared_dir(spark)
     _write(docs.repartition(3), later, done=[0, 2])
@@ -89,6 +95,15 @@ def test_shards_hold_every_sequence_in_order(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("scriptloom_")]
 
 
+def test_thousands_of_shards_by_few_tasks(spark):
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("a b c d e f g h").alias("text"))
+    one = lambda: lambda texts: (np.arange(4 * len(texts)) % 60_000, np.full(len(texts), 4))
+    folder = shared_dir(spark)
+    layout = training_order.write(docs, one, folder, "k", length=2, per_shard=1, most_tasks=10)
+    got = _bytes(spark, folder)
+    assert layout.shards == 2400 and [r[0] for r in got] == list(range(2400))
+
+
 def test_training_order_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
