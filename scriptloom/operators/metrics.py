@@ -45,6 +45,37 @@ def loss_decomposition(positions: DataFrame, by: list[str], sample: str, pos: st
     )
 
 
+def loss_decomposition_by_type(samples: DataFrame, labelled: str, types: DataFrame, keys: list[str], pred: str, loss: str) -> DataFrame:
+    """As ``loss_decomposition`` without groups, where prediction and loss hang on ``keys`` alone
+    (``types`` has one row for each) and the label is the last key. ``samples``: a row a
+    sample; ``labelled``: its labelled positions in order, an array of structs of the keys.
+
+    All sums are additive: a position adds its sample's weight to its type, so the exchange
+    moves counts of types, which are summed before it, and no position."""
+    rows = samples.select(F.col(labelled).alias("_l"), F.size(labelled).alias("_n")).where("_n > 0")
+    at = rows.select("_n", F.posexplode("_l").alias("_i", "_k")).select("_n", "_i", "_k.*")
+    first = F.col("_i") == 0
+    share = F.when(first, F.lit(0.0)).otherwise(1 / F.nullif(F.col("_n") - 1, F.lit(0)))
+    # sums over samples ride along: each sample has one first position
+    counts = at.groupBy(*keys).agg(
+        F.count("*").alias("_c"), F.count_if(first).alias("_f"), F.sum(share).alias("_w"), F.count_if(first & (F.col("_n") > 1)).alias("_m")
+    )
+    hit, weighted = F.col(keys[-1]) == F.col(pred), F.col(loss) * F.col("_c")
+
+    def mean(total: Column, n: Column) -> Column:
+        return F.sum(total) / F.nullif(F.sum(n), F.lit(0))
+
+    return counts.join(types, keys).agg(
+        mean(F.col(loss) * F.col("_f"), F.col("_f")).alias("first_loss"),
+        (F.sum(F.col(loss) * F.col("_w")) / F.nullif(F.sum("_m"), F.lit(0))).alias("rest_loss"),
+        mean(F.when(hit, weighted), F.when(hit, F.col("_c"))).alias("hit_loss"),
+        mean(F.when(~hit, weighted), F.when(~hit, F.col("_c"))).alias("miss_loss"),
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("n_positions"),
+        F.coalesce(F.sum(F.when(hit, F.col("_c"))), F.lit(0)).alias("n_hits"),
+        F.coalesce(F.sum("_f"), F.lit(0)).alias("n_samples"),
+    )
+
+
 def slice_state(logits: Column, start: Column, label: Column) -> Column:
     """What a slice of a position's logits, from id ``start`` on, tells of its loss: the largest
     logit, its id, and relative to it the sums of e^x and x e^x; and the label's logit, if it

@@ -595,12 +595,11 @@ def loss_decomposition(spark, sf_dir):
     two = written(corpus.bigrams(words))
     by_prev = two.groupBy("prev").agg(F.sum("n").alias("s"), F.max("n").alias("top"))
     best = two.join(by_prev.select("prev", "s", "top"), "prev").where("n = top").groupBy("prev", "s").agg(F.min("cur").alias("pred"))
-    at = F.transform(F.sequence(F.lit(2), F.size("words")), lambda i: F.struct(i.alias("pos"), F.element_at("words", i - 1).alias("prev"), F.element_at("words", i).alias("cur")))
-    rows = words.where(F.size("words") > 1).select("key", F.explode(at).alias("p")).select("key", "p.*")
-    # loss and prediction are those of the pair, so positions are shuffled once
+    at = F.transform(F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: (i > 1) & (i % 11 != 0)), lambda i: F.struct(F.element_at("words", i - 1).alias("prev"), F.element_at("words", i).alias("cur")))
+    samples = words.select(at.alias("at"))
+    # loss and prediction are those of the pair, so only counts of pairs are exchanged
     types = written(two.join(best, "prev").select("prev", "cur", "pred", (-F.log(F.col("n") / F.col("s"))).alias("loss")))
-    scored = rows.join(types, ["prev", "cur"]).select("key", "pos", F.when(F.col("pos") % 11 != 0, F.col("cur")).alias("label"), "pred", "loss")
-    found = metrics.loss_decomposition(scored, [], "key", "pos", "label", "pred", "loss")
+    found = metrics.loss_decomposition_by_type(samples, "at", types, ["prev", "cur"], "pred", "loss")
     return found.select(*[_r6(c).alias(c) for c in ("first_loss", "rest_loss", "hit_loss", "miss_loss")], *[F.col(c).cast("long") for c in ("n_positions", "n_hits", "n_samples")])
 
 

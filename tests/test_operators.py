@@ -422,3 +422,20 @@ def test_scans_over_any_cut(spark, partitions):
         for got, w in ((ema[k], s), (total[k], t)):
             assert got is None if w is None else abs(got - w) < 1e-9
     assert metrics.cumulative(df.limit(0), ["g"], "i", "x", "t").collect() == []
+
+
+def test_losses_by_type_are_those_of_positions(spark):
+    import random
+
+    rng = random.Random(4)
+    types = {(a, b): (rng.choice("xyz"), rng.random()) for a in "abc" for b in "xyz"}
+    samples = [[rng.choice(sorted(types)) for _ in range(n)] for n in (0, 1, 1, 2, 5, 40)]
+    rows = [(i, pos, *k, *types[k]) for i, ks in enumerate(samples) for pos, k in enumerate(ks)]
+    positions = spark.createDataFrame(rows, "sample int, pos int, prev string, cur string, pred string, loss double")
+    want = metrics.loss_decomposition(positions, [], "sample", "pos", "cur", "pred", "loss").first()
+    at = spark.createDataFrame([(ks,) for ks in samples] + [(None,)], "at array<struct<prev:string,cur:string>>")
+    table = spark.createDataFrame([(*k, *v) for k, v in types.items()], "prev string, cur string, pred string, loss double")
+    got = metrics.loss_decomposition_by_type(at, "at", table, ["prev", "cur"], "pred", "loss").first()
+    assert got.asDict() == pytest.approx(want.asDict())
+    none = metrics.loss_decomposition_by_type(at.limit(0), "at", table, ["prev", "cur"], "pred", "loss").first()
+    assert none.first_loss is None and none.n_positions == 0
