@@ -51,6 +51,8 @@ Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 PAD = 0
 #: Tokens and documents of a block at most, and tokens that a task deals out at once.
 BLOCK_TOKENS, BLOCK_DOCS, AT_ONCE = 1 << 20, 4096, 1 << 23
+#: Records of a row that a shard is written from.
+RECORDS = 128
 
 
 @dataclass(frozen=True)
@@ -226,23 +228,25 @@ def _deal(layout: Layout, key: str, done: np.ndarray):
 
 
 def _lay_out(layout: Layout):
-    """Rows (shard, value) with the bytes of each shard but the last line feed, from all its
-    rows (shard, data), which follow one another."""
+    """Rows (shard, n, value) with the bytes of each shard, cut into ``RECORDS`` records without
+    their last line feeds, from all its rows (shard, data), which follow one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread, records, current = zstandard.ZstdDecompressor().decompress, None, -1
 
-        def laid() -> pa.RecordBatch:
-            lines = np.full((len(records) // layout.length, layout.stride), 10, np.uint8)
-            lines[:, :-1] = records.view(np.uint8).reshape(len(lines), -1)
-            value = pa.py_buffer(lines.reshape(-1)[:-1])
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, value.size], "<i4")), value])], names=["shard", "value"])
+        def laid() -> Iterator[pa.RecordBatch]:
+            table = records.view(np.uint8).reshape(-1, layout.stride - 1)
+            for n, a in enumerate(range(0, len(table), RECORDS)):
+                lines = np.full((len(table[a : a + RECORDS]), layout.stride), 10, np.uint8)
+                lines[:, :-1] = table[a : a + RECORDS]
+                columns = [pa.array([current], pa.int32()), pa.array([n], pa.int32()), pa.array([lines.tobytes()[:-1]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "n", "value"])
 
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if shard != current:
                     if records is not None:
-                        yield laid()
+                        yield from laid()
                     current, first = shard, shard * layout.per_shard
                     records = np.full(min(layout.per_shard, layout.sequences - first) * layout.length, PAD, "<u2")
                 raw = spread(data.as_py())
@@ -250,7 +254,7 @@ def _lay_out(layout: Layout):
                 slot, at, n = np.frombuffer(raw, "<i8", 3 * many, 8).reshape(3, many)
                 records[runs((slot - first) * layout.length + at, n)] = np.frombuffer(raw, "<u2", offset=8 + 24 * many)
         if records is not None:
-            yield laid()
+            yield from laid()
 
     return run
 
@@ -283,7 +287,9 @@ def write(docs: DataFrame, encoder: Callable[[], Encoder], folder: str, key: str
             dealt = joined.mapInArrow(_deal(layout, key, skipped), "shard int, data binary")
             each = -(-layout.shards // most_tasks)
             sent = dealt.repartitionById(-(-layout.shards // each), F.floor(F.col("shard") / each).cast("int"))
-            laid = (sent.sortWithinPartitions("shard") if each > 1 else sent).mapInArrow(_lay_out(layout), "shard int, value binary")
+            laid = (sent.sortWithinPartitions("shard") if each > 1 else sent).mapInArrow(_lay_out(layout), "shard int, n int, value binary")
+            # the writer takes rows by shard, which this order gives it
+            laid = laid.sortWithinPartitions("shard", "n")
             if not before.sequences:
                 spark.createDataFrame([(*asdict(layout).values(), key)], "length int, per_shard int, sequences long, key string").coalesce(1).write.mode("overwrite").json(f"{folder}/_layout")
             laid.select("shard", F.col("value").cast("string")).write.mode("append").partitionBy("shard").text(folder)

@@ -55,7 +55,7 @@ def brute_order(rows, length, key):
 
 
 def test_shards_hold_every_sequence_in_order(spark, monkeypatch):
-    for name, n in (("BLOCK_TOKENS", 300), ("BLOCK_DOCS", 4), ("AT_ONCE", 900)):
+    for name, n in (("BLOCK_TOKENS", 300), ("BLOCK_DOCS", 4), ("AT_ONCE", 900), ("RECORDS", 3)):
         monkeypatch.setattr(training_order, name, n)
     some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).select("text", "doc_id", F.lit(1).alias("part"), F.lit("x").alias("ids"))
     odd = spark.createDataFrame([(None, 7000, 1, ""), ("", 7000, 1, ""), ("a b", 7001, 1, ""), ("a b", 7001, 1, ""), ("none", None, 1, "")], some.schema)
