@@ -5,15 +5,19 @@ look-alikes (leetspeak), separators went between letters, letters were repeated.
 suspicious token spans a lattice: each character stays, becomes a letter it stands for,
 or (separators, further copies of a repeated letter) vanishes, at a cost each. A Viterbi
 search over the lattice under a character trigram model gives the word most likely
-meant. Runs of single letters (``i d i o t``) are read as one token. Tokens that are
-not suspicious have one path only and pass as they are.
+meant. Runs of single letters (``i d i o t``) are read as one word, and as the most likely
+words. Tokens that are not suspicious have one path only and pass as they are.
+
+The character model needs no labels and counts every word of letters in all texts. Its
+symbols are the letters that the channel can restore, a to z (accented ones count as their
+base), and one class for all other letters, so at most 28 * 28 * 28 trigrams exist and none
+is left out.
 
 The score. Presence of words and word beginnings of the restored text, with weights
 from a logistic regression. Labels are learned only from the rows that the caller
 passes; the sample is bounded by ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` rows (by hash
-of the id), features by ``MAX_FEATURES``, of those that ``LEAST_ROWS`` toxic rows hold and
-that lie ``STRONG`` standard deviations above chance; scoring covers every row and whole
-texts. The character model needs no labels and counts all texts.
+of the id). Features are all that tell the kinds apart, either way: those whose counts have
+a chance below ``CHANCE`` among as many random rows. Scoring covers every row and whole texts.
 
 Null and empty texts get the score of a text without features. Without usable labels
 (none at all, or of one kind) every row gets the share of toxic labels, or 0. A labelled
@@ -25,9 +29,11 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from os.path import commonprefix
 
 import numpy as np
@@ -37,15 +43,14 @@ from pyspark.sql import functions as F
 
 from scriptloom.llm.common import store
 
-MAX_POSITIVE, MAX_NEGATIVE, MAX_FEATURES, LEAST_ROWS, STRONG = 4000, 8000, 4096, 3, 4
-#: Trigrams, and pairs, below this share of all are left to the smoothing. At most
-#: 1 / LEAST_SHARE can reach it, so the model is bounded at any size of the corpus.
-LEAST_SHARE = 2.0**-18
-#: Distinct words that a task counts before it breaks them into trigrams.
-WORDS_AT_ONCE = 200_000
-#: Longer tokens are read like others, but neither cached nor counted for the trigrams;
-#: longer runs of spaced letters are several words.
-LONGEST_TOKEN = 40
+MAX_POSITIVE, MAX_NEGATIVE, CHANCE = 4000, 8000, 1e-2
+#: Distinct words, and characters of texts with long words, that a task counts before it breaks
+#: them into trigrams.
+WORDS_AT_ONCE, WIDE_AT_ONCE = 200_000, 2_000_000
+#: Longer tokens are read like others, but not kept in the caches, to bound their memory.
+CACHED_LENGTH = 40
+#: Symbols of the character model for letters beyond a to z, and for all that is no letter.
+OTHER, SIGN = "\u03bb", "#"
 
 #: Letters that a character can stand for.
 LOOKALIKES = {
@@ -63,9 +68,18 @@ _MIXED = re.compile(r"[^\W\d_]")
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + SEPARATORS) + "]")
 
 
+@lru_cache(maxsize=1 << 16)
+def symbol(c: str) -> str:
+    """What the character model takes a character for."""
+    base = unicodedata.normalize("NFD", c)[0]
+    if "a" <= base <= "z":
+        return base
+    return OTHER if c.isalpha() else SIGN
+
+
 @dataclass
 class CharModel:
-    """Character trigrams with add-half smoothing between word boundaries (``^``, ``$``)."""
+    """Trigrams of symbols with add-half smoothing between word boundaries (``^``, ``$``)."""
 
     counts: dict[str, int] = field(default_factory=dict)
     letters: int = 64
@@ -74,8 +88,8 @@ class CharModel:
     def fit(cls, words: Counter) -> CharModel:
         counts: Counter = Counter()
         for word, n in words.items():
-            if len(word) <= LONGEST_TOKEN and word.isalpha():
-                padded = f"^^{word}$"
+            if word.isalpha():
+                padded = f"^^{''.join(map(symbol, word))}$"
                 for i in range(2, len(padded)):
                     counts[padded[i - 2 : i + 1]] += n
                     counts[padded[i - 2 : i]] += n
@@ -110,8 +124,9 @@ class CharModel:
                 for x, extra in steps:
                     total, to = cost + extra, context
                     if x:
-                        total += self.cost(context, x)
-                        to = context[1] + x
+                        sign = symbol(x)
+                        total += self.cost(context, sign)
+                        to = context[1] + sign
                     if to not in new or total < new[to][0]:
                         new[to] = (total, out + x)
             paths = new
@@ -146,23 +161,20 @@ class Restorer:
             found = _EDGES.sub("", token)
             if suspicious(found):
                 found = self.model.decode(found)
-            if len(token) <= LONGEST_TOKEN:
+            if len(token) <= CACHED_LENGTH:
                 self.seen[token] = found
         return found
 
-    def spaced(self, joined: str) -> str:
-        """The word that spaced letters spell, or the words if they are more than a word's."""
-        return self.model.decode(joined, split=len(joined) > LONGEST_TOKEN)
-
     def words(self, text: str | None) -> set[str]:
-        """Distinct restored words of a text. Of spaced letters the joined word comes too,
-        and of a run longer than a word the words that it holds."""
+        """Distinct restored words of a text. Of spaced letters the joined word comes too, and
+        the most likely words that they hold."""
         low = (text or "").lower()
         found = set(map(self.token, set(low.split())))
         for m in _SPACED.finditer(low):
             joined = _joined(m[0])
             if _MIXED.search(joined):
-                found.update(self.spaced(joined).split())
+                found.add(self.model.decode(joined))
+                found.update(self.model.decode(joined, split=True).split())
         found.discard("")
         return found
 
@@ -171,7 +183,7 @@ class Restorer:
 
         def whole(m):
             joined = _joined(m[0])
-            return self.spaced(joined) if _MIXED.search(joined) else m[0]
+            return self.model.decode(joined, split=True) if _MIXED.search(joined) else m[0]
 
         def one(m):
             bare = _EDGES.sub("", m[0])
@@ -203,7 +215,7 @@ class ToxicModel:
                     if len(seen) >= 2 * Restorer.KEEP:
                         seen.clear()
                     hit = tuple(f for f in features_of(word) if f in self.weights)
-                    if len(word) <= LONGEST_TOKEN:
+                    if len(word) <= CACHED_LENGTH:
                         seen[word] = hit
                 if hit:
                     active.update(hit)
@@ -232,19 +244,21 @@ def _sample(docs: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def _break(words: Counter, grams: Counter) -> None:
-    """Adds the trigrams of words, as three code points of 21 bits each."""
+    """Adds the trigrams of words, as three code points of symbols, of 21 bits each."""
     padded, counts = [], []
     for word, n in words.items():
         if not word.isalpha():
             word = _EDGES.sub("", word)
             if not word.isalpha():
                 continue
-        if len(word) <= LONGEST_TOKEN:
-            padded.append(f"^^{word}$")
-            counts.append(n)
+        padded.append(f"^^{word}$")
+        counts.append(n)
     if not padded:
         return
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.int64)
+    far = np.flatnonzero(codes > 127)
+    kinds, kind = np.unique(codes[far], return_inverse=True)
+    codes[far] = np.array([ord(symbol(chr(k))) for k in kinds.tolist()], np.int64)[kind]
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     starts = np.ones(len(codes), bool)
     ends = np.cumsum(lengths)
@@ -260,12 +274,18 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, n): trigrams, and the pairs they begin with, of a task's words, each summed."""
     grams: Counter = Counter()
     counts: Counter = Counter()
+    wide = 0
     for batch in batches:
         for t in batch.column(0):
-            counts.update((t.as_py() or "").lower().split())
-            if len(counts) > WORDS_AT_ONCE:
+            text = (t.as_py() or "").lower()
+            words = text.split()
+            counts.update(words)
+            if len(text) > 16 * len(words):
+                wide += len(text)
+            if len(counts) > WORDS_AT_ONCE or wide > WIDE_AT_ONCE:
                 _break(counts, grams)
                 counts.clear()
+                wide = 0
     _break(counts, grams)
     texts: Counter = Counter()
     for gram, n in grams.items():
@@ -277,14 +297,10 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def char_model(texts: DataFrame) -> CharModel:
-    """The character model of all texts (column text); the driver receives its bounded
-    counts."""
-    grams = store(texts.select("text").mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    size = F.char_length("gram")
-    totals = {r.size: r.n for r in grams.groupBy(size.alias("size")).agg(F.sum("n").alias("n")).collect()}  # two rows
-    enough = F.when(size == 3, F.lit(totals.get(3, 0) * LEAST_SHARE)).otherwise(F.lit(totals.get(2, 0) * LEAST_SHARE))
-    kept = grams.where(F.col("n") >= enough).collect()
-    return CharModel({r.gram: r.n for r in kept}, len({c for r in kept for c in r.gram}) + 1)
+    """The character model of all texts (column text); the driver receives its counts, which the
+    symbols bound."""
+    rows = texts.select("text").mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    return CharModel({r.gram: r.n for r in rows}, len({c for r in rows for c in r.gram}) + 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
@@ -314,15 +330,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         rows.select("y", F.explode("features").alias("f"))
         .groupBy("f")
         .agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("q"))
-        .where(F.col("p") >= LEAST_ROWS)
     )
     # each sampled row stands for as many labelled rows of its kind
     every = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     weight = {1: every[1] / pos, 0: every[0] / neg}
     rate, share = pos / (pos + neg), every[1] / (every[1] + every[0])
     p, q = F.col("p"), F.col("q")
-    drawn = (p - (p + q) * rate) / F.sqrt((p + q) * rate * (1 - rate))  # standard deviations above chance
-    best = counted.withColumn("s", drawn).where(F.col("s") > STRONG).orderBy(F.desc("s"), "f").limit(MAX_FEATURES)
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    # Chernoff: counts as far from the sample's rate as these have a chance of exp(-odd) at most
+    odd = part(p, (p + q) * rate) + part(q, (p + q) * (1 - rate))
+    best = counted.where(odd > -math.log(CHANCE)).orderBy("f")
     at = {r.f: i for i, r in enumerate(best.collect())}
     if not at:
         return ToxicModel(chars, {}, math.log(share / (1 - share)))
@@ -359,7 +376,7 @@ def _regress(at: dict[str, int], rows: list[tuple[int, list[int]]], weight: dict
 
 
 def score_column(text: Column, model: ToxicModel) -> Column:
-    """Scores from 0 to 1; the model (bounded by MAX_FEATURES and trigram counts) goes along."""
+    """Scores from 0 to 1; the model (trigram counts, and features of the bounded sample) goes along."""
 
     state: dict = {}
 
