@@ -46,6 +46,21 @@ def interleaved(df: DataFrame, key: str, seed: int | str, ranks: int) -> DataFra
     return shuffled(df, key, seed).withColumn("rank", (F.col("position") % ranks).cast("int"))
 
 
+def buffered(df: DataFrame, key: str, buffer: int, seed: int | str, *order: Column | str) -> DataFrame:
+    """A shuffle of a stream through a bounded buffer: ``stream``, a row's place in the given
+    order, and ``place``, where it comes out, fewer than ``buffer`` places away. Each row waits for
+    a number of rows below ``buffer`` that its hash gives, so neither a task nor a reader holds
+    more than that, and the same seed gives the same order under any partitioning. A buffer of
+    1 keeps the order."""
+    if buffer < 1:
+        raise ValueError("a buffer holds one row at least")
+    hashed = shuffle_key(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)
+    waits = F.conv(F.substring(hashed, 1, 12), 16, 10).cast("long") % buffer
+    placed = with_position(df, *order, name="stream")
+    moved = placed.withColumn("_w", F.col("stream") + waits).withColumn("_h", hashed)
+    return with_position(moved, "_w", "_h", "stream", name="place").drop("_w", "_h")
+
+
 def batches_by_length(df: DataFrame, length: str, size: int, *ties: str, drop_last: bool = False) -> DataFrame:
     """Batches of ``size`` rows of ascending length; ties in the given order."""
     placed = with_position(df, length, *ties)

@@ -344,6 +344,14 @@ def rank_interleave(spark, sf_dir):
     return sampling.interleaved(_docs(spark, sf_dir).select("doc_id"), "doc_id", sampling.epoch_seed(0, 1, 3), 4)
 
 
+@query("""with s as (select doc_id, row_number() over (order by md5('7:' || coalesce(source, '')), doc_id) - 1 as stream from documents),
+h as (select *, md5('8:' || doc_id) as h from s)
+select doc_id, stream, row_number() over (order by stream + ('0x' || substr(h, 1, 12))::bigint % 256, h, stream) - 1 as place from h""")
+def buffered_shuffle(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", sampling.shuffle_key(F.coalesce("source", F.lit("")), 7).alias("shard"))
+    return sampling.buffered(rows, "doc_id", 256, 8, "shard", "doc_id").drop("shard")
+
+
 _BATCHES = "select doc_id, n_chars, (row_number() over (order by n_chars, doc_id) - 1) // 16 as batch from documents"
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -97,3 +98,33 @@ def collect_responses(spark: SparkSession, folder: str, table: str, checkpoint:
     stream = spark.readStream.schema(RESPONSES).option("multiLine", True).json(folder)
     query = stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def batch_states(requests: DataFrame, table: str) -> DataFrame:
+    """(batch, requests, collected, state) of requests (batch, custom_id) against the responses
+    that ``collect_responses`` wrote: a batch has 'ended' once each of its requests has a
+    response, whatever its outcome; else it is 'in_progress'. A response that came twice counts
+    once; responses to other requests and requests without an id do not count."""
+    answered = requests.sparkSession.read.schema(RESPONSES).parquet(table).select("custom_id").distinct()
+    asked = requests.select("batch", "custom_id").distinct()
+    counted = asked.join(answered.withColumn("_a", F.lit(1)), "custom_id", "left").groupBy("batch")
+    rows = counted.agg(F.count("custom_id").alias("requests"), F.count("_a").alias("collected"))
+    return rows.withColumn("state", F.when(F.col("requests") == F.col("collected"), "ended").otherwise("in_progress"))
+
+
+def collect_until_ended(
+    requests: DataFrame, folder: str, table: str, checkpoint: str, interval_s: float = 60.0, limit_s: float | None = None, sleep: Callable[[float], None] = time.sleep
+) -> DataFrame:
+    """Collects responses run by run until all batches have ended, or no more than ``limit_s``
+    seconds; returns their ``batch_states``. What came is in the table after each run, so a call
+    that was interrupted is simply made again and goes on where it stopped."""
+    spark = requests.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)  # readable before the first response
+    end = None if limit_s is None else time.monotonic() + limit_s
+    while True:
+        collect_responses(spark, folder, table, checkpoint)
+        states = batch_states(requests, table)
+        if states.where(F.col("state") != "ended").isEmpty() or (end is not None and time.monotonic() + interval_s > end):
+            return states
+        sleep(interval_s)

@@ -276,6 +276,25 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in" / "9.json").write_text(json.dumps({"custom_id": "r9", "text": "{}"}))
     metric_log.collect_responses(spark, folder, table, state)
     assert sorted(r.custom_id for r in spark.read.parquet(table).collect()) == ["r0", "r1", "r2", "r9"]
+    asked = spark.createDataFrame([("a", None), ("a", "r0"), ("a", "r1"), ("a", "r1"), ("b", "r9"), ("b", "late"), (None, "last")], "batch string, custom_id string")
+    waits = []
+
+    def arrives(seconds):  # what comes while the poller sleeps
+        waits.append(seconds)
+        name = ["late", "last"][len(waits) - 1]
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps({"custom_id": name, "stop_reason": "refusal"}))
+
+    states = {r.batch: r.state for r in metric_log.batch_states(asked, table).collect()}
+    assert states == {"a": "ended", "b": "in_progress", None: "in_progress"}
+    stopped = metric_log.collect_until_ended(asked, folder, table, state, 5.0, 0.0, arrives)
+    assert not waits and {r.batch: r.state for r in stopped.collect()} == states
+    ended = metric_log.collect_until_ended(asked, folder, table, state, 5.0, None, arrives)
+    assert waits == [5.0, 5.0]
+    assert sorted((r.batch or "", r.requests, r.collected, r.state) for r in ended.collect()) == [("", 1, 1, "ended"), ("a", 2, 2, "ended"), ("b", 2, 2, "ended")]
+    (tmp_path / "none").mkdir()
+    fresh = metric_log.collect_until_ended(asked, str(tmp_path / "none"), str(tmp_path / "t2"), str(tmp_path / "c2"), 5.0, 0.0, arrives)
+    assert {(r.collected, r.state) for r in fresh.collect()} == {(0, "in_progress")}
+    assert metric_log.collect_until_ended(asked.limit(0), str(tmp_path / "none"), str(tmp_path / "t2"), str(tmp_path / "c2"), 5.0, None, arrives).isEmpty()
     log = spark.createDataFrame([("2024-01-01 00:00:10", 50, "train", 1.0), ("2024-01-01 00:00:20", 50, "train", 3.0), ("2024-01-01 00:00:30", 51, "train", 9.0), ("2024-01-01 00:00:40", 51, "eval", 5.0)], "t string, step int, phase string, value double")
     log.write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")).withColumn("ts", F.to_timestamp("t")).drop("t")
@@ -439,3 +458,19 @@ def test_losses_by_type_are_those_of_positions(spark):
     assert got.asDict() == pytest.approx(want.asDict())
     none = metrics.loss_decomposition_by_type(at.limit(0), "at", table, ["prev", "cur"], "pred", "loss").first()
     assert none.first_loss is None and none.n_positions == 0
+
+
+def test_bounded_shuffle(spark):
+    rows = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 3).alias("shard"), F.lit("x").alias("place_of"))
+    got = sampling.buffered(rows.repartition(7), "k", 20, 5, "shard", "k").collect()
+    assert sorted(r.stream for r in got) == sorted(r.place for r in got) == list(range(500))
+    assert [r.k for r in sorted(got, key=lambda r: r.stream)] == sorted(range(500), key=lambda k: (k % 3, k))
+    assert all(abs(r.stream - r.place) < 20 for r in got) and sum(r.stream != r.place for r in got) > 400
+    again = sampling.buffered(rows.coalesce(1), "k", 20, 5, "shard", "k").collect()
+    assert sorted(got) == sorted(again)
+    assert all(r.stream == r.place for r in sampling.buffered(rows, "k", 1, 5, "shard", "k").collect())
+    ties = spark.createDataFrame([(None,), (None,), (1,), (1,)], "k long")
+    assert sorted(r.place for r in sampling.buffered(ties, "k", 3, 5, "k").collect()) == [0, 1, 2, 3]
+    assert sampling.buffered(rows.limit(0), "k", 3, 5, "k").collect() == []
+    with pytest.raises(ValueError):
+        sampling.buffered(rows, "k", 0, 5, "k")
