@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,19 +69,34 @@ def _has_digit(token: str) -> bool:
     return not token.isalpha() and any(c.isdecimal() for c in token)
 
 
+def _fits_each(hyp: Column, ref: Column) -> Column:
+    """Whether as many tokens as words fit one by one."""
+    return F.forall(F.zip_with(hyp, ref, lambda h, r: (h == r) | is_wildcard(h)), lambda fits: fits)
+
+
+def _may_fit(hyp: Column, ref: Column) -> Column:
+    """Whether fewer tokens than words can fit, by their numbers and both ends: a plain
+    token at an end equals the word there."""
+    more = F.size(ref) - F.size(hyp)
+    ends = [(F.try_element_at(hyp, F.lit(i)) == F.try_element_at(ref, F.lit(i))) | is_wildcard(F.try_element_at(hyp, F.lit(i))) for i in (-1, 1)]
+    enough = more <= (MOST_WORDS - 1) * F.size(F.filter(hyp, is_wildcard))
+    return F.coalesce((more > 0) & (more <= (MOST_WORDS - 1) * F.size(hyp)) & ends[0] & ends[1] & enough, F.lit(False))
+
+
 def aligns(hyp: Column, ref: Column) -> Column:
     """Whether the tokens ``hyp`` spell ``ref``: plain tokens equal the next word, tokens
-    with a digit take one to five words. Texts of any length; rows whose numbers of words
-    cannot fit do not reach the matcher."""
-    wild = F.size(F.filter(hyp, is_wildcard))
-    plain = F.size(hyp) - wild
-    possible = F.size(ref).between(plain + wild, plain + MOST_WORDS * wild)
+    with a digit take one to five words. Texts of any length; only rows with fewer tokens
+    than words that may fit reach the matcher."""
+
+    asked = F.when(_may_fit(hyp, ref), F.struct(hyp.alias("h"), ref.alias("r")))
+    here = F.when(F.size(hyp) == F.size(ref), _fits_each(hyp, ref))
 
     @F.arrow_udf("boolean")
-    def run(hyps: pa.Array, refs: pa.Array) -> pa.Array:
-        return pa.array([h.is_valid and r.is_valid and spells(h.as_py(), r.as_py()) for h, r in zip(hyps, refs, strict=True)], pa.bool_())
+    def run(rows: pa.Array) -> pa.Array:
+        ok, pairs = rows.flatten()
+        return pa.array([spells(p["h"].as_py(), p["r"].as_py()) if p.is_valid else bool(o.as_py()) for o, p in zip(ok, pairs, strict=True)], pa.bool_())
 
-    return F.coalesce(run(F.when(possible, hyp), F.when(possible, ref)), F.lit(False))
+    return run(F.struct(here.alias("ok"), asked.alias("pair")))
 
 
 def spans_of(hyp: list[str], ref: list[str]) -> tuple[bool, list[tuple[str, list[str]]]]:
@@ -102,22 +119,32 @@ def spans_of(hyp: list[str], ref: list[str]) -> tuple[bool, list[tuple[str, list
 
 
 def align(hyp: Column, ref: Column) -> Column:
-    """struct<ok, spans> of two token arrays."""
+    """struct<ok, spans> of two token arrays. With as many tokens as words each wildcard takes
+    one; only rows with fewer tokens that may fit reach the matcher."""
+    none = F.array().cast("array<string>")
+    hyp, ref = F.coalesce(hyp, none), F.coalesce(ref, none)
+    asked = F.when(_may_fit(hyp, ref), F.struct(hyp.alias("h"), ref.alias("r")))
+    each = F.zip_with(hyp, ref, lambda t, w: F.struct(t.alias("digits"), F.array(w).alias("words")))
+    here = F.when((F.size(hyp) == F.size(ref)) & _fits_each(hyp, ref), F.filter(each, lambda s: is_wildcard(s["digits"])))
 
     @F.arrow_udf(SPANS)
-    def run(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+    def run(rows: pa.Array) -> pa.Array:
         kind = pa.struct([("ok", pa.bool_()), ("spans", pa.list_(pa.struct([("digits", pa.string()), ("words", pa.list_(pa.string()))])))])
+        spans, pairs = rows.flatten()
+        ok, spans = spans.is_valid(), pc.fill_null(spans, pa.scalar([], spans.type)).cast(kind[1].type)
+        asked = np.flatnonzero(pairs.is_valid().to_numpy(zero_copy_only=False))
+        parts, at = [pa.StructArray.from_arrays([ok, spans], fields=list(kind))], np.arange(len(rows))
+        at[asked] = len(rows) + np.arange(len(asked))
         # a few rows at a time as Python objects
-        parts = []
-        for n in range(0, len(hyps), 64):
+        for n in range(0, len(asked), 64):
             out = []
-            for h, r in zip(hyps[n : n + 64].to_pylist(), refs[n : n + 64].to_pylist(), strict=True):
-                ok, spans = spans_of(h or [], r or [])
-                out.append({"ok": ok, "spans": [{"digits": d, "words": w} for d, w in spans]})
+            for p in pairs.take(pa.array(asked[n : n + 64])).to_pylist():
+                ok_, found = spans_of(p["h"], p["r"])
+                out.append({"ok": ok_, "spans": [{"digits": d, "words": w} for d, w in found]})
             parts.append(pa.array(out, kind))
-        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+        return pa.concat_arrays(parts).take(pa.array(at)) if len(asked) else parts[0]
 
-    return run(hyp, ref)
+    return run(F.struct(here.alias("spans"), asked.alias("pair")))
 
 
 def validates(formatted: Column, unformatted: Column) -> Column:
