@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions.alignment import edit_distance_udf
 from scriptloom.operators.sequences import linear_scan
+from scriptloom.storage import written
 
 
 def word_error_rate(pairs: DataFrame, by: list[str], ref: Column, hyp: Column) -> DataFrame:
@@ -137,7 +138,8 @@ def mean_of_batch_means(rows: DataFrame, by: list[str], batch: str, value: str)
 def top_votes(votes: DataFrame, token: str, order: str, k: int, micros: int, sep: str | int) -> DataFrame:
     """(token, votes, per_micro, sep_share): the k tokens with most votes, of equals the
     one first seen; shares are over micro-batches, so they can exceed one."""
-    counts = votes.groupBy(token).agg(F.count("*").alias("votes"), F.min(order).alias("first_seen"))
+    # written, for sums and ranks both read them
+    counts = written(votes.groupBy(token).agg(F.count("*").alias("votes"), F.min(order).alias("first_seen")))
     all_ = counts.agg(F.sum("votes").alias("every"), F.coalesce(F.sum(F.when(F.col(token) == sep, F.col("votes"))), F.lit(0)).alias("of_sep"))
     best = counts.orderBy(F.desc("votes"), "first_seen").limit(k)
     return best.join(F.broadcast(all_)).select(token, "votes", (F.col("votes") / micros).alias("per_micro"), (F.col("of_sep") / F.col("every")).alias("sep_share"))
