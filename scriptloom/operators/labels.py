@@ -18,11 +18,13 @@ from scriptloom.functions.responses import parse_response
 from scriptloom.functions.text import is_wildcard, max_tokens, minimal_divergence, normalize, payload_chars, tokens
 from scriptloom.operators.sequences import valid_neighbours
 from scriptloom.operators.sets import config_changes
-from scriptloom.storage import bounded, with_position
+from scriptloom.storage import bounded, with_position, written
 
 # Fixed values.
 IN_FLIGHT = ("pending", "submitted")
 SUFFIXES = ("s", "'s", "'ll", "'re", "'ve", "'d", "'m", "n't")
+#: The most frequent tokens that every worker holds, and the length of the longest.
+COMMON_TOKENS, COMMON_CHARS = 100_000, 40
 BATCH_DISCOUNT, CACHE_WRITE, CACHE_READ, ATTESTED = 0.5, 1.25, 0.10, 2
 
 
@@ -227,15 +229,17 @@ def triaged(failed: DataFrame, dictionary: DataFrame, frequency: DataFrame) -> D
     """Misaligned rows (key, unformatted, formatted) with the trimmed edit, the reference
     tokens that nothing vouches for, and ``tag``."""
     edit = minimal_divergence(tokens(normalize(F.col("unformatted"))), tokens(normalize(F.col("formatted"))))
-    rows = failed.select("key", edit.alias("edit"))
-    each = rows.select("key", F.explode(F.array_distinct("edit.ref")).alias("token"))
+    rows, frequency = written(failed.select("key", edit.alias("edit"))), written(frequency.select("token", "df"))
+    # frequent tokens, which fill most of every text, go in place and are never exchanged
+    common = frequency.where((F.col("df") >= ATTESTED) & (F.length("token") <= COMMON_CHARS)).orderBy(F.desc("df"), "token").limit(COMMON_TOKENS)
+    each = rows.select("key", F.explode(F.array_distinct("edit.ref")).alias("token")).join(F.broadcast(common.select("token")), "token", "left_anti")
     known = bounded(dictionary.select("word").distinct().withColumn("known", F.lit(True)))
     bases = F.array(*[F.when(F.endswith("token", F.lit(s)), F.expr(f"left(token, length(token) - {len(s)})")) for s in SUFFIXES])
     stems = each.select("key", "token", F.explode(F.filter(bases, lambda b: b.isNotNull())).alias("word")).join(known, "word").groupBy("key", "token").agg(F.max("known").alias("stem"))
     checked = (
         each.join(known.withColumnRenamed("word", "token"), "token", "left")
         .join(stems, ["key", "token"], "left")
-        .join(frequency.select("token", F.col("df")), "token", "left")
+        .join(frequency, "token", "left")
         .where(~vouched(F.col("token"), F.col("known"), F.col("stem"), F.col("df")))
     )
     suspects = checked.groupBy("key").agg(F.array_sort(F.collect_list("token")).alias("suspects"))
