@@ -36,12 +36,13 @@ def shard_counts(words: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "c.kind", "c.prev", "c.token").agg(F.count("*").alias("n")).select("kind", "prev", "token", "n", "shard")
 
 
+def _there(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def counted_shards(spark: SparkSession, folder: str) -> list[str]:
     """The shards whose counts are there, by the folder's partitions; names only."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
     return sorted(r.shard for r in counts(spark, folder).where("kind = 'utterances'").select("shard").distinct().collect())
 
 
@@ -56,6 +57,9 @@ def add(words: DataFrame, folder: str, again: bool = False) -> None:
 
 
 def counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of all shards; none if no shard was counted yet."""
+    if not _there(spark, folder):
+        return spark.createDataFrame([], COUNTS)
     return spark.read.schema(COUNTS).parquet(folder)
 
 
