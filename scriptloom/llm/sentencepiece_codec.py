@@ -10,6 +10,7 @@ Encoding is exact and of merge type, by backtracking. Per segment:
   taken back and its position is marked in a bitfield, so that no position fails twice.
 
 A sequence whose neighbours are all compatible is the one that the merges make.
+Words of a column are encoded many at once, by the same steps on arrays (``_bulk``).
 Characters outside the vocabulary never merge; they become byte pieces.
 
 Texts: null counts as empty, an empty text has only the end id. Texts of any length
@@ -111,6 +112,8 @@ class PieceCodec:
 
     #: Cached segments and pairs per worker, each at most SEGMENT characters.
     CACHE, SEGMENT = 300_000, 48
+    #: Words that ``_bulk`` encodes at once, and places (a power of two) for its pairs.
+    AT_ONCE, PLACES = 20_000, 1 << 20
 
     def __init__(self, model_path: str):
         import struct
@@ -178,6 +181,9 @@ class PieceCodec:
         self.touching |= {x.replace(MARK, " ") for x in self.touching}
         self.plain = Segments(self, "")
         self.marked = Segments(self, MARK)
+        self._size, self._shorter = np.array(self.size, np.int64), np.array(self.shorter, np.int64)
+        self._trie(reachable)
+        self._pairs, self._holds = np.full(self.PLACES, -1, np.int64), np.zeros(self.PLACES, bool)
 
     def _raw(self, i: int) -> bytes:
         if self.kinds[i] == 6:
@@ -307,6 +313,124 @@ class PieceCodec:
             token = shorter[last]
         return chosen
 
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs. Each pair has one place in a table, where it may
+        be replaced by another."""
+        keys = a * len(self.names) + b
+        places = (keys * 0x9E3779B1 >> 12) & (self.PLACES - 1)
+        fits, new = self._holds[places], np.flatnonzero(self._pairs[places] != keys)
+        if len(new):
+            each, back = np.unique(keys[new], return_inverse=True)
+            found = np.fromiter((self._border_holds(*divmod(k, len(self.names))) for k in each.tolist()), bool, len(each))
+            fits[new] = found[back]
+            at = places[new]
+            self._pairs[at] = keys[new]
+            self._holds[at] = fits[new]
+        return fits
+
+    def _children(self, keys: np.ndarray) -> np.ndarray:
+        """Nodes of the trie below others, keys (node << 21 | character); -1 where there is none."""
+        places, found = (keys * 0x9E3779B1 >> 12) & (len(self._keys) - 1), np.full(len(keys), -1)
+        left = np.arange(len(keys))
+        while len(left):
+            here = self._keys[places]
+            hit = here == keys[left]
+            found[left[hit]] = self._nodes[places[hit]]
+            on = ~hit & (here >= 0)
+            left, places = left[on], (places[on] + 1) & (len(self._keys) - 1)
+        return found
+
+    def _trie(self, pieces_: list[int]) -> None:
+        """Children by hash, the piece that ends at each node, and the nodes of first characters."""
+        nodes: dict[int, int] = {}
+        ends: list[int] = [-1]
+        for i in pieces_:
+            node = 0
+            for c in self.names[i]:
+                key = node << 21 | ord(c)
+                node = nodes.get(key, 0)
+                if not node:
+                    node = nodes[key] = len(ends)
+                    ends.append(-1)
+            ends[node] = i
+        self._ends = np.array(ends)
+        keys, values = np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int64, len(nodes))
+        room = 1 << (4 * len(keys)).bit_length()
+        self._keys, self._nodes = np.full(room, -1, np.int64), np.zeros(room, np.int64)
+        places = (keys * 0x9E3779B1 >> 12) & (room - 1)
+        while len(keys):
+            free = np.flatnonzero(self._keys[places] < 0)
+            _, first = np.unique(places[free], return_index=True)
+            put = free[first]
+            self._keys[places[put]], self._nodes[places[put]] = keys[put], values[put]
+            keys, values, places = (np.delete(x, put) for x in (keys, values, places))
+            places = (places + 1) & (room - 1)
+        self._first = np.zeros(1 << 21, np.int32)  # by character; 0 where it is in no piece
+        for c in self.chars:
+            self._first[ord(c)] = nodes[ord(c)]
+
+    def _bulk(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has. A word follows a mark,
+        or a line end with which it begins. ``_backtrack`` of all side by side: each step
+        takes, shortens or takes back a piece of every word that is not done."""
+        size, shorter, stopper = self._size, self._shorter, (1 << 21) - 1
+        n = pc.utf8_length(words).to_numpy().astype(np.int64)
+        stop = np.cumsum(n + 2) - 1
+        start = stop - n - 1
+        chars = np.full(int(stop[-1]) + 1, stopper, np.int64)
+        chars[start] = ord(MARK)
+        chars[runs(start + 1, n)] = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4")
+        lines = (n > 0) & (chars[start + 1] == 10)
+        begin = start + 2 * lines
+        node = self._first[chars].astype(np.int64)
+        # the rest, in which characters are unknown, or which is long, goes one by one
+        odd = (n > self.SEGMENT) | (np.add.reduceat(node == 0, start) > 1 + lines)
+        longest = np.full(len(chars), -1)
+        at = np.flatnonzero(node)
+        node, depth = node[at], 0
+        while len(at):
+            longest[at] = np.where(self._ends[node] >= 0, self._ends[node], longest[at])
+            depth += 1
+            node = self._children(node << 21 | chars[at + depth])
+            at, node = at[node >= 0], node[node >= 0]
+        failed = np.zeros(len(chars), bool)
+        chosen, many = np.zeros((len(n), int(n[~odd].max(initial=0)) + 2), np.int32), lines.astype(np.int64)
+        chosen[lines, 0] = self.byte_id[10]
+        at, token = begin.copy(), longest[begin]
+        live = np.flatnonzero(~odd & (begin < stop))
+        while len(live):
+            t, k, here = token[live], many[live], at[live]
+            before = chosen[live, k - 1].astype(np.int64)  # without one before it, the last column
+            end = here + size[t]
+            takes = (t >= 0) & ~failed[np.where(t >= 0, end, 0)]
+            asked = np.flatnonzero(takes & (k > lines[live]))
+            takes[asked] = self._fit(before[asked], t[asked])
+            back = t < 0
+            if (back & (k <= lines[live])).any():
+                raise AssertionError("no encoding; the vocabulary lacks a character")
+            failed[here[back]] = True
+            chosen[live[takes], k[takes]] = t[takes]
+            many[live] = k + takes - back
+            at[live] = here = np.where(takes, end, np.where(back, here - size[before], here))
+            token[live] = np.where(takes, longest[here], shorter[np.where(back, before, t)])
+            live = live[here < stop[live]]
+        many[odd] = 0
+        ids = chosen[np.arange(chosen.shape[1]) < many[:, None]]
+        if not odd.any():
+            return ids, many
+        plain, line, rest = self.plain, self.line, {}
+        for i in np.flatnonzero(odd).tolist():
+            w = words[i].as_py()
+            rest[i] = np.frombuffer(self.marked[w] if w[:1] != "\n" else line + plain[w[1:]], "<i4")
+        together = many.copy()
+        together[list(rest)] = [len(x) for x in rest.values()]
+        starts = np.cumsum(together) - together
+        each = np.zeros(int(together.sum()), np.int32)
+        each[runs(starts, many)] = ids
+        for i, found in rest.items():
+            each[starts[i] : starts[i] + len(found)] = found
+        return each, together
+
     def _parts(self, text: str) -> list[bytes]:
         """Ids of a text's segments in order, without the end id."""
         if MARK in text:
@@ -353,10 +477,9 @@ class PieceCodec:
         if plain_spaces.any():
             split = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(plain_spaces)), "\n", " \n"), " ")
             coded = split.flatten().dictionary_encode()
-            marked, plain, line = self.marked, self.plain, self.line
-            words = [marked[w] if w[:1] != "\n" else line + plain[w[1:]] if len(w) > 1 else line for w in coded.dictionary.to_pylist()]
-            each = np.frombuffer(b"".join(words), "<i4")
-            many = np.fromiter(map(len, words), np.int64, len(words)) // 4
+            words = coded.dictionary
+            made = [self._bulk(words.slice(a, self.AT_ONCE)) for a in range(0, len(words), self.AT_ONCE)]
+            each, many = (np.concatenate(x) for x in zip(*made, strict=True))
             at = coded.indices.to_numpy()
             ids = each[runs((np.cumsum(many) - many)[at], many[at])]
             lengths[plain_spaces] += np.add.reduceat(many[at], split.offsets.to_numpy()[:-1])
