@@ -152,12 +152,12 @@ class PieceCodec:
             self.tokens.add_word(names[i], i)
         self.tokens.make_automaton()
         self.chars = {names[i] for i in reachable if len(names[i]) == 1}
-        # merge order, -1 for what no merge makes, and the last merge of each piece
-        order = sorted(self.ids.values(), key=lambda i: -scores[i])
+        # merge order, alike for pieces of one score, -1 for what no merge makes, and the last merge of each piece
+        order = {score: r for r, score in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank = [-1] * len(names)
-        for r, i in enumerate(order):
+        for i in self.ids.values():
             if len(names[i]) > 1:
-                self.rank[i] = r
+                self.rank[i] = order[scores[i]]
         self.split = [(-1, -1)] * len(names)
         for i in reachable:
             if len(names[i]) > 1:

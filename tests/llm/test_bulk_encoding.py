@@ -41,3 +41,9 @@ def test_no_word_is_encoded_by_itself():
     codec.encode_segment = None  # before, each new word came here
     words = ["".join(draw.choice("abcdeftionsrhlmup,.") for _ in range(draw.randint(1, 12))) for _ in range(3000)]
     same_as_library(codec, [" ".join(words[i : i + 10]) + "\n" + words[i] for i in range(0, 3000, 10)])
+
+
+def test_runs_of_spaces():
+    """Pieces of several marks have one score, so of these the leftmost merge comes first."""
+    codec = PieceCodec(MODEL)
+    same_as_library(codec, [f"{a}{' ' * n}{b}" for n in range(50) for a in ("", "a", "a\n") for b in ("", "concept", "x", "\n")])
