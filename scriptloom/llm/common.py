@@ -60,12 +60,14 @@ def shared_dir(spark: SparkSession, keep: bool = False) -> str:
 
 class Stored:
     """A DataFrame written as Parquet to the shared folder: its lineage ends there,
-    so a lost executor costs a read, not a recomputation."""
+    so a lost executor costs a read, not a recomputation. ``per_file``: the most rows of
+    a file, for tables of few but large rows, which a reader would else hold by the file."""
 
-    def __init__(self, df: DataFrame, codec: str = "snappy", keep: bool = False):
+    def __init__(self, df: DataFrame, codec: str = "snappy", keep: bool = False, per_file: int | None = None):
         self.spark = df.sparkSession
         self.path = shared_dir(self.spark, keep)
-        df.write.option("compression", codec).parquet(self.path)
+        writer = df.write.option("compression", codec)
+        (writer.option("maxRecordsPerFile", per_file) if per_file else writer).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -73,8 +75,8 @@ class Stored:
         remove(self.spark, self.path)
 
 
-def store(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    return Stored(df, codec).df
+def store(df: DataFrame, codec: str = "snappy", per_file: int | None = None) -> DataFrame:
+    return Stored(df, codec, per_file=per_file).df
 
 
 #: Bytes of values that a broadcast may hold.

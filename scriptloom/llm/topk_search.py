@@ -20,6 +20,11 @@ queries, by what either pruning would cost (``tuned``). What remains is verified
 exact products, so pruning never changes a result. The first theta comes from ``SEEDS``
 of the longest vectors, a fixed number.
 
+Blocks and blocks of queries are rows of stored tables, a file each, and bounded in rows and
+bytes. A task reads some of either from there and compares all pairs of them (a Cartesian
+product), so vectors are neither shuffled to their pairs nor broadcast, and none passes the
+driver.
+
 Vectors that are null or hold null or non-finite components take no part. Vectors of
 different dimensions are compared as if shorter ones ended in zeros; empty ones have
 length 0. Rows alike in id and vector count once. An id with several vectors is one
@@ -44,6 +49,8 @@ from scriptloom.llm.common import parts, store
 
 SCALE, RATIO, SEEDS = 64, 1.1, 2048
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: Components of a block; it has fewer rows if they are wide.
+BLOCK_VALUES, QUERY_VALUES = 1 << 21, 1 << 19
 #: Shares of the blocks after which thetas are raised.
 ROUNDS = (1 / 16, 1 / 4)
 #: The first part of a block that is read, as a divisor.
@@ -208,17 +215,17 @@ def _number(bucket: Column, firsts: dict[int, tuple[int, int]], spread: Column)
     return (first + F.pmod(spread, many)).cast("int")
 
 
-def _first_thetas(seeds: list, k: int):
-    """Query blocks with their lengths and the thetas that the seeds give."""
-    seed_rows, seed_ids = [np.array(r.q) for r in seeds], np.array([r.vec_id for r in seeds], np.int64)
+def _first_thetas(k: int):
+    """Query blocks with their lengths and the thetas that the seeds give, from rows (qpart,
+    ids, vectors, seed ids, seeds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, ids, vectors in zip(*[batch.column(i) for i in range(3)], strict=True):
-                rows = _vectors(vectors.values)
+            for part, ids, vectors, seed_ids, seeds in zip(*[batch.column(i) for i in range(5)], strict=True):
+                rows, seed_rows = _vectors(vectors.values), _vectors(seeds.values)
                 dim = max(map(len, rows + seed_rows), default=0)
                 queries, query_ids = _matrix(rows, dim), ids.values.to_numpy(zero_copy_only=False)
-                theta, block = np.full(len(rows), -np.inf), Block(seed_ids, seed_rows, dim)
+                theta, block = np.full(len(rows), -np.inf), Block(seed_ids.values.to_numpy(zero_copy_only=False), seed_rows, dim)
                 for a in range(0, len(rows), 256):
                     for i, scores in enumerate(products(queries[a : a + 256], block.matrix), a):
                         _, best = _best(block.ids, scores, query_ids[i], k)
@@ -258,24 +265,26 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k:
     rows = once.withColumn("length", F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x)))
     rows = store(rows.withColumn("bucket", F.when(F.col("length") < 1, F.lit(-1)).otherwise(F.floor(F.log("length") / F.log(F.lit(RATIO)))).cast("int")))
     # lengths span at most log(2**1024) / log(RATIO) buckets
-    sizes = {r.bucket: r for r in rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()}
+    sizes = {r.bucket: r for r in rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("q")).alias("values"), F.max("length").alias("longest")).collect()}
     if not sizes:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     firsts, total, reaches = {}, 0, []
     for b in sorted(sizes, reverse=True):
-        firsts[b] = (total, parts(sizes[b].n, BLOCK))
+        firsts[b] = (total, parts(sizes[b].n, BLOCK, parts(sizes[b]["values"], BLOCK_VALUES)))
         total += firsts[b][1]
         reaches.append((float(sizes[b].longest), total))
     spread = F.xxhash64("vec_id", "q")
     blocks = rows.groupBy(_number(F.col("bucket"), firsts, spread).alias("block")).agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))
-    blocks = store(blocks.select("block", F.col("rows.vec_id").alias("ids"), F.col("rows.q").alias("vectors")))
+    blocks = store(blocks.select("block", F.col("rows.vec_id").alias("ids"), F.col("rows.q").alias("vectors")), per_file=1)
 
-    seeds = rows.select("vec_id", "q", "length").orderBy(F.desc("length"), "vec_id", "q").limit(SEEDS).collect()
+    seeds = rows.select("vec_id", "q", "length").orderBy(F.desc("length"), "vec_id", "q").limit(SEEDS).agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))
+    seeds = store(seeds.select(F.col("rows.vec_id").alias("seed_ids"), F.col("rows.q").alias("seeds")))
     asked = rows.where("asks")
-    per = parts(asked.count(), QUERY_BLOCK)
+    asks = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("values")).first()
+    per = parts(asks.n, QUERY_BLOCK, parts(asks["values"], QUERY_VALUES))
     packed = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(per)).alias("qpart")).agg(F.collect_list(F.struct("vec_id", "q")).alias("rows"))
     packed = packed.select(F.col("qpart").cast("long"), F.col("rows.vec_id").alias("ids"), F.col("rows.q").alias("vectors"))
-    asking = store(packed.mapInArrow(_first_thetas(seeds, k), _ASKED))
+    asking = store(packed.hint("shuffle_replicate_nl").crossJoin(seeds).mapInArrow(_first_thetas(k), _ASKED), per_file=1)
 
     # the blocks that are long enough for one of the queries, from the longest on
     needed = F.zip_with("theta", "lengths", lambda t, n: F.when(n > 0, t / n).when(t > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
@@ -285,9 +294,9 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k:
     cuts = sorted({-(-total * share // 1) for share in ROUNDS} | {total})
     best, low = None, 0
     for high in map(int, cuts):
-        to = F.least(reach, F.lit(high))
-        sent = asking.select("*", to.alias("to")).where(F.col("to") > low).select("*", F.explode(F.sequence(F.lit(low), F.col("to") - 1)).alias("block"))
-        made = blocks.join(sent, "block").select("ids", "vectors", "query_ids", "queries", "theta").mapInArrow(_verify(k), _MADE)
+        sent = asking.select("*", F.least(reach, F.lit(high)).alias("to")).where(F.col("to") > low)
+        visited = blocks.where((F.col("block") >= low) & (F.col("block") < high)).hint("shuffle_replicate_nl")
+        made = visited.join(sent, F.col("block") < F.col("to")).select("ids", "vectors", "query_ids", "queries", "theta").mapInArrow(_verify(k), _MADE)
         made = made if best is None else made.unionAll(best.select("query_id", "vec_id", "score"))
         scored = made.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", place).where(F.col("rank") <= k)
         if high == total:
@@ -296,5 +305,5 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k:
         raised = best.where(F.col("rank") == k).select("query_id", "score", F.pmod(F.xxhash64("query_id"), F.lit(per)).cast("long").alias("qpart"))
         raised = raised.groupBy("qpart").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.col("score").cast("double")))).alias("bars"))
         higher = F.zip_with("query_ids", "theta", lambda i, t: F.greatest(t, F.coalesce(F.col("bars")[i], t)))
-        asking = store(asking.join(raised, "qpart", "left").select("qpart", "query_ids", "queries", "lengths", F.when(F.col("bars").isNull(), F.col("theta")).otherwise(higher).alias("theta")))
+        asking = store(asking.join(raised, "qpart", "left").select("qpart", "query_ids", "queries", "lengths", F.when(F.col("bars").isNull(), F.col("theta")).otherwise(higher).alias("theta")), per_file=1)
     raise AssertionError("the last round returns")

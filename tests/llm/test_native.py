@@ -255,3 +255,44 @@ def test_top_k_large_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk_search.top_k(df, "vec_id", "embedding", F.col("vec_id") == 2, 5).collect()
     assert sorted((r.vec_id, r["rank"]) for r in got) == [(0, 2), (3, 1)]
+
+
+def most_sent(spark, after):
+    """Bytes of results, without the figures of its tasks, that a stage after the given one sent to the driver at most;
+    the last stage."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    status = spark.sparkContext._jsc.sc().statusStore()
+    found = status.stageList(None, False, False, getattr(status, "stageList$default$4")(), None)
+    stages = [found.apply(i) for i in range(found.size())]
+    return max((s.resultSize() - 10_000 * s.numTasks() for s in stages if s.stageId() > after), default=0), max(s.stageId() for s in stages)
+
+
+@pytest.mark.parametrize("n", [4000, 16000])
+def test_top_k_sends_no_vectors_to_the_driver(spark, monkeypatch, n):
+    monkeypatch.setattr(topk_search, "BLOCK", 200)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 50)
+    integer = lambda i: (F.pmod(F.xxhash64("id", i), F.lit(128)) - 64) / 64.0
+    df = spark.range(n, numPartitions=4).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), integer).alias("embedding"))
+    spark.range(1).collect()
+    _, last = most_sent(spark, -1)
+    topk_search.top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0).write.format("noop").mode("overwrite").save()
+    sent, _ = most_sent(spark, last)
+    assert sent < 100_000
+
+
+def test_top_k_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    import random
+
+    stored = []
+    monkeypatch.setattr(topk_search, "BLOCK_VALUES", 400)
+    monkeypatch.setattr(topk_search, "QUERY_VALUES", 200)
+    monkeypatch.setattr(topk_search, "store", lambda *a, **b: stored.append(common.store(*a, **b)) or stored[-1])
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(32)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df, "vec_id", "embedding", F.col("vec_id") % 2 == 0, 5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, 5)
+    for name, most in (("block", 400), ("qpart", 200)):
+        table = next(t for t in stored if name in t.columns)
+        vectors = 200 if name == "block" else 100
+        assert table.count() == len(table.inputFiles()) >= 0.8 * vectors * 32 / most
